@@ -3,12 +3,13 @@
 A set's size puts it in a band; sets that link lie in the same band or in
 neighbouring ones, so a set takes part in the tiles of its own band and of the
 next.  Two sets that link within a band of largest size U differ in at most
-H = 2U(1-t)/(1+t) elements.  The hash range is cut into H + 2 parts; then two
-parts at least hold the same elements in both sets, and a tile is the band, the
-part and the signature of the part's elements.  Parts without elements do not
-count; a set with more than one of them is cut again with another seed, which
-keeps the guarantee, as its partner is cut again too or was found before.  No
-link is lost, and only sets that share a whole part meet.
+H = 2U(1-t)/(1+t) elements.  The hash range is cut into H + 1 + c parts; then
+c + 1 parts at least hold the same elements in both sets, and a tile is the
+band, the part and the signature of the part's elements.  Parts without elements
+do not count; a set with more than c of them (c is about twice their expected
+number) is cut again with another seed, which keeps the guarantee, as its
+partner is cut again too or was found before.  No link is lost, and only sets
+that share a whole part meet.
 
 Within a tile sets are first linked to one pivot (in each task before the
 shuffle, so a tile of any size sends one row a task), candidates are tested by
@@ -103,7 +104,8 @@ def tile_keys(u: np.ndarray, rule: Rule) -> np.ndarray:
             continue  # only equal sets link there; these are found by fingerprint
         if b > band and len(u) * rule.den < rule.num * (rule.limits[band] + 1):
             continue  # too small for any set of the next band
-        parts, level, v = rule.differ(rule.limits[b]) + 2, 0, u
+        spare = 1 + rule.differ(rule.limits[b]) // 100
+        parts, level, v = rule.differ(rule.limits[b]) + 1 + spare, 0, u
         while True:
             edges, salt = _cuts(parts, b, level)
             at = np.concatenate([[0], np.searchsorted(v, edges), [len(v)]])
@@ -111,7 +113,7 @@ def tile_keys(u: np.ndarray, rule: Rule) -> np.ndarray:
             np.cumsum(mix(v + U64(23)), out=sums[1:])
             full = at[1:] > at[:-1]
             out.append(mix((sums[at[1:]] - sums[at[:-1]])[full] ^ salt[full]))
-            if (~full).sum() <= 1:
+            if (~full).sum() <= spare:
                 break
             level += 1
             v = np.sort(mix(u ^ U64(level * 0x9E3779B97F4A7C15 % 2**64)))
