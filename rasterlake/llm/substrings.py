@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rasterlake.llm import idfilter
-from rasterlake.llm.kernels import U64, chunks, signed, window_hashes, word_hashes, words
+from rasterlake.llm.kernels import U64, chunks, mix, window_hashes, word_hashes, words
 from rasterlake.session import materialize
 
 FLUSH = 2_000_000
@@ -48,32 +48,32 @@ def _ranges(sorted_hash: np.ndarray, parts: int, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_hash, edges), len(sorted_hash))
 
 
-def _by_doc(doc: np.ndarray, value: np.ndarray) -> tuple[list[int], list[bytes]]:
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
-    first = np.append(True, doc[1:] != doc[:-1])
-    cut = np.flatnonzero(first)
-    return doc[first].tolist(), [v.tobytes() for v in np.split(value, cut[1:])] if len(doc) else []
+def _packed(doc: np.ndarray, value: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed pairs) of answers, dealt out by document."""
+    part = (mix(doc.view(U64)) % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    pair = np.stack([doc.view(U64)[order], value[order]], 1)
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for a, z in zip(cut, np.append(cut[1:], len(part))):
+        yield int(part[a]), pair[a:z].tobytes()
 
 
-def _told(part: int, doc: np.ndarray, value: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows that answer documents: any partition will do for them."""
-    ids, blobs = _by_doc(doc, value)
-    n = len(ids)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([(part + i) % parts for i in range(n)], pa.int32()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.binary())],
-        names=["part", "doc_id", "data", "docs"],
-    )
+def _told(doc: np.ndarray, value: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Answers found before the exchange; they already go to their document's part."""
+    rows = list(_packed(doc, value, parts))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], names=["part", "data", "docs"])
 
 
 def _sent(slices: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([s[0] for s in slices], pa.int32()), pa.nulls(len(slices), pa.int64()), pa.array([s[1] for s in slices], pa.binary()), pa.array([s[2] for s in slices], pa.binary())],
-        names=["part", "doc_id", "data", "docs"],
+        [pa.array([s[0] for s in slices], pa.int32()), pa.array([s[1] for s in slices], pa.binary()), pa.array([s[2] for s in slices], pa.binary())],
+        names=["part", "data", "docs"],
     )
 
 
-PARCEL = "part int, doc_id bigint, data binary, docs binary"
+PARCEL = "part int, data binary, docs binary"
+ANSWER = "part int, data binary"
 
 
 def _probe(window: int, parts: int):
@@ -88,7 +88,7 @@ def _probe(window: int, parts: int):
         size = np.diff(np.append(begin, len(h)))
         if (size > COMMON).any():
             common = np.repeat(size > COMMON, size)
-            yield _told(ids[0] % parts, doc_of[(packed[common] & LOW).astype(np.int64)], h[common], parts)
+            yield _told(doc_of[(packed[common] & LOW).astype(np.int64)], h[common], parts)
             # the first two rows of a common block speak for all: one with the flag, if any has it
             keep = ~common
             big = begin[size > COMMON]
@@ -132,19 +132,35 @@ def _probe(window: int, parts: int):
 def _parcels(batches: Iterator[pa.RecordBatch], mine: list) -> Iterator[pa.RecordBatch]:
     """Passes answers on and keeps the rest in ``mine``."""
     for batch in batches:
-        told = np.asarray(batch.column(1).is_valid())
-        rest = batch.filter(pa.array(~told))
-        mine += zip(rest.column(2).to_pylist(), rest.column(3).to_pylist())
-        if told.any():
-            yield batch.filter(pa.array(told)).select(["doc_id", "data"])
+        rest = np.asarray(batch.column(2).is_valid())
+        kept = batch.filter(pa.array(rest))
+        mine += zip(kept.column(1).to_pylist(), kept.column(2).to_pylist())
+        if not rest.all():
+            yield batch.filter(pa.array(~rest)).select(["part", "data"])
 
 
-def _answers(doc: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    ids, blobs = _by_doc(doc, value)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "data"])
+def _answers(doc: np.ndarray, value: np.ndarray, parts: int) -> pa.RecordBatch:
+    return _told(doc, value, parts).select(["part", "data"])
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One part of the answers: a row for each document with all it was told."""
+    raw = [d for batch in batches for d in batch.column(1).to_pylist()]
+    if not raw:
+        return
+    pair = np.frombuffer(b"".join(raw), U64).reshape(-1, 2)
+    raw.clear()
+    doc = pair[:, 0].copy().view(np.int64)
+    order = np.lexsort((pair[:, 1], doc))
+    doc, value = doc[order], pair[order, 1]
+    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    end = np.append(cut[1:], len(doc))
+    for lo in range(0, len(cut), 2000):
+        rows = [np.unique(value[a:z]).tobytes() for a, z in zip(cut[lo : lo + 2000], end[lo : lo + 2000])]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[cut[lo : lo + 2000]]), pa.array(rows, pa.binary())], names=["doc_id", "told"])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """One hash range: the blocks that some document indexes and another holds."""
     mine: list = []
     yield from _parcels(batches, mine)
@@ -167,7 +183,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared = (low < high)[at]
     if shared.any():
         pair = np.unique(np.rec.fromarrays([docs[shared], at[shared]], names="d,a"))
-        yield _answers(pair["d"], index[pair["a"]])
+        yield _answers(np.ascontiguousarray(pair["d"]), index[pair["a"]], parts)
 
 
 def _windows(window: int, parts: int):
@@ -184,7 +200,7 @@ def _windows(window: int, parts: int):
         later = doc != least
         if later.any():
             pair = np.unique(np.rec.fromarrays([doc[later], h[later]], names="d,h"))
-            yield _told(ids[0] % parts, pair["d"], pair["h"], parts)
+            yield _told(np.ascontiguousarray(pair["d"]), pair["h"], parts)
         h, doc = h[first], doc[first]
         cuts = _ranges(h, parts, 64)
         out = [(p, h[cuts[p] : cuts[p + 1]].tobytes(), doc[cuts[p] : cuts[p + 1]].tobytes()) for p in range(parts) if cuts[p + 1] > cuts[p]]
@@ -202,7 +218,7 @@ def _windows(window: int, parts: int):
                 for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                     if b - a < window:
                         continue
-                    anchors = np.frombuffer(b"".join(told[lo + i].as_py()), U64)
+                    anchors = np.frombuffer(told[lo + i].as_py(), U64)
                     p = np.flatnonzero(np.isin(g[a : b - block + 1], anchors))
                     last = b - a - window  # the last start of a full window
                     change = np.zeros(last + 2, np.int64)
@@ -222,7 +238,7 @@ def _windows(window: int, parts: int):
     return run
 
 
-def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _firsts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """One hash range: every document but the smallest is told that a window repeats."""
     mine: list = []
     yield from _parcels(batches, mine)
@@ -236,7 +252,7 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = np.append(True, h[1:] != h[:-1])
     later = doc != doc[np.flatnonzero(first)][np.cumsum(first) - 1]
     if later.any():
-        yield _answers(doc[later], h[later])
+        yield _answers(doc[later], h[later], parts)
 
 
 def _cut(window: int):
@@ -253,7 +269,7 @@ def _cut(window: int):
                     ws = (texts[lo + i] or "").encode().split()
                     gone = np.zeros(b - a, bool)
                     if b - a >= window:
-                        s = np.isin(full[a : b - window + 1], np.frombuffer(b"".join(told[lo + i].as_py()), U64))
+                        s = np.isin(full[a : b - window + 1], np.frombuffer(told[lo + i].as_py(), U64))
                         change = np.zeros(b - a + 1, np.int64)
                         change[: len(s)] += s
                         change[window : window + len(s)] -= s
@@ -288,10 +304,10 @@ def _skip(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _with(docs: DataFrame, told: DataFrame) -> DataFrame:
+def _with(docs: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
     """``doc_id, text, told``: each document with what it was told (bounded by its length)."""
-    told = materialize(told, "substr")
-    return _skip(docs, told.select("doc_id")).join(told.groupBy("doc_id").agg(F.collect_list("data").alias("told")), "doc_id").select("doc_id", "text", "told")
+    told = materialize(answers.repartitionById(parts, "part").mapInArrow(_gather, "doc_id bigint, told binary"), "substr")
+    return _skip(docs, told.select("doc_id")).join(told, "doc_id").select("doc_id", "text", "told")
 
 
 def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -303,11 +319,10 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
         raise ValueError("window must be even")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    answer = "doc_id bigint, data binary"
     probes = docs.mapInArrow(_probe(window, parts), PARCEL).repartitionById(parts, "part")
-    near = _with(docs, probes.mapInArrow(_anchors, answer))
+    near = _with(docs, probes.mapInArrow(lambda b: _anchors(b, parts), ANSWER), parts)
     exact = near.mapInArrow(_windows(window, parts), PARCEL).repartitionById(parts, "part")
-    cut = _with(docs, exact.mapInArrow(_firsts, answer)).mapInArrow(_cut(window), "doc_id bigint, whole string, n_removed bigint, kept string").distinct()
+    cut = _with(docs, exact.mapInArrow(lambda b: _firsts(b, parts), ANSWER), parts).mapInArrow(_cut(window), "doc_id bigint, whole string, n_removed bigint, kept string").distinct()
     base = docs.mapInArrow(_count, "doc_id bigint, n_words bigint, whole string")
     out = base.join(cut, ["doc_id", "whole"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
