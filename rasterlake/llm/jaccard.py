@@ -15,8 +15,10 @@ Within a tile sets are first linked to one pivot (in each task before the
 shuffle, so a tile of any size sends one row a task), candidates are tested by
 hashed bitmaps, whose differing bits bound the overlap from above, and then by
 exact intersection of sorted arrays.  Tiles whose members all fall in one
-component need no more.  The others are cut into cells of bounded size, and the
-pairs across components that pass the bitmap bound are intersected too.
+component need no more.  In the others, members next to each other in a few
+random orders are compared, which joins most of what belongs together; what
+still lies apart is cut into cells of bounded size, and all pairs across
+components that pass the bitmap bound are intersected too.
 
 Edge cases: null or empty texts have empty sets, link with nothing and are
 their own component; texts shorter than a shingle are one element; repeated
@@ -33,16 +35,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rasterlake.llm import idfilter
 from rasterlake.llm.kernels import LOWER, U64, chunks, mix, signed, window_hashes, word_hashes, words
 from rasterlake.operators.graph import connected_components
 from rasterlake.session import materialize
 
-BITMAP_WORDS = 8
+BITMAP_WORDS = 16
 FLUSH_KEYS = 1_000_000
 CELL_ROWS = 256
+ROUNDS = 4
 BITMAP = [f"w{i}" for i in range(BITMAP_WORDS)]
 
 
@@ -240,6 +243,32 @@ def _linked_pairs(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(_verify(rule), "a bigint, b bigint, ok boolean").filter("ok").select("a", "b").distinct()
 
 
+def _open_tiles(stars: DataFrame, labels: DataFrame, brief: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``stars(key, pivot, doc)`` the tiles with several components, and their members.
+
+    Members are ``key, id, c, cells, n, w*``: component and the number of cells
+    that the tile needs.
+    """
+
+    def label(of: str) -> DataFrame:
+        return labels.select(F.col("node").alias(of), F.col("component").alias(f"c_{of}"))
+
+    pairs = stars.select("pivot", "doc").distinct()
+    apart = pairs.join(label("pivot"), "pivot", "left").join(label("doc"), "doc", "left").filter(F.coalesce("c_pivot", "pivot") != F.coalesce("c_doc", "doc")).select("pivot", "doc")
+    keys = materialize(stars.join(materialize(apart, "jaccard"), ["pivot", "doc"]).select("key").distinct(), "jaccard")
+    held = materialize(stars.join(keys, "key"), "jaccard")
+    members = materialize(held.select("key", F.col("pivot").alias("id")).union(held.select("key", "doc")).distinct(), "jaccard")
+    cells = materialize(members.groupBy("key").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells")), "jaccard")
+    member = members.join(cells, "key").join(brief, "id").join(label("id"), "id", "left").withColumn("c", F.coalesce("c_id", "id")).drop("c_id")
+    return held, materialize(member, "jaccard")
+
+
+def _relabel(labels: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Components after adding the links ``fresh(a, b)``."""
+    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialize(connected_components(known.unionByName(fresh), "a", "b"), "jaccard")
+
+
 def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
     rule = rule or Rule()
@@ -261,20 +290,27 @@ def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     links = materialize(_linked_pairs(pairs, arrays, rule).unionByName(copies), "jaccard")
     labels = materialize(connected_components(links, "a", "b"), "jaccard")
 
-    # tiles that still hold several components: all their pairs, in cells
-    def label(of: str):
-        return labels.select(F.col("node").alias(of), F.col("component").alias(f"c_{of}"))
-
-    open_pairs = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    open_pairs = materialize(open_pairs, "jaccard")
-    open_keys = stars.join(open_pairs.withColumnsRenamed({"a": "pivot", "b": "doc"}), ["pivot", "doc"]).select("key").distinct()
-    open_keys = materialize(open_keys, "jaccard")
-    held = stars.join(open_keys, "key")
-    members = materialize(held.select("key", F.col("pivot").alias("id")).union(held.select("key", "doc")).distinct(), "jaccard")
-    size = materialize(members.groupBy("key").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells")), "jaccard")
-    brief = arrays.select("id", "n", *BITMAP)
-    member = members.join(size, "key").join(brief, "id").join(label("id"), "id", "left")
-    member = member.withColumn("c", F.coalesce("c_id", "id")).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
+    # tiles that still hold several components: neighbours in a few random orders first
+    brief = materialize(arrays.select("id", "n", *BITMAP), "jaccard")
+    for turn in range(ROUNDS):
+        stars, member = _open_tiles(stars, labels, brief)
+        member = member.withColumn("cell", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("cells")))
+        order = Window.partitionBy("key", "cell").orderBy(F.xxhash64("id", F.lit(turn)), "id")
+        sides = F.struct("id", "c", "n", *BITMAP)
+        near = None
+        for step in (1, 2, 3):
+            part = member.select(sides.alias("x"), F.lead(sides, step).over(order).alias("y"))
+            near = part if near is None else near.unionByName(part)
+        near = near.filter(F.col("y.id").isNotNull() & (F.col("x.c") != F.col("y.c"))).filter(_may_link(rule))
+        near = materialize(near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "jaccard")
+        fresh = materialize(_linked_pairs(near, arrays, rule), "jaccard")
+        if fresh.isEmpty():
+            break
+        labels = _relabel(labels, fresh)
+
+    # then all their pairs across components, in cells
+    stars, member = _open_tiles(stars, labels, brief)
+    member = member.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
     spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     spread = materialize(spread.select("key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "id", "c", "n", *BITMAP), "jaccard")
     x, y = spread.alias("x"), spread.alias("y")
@@ -284,5 +320,5 @@ def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     if not more.isEmpty():
         fresh = materialize(_linked_pairs(more, arrays, rule), "jaccard")
         if not fresh.isEmpty():
-            labels = materialize(connected_components(links.unionByName(fresh), "a", "b"), "jaccard")
+            labels = _relabel(labels, fresh)
     return sets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
