@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 LAMBDAS = [0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0]
 
@@ -105,7 +106,7 @@ def fit_grouped(df: DataFrame, cols: list[str], keys: list[str], rounds: int = 3
     w = {k: np.zeros(n) for k in lam}
     tri = [(i, j) for i in range(n) for j in range(i, n)]
     for _ in range(rounds):
-        now = spark.createDataFrame([(*k, v.tolist()) for k, v in w.items()], df.select(*keys).schema.add("w", "array<double>"))
+        now = spark.createDataFrame([(*k, v.tolist()) for k, v in w.items()], df.select(*keys).schema.add("w", ArrayType(DoubleType())))
         j = df.join(F.broadcast(now), keys)
         p = 1 / (1 + F.exp(-reduce(lambda a, b: a + b, (F.col(c) * F.col("w")[i] for i, c in enumerate(xs)))))
         j = j.withColumn("p", p).withColumn("g", F.col("cw") * (F.col("p") - F.col("label"))).withColumn("q", F.col("cw") * F.col("p") * (1 - F.col("p")))
@@ -124,7 +125,7 @@ def fit_grouped(df: DataFrame, cols: list[str], keys: list[str], rounds: int = 3
         if most < tol:
             break
     df.unpersist()
-    return spark.createDataFrame([(*k, v.tolist()) for k, v in w.items()], df.select(*keys).schema.add("w", "array<double>"))
+    return spark.createDataFrame([(*k, v.tolist()) for k, v in w.items()], df.select(*keys).schema.add("w", ArrayType(DoubleType())))
 
 
 def cross_validate(df: DataFrame, cols: list[str], lambdas: list[float] = LAMBDAS, repeats: int = 10, k: int = 5) -> DataFrame:

@@ -119,7 +119,10 @@ def contours(px: DataFrame) -> DataFrame:
     order = e.join(left, "id").withColumn("k", F.max("n").over(total) - F.col("n")).select("image_id", "label", "k", "y", "x")
     last = Window.partitionBy("image_id", "label").orderBy("k")
     step = order.withColumn("same", (F.lag("y").over(last) == F.col("y")) & (F.lag("x").over(last) == F.col("x"))).filter("same is null or not same")
-    return step.select("image_id", "label", (F.row_number().over(last) - 1).alias("k"), "y", "x")
+    full = last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    step = step.withColumn("k", F.row_number().over(last) - 1).withColumn("end", F.max("k").over(total))
+    back = (F.col("k") == F.col("end")) & (F.col("k") > 0) & (F.col("y") == F.first("y").over(full)) & (F.col("x") == F.first("x").over(full))
+    return step.withColumn("back", back).filter("not back").select("image_id", "label", "k", "y", "x")  # the way ends where it began
 
 
 # ---- features: one row per image, null where not computable ---------------

@@ -26,7 +26,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``frames(camera_id, seq, ts, text, value)``: null text is a missed frame, empty text read nothing."""
     kind = F.col("event_type")
     text = F.when(kind == "error", None).when(kind == "signup", "").otherwise(kind)
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("camera_id"), F.col("event_id").alias("seq"), "ts", text.alias("text"), "value")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("camera_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), text.alias("text"), "value")
 
 
 SAMPLE_FEATURES = ["f1", "f2", "f3", "f4"]
