@@ -45,7 +45,7 @@ from rasterlake.session import materialize
 BITMAP_WORDS = 16
 FLUSH_KEYS = 1_000_000
 CELL_ROWS = 256
-ROUNDS = 4
+ROUNDS, STEPS = 2, 8
 BITMAP = [f"w{i}" for i in range(BITMAP_WORDS)]
 
 
@@ -298,7 +298,7 @@ def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
         order = Window.partitionBy("key", "cell").orderBy(F.xxhash64("id", F.lit(turn)), "id")
         sides = F.struct("id", "c", "n", *BITMAP)
         near = None
-        for step in (1, 2, 3):
+        for step in range(1, STEPS + 1):
             part = member.select(sides.alias("x"), F.lead(sides, step).over(order).alias("y"))
             near = part if near is None else near.unionByName(part)
         near = near.filter(F.col("y.id").isNotNull() & (F.col("x.c") != F.col("y.c"))).filter(_may_link(rule))
