@@ -57,7 +57,7 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_parameters(df: DataFrame) -> tuple[list[dict], float, float]:
     """Features by index, bias and threshold (0.5 if absent) of a one-row model record."""
-    row = df.select(F.expr("array_sort(features, (a, b) -> a.index - b.index)").alias("f"), "bias", F.coalesce("decision_threshold", F.lit(0.5)).alias("t")).first()
+    row = df.select(F.expr("array_sort(features, (a, b) -> cast(a.index - b.index as int))").alias("f"), "bias", F.coalesce("decision_threshold", F.lit(0.5)).alias("t")).first()
     return [r.asDict() for r in row["f"]], float(row["bias"]), float(row["t"])
 
 
