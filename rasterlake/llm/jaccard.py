@@ -29,6 +29,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -57,6 +58,11 @@ class Rule:
         limit = 1
         while self.differ(limit + 1) == 0 and limit < 1 << 20:
             limit += 1
+        # twice the share of parts that the smallest sets of a tile leave empty
+        t, share = num / den, 0.0
+        for _ in range(50):
+            share = 2 * math.exp(-t * t * (1 + t) / (2 * (1 - t)) / (1 + share)) if t < 1 else 0.0
+        self.share = share
         self.limits = [limit]
         while limit < 1 << 40:
             limit = max(limit + 1, limit * den // num)
@@ -107,7 +113,7 @@ def tile_keys(u: np.ndarray, rule: Rule) -> np.ndarray:
             continue  # only equal sets link there; these are found by fingerprint
         if b > band and len(u) * rule.den < rule.num * (rule.limits[band] + 1):
             continue  # too small for any set of the next band
-        spare = 1 + rule.differ(rule.limits[b]) // 100
+        spare = 1 + int(rule.differ(rule.limits[b]) * rule.share)
         parts, level, v = rule.differ(rule.limits[b]) + 1 + spare, 0, u
         while True:
             edges, salt = _cuts(parts, b, level)

@@ -90,8 +90,9 @@ def test_jaccard_components_equal_all_pairs(spark):
     assert got == brute_jaccard(texts)
 
 
-def test_tiles_lose_no_linked_pair():
-    rule, rng = jaccard.Rule(), np.random.default_rng(5)
+@pytest.mark.parametrize("num", [70, 80, 85, 95])
+def test_tiles_lose_no_linked_pair(num):
+    rule, rng = jaccard.Rule(num=num), np.random.default_rng(5)
     for n in [7, 9, 14, 40, 120, 600, 4000] * 6:
         u = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
         drop = int(rng.integers(0, rule.differ(len(u)) // 2 + 1))
