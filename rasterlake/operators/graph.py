@@ -2,33 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterlake.session import materialize
+from rasterlake.session import materialize, ship_code
+
+BLOCK_EDGES = 1_000_000
+
+
+def _forest_of(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Each node of some edges with the smallest node that it reaches by them."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    keep = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(nodes[root[keep]], pa.int64())], names=["u", "v"])
+
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the edges of a task, block by block, by stars of what they connect."""
+    u, v, held = [], [], 0
+    for batch in batches:
+        u.append(batch.column(0).to_numpy())
+        v.append(batch.column(1).to_numpy())
+        held += batch.num_rows
+        if held >= BLOCK_EDGES:
+            yield _forest_of(np.concatenate(u), np.concatenate(v))
+            u, v, held = [], [], 0
+    if held:
+        yield _forest_of(np.concatenate(u), np.concatenate(v))
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("u", "v")).alias("x"),
-    ).first()
-    return row["n"], row["x"]
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller node at most, and that one has none."""
+    low = edges.select(F.col("u").alias("x"), "v", F.lit(False).alias("root"))
+    ends = low.unionByName(edges.select(F.col("v").alias("x"), F.lit(None).cast("bigint").alias("v"), F.lit(True).alias("root")))
+    node = ends.groupBy("x").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.max("root").alias("root"))
+    return node.filter("least <> most or (root and least is not null)").agg(F.count("*")).first()[0] == 0
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Smallest reachable id of every node that has an edge.
 
-    Alternates the published large-star and small-star steps until the edge
-    table no longer changes.  Every step is a ``groupBy`` minimum (combined
-    before the shuffle) and one join, so no component is gathered in one task.
-    Null ends and self loops are ignored; repeated edges count once.
+    Each task first reduces its edges to stars.  Then the published large-star
+    and small-star steps alternate until only stars are left.  Every step is a
+    ``groupBy`` minimum (combined before the shuffle) and one join, so no
+    component is gathered in one task.  Null ends and self loops are ignored;
+    repeated edges count once; ids are whole numbers of 64 bits.
 
     Returns ``node, component``; nodes without edges are absent.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v")
-    e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    before = _signature(e)
-    while before[0]:
+    ship_code(edges.sparkSession)
+    e = edges.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v")).filter("u is not null and v is not null and u <> v")
+    e = materialize(e.mapInArrow(_forest, "u bigint, v bigint").distinct(), "cc")
+    while not _is_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -36,9 +76,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        after = _signature(e)
-        if after == before:
-            break
-        before = after
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
