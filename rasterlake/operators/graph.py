@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterlake.session import materialize, ship_code
+from rasterlake.session import materialize, ship_code, tasks_for
 
 BLOCK_EDGES = 1_000_000
 
@@ -69,12 +69,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     e = edges.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v")).filter("u is not null and v is not null and u <> v")
     e = materialize(e.mapInArrow(_forest, "u bigint, v bigint").distinct(), "cc")
     while not _is_stars(e):
+        # a step makes at most two rows of an edge
+        tasks = tasks_for(e.sparkSession, 2 * e.count())
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "cc", tasks)
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = materialize(large, "cc")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        large = materialize(large, "cc", tasks)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc", tasks)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc", tasks)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

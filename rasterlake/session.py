@@ -38,16 +38,27 @@ def scratch_path(spark: SparkSession, name: str = "stage") -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+ROWS_PER_TASK = 100_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks that share ``rows`` short rows, at least one for each core."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
+
+def materialize(df: DataFrame, name: str = "stage", tasks: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
+    ``tasks`` joins partitions to so many at most, where a bound of the rows is
+    known (see ``tasks_for``): else small results become many tiny files.
+
     This cuts the lineage (a lost executor costs no recomputation of earlier
     stages) and drops the known partitioning, so later joins exchange both
     sides and adaptive execution may split skewed keys.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
