@@ -38,6 +38,7 @@ def build(ids: DataFrame) -> Broadcast:
         .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 63 as int))) AS v"))
         .groupBy("piece")
         .agg(F.collect_list(F.struct("word", "v")).alias("words"))  # at most PIECE / 63 + 1
+        .coalesce(16)  # the whole is bounded, so a few parts one after another
         .toLocalIterator()
     )
     bits = np.zeros(BITS, bool)

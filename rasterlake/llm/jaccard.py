@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rasterlake.llm import idfilter
 from rasterlake.llm.kernels import LOWER, U64, chunks, mix, signed, window_hashes, word_hashes, words
 from rasterlake.operators.graph import connected_components
-from rasterlake.session import materialize
+from rasterlake.session import materialize, tasks_for
 
 BITMAP_WORDS = 16
 FLUSH_KEYS = 1_000_000
@@ -233,11 +233,11 @@ def _verify(rule: Rule):
     return run
 
 
-def _may_link(rule: Rule):
-    """Size and bitmap bound of columns ``n, w*`` of ``x`` and ``y``, from above."""
-    n = F.col("x.n") + F.col("y.n")
-    differing = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in BITMAP), F.lit(0))
-    overlap = F.least(F.col("x.n"), F.col("y.n"), F.expr("x.n + y.n") / 2 - differing / 2)
+def _may_link(rule: Rule, x=lambda c: F.col(f"x.{c}"), y=lambda c: F.col(f"y.{c}")):
+    """Size and bitmap bound of the columns ``n, w*`` that ``x`` and ``y`` give, from above."""
+    n = x("n") + y("n")
+    differing = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in BITMAP), F.lit(0))
+    overlap = F.least(x("n"), y("n"), n / 2 - differing / 2)
     return overlap * (rule.den + rule.num) >= rule.num * n
 
 
@@ -249,7 +249,7 @@ def _linked_pairs(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(_verify(rule), "a bigint, b bigint, ok boolean").filter("ok").select("a", "b").distinct()
 
 
-def _open_tiles(stars: DataFrame, labels: DataFrame, brief: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _open_tiles(stars: DataFrame, labels: DataFrame, brief: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
     """Of ``stars(key, pivot, doc)`` the tiles with several components, and their members.
 
     Members are ``key, id, c, cells, n, w*``: component and the number of cells
@@ -261,12 +261,12 @@ def _open_tiles(stars: DataFrame, labels: DataFrame, brief: DataFrame) -> tuple[
 
     pairs = stars.select("pivot", "doc").distinct()
     apart = pairs.join(label("pivot"), "pivot", "left").join(label("doc"), "doc", "left").filter(F.coalesce("c_pivot", "pivot") != F.coalesce("c_doc", "doc")).select("pivot", "doc")
-    keys = materialize(stars.join(materialize(apart, "jaccard"), ["pivot", "doc"]).select("key").distinct(), "jaccard")
-    held = materialize(stars.join(keys, "key"), "jaccard")
-    members = materialize(held.select("key", F.col("pivot").alias("id")).union(held.select("key", "doc")).distinct(), "jaccard")
-    cells = materialize(members.groupBy("key").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells")), "jaccard")
+    keys = materialize(stars.join(materialize(apart, "jaccard", tasks), ["pivot", "doc"]).select("key").distinct(), "jaccard", tasks)
+    held = materialize(stars.join(keys, "key"), "jaccard", tasks)
+    members = materialize(held.select("key", F.col("pivot").alias("id")).union(held.select("key", "doc")).distinct(), "jaccard", tasks)
+    cells = materialize(members.groupBy("key").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells")), "jaccard", tasks)
     member = members.join(cells, "key").join(brief, "id").join(label("id"), "id", "left").withColumn("c", F.coalesce("c_id", "id")).drop("c_id")
-    return held, materialize(member, "jaccard")
+    return held, materialize(member, "jaccard", tasks)
 
 
 def _relabel(labels: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -289,7 +289,8 @@ def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     keys = docs.mapInArrow(_keys(rule), "key bigint, doc bigint, pivot bigint")
     route = F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.xxhash64("key", "doc"))
     stars = materialize(keys.repartition(route).sortWithinPartitions("key", "doc").mapInArrow(_stars, "key bigint, pivot bigint, doc bigint"), "jaccard")
-    pairs = materialize(stars.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "jaccard")
+    tasks = tasks_for(docs.sparkSession, 2 * stars.count())
+    pairs = materialize(stars.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "jaccard", tasks)
     ids = pairs.select("a").union(pairs.select("b"))
     arrays = docs.mapInArrow(_arrays(rule, idfilter.build(ids)), "id bigint, n bigint, arr binary, " + ", ".join(f"{w} bigint" for w in BITMAP))
     arrays = materialize(arrays, "jaccard")
@@ -299,23 +300,21 @@ def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     # tiles that still hold several components: neighbours in a few random orders first
     brief = materialize(arrays.select("id", "n", *BITMAP), "jaccard")
     for turn in range(ROUNDS):
-        stars, member = _open_tiles(stars, labels, brief)
+        stars, member = _open_tiles(stars, labels, brief, tasks)
         member = member.withColumn("cell", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("cells")))
         order = Window.partitionBy("key", "cell").orderBy(F.xxhash64("id", F.lit(turn)), "id")
         sides = F.struct("id", "c", "n", *BITMAP)
-        near = None
-        for step in range(1, STEPS + 1):
-            part = member.select(sides.alias("x"), F.lead(sides, step).over(order).alias("y"))
-            near = part if near is None else near.unionByName(part)
-        near = near.filter(F.col("y.id").isNotNull() & (F.col("x.c") != F.col("y.c"))).filter(_may_link(rule))
-        near = materialize(near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "jaccard")
+        after = member.withColumn("after", F.array(*(F.lead(sides, step).over(order) for step in range(1, STEPS + 1))))
+        fit = F.filter("after", lambda y: y.isNotNull() & (y["c"] != F.col("c")) & _may_link(rule, F.col, lambda c: y[c]))
+        near = after.select("id", F.explode(F.transform(fit, lambda y: y["id"])).alias("other"))
+        near = materialize(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "jaccard", tasks)
         fresh = materialize(_linked_pairs(near, arrays, rule), "jaccard")
         if fresh.isEmpty():
             break
         labels = _relabel(labels, fresh)
 
     # then all their pairs across components, in cells
-    stars, member = _open_tiles(stars, labels, brief)
+    stars, member = _open_tiles(stars, labels, brief, tasks)
     member = member.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
     spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     spread = materialize(spread.select("key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "id", "c", "n", *BITMAP), "jaccard")
