@@ -374,13 +374,13 @@ def samples_folds(spark, d):
 
 @query
 def samples_cross_validation(spark, d):
-    cv = M.cross_validate(V.samples(spark, d), V.SAMPLE_FEATURES, [0.01, 0.1, 1.0], 2, 5)
+    cv = M.cross_validate(V.samples(spark, d), V.SAMPLE_FEATURES)
     return r6(cv, *(c for c in cv.columns if c not in ("repeat", "out", "n")))
 
 
 @query
 def samples_model(spark, d):
-    m = M.train_model(V.samples(spark, d), V.SAMPLE_FEATURES, [0.01, 0.1, 1.0], 2, 5)
+    m = M.train_model(V.samples(spark, d), V.SAMPLE_FEATURES)
     return m.select("selected_lambda", F.round("bias", 6).alias("bias"), F.explode("features").alias("f")).select("selected_lambda", "bias", "f.*")
 
 

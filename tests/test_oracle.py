@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from rasterlake.operators import learn as M
 from rasterlake.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -36,3 +37,10 @@ def test_entry_imports_and_names_agree():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_cross_validation_fits_the_whole_grid(spark):
+    cv = catalog.queries()["samples_cross_validation"](spark, DATA).toPandas()
+    assert len(cv) == 450 and sorted(cv["lam"].unique()) == M.LAMBDAS
+    assert set(cv["repeat"]) == set(range(10)) and set(cv["out"]) == set(range(5))
+    assert (cv.groupby(["lam", "repeat"])["n"].sum() == catalog.V.samples(spark, DATA).count()).all()
