@@ -22,6 +22,14 @@ def _slots(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.view(U64) + U64(0x51ED27)) % U64(BITS)).astype(np.int64)
 
 
+def slot(i: int) -> int:
+    """``_slots`` of one id from 0 up, without arrays."""
+    x = i + 0x51ED27
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & (2**64 - 1)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & (2**64 - 1)
+    return (x ^ (x >> 31)) % BITS
+
+
 def _marks(batches):
     for batch in batches:
         ids = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)

@@ -1,7 +1,8 @@
 """Personal data: base patterns plus bootstrapped contextual extraction.
 
-The base patterns find entities and, beside them, candidates: other tokens with
-a digit.  Every occurrence has lexical patterns, the words before and after it.
+The base patterns find entities.  Candidates are all other tokens, of any length
+and with or without digits, in the context of a pattern that known entities
+have.  Every occurrence has lexical patterns, the words before and after it.
 Spark then scores the graph of patterns and instances in rounds: entities that
 are known give a pattern its confidence for a kind (the share of the pattern's
 occurrences that are known entities of that kind), patterns of high confidence
@@ -15,12 +16,18 @@ empty table; further columns pass through ``redact`` and are else ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rasterlake.llm import idfilter
 from rasterlake.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -31,11 +38,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-SPACE = re.compile(r"[\x20\x09-\x0D]")
+SPACES = re.compile(r"([\x20\x09-\x0D]+)")
+LEAD, TRAIL = "\"'([{<.,;:", "\"')]}>.,;:!?"
+# between two tokens, so much that the word before may be cut by the context's bound
+WIDE = re.compile(r"[\x20\x09-\x0D\"'(\[{<.,;:]{8}")
 WORD = re.compile(r"\w+")
 CONTEXT_CHARS = 48
+CACHE = 300_000
 SPAN = "array<struct<kind:string,start:int,end:int>>"
-CANDIDATE = "array<struct<kind:string,start:int,end:int,instance:string,patterns:array<string>>>"
+CANDIDATE = "array<struct<kind:string,start:int,end:int,patterns:array<string>>>"
 
 
 def luhn(digits: str) -> bool:
@@ -94,90 +105,259 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with at least three digits that overlap no base span."""
-    out, floor = [], 0
-    taken = [(s, e) for s, _, e in base]
-    m = DIGIT.search(text)
-    while m:
-        start = m.start()
-        while start > floor and not SPACE.match(text, start - 1):
-            start -= 1
-        stop = SPACE.search(text, m.start())
-        floor = stop.start() if stop else len(text)
-        token = text[start:floor]
-        s = start + len(token) - len(token.lstrip("\"'([{<.,;:"))
-        e = s + len(text[s:floor].rstrip("\"')]}>.,;:!?"))
-        if e - s <= 64 and sum("0" <= c <= "9" for c in text[s:e]) >= 3 and not any(s < b and a < e for a, b in taken):
+class Lookup(dict):
+    """Answers of ``test`` by key, kept up to a bound."""
+
+    def __init__(self, test) -> None:
+        super().__init__()
+        self.test = test
+
+    def __missing__(self, key: str):
+        value = self.test(key)
+        if len(key) <= 64:
+            if len(self) > CACHE:
+                self.clear()
+            self[key] = value
+        return value
+
+
+def tail_test(known):
+    """Whether the word before a token that follows ``token`` may be one that ``known`` accepts.
+
+    True as well where that word cannot be told from ``token`` alone.
+    """
+
+    def test(token: str) -> bool:
+        low, m = token.lower(), None
+        if low.isalnum():
+            return len(low) > CONTEXT_CHARS - 8 or known(low)
+        for m in WORD.finditer(low):
+            pass
+        return m is None or len(low) - m.start() > CONTEXT_CHARS - 8 or known(m.group())
+
+    return test
+
+
+def trim(token: str) -> tuple[int, int]:
+    """Where a token begins and ends without the punctuation around it."""
+    start = len(token) - len(token.lstrip(LEAD))
+    return start, start + len(token[start:].rstrip(TRAIL))
+
+
+def candidates(text: str, base: list[tuple[int, int, int]], tails: Lookup | None = None, own: Lookup | None = None) -> list[tuple[int, int]]:
+    """Tokens of any kind and length that overlap no base span.
+
+    With ``tails`` only those after a token that it accepts, with ``own`` only
+    those that it accepts themselves.
+    """
+    pieces = SPACES.split(text)  # tokens, and the space between them
+    tokens = pieces[::2]
+    if own is not None:
+        some = [i for i, f in enumerate(map(own.__getitem__, tokens)) if f and i]
+    elif tails is not None and not WIDE.search(text):
+        some = [i + 1 for i, f in enumerate(map(tails.__getitem__, tokens[:-1])) if f]
+    else:
+        some = range(1, len(tokens))  # a first token has no word before it
+    if not some:
+        return []
+    taken: list[list[int]] = []
+    for s, _, e in base:
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    ends = list(accumulate(map(len, pieces)))
+    out, k = [], 0
+    for i in some:
+        a, z = trim(tokens[i])
+        at = ends[2 * i - 1]
+        s, e = at + a, at + z
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        if s < e and not (k < len(taken) and taken[k][0] < e):
             out.append((s, e))
-        m = DIGIT.search(text, floor)
     return out
 
 
-def _scan(cols: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base_col, found_col = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                base = base_spans(text) if text else []
-                base_col.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in base])
-                seen = [(KINDS[k], s, e) for s, k, e in base]
-                seen += [(None, s, e) for s, e in candidates(text, base)] if text else []
-                found_col.append([{"kind": k, "start": s, "end": e, "instance": text[s:e].lower(), "patterns": patterns(text, s, e)} for k, s, e in seen])
-            kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-            cand = pa.struct([*kind, ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base_col, pa.list_(kind)), pa.array(found_col, pa.list_(cand))], names=[*cols, "base", "found"])
+def instance_of(text: str, start: int, end: int) -> str:
+    """The token in lower case; a digest stands for a long one."""
+    low = text[start:end].lower()
+    return low if len(low) <= 64 else "\0" + hashlib.blake2b(low.encode(), digest_size=16).hexdigest()
 
-    return run
 
+def _bit_test(packed: np.ndarray, prefix: str):
+    """Whether a string may be in a bit set built from the crc32 of ``prefix`` and the string."""
+    bits = packed.tobytes()
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, base, found`` for every row; ``row`` is new and unique.
+    def test(s: str) -> bool:
+        slot = idfilter.slot(zlib.crc32((prefix + s).encode()))
+        return bool(bits[slot >> 3] >> (7 - (slot & 7)) & 1)
 
-    ``base`` has the spans of the base patterns, ``found`` these and the
-    candidates, with their instance and patterns.
-    """
-    rows = docs.select(F.expr("uuid()").alias("row"), "doc_id", F.col("text").alias("__text"))
-    return rows.mapInArrow(_scan(["row", "doc_id"]), f"row string, doc_id bigint, base {SPAN}, found {CANDIDATE}")
+    return test
+
+
+def _code(prefix: str, col):
+    return F.crc32(F.concat(F.lit(prefix), col).cast("binary")).alias("id")
+
+
+def _pattern_set(wanted: DataFrame):
+    """Bit set of ``pattern`` and of the words that may stand right before its tokens."""
+    part = F.split("pattern", " ")
+    word = F.explode(F.array(part[0], part[1], F.regexp_replace(part[0], ":$", "")))
+    return idfilter.build(wanted.select(_code("p", F.col("pattern"))).unionByName(wanted.select(word.alias("w")).select(_code("w", F.col("w")))))
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
-    """``pattern, kind, conf`` after some rounds over ``occurrences(kind, instance, pattern)``.
+def _occurrences(texts: DataFrame, sent=None, by: str = "base") -> DataFrame:
+    """``kind, instance, pattern, n``, counted in each batch.
 
-    A pattern needs ``support`` different known instances; occurrences that are
-    not known count against it.  All of it is grouped sums and joins; nothing
-    is collected.
+    By "base" the base spans, by "pattern" also the tokens, with the patterns
+    of the set, by "instance" base spans and tokens whose instance is in it.
     """
-    edges = materialize(occurrences.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("kind").alias("seed")), "pii")
-    known = edges.filter("seed is not null").select("instance", F.col("seed").alias("kind")).distinct()
-    total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    kept = None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        if by == "pattern":
+            listed, tails = Lookup(_bit_test(sent.value, "p")), Lookup(tail_test(_bit_test(sent.value, "w")))
+        elif by == "instance":
+            listed, tails = Lookup(_bit_test(sent.value, "i")), None
+            own = Lookup(lambda t: listed[instance_of(t, *trim(t))])
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                base = base_spans(text)
+                seen = [(KINDS[k], s, e) for s, k, e in base]
+                if by != "base":
+                    seen += [(None, s, e) for s, e in candidates(text, base, tails, own)]
+                for kind, s, e in seen:
+                    if by == "instance" and not listed[instance_of(text, s, e)]:
+                        continue
+                    found = patterns(text, s, e)
+                    if by == "pattern":
+                        found = [p for p in found if listed[p]]
+                    if found:
+                        instance = instance_of(text, s, e)
+                        counts.update((kind, instance, p) for p in found)
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "instance", "pattern", "n"])
+
+    return texts.mapInArrow(run, "kind string, instance string, pattern string, n bigint")
+
+
+def learn(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
+    """``pattern, kind, conf`` after some rounds over the texts.
+
+    A pattern needs ``support`` different known instances; all its other
+    occurrences, whatever token stands there, count against it.  Each round
+    first finds the patterns with enough known instances and then reads every
+    occurrence of these, so no token is left out and no text is shuffled.
+    """
+    texts = docs.filter("text is not null and text <> ''").select(F.col("text").alias("__text"))
+    grouped = lambda o: o.groupBy("pattern", "instance").agg(F.sum("n").alias("n"), F.max("kind").alias("seed"))
+    first = materialize(grouped(_occurrences(texts)), "pii")
+    seeds = materialize(first.select("instance", F.col("seed").alias("kind")).distinct(), "pii")
+    held, known = first, seeds
     for i in range(rounds):
+        wanted = held.join(known, "instance").groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("c")).filter(F.col("c") >= support)
+        wanted = materialize(wanted.select("pattern").distinct(), "pii")
+        if wanted.isEmpty():
+            return known.select(F.col("instance").alias("pattern"), "kind", F.lit(0.0).alias("conf")).limit(0)
+        edges = grouped(_occurrences(texts, _pattern_set(wanted), "pattern").join(wanted, "pattern", "left_semi"))
+        edges = materialize(edges, "pii")
+        total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
         votes = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum("n").alias("pos"), F.count("*").alias("support"))
         kept = votes.filter(F.col("support") >= support).join(total, "pattern").withColumn("conf", F.col("pos") / F.col("total")).filter(F.col("conf") >= confidence)
         kept = materialize(kept.select("pattern", "kind", "conf"), "pii")
-        if i + 1 < rounds:
-            scored = edges.filter("seed is null").join(kept, "pattern").groupBy("instance", "kind").agg(F.sum(F.log(1.0 - F.least("conf", F.lit(0.99)))).alias("miss"))
-            best = scored.filter(1 - F.exp("miss") >= confidence).groupBy("instance").agg(F.max_by("kind", F.struct(-F.col("miss"), F.col("kind"))).alias("kind"))
-            seeds = edges.filter("seed is not null").select("instance", F.col("seed").alias("kind")).distinct()
-            known = materialize(seeds.unionByName(best), "pii")
+        if i + 1 == rounds:
+            break
+        scored = edges.filter("seed is null").join(kept, "pattern").groupBy("instance", "kind").agg(F.sum(F.log(1.0 - F.least("conf", F.lit(0.99)))).alias("miss"))
+        best = scored.filter(1 - F.exp("miss") >= confidence).groupBy("instance").agg(F.max_by("kind", F.struct(-F.col("miss"), F.col("kind"))).alias("kind"))
+        best = materialize(best, "pii")
+        now = materialize(seeds.unionByName(best).distinct(), "pii")
+        if best.isEmpty() or (now.exceptAll(known).isEmpty() and known.exceptAll(now).isEmpty()):
+            break  # a further round would repeat this one
+        known = now
+        held = _occurrences(texts, idfilter.build(best.select(_code("i", F.col("instance")))), "instance").join(best.select("instance"), "instance", "left_semi")
+        held = materialize(grouped(held.unionByName(first.select(F.col("seed").alias("kind"), "instance", "pattern", "n"))), "pii")
     return kept
 
 
+def _applied(learned: DataFrame) -> dict[str, tuple[float, str]] | None:
+    """Confidence and kind by pattern, None if there are more than are broadcast."""
+    hit = learned.groupBy("pattern").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"), F.max("conf").alias("conf"))
+    rows = hit.limit(MAX_APPLIED + 1).collect()
+    return {r["pattern"]: (r["conf"], r["kind"]) for r in rows} if len(rows) <= MAX_APPLIED else None
+
+
+def _tails(table: dict) -> Lookup:
+    """The words before tokens of the table's patterns."""
+    words = {w for p in table for a, b in [p.split(" ")[:2]] for w in (a, b, a.removesuffix(":"))}
+    return Lookup(tail_test(words.__contains__))
+
+
+def _discovered(text: str, base: list, table: dict, tails: Lookup) -> list[tuple[int, int, str]]:
+    """Spans of the table's patterns."""
+    out = []
+    for s, e in candidates(text, base, tails) if table else ():
+        hits = [table[p] for p in patterns(text, s, e) if p in table]
+        if hits:
+            out.append((s, e, max(hits)[1]))
+    return out
+
+
+def _scan(table: dict | None, marks=None):
+    """(row, doc_id, text) to base spans, and discovered ones or, without a table, candidates with a pattern of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if table is None:
+            listed, tails = Lookup(_bit_test(marks.value, "p")), Lookup(tail_test(_bit_test(marks.value, "w")))
+        else:
+            given = table.value
+            tails = _tails(given)
+        for batch in batches:
+            base_col, found_col = [], []
+            for text in batch.column(2).to_pylist():
+                base = base_spans(text) if text else []
+                base_col.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in base])
+                if not text:
+                    found_col.append([])
+                elif table is None:
+                    found_col.append([{"kind": None, "start": s, "end": e, "patterns": f} for s, e in candidates(text, base, tails) if (f := [p for p in patterns(text, s, e) if listed[p]])])
+                else:
+                    found_col.append([{"kind": k, "start": s, "end": e, "patterns": []} for s, e, k in _discovered(text, base, given, tails)])
+            kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+            cand = pa.struct([*kind, ("patterns", pa.list_(pa.string()))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(base_col, pa.list_(kind)), pa.array(found_col, pa.list_(cand))], names=["row", "doc_id", "base", "found"])
+
+    return run
+
+
+def _joined(keyed: DataFrame, learned: DataFrame) -> DataFrame:
+    """``row, doc_id, base, more`` of ``(row, doc_id, text)`` for more patterns than are broadcast."""
+    seen = materialize(keyed.mapInArrow(_scan(None, _pattern_set(learned.select("pattern").distinct())), f"row string, doc_id bigint, base {SPAN}, found {CANDIDATE}"), "pii")
+    occ = seen.select("row", F.explode("found").alias("f")).select("row", "f.start", "f.end", F.explode("f.patterns").alias("pattern"))
+    fresh = occ.join(learned, "pattern").groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
+    fresh = fresh.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))  # at most one row's spans
+    return seen.select("row", "doc_id", "base").join(fresh, "row", "left").withColumn("more", F.coalesce("more", F.expr(f"cast(array() as {SPAN})")))
+
+
 def extract(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
     """``row, doc_id, base, spans``: base spans, and all spans with the discovered ones.
 
-    A discovered span has the kind of its most confident pattern.
+    ``row`` is new and unique.  A discovered span has the kind of its most
+    confident pattern.
     """
-    seen = materialize(scan(docs), "pii")
-    occ = seen.select("row", F.explode("found").alias("f")).select("row", "f.*").select("row", "kind", "start", "end", "instance", F.explode("patterns").alias("pattern"))
-    learned = bootstrap(occ.select("kind", "instance", "pattern"), rounds, confidence, support)
-    fresh = occ.filter("kind is null").drop("kind", "instance").join(learned, "pattern")
-    fresh = fresh.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
-    fresh = fresh.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))  # at most one row's spans
-    rank = F.expr("transform(concat(base, coalesce(more, array())), s -> struct(s.start as start, array_position(array('email','ip','card','phone'), s.kind) as k, s.end as end, s.kind as kind))")
+    learned = learn(docs, rounds, confidence, support)
+    table = _applied(learned)
+    rows = docs.select(F.expr("uuid()").alias("row"), "doc_id", F.col("text").alias("__text"))
+    if table is None:
+        seen = _joined(materialize(rows, "pii"), learned)
+    else:
+        sent = docs.sparkSession.sparkContext.broadcast(table)
+        seen = rows.mapInArrow(_scan(sent), f"row string, doc_id bigint, base {SPAN}, found {CANDIDATE}")
+        seen = seen.select("row", "doc_id", "base", F.expr("transform(found, s -> struct(s.kind as kind, s.start as start, s.end as end))").alias("more"))
+    rank = F.expr("transform(concat(base, more), s -> struct(s.start as start, array_position(array('email','ip','card','phone'), s.kind) as k, s.end as end, s.kind as kind))")
     spans = F.expr("transform(array_sort(ranked), s -> struct(s.kind as kind, s.start as start, s.end as end))")
-    return seen.select("row", "doc_id", "base").join(fresh, "row", "left").withColumn("ranked", rank).select("row", "doc_id", "base", spans.alias("spans"))
+    return seen.withColumn("ranked", rank).select("row", "doc_id", "base", spans.alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -209,16 +389,9 @@ def redact(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: i
     The learned patterns are applied in the task that scans a text again, so no
     text is shuffled; they are broadcast when small, as adaptive joins decide.
     """
-    seen = materialize(scan(docs).select("found"), "pii")
-    occ = seen.select(F.explode("found").alias("f")).select("f.kind", "f.instance", F.explode("f.patterns").alias("pattern"))
-    learned = bootstrap(occ, rounds, confidence, support)
-    hit = occ.filter("kind is null").select("pattern").join(learned, "pattern").groupBy("pattern").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"), F.max("conf").alias("conf"))
-    # most confident first; the bound keeps the broadcast small and is far above what one corpus' contexts reach
-    rows = hit.orderBy(F.col("conf").desc(), "pattern").limit(MAX_APPLIED + 1).collect()
-    if len(rows) > MAX_APPLIED:
-        return _redact_joined(docs, learned)
-    table = {r["pattern"]: (r["conf"], r["kind"]) for r in rows}
-    return _masked(docs, table)
+    learned = learn(docs, rounds, confidence, support)
+    table = _applied(learned)
+    return _redact_joined(docs, learned) if table is None else _masked(docs, table)
 
 
 MAX_APPLIED = 100_000
@@ -231,16 +404,14 @@ def _masked(docs: DataFrame, table: dict[str, tuple[float, str]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
+        tails = _tails(table)
         for batch in batches:
             out = []
             for text in batch.column(at).to_pylist():
                 if text:
                     base = base_spans(text)
                     spans = [(s, e, KINDS[k]) for s, k, e in base]
-                    for s, e in candidates(text, base) if table else ():
-                        hits = [table[p] for p in patterns(text, s, e) if p in table]
-                        if hits:
-                            spans.append((s, e, max(hits)[1]))
+                    spans += _discovered(text, base, table, tails)
                     text = mask(text, spans) if spans else text
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 :]], names=cols)
@@ -252,12 +423,8 @@ def _masked(docs: DataFrame, table: dict[str, tuple[float, str]]) -> DataFrame:
 def _redact_joined(docs: DataFrame, learned: DataFrame) -> DataFrame:
     """``redact`` for more patterns than are broadcast: spans are joined to their rows."""
     keyed = materialize(docs.withColumn("__row", F.expr("uuid()")), "pii")
-    rows = keyed.select(F.col("__row").alias("row"), "doc_id", F.col("text").alias("__text")).mapInArrow(_scan(["row", "doc_id"]), f"row string, doc_id bigint, base {SPAN}, found {CANDIDATE}")
-    occ = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    base = occ.filter("kind is not null").select("row", "kind", "start", "end")
-    more = occ.filter("kind is null").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(learned, "pattern")
-    more = more.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind")).select("row", "kind", "start", "end")
-    spans = base.unionByName(more).groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("__spans"))
+    seen = _joined(keyed.select(F.col("__row").alias("row"), "doc_id", F.col("text").alias("__text")), learned)
+    spans = seen.select("row", F.expr("transform(concat(base, more), s -> struct(s.start as start, s.end as end, s.kind as kind))").alias("__spans"))
     cols = docs.columns
     at = cols.index("text")
 

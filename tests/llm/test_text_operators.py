@@ -70,6 +70,44 @@ def test_contexts_find_what_the_patterns_miss(spark):
     assert masked[0] == masked[9] == "the server address is [IP] today" and masked[11] is None
 
 
+def test_contexts_find_tokens_of_any_length_and_digits(spark):
+    long = "k" * 90
+    texts = [f"please write to user{i}@site.com today" for i in range(9)] + ["please write to john(at)site.com today", f"please write to {long} today"]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.extract(docs(spark, texts))).collect()}
+    assert got[9] == "email:16:32" and got[10] == "email:16:106"
+    masked = {r.doc_id: r.text for r in pii.redact(docs(spark, texts)).collect()}
+    assert masked[9] == masked[10] == "please write to [EMAIL] today"
+    # every other token counts against the pattern: 9 of 13 occurrences are too few
+    texts += ["please write to them today", "please write to me today"]
+    assert pii.learn(docs(spark, texts)).count() == 0
+
+
+def test_patterns_of_newly_known_instances_are_read_too(spark):
+    texts = [f"mail reaches user{i}@site.com daily" for i in range(40)] + [f"mail reaches {w} daily" for w in ("ann", "bob", "cleo")] + [f"login name {w} here" for w in ("ann", "bob", "cleo", "dora")]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.extract(docs(spark, texts), confidence=0.7)).collect()}
+    assert got[40] == "email:13:16" and got[46] == "email:11:15"
+
+
+def test_joined_patterns_equal_broadcast_ones(spark, monkeypatch):
+    texts = [f"please write to user{i}@site.com today" for i in range(9)] + ["please write to john(at)site.com today", None, ""]
+    want = {r.doc_id: r.spans for r in pii.digest(pii.extract(docs(spark, texts))).collect()}
+    masked = {r.doc_id: r.text for r in pii.redact(docs(spark, texts)).collect()}
+    monkeypatch.setattr(pii, "MAX_APPLIED", 0)
+    assert {r.doc_id: r.spans for r in pii.digest(pii.extract(docs(spark, texts))).collect()} == want
+    assert {r.doc_id: r.text for r in pii.redact(docs(spark, texts)).collect()} == masked
+
+
+def test_skipped_tokens_have_none_of_the_patterns():
+    r = random.Random(9)
+    known = {"to", "é", "_"}
+    for _ in range(3000):
+        text = "".join(r.choice(["to", "é", "É", "_", "w" * 45, " ", "  ", "-", ".", ":", "....", "(", "x1", "          "]) for _ in range(r.randint(0, 25)))
+        some = set(pii.candidates(text, [], pii.Lookup(pii.tail_test(known.__contains__))))
+        for s, e in set(pii.candidates(text, [])) - some:
+            before = pii.WORD.findall(text[max(0, s - pii.CONTEXT_CHARS) : s].lower())
+            assert not before or before[-1] not in known
+
+
 def brute_jaccard(texts, k=4, num=85):
     sets = []
     for t in texts:
