@@ -236,12 +236,13 @@ def shape_features(spark, d):
 
 @query
 def detect_markings(spark, d):
-    return G.detect_markings(gray(spark, d), INK, 2.0, denoise=False)
+    return G.detect_markings(gray(spark, d), INK, 2.0)
 
 
 @query
 def find_writing(spark, d):
-    out = G.find_writing(R.ink_strength(gray(spark, d), True, 5))
+    soft = materialize(R.gaussian_blur(gray(spark, d), 3), "soft")
+    out = G.find_writing(R.ink_strength(soft, True, 5), soft)
     return r6(out, "width", "likeness")
 
 
