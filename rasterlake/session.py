@@ -39,6 +39,8 @@ def scratch_path(spark: SparkSession, name: str = "stage") -> str:
 
 
 ROWS_PER_TASK = 100_000
+#: Spark's setting to remove shuffle files when a query has ended, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:
@@ -52,13 +54,20 @@ def materialize(df: DataFrame, name: str = "stage", tasks: int | None = None) ->
     ``tasks`` joins partitions to so many at most, where a bound of the rows is
     known (see ``tasks_for``): else small results become many tiny files.
 
+    The exchanges of the write are removed with it, as nothing reads them again.
+
     This cuts the lineage (a lost executor costs no recomputation of earlier
     stages) and drops the known partitioning, so later joins exchange both
     sides and adaptive execution may split skewed keys.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
