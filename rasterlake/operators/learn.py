@@ -1,7 +1,8 @@
 """Class-balanced logistic regression on sample tables: imputing, scaling, fitting, choosing, scoring.
 
-Samples are ``(sample_id, source, label, features...)``; null features are not
-computable and are imputed.  Many models are fitted together: every Newton step
+Samples are ``(sample_id, source, label, features...)``; null and non-finite
+features are not computable and are imputed.  Ranks, folds and medians come from
+``ranks``, so no task holds a whole class or column.  Many models are fitted together: every Newton step
 is one grouped sum over (model key, sample) rows, and only the small gradient
 and Hessian of each key come to the driver.
 """
@@ -14,6 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from rasterlake.operators.ranks import medians, running
+from rasterlake.session import materialize
+
 LAMBDAS = [0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0]
 
 
@@ -23,8 +27,9 @@ def clean_nan(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def impute(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Median imputation per key (whole table without keys)."""
-    med = df.groupBy(*(keys or [])).agg(*(F.percentile(c, F.lit(0.5)).alias(f"med_{c}") for c in cols))
+    """Median imputation of null and non-finite features per key (whole table without keys)."""
+    df = clean_nan(df, cols)
+    med = medians(df, cols, keys)
     j = df.join(F.broadcast(med), keys) if keys else df.crossJoin(F.broadcast(med))  # one row per model key
     return j.withColumns({c: F.coalesce(c, f"med_{c}") for c in cols}).drop(*(f"med_{c}" for c in cols))
 
@@ -44,10 +49,13 @@ def class_weights(df: DataFrame) -> DataFrame:
 
 def folds(df: DataFrame, repeats: int = 10, k: int = 5) -> DataFrame:
     """``repeat, fold``: stratified by label, in an order given by a public arithmetic hash of the id."""
-    r = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    h = F.expr("pmod((sample_id + 1) * (7919 + 104729 * repeat), 1000003)")
-    n = F.row_number().over(Window.partitionBy("repeat", "label").orderBy(h, "sample_id"))
-    return r.withColumn("fold", F.pmod(n - 1, F.lit(k)).cast("int"))
+    r = df.select("sample_id", "label").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    r = r.withColumn("h", F.expr("pmod((sample_id + 1) * (7919 + 104729 * repeat), 1000003)"))
+    # of rows that repeat a sample one gets the place
+    once = r.groupBy("repeat", "label", "sample_id").agg(F.first("h").alias("h"))
+    place = running(once, ["h", "sample_id"], keys=["repeat", "label"])
+    fold = place.select("sample_id", "label", "repeat", F.pmod(F.col("upto") - 1, F.lit(k)).cast("int").alias("fold"))
+    return df.join(fold, ["sample_id", "label"])
 
 
 def probability(cols: list[str], weights: list[float], bias: float):
@@ -66,10 +74,9 @@ def decide(df: DataFrame, cols: list[str], model: list[dict], bias: float, thres
 
 
 def metrics(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """From ``label, prob``: rates, balanced accuracy, balanced log loss, precision, F1, errors and rank AUC."""
+    """From ``label, prob``: rates, balanced accuracy, log losses, precision, F1, errors, R2 and rank AUC."""
     y, hit = F.col("label") == 1, F.col("prob") >= 0.5
-    rank = F.avg("rn").over(Window.partitionBy(*(keys or []), "prob"))
-    r = df.withColumn("rn", F.row_number().over(Window.partitionBy(*(keys or [])).orderBy("prob"))).withColumn("rk", rank) if keys else _global_ranks(df)
+    r = _mid_ranks(df.select(*(keys or []), "label", "prob"), keys)
     pos, neg, tp, fp = F.count_if(y), F.count_if(~y), F.count_if(y & hit), F.count_if(~y & hit)
     tpr, tnr = tp / F.greatest(pos, F.lit(1)), (neg - fp) / F.greatest(neg, F.lit(1))
     ll = lambda c, p: F.coalesce(-F.avg(F.when(c, F.ln(F.greatest(p, F.lit(1e-12))))), F.lit(0.0))
@@ -80,69 +87,86 @@ def metrics(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
         (0.5 * ll(y, p) + 0.5 * ll(~y, 1 - p)).alias("balanced_log_loss"),
         (tp / F.greatest(tp + fp, F.lit(1))).alias("precision"), (2 * tp / F.greatest(2 * tp + fp + pos - tp, F.lit(1))).alias("f1"),
         F.sqrt(F.avg((p - F.col("label")) * (p - F.col("label")))).alias("rmse"), F.when((pos > 0) & (neg > 0), auc).alias("auc"),
+        (-F.avg(F.ln(F.greatest(F.when(y, p).otherwise(1 - p), F.lit(1e-12))))).alias("bce"),
+        F.when(F.var_pop("label") > 0, 1 - F.avg((p - F.col("label")) * (p - F.col("label"))) / F.var_pop("label")).alias("r2"),
     )
 
 
-def _global_ranks(df: DataFrame) -> DataFrame:
-    """Mid-ranks without a window over the whole table: cumulated counts of the distinct scores in ranges."""
-    c = df.groupBy("prob").agg(F.count("*").alias("c")).repartitionByRange("prob").withColumn("part", F.spark_partition_id())
-    c = c.withColumn("inner", F.sum("c").over(Window.partitionBy("part").orderBy("prob")))
-    totals = c.groupBy("part").agg(F.sum("c").alias("t"))
-    base = totals.withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    rk = c.join(F.broadcast(base), "part").select("prob", (F.col("base") + F.col("inner") - (F.col("c") - 1) / 2).alias("rk"))
-    return df.join(rk, "prob")
+def _mid_ranks(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``df`` with ``rk``: the mean rank of equal scores, from running counts of the distinct scores."""
+    keys = keys or []
+    df = materialize(df, "ranks")
+    upto = running(df.groupBy(*keys, "prob").agg(F.count("*").alias("c")), ["prob"], "c", keys)
+    return df.join(upto.select(*keys, "prob", (F.col("upto") - (F.col("c") - 1) / 2).alias("rk")), [*keys, "prob"])
+
+
+def penalty(weights: list[float], lam: float) -> float:
+    """The L2 part of the loss; the bias has none."""
+    return lam * sum(w * w for w in weights)
 
 
-def fit_grouped(df: DataFrame, cols: list[str], keys: list[str], rounds: int = 30, tol: float = 1e-9) -> DataFrame:
-    """``keys, w array<double>`` (bias last) minimising weighted BCE + lam * |w|^2 for each key.
+def fit_grouped(df: DataFrame, cols: list[str], keys: list[str], lams: list[float], rounds: int = 60, tol: float = 1e-9) -> DataFrame:
+    """``lam, keys, w array<double>`` (bias last) minimising weighted BCE + lam * |w|^2 for each key and lambda.
 
-    ``df`` has ``keys``, ``lam``, ``label``, ``cw`` and standardized ``cols``;
-    the number of keys is the size of the model grid, not of the data.
+    ``df`` has ``keys``, ``label``, ``cw`` and standardized ``cols``.  A round is
+    one pass: the models of a key are an array beside each row, and the sums of
+    all of them are grouped at once.  Newton steps are halved while they do not
+    lower the loss; a model that has not settled after ``rounds`` is an error.
+    The number of models is the size of the grid, not of the data.
     """
     spark, n = df.sparkSession, len(cols) + 1
     xs = [*cols, "__one"]
-    df = df.withColumn("__one", F.lit(1.0)).select(*keys, "lam", "label", "cw", *xs).persist()
-    lam = {tuple(r[k] for k in keys): r["lam"] for r in df.select(*keys, "lam").distinct().collect()}
-    w = {k: np.zeros(n) for k in lam}
+    df = materialize(df.withColumn("__one", F.lit(1.0)).select(*keys, "label", "cw", *xs), "fit")
+    groups = [tuple(r) for r in df.select(*keys).distinct().collect()]
+    w = {(lam, *g): np.zeros(n) for lam in lams for g in groups}
+    base, move = {}, {}
     tri = [(i, j) for i in range(n) for j in range(i, n)]
+    schema = df.select(*keys).schema.add("lam", DoubleType()).add("w", ArrayType(DoubleType()))
     for _ in range(rounds):
-        now = spark.createDataFrame([(*k, v.tolist()) for k, v in w.items()], df.select(*keys).schema.add("w", ArrayType(DoubleType())))
+        live = [m for m in w if m not in base or move[m] is not None]
+        if not live:
+            break
+        tried = {m: w[m] - move[m] if m in base else w[m] for m in live}
+        now = spark.createDataFrame([(*m[1:], m[0], tried[m].tolist()) for m in live], schema)
         j = df.join(F.broadcast(now), keys)
-        p = 1 / (1 + F.exp(-reduce(lambda a, b: a + b, (F.col(c) * F.col("w")[i] for i, c in enumerate(xs)))))
-        j = j.withColumn("p", p).withColumn("g", F.col("cw") * (F.col("p") - F.col("label"))).withColumn("q", F.col("cw") * F.col("p") * (1 - F.col("p")))
+        j = j.withColumn("s", reduce(lambda a, b: a + b, (F.col(c) * F.col("w")[i] for i, c in enumerate(xs))))
+        j = j.withColumn("p", 1 / (1 + F.exp(-F.col("s")))).withColumn("g", F.col("cw") * (F.col("p") - F.col("label"))).withColumn("q", F.col("cw") * F.col("p") * (1 - F.col("p")))
+        # log(1 + exp(s)) without overflow
+        loss = F.col("cw") * (F.greatest("s", F.lit(0.0)) + F.log1p(F.exp(-F.abs("s"))) - F.col("label") * F.col("s"))
         sums = [F.sum(F.col("g") * F.col(c)).alias(f"g{i}") for i, c in enumerate(xs)] + [F.sum(F.col("q") * F.col(xs[a]) * F.col(xs[b])).alias(f"h{a}_{b}") for a, b in tri]
-        most = 0.0
-        for r in j.groupBy(*keys).agg(F.sum("cw").alias("s"), *sums).collect():
-            k = tuple(r[c] for c in keys)
-            pull = 2 * lam[k] * np.append(np.ones(n - 1), 0.0)
-            g = np.array([r[f"g{i}"] for i in range(n)]) / r["s"] + pull * w[k]
+        for r in j.groupBy("lam", *keys).agg(F.sum("cw").alias("sw"), F.sum(loss).alias("loss"), *sums).collect():
+            m = (r["lam"], *(r[c] for c in keys))
+            value = r["loss"] / r["sw"] + penalty(tried[m][:-1], m[0])
+            if m in base and not value <= base[m] + 1e-12:
+                move[m] = move[m] / 2
+                continue
+            w[m], base[m] = tried[m], value
+            pull = 2 * m[0] * np.append(np.ones(n - 1), 0.0)
+            g = np.array([r[f"g{i}"] for i in range(n)]) / r["sw"] + pull * w[m]
             h = np.zeros((n, n))
             for a, b in tri:
-                h[a, b] = h[b, a] = r[f"h{a}_{b}"] / r["s"]
+                h[a, b] = h[b, a] = r[f"h{a}_{b}"] / r["sw"]
             step = np.linalg.solve(h + np.diag(pull) + 1e-12 * np.eye(n), g)
-            w[k] = w[k] - step
-            most = max(most, float(np.abs(step).max()))
-        if most < tol:
-            break
-    df.unpersist()
-    return spark.createDataFrame([(*k, v.tolist()) for k, v in w.items()], df.select(*keys).schema.add("w", ArrayType(DoubleType())))
+            move[m] = step if float(np.abs(step).max()) >= tol else None
+    open_ = [m for m in w if m not in base or move[m] is not None]
+    if open_:
+        raise ValueError(f"{len(open_)} of {len(w)} models have not settled after {rounds} rounds")
+    return spark.createDataFrame([(m[0], *m[1:], v.tolist()) for m, v in w.items()], "lam double, " + ", ".join(f"{c} {t}" for c, t in df.select(*keys).dtypes) + ", w array<double>")
 
 
 def cross_validate(df: DataFrame, cols: list[str], lambdas: list[float] = LAMBDAS, repeats: int = 10, k: int = 5) -> DataFrame:
-    """``lam, repeat, fold`` and metrics: imputing, scaling and weights refitted on each training part."""
-    spark = df.sparkSession
-    f = folds(df, repeats, k).withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    """``lam, repeat, out`` and metrics: imputing, scaling and weights refitted on each training part."""
+    f = folds(clean_nan(df, cols), repeats, k).withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    f = materialize(f.select("repeat", "out", "fold", "label", *cols), "folds")
     keys = ["repeat", "out"]
     train = F.col("fold") != F.col("out")
-    med = f.filter(train).groupBy(*keys).agg(*(F.percentile(c, F.lit(0.5)).alias(f"med_{c}") for c in cols), F.avg("label").alias("p"))
+    med = medians(f.filter(train), cols, keys).join(F.broadcast(f.filter(train).groupBy(*keys).agg(F.avg("label").alias("p"))), keys)
     filled = f.join(F.broadcast(med), keys).withColumns({c: F.coalesce(c, f"med_{c}") for c in cols})
     st = filled.filter(train).groupBy(*keys).agg(*(F.avg(c).alias(f"mu_{c}") for c in cols), *((F.stddev_pop(c) + 1e-9).alias(f"sd_{c}") for c in cols))
     z = filled.join(F.broadcast(st), keys).withColumns({c: (F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}") for c in cols})
-    z = z.withColumn("cw", F.when(F.col("label") == 1, 0.5 / F.col("p")).otherwise(0.5 / (1 - F.col("p")))).select(*keys, "fold", "label", "cw", *cols)
-    grid = spark.createDataFrame([(x,) for x in lambdas], "lam double")
-    z = z.crossJoin(F.broadcast(grid)).persist()
-    w = fit_grouped(z.filter(train).withColumn("key_lam", F.col("lam")), cols, ["key_lam", *keys])
-    held = z.filter(~train).join(F.broadcast(w.withColumnRenamed("key_lam", "lam")), ["lam", *keys])
+    z = materialize(z.withColumn("cw", F.when(F.col("label") == 1, 0.5 / F.col("p")).otherwise(0.5 / (1 - F.col("p")))).select(*keys, "fold", "label", "cw", *cols), "folds")
+    w = fit_grouped(z.filter(train), cols, keys, list(lambdas))
+    held = z.filter(~train).join(F.broadcast(w), keys)
     s = reduce(lambda a, b: a + b, (F.col(c) * F.col("w")[i] for i, c in enumerate(cols)), F.col("w")[len(cols)])
     return metrics(held.withColumn("prob", 1 / (1 + F.exp(-s))), ["lam", *keys])
 
@@ -164,14 +188,15 @@ def train_model(df: DataFrame, cols: list[str], lambdas: list[float] = LAMBDAS,
     """One-row model record: counts, lambda, bias, features with medians, means, deviations, weights, metrics."""
     spark = df.sparkSession
     lam, means = select_lambda(cross_validate(df, cols, lambdas, repeats, k))
-    row = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"med_{c}") for c in cols), F.count("*").alias("n"), F.sum("label").alias("pos")).first()
+    df = clean_nan(df, cols)
+    row = medians(df, cols).crossJoin(df.agg(F.count("*").alias("n"), F.sum("label").alias("pos"))).first()
     filled = df.withColumns({c: F.coalesce(c, F.lit(row[f"med_{c}"])) for c in cols})
     st = filled.agg(*(F.avg(c).alias(f"mu_{c}") for c in cols), *((F.stddev_pop(c) + 1e-9).alias(f"sd_{c}") for c in cols)).first()
-    z = class_weights(standardize(filled, cols)).withColumn("lam", F.lit(lam)).withColumn("all", F.lit(0))
-    w = fit_grouped(z, cols, ["all"]).first()["w"]
-    final = metrics(z.withColumn("prob", probability(cols, w[:-1], w[-1]))).first().asDict()
+    z = class_weights(standardize(filled, cols)).withColumn("all", F.lit(0))
+    w = fit_grouped(z, cols, ["all"], [lam]).first()["w"]
+    final = metrics(z.withColumn("prob", probability(cols, w[:-1], w[-1]))).first().asDict() | {"l2_penalty": penalty(w[:-1], lam)}
     cv = means.filter(F.col("lam") == lam).first().asDict()
-    feats = [(i, c, c, float(row[f"med_{c}"]), float(st[f"mu_{c}"]), float(st[f"sd_{c}"]), float(w[i])) for i, c in enumerate(cols)]
+    feats = [(i + 1, c, c, float(row[f"med_{c}"]), float(st[f"mu_{c}"]), float(st[f"sd_{c}"]), float(w[i])) for i, c in enumerate(cols)]
     sources = {r["source"]: r["count"] for r in df.groupBy("source").count().orderBy("source").collect()} if "source" in df.columns else {}
     schema = "dataset struct<handwritten:bigint,formal:bigint,total:bigint,sources:map<string,bigint>>, model string, loss string, selected_lambda double, selection_rule string, decision_threshold double, bias double, features array<struct<index:int,name:string,key:string,median_for_missing:double,mean:double,std:double,weight:double>>, final_training_metrics map<string,double>, cross_validation_at_selected_lambda map<string,double>"
     num = lambda d: {a: float(b) for a, b in d.items() if b is not None}

@@ -2,9 +2,10 @@ import json
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from rasterlake.operators import frames as FR, learn as M
+from rasterlake.operators import frames as FR, learn as M, ranks
 from rasterlake.sources import sinks, views as V
 from rasterlake.streaming.frames import smooth
 
@@ -45,7 +46,7 @@ def samples(spark, n=80):
 
 def test_fit_reaches_the_optimum(spark):
     z = M.class_weights(M.standardize(M.impute(samples(spark), ["f1", "f2"]), ["f1", "f2"]))
-    w = np.array(M.fit_grouped(z.withColumn("lam", F.lit(0.03)).withColumn("k", F.lit(0)), ["f1", "f2"], ["k"]).first()["w"])
+    w = np.array(M.fit_grouped(z.withColumn("k", F.lit(0)), ["f1", "f2"], ["k"], [0.03]).first()["w"])
     r = z.toPandas()
     x, y, cw = np.c_[r[["f1", "f2"]].to_numpy(), np.ones(len(r))], r.label.to_numpy(), r.cw.to_numpy()
     g = x.T @ (cw * (1 / (1 + np.exp(-x @ w)) - y)) / cw.sum() + 2 * 0.03 * np.append(w[:2], 0)
@@ -69,8 +70,68 @@ def test_model_record_round_trip_scores_alike(spark, tmp_path):
     assert json.loads(model.toJSON().first())["dataset"]["total"] == 80
 
 
-def test_too_few_samples_stop(spark):
-    import pytest
+def test_a_fit_that_does_not_settle_is_an_error(spark):
+    z = M.class_weights(M.standardize(M.impute(samples(spark), ["f1", "f2"]), ["f1", "f2"])).withColumn("k", F.lit(0))
+    with pytest.raises(ValueError, match="not settled"):
+        M.fit_grouped(z, ["f1", "f2"], ["k"], [0.03], rounds=2)
+
+
+def test_steps_are_halved_on_far_data(spark):
+    rows = [(i, 1 if i > 6 else 0, 0.5, 40.0 * (i - 6) + (90 if i == 3 else 0)) for i in range(14)]
+    z = spark.createDataFrame(rows, "k int, label int, cw double, f double").withColumn("k", F.lit(0))
+    w = np.array(M.fit_grouped(z, ["f"], ["k"], [1e-4]).first()["w"])
+    x, y = np.array([[r[3], 1.0] for r in rows]), np.array([r[1] for r in rows])
+    g = x.T @ (1 / (1 + np.exp(-x @ w)) - y) / len(rows) + 2e-4 * np.append(w[:1], 0)
+    assert np.abs(g).max() < 1e-6
+
 
+def test_features_that_are_not_finite_are_imputed(spark):
+    rows = [(0, float("nan")), (1, 1.0), (2, 5.0), (3, float("inf")), (4, 3.0), (5, None)]
+    got = {r.sample_id: r.f for r in M.impute(spark.createDataFrame(rows, "sample_id bigint, f double"), ["f"]).collect()}
+    assert got == {0: 3.0, 1: 1.0, 2: 5.0, 3: 3.0, 4: 3.0, 5: 3.0}
+
+
+def test_running_counts_and_medians_equal_plain_ones(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(k), float(v), int(i)) for i, (k, v) in enumerate(zip(r.choice([0, 0, 0, 1, 2], 300), r.integers(0, 40, 300)))] + [(None, 2.0, 900), (3, None, 901)]
+    df = spark.createDataFrame(rows, "k int, v double, i int").repartition(7)
+    upto = {x.i: x.upto for x in ranks.running(df, ["v", "i"], keys=["k"]).collect()}
+    for k, v, i in rows:
+        mine = sorted((b is not None, b or 0, j) for a, b, j in rows if a == k)
+        assert upto[i] == mine.index((v is not None, v or 0, i)) + 1
+    got = {x.k: x.med_v for x in ranks.medians(df.filter("k is not null"), ["v"], ["k"]).collect()}
+    assert got == {k: (float(np.median([b for a, b, _ in rows if a == k])) if k < 3 else None) for k in range(4)}
+    assert ranks.medians(df, ["v"]).first().med_v == np.median([v for _, v, _ in rows if v is not None])
+    assert ranks.medians(df.filter("i < 0"), ["v"]).first().med_v is None
+
+
+def test_frame_rate_over_many_days_equals_a_plain_loop(spark):
+    r = np.random.default_rng(2)
+    at = [datetime(2024, 1, 1) + timedelta(hours=float(h)) for h in np.cumsum(r.exponential(9, 80))]
+    df = spark.createDataFrame([(1, i, t, "", True) for i, t in enumerate(at)] + [(2, 0, at[0], "", True)], SCHEMA)
+    want = 0.0
+    for a, b in zip(at, at[1:]):
+        want = 0.9 * want + 0.1 / (b - a).total_seconds()
+    got = {x.camera_id: x.fps for x in FR.frame_rate(df).collect()}
+    assert set(got) == {1} and abs(got[1] - want) < 1e-12
+
+
+def test_models_are_preferred_in_order_and_checked(spark):
+    def record(bias, n):
+        feats = [(i, f"f{i}", 1.0) for i in range(n, 0, -1)]
+        return spark.createDataFrame([(bias, feats)], "bias double, features array<struct<index:int,name:string,weight:double>>")
+
+    feats, bias, threshold = V.model_parameters(V.preferred_model([None, record(2.0, 8), record(3.0, 8)]), 8)
+    assert (bias, threshold) == (2.0, 0.5) and [f["index"] for f in feats] == list(range(1, 9))
+    with pytest.raises(ValueError):
+        V.model_parameters(record(1.0, 7), 8)
+
+
+def test_best_epoch_is_the_first_of_the_best(spark):
+    log = spark.createDataFrame([(1, 0.8), (2, 0.9), (3, 0.85), (4, 0.9)], "epoch int, accuracy double")
+    assert tuple(V.best_epoch(log).first()) == (2, 0.9)
+
+
+def test_too_few_samples_stop(spark):
     with pytest.raises(ValueError):
         M.enough_samples(samples(spark, 8), "p")
