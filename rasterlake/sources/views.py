@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
@@ -16,10 +18,10 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("image_id", F.expr("cast(p div 8 as int)").alias("y"), (F.col("p") % 8).alias("x"), v.alias("v"))
 
 
-def text_ink(spark: SparkSession, sf_dir: str, every: int = 7) -> DataFrame:
-    """``ink(image_id, y, x)``: 64-wide raster of each whole text; ink where the code point is a multiple of ``every``."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "")).alias("p", "ch")).filter("ch <> ''")
-    return d.filter(F.expr(f"ascii(ch) % {every} = 0")).select("image_id", F.expr("cast(p div 64 as int)").alias("y"), F.expr("cast(p % 64 as int)").alias("x"))
+def text_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ink(image_id, y, x)``: 64-wide raster of each whole text; every character that is no blank is ink."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "")).alias("p", "ch"))
+    return d.filter(F.ascii("ch") > 32).select("image_id", F.expr("cast(p div 64 as int)").alias("y"), F.expr("cast(p % 64 as int)").alias("x"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,31 +36,58 @@ SAMPLE_FEATURES = ["f1", "f2", "f3", "f4"]
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``samples(sample_id, source, label, f1..f4)``: statistics of labelled texts, null where not computable."""
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").filter("text is not null and quality is not null")
+    d = read(spark, sf_dir, "documents").filter("text is not null")
     n = F.length("text").cast("double")
     words = (F.length("text") - F.length(F.translate("text", " ", "")) + 1).cast("double")
     lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("double")
-    return d.select(
-        F.col("doc_id").alias("sample_id"), "source", F.col("quality").alias("label"),
+    # four numbers a document, not its text, meet the labels
+    d = d.select(
+        "doc_id", "source",
         F.log(n + 1).alias("f1"),
         F.when(words >= 2, n / words).alias("f2"),
         F.when(lines >= 2, F.log(n / lines)).alias("f3"),
         (F.length(F.translate("text", ".,", "")).cast("double") / (n + 1)).alias("f4"),
     )
+    j = d.join(read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").filter("label is not null")
+    return j.select(F.col("doc_id").alias("sample_id"), "source", "label", *SAMPLE_FEATURES)
 
 
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``scores(item_id, label, class, logit)``: dot product of each embedding with each label's mean vector."""
-    e = read(spark, sf_dir, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("item_id"), "label", F.posexplode("embedding").alias("p", "e"))
-    e = e.filter("e is not null and label is not null").withColumn("e", F.col("e").cast("double"))
-    means = e.groupBy(F.col("label").alias("class"), "p").agg(F.avg("e").alias("m"))  # classes x dimensions rows
-    return e.join(means, "p").groupBy("item_id", "label", "class").agg((F.sum(F.col("e") * F.col("m")) * 10).alias("logit"))
+    """``scores(item_id, label, class, logit)``: dot product of each embedding with each label's mean vector.
+
+    The mean vectors, one array a class, are broadcast; null entries count nothing.
+    """
+    e = read(spark, sf_dir, "embeddings").filter("embedding is not null and label is not null and exists(embedding, v -> v is not null)")
+    e = e.select(F.col("vec_id").alias("item_id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+    cell = e.select("label", F.posexplode("e").alias("p", "v")).filter("v is not null").groupBy(F.col("label").alias("class"), "p").agg(F.avg("v").alias("m"))
+    means = cell.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("p", "m"))).alias("at"), F.max("p").alias("top"))  # one row a class
+    means = means.select("class", F.expr("transform(sequence(0, top), i -> coalesce(at[i], 0D))").alias("m"))
+    dot = F.aggregate(F.zip_with("e", "m", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+    return e.crossJoin(F.broadcast(means)).select("item_id", "label", "class", (dot * 10).alias("logit"))
+
+
+def preferred_model(candidates: list[DataFrame | None]) -> DataFrame:
+    """The first one-row model record that there is: given, retrained, original."""
+    there = [m.withColumn("__rank", F.lit(i)) for i, m in enumerate(candidates) if m is not None]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), there)
+    return every.orderBy("__rank").limit(1).drop("__rank")
+
+
+def model_parameters(df: DataFrame, count: int | None = None) -> tuple[list[dict], float, float]:
+    """Features by index, bias and threshold (0.5 if absent) of a one-row model record.
+
+    ``count`` is the number of features that the record must have.
+    """
+    threshold = F.coalesce("decision_threshold", F.lit(0.5)) if "decision_threshold" in df.columns else F.lit(0.5)
+    row = df.select(F.expr("array_sort(features, (a, b) -> cast(a.index - b.index as int))").alias("f"), "bias", threshold.alias("t")).first()
+    if count is not None and len(row["f"]) != count:
+        raise ValueError(f"the record has {len(row['f'])} features, {count} are needed")
+    return [r.asDict() for r in row["f"]], float(row["bias"]), float(row["t"])
 
 
-def model_parameters(df: DataFrame) -> tuple[list[dict], float, float]:
-    """Features by index, bias and threshold (0.5 if absent) of a one-row model record."""
-    row = df.select(F.expr("array_sort(features, (a, b) -> cast(a.index - b.index as int))").alias("f"), "bias", F.coalesce("decision_threshold", F.lit(0.5)).alias("t")).first()
-    return [r.asDict() for r in row["f"]], float(row["bias"]), float(row["t"])
+def best_epoch(log: DataFrame) -> DataFrame:
+    """``epoch, best``: the first epoch of the highest validation accuracy of ``log(epoch, accuracy)``."""
+    return log.agg(F.max_by("epoch", F.struct("accuracy", -F.col("epoch"))).alias("epoch"), F.max("accuracy").alias("best"))
 
 
 def source_health(fr: DataFrame, reads: int = 15, dark: float = 10.0) -> DataFrame:
