@@ -1,8 +1,10 @@
 """Sparse ink: runs, connected components and their cleaning.
 
-``ink(image_id, y, x)`` holds ink pixels only.  A component's label is the
-smallest raster index ``y * W + x`` of its pixels with ``W`` = 2**16, so image
-ids below 2**31 and sides below 2**16 are needed.
+``ink(image_id, y, x)`` holds ink pixels only; repeated pixels count once, and
+an empty table gives empty tables.  A component's label is the smallest raster
+index ``y * W + x`` of its pixels with ``W`` = 2**16, so images may be of any
+height and up to 2**16 wide.  Runs get ids of their own when they are written,
+so image ids may be any whole numbers.
 """
 
 from __future__ import annotations
@@ -12,16 +14,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rasterlake.operators.graph import connected_components
 from rasterlake.session import materialize
 
-SIDE, NODE = 1 << 16, 1 << 32
+SIDE = 1 << 16
 
 
 def runs(ink: DataFrame) -> DataFrame:
-    """``runs(image_id, y, x0, x1, run_id)``: maximal rows of neighbouring ink pixels."""
+    """``runs(image_id, y, x0, x1)``: maximal rows of neighbouring ink pixels."""
     w = Window.partitionBy("image_id", "y").orderBy("x")
-    island = ink.distinct().withColumn("g", F.col("x") - F.row_number().over(w))
-    r = island.groupBy("image_id", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    node = F.col("image_id").cast("bigint") * NODE + F.col("y").cast("bigint") * SIDE + F.col("x0")
-    return r.select("image_id", "y", "x0", "x1", node.alias("run_id"))
+    island = ink.select("image_id", "y", "x").distinct().withColumn("g", F.col("x") - F.row_number().over(w))
+    return island.groupBy("image_id", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("g")
 
 
 def adjacency(r: DataFrame, eight: bool = True) -> DataFrame:
@@ -34,10 +34,12 @@ def adjacency(r: DataFrame, eight: bool = True) -> DataFrame:
 
 def label_runs(ink: DataFrame, eight: bool = True) -> DataFrame:
     """``runs`` with ``label``."""
-    r = materialize(runs(ink), "runs")
-    c = connected_components(adjacency(r, eight)).withColumnRenamed("node", "run_id")
-    label = F.coalesce("component", "run_id") % NODE
-    return r.join(c, "run_id", "left").select("image_id", "y", "x0", "x1", label.alias("label"))
+    r = materialize(runs(ink).withColumn("run_id", F.monotonically_increasing_id()), "runs")
+    c = materialize(connected_components(adjacency(r, eight)).withColumnRenamed("node", "run_id"), "runs")
+    at = F.col("y").cast("bigint") * SIDE + F.col("x0")
+    held = r.join(c, "run_id", "left").select("image_id", "y", "x0", "x1", at.alias("at"), F.coalesce("component", "run_id").alias("component"))
+    first = held.groupBy("component").agg(F.min("at").alias("label"))
+    return held.join(first, "component").select("image_id", "y", "x0", "x1", "label")
 
 
 def components(labelled: DataFrame) -> DataFrame:

@@ -67,11 +67,41 @@ def median_blur(px: DataFrame) -> DataFrame:
     return row.withColumn("v", F.sort_array(F.flatten(F.array(*(_shifted("a", columns_of(), k, False, "y") for k in range(-2, 3)))))[12]).drop("a")
 
 
-def adaptive_threshold(px: DataFrame, block: int = 15, sensitivity: float = 5.0) -> DataFrame:
-    """``ink``: pixels above the local Gaussian mean by more than ``sensitivity`` (replicating borders)."""
+def gaussian_kernel(block: int) -> list[float]:
+    """Normalised Gaussian weights of an odd window; the deviation follows from its size."""
     sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
     w = [math.exp(-((i - block // 2) ** 2) / (2 * sigma * sigma)) for i in range(block)]
-    mean = separable(px.withColumn("v0", F.col("v")), [x / sum(w) for x in w], reflect=False)
+    return [x / sum(w) for x in w]
+
+
+def _weighted_lines(px: DataFrame, along: str, across: str) -> DataFrame:
+    """``v`` as the weighted sum along one axis, replicating borders, by each row's array ``k``.
+
+    A line of one image is one array, so a window of any width costs no rows.
+    """
+    rest = [c for c in px.columns if c not in ("image_id", along, across, "k", "v")]
+    line = px.groupBy("image_id", across).agg(F.sort_array(F.collect_list(F.struct(along, "v", *rest))).alias("a"), F.first("k").alias("k"))
+    near = "element_at(a, cast(greatest(1, least(size(a), i + j + 1 - size(k) div 2)) as int)).v"
+    sums = F.expr(f"transform(sequence(0, size(a) - 1), i -> aggregate(sequence(0, size(k) - 1), 0D, (s, j) -> s + k[j] * {near}))")
+    out = line.withColumn("s", sums).select("image_id", across, "k", F.explode(F.arrays_zip("a", "s")).alias("z"))
+    return out.select("image_id", F.col(f"z.a.{along}").alias(along), across, "k", F.col("z.s").alias("v"), *(F.col(f"z.a.{c}").alias(c) for c in rest))
+
+
+def adaptive_threshold(px: DataFrame, block: int | None = 15, sensitivity: float = 5.0) -> DataFrame:
+    """``ink``: pixels above the local Gaussian mean by more than ``sensitivity`` (replicating borders).
+
+    Without ``block`` every image has its own, ``block_size`` of its sides.
+    """
+    if block is not None:
+        mean = separable(px.withColumn("v0", F.col("v")), gaussian_kernel(block), reflect=False)
+        return mean.filter(F.col("v0") > F.col("v") + sensitivity).select("image_id", "y", "x")
+    d = "(i - b div 2)"
+    sigma = "(0.3D * ((b - 1) * 0.5D - 1) + 0.8D)"
+    raw = F.expr(f"transform(sequence(0, b - 1), i -> exp(-{d} * {d} / (2 * {sigma} * {sigma})))")
+    kernel = shape(px).select("image_id", block_size(F.col("h"), F.col("w")).alias("b")).withColumn("r", raw)
+    kernel = kernel.select("image_id", F.expr("transform(r, x -> x / aggregate(r, 0D, (s, y) -> s + y))").alias("k"))
+    keyed = px.select("image_id", "y", "x", F.col("v").cast("double").alias("v"), F.col("v").alias("v0")).join(kernel, "image_id")
+    mean = _weighted_lines(_weighted_lines(keyed, "x", "y"), "y", "x")
     return mean.filter(F.col("v0") > F.col("v") + sensitivity).select("image_id", "y", "x")
 
 
@@ -134,17 +164,21 @@ def sobel(px: DataFrame) -> DataFrame:
     return gx.join(separable(px, a, kernel_y=b).withColumnRenamed("v", "gy"), ["image_id", "y", "x"])
 
 
-def polarity(px: DataFrame, qs: tuple[float, float, float] = (0.005, 0.5, 0.995)) -> DataFrame:
+#: Percentiles that tell ink from paper: when finding glyphs, and when measuring shapes.
+GLYPH_POLARITY, SHAPE_POLARITY = (0.005, 0.5, 0.995), (0.01, 0.5, 0.99)
+
+
+def polarity(px: DataFrame, qs: tuple[float, float, float] = GLYPH_POLARITY) -> DataFrame:
     """``image_id, dark``: whether ink is darker than paper, from percentiles of the blurred raster."""
     p = percentiles(gaussian_blur(px), list(qs))
     return p.select("image_id", ((F.col("q1") - F.col("q0")) > (F.col("q2") - F.col("q1"))).alias("dark"))
 
 
-def to_bright_ink(px: DataFrame, kind: str = "auto") -> DataFrame:
-    """Dark ink inverted; ``kind`` is dark, light or auto."""
+def to_bright_ink(px: DataFrame, kind: str = "auto", qs: tuple[float, float, float] = GLYPH_POLARITY) -> DataFrame:
+    """Dark ink inverted; ``kind`` is dark, light or auto (by ``polarity``)."""
     if kind != "auto":
         return px.withColumn("v", 255 - F.col("v")) if kind == "dark" else px
-    return px.join(polarity(px), "image_id").withColumn("v", F.when(F.col("dark"), 255 - F.col("v")).otherwise(F.col("v"))).drop("dark")
+    return px.join(polarity(px, qs), "image_id").withColumn("v", F.when(F.col("dark"), 255 - F.col("v")).otherwise(F.col("v"))).drop("dark")
 
 
 def otsu(px: DataFrame) -> DataFrame:
@@ -193,9 +227,10 @@ def rotate(px: DataFrame, angle: int, sizes: DataFrame | None = None) -> DataFra
     """Clockwise rotation by 90, 180 or 270 degrees; other angles change nothing."""
     if angle not in (90, 180, 270):
         return px
-    j = px.join(shape(px) if sizes is None else sizes, "image_id")
-    x, y = {90: ("h - 1 - y", "x"), 180: ("w - 1 - x", "h - 1 - y"), 270: ("y", "w - 1 - x")}[angle]
-    return j.withColumn("nx", F.expr(x)).withColumn("ny", F.expr(y)).drop("x", "y", "h", "w").withColumnsRenamed({"nx": "x", "ny": "y"})
+    s = (shape(px) if sizes is None else sizes).select("image_id", F.col("h").alias("__h"), F.col("w").alias("__w"))
+    x, y = {90: ("__h - 1 - y", "x"), 180: ("__w - 1 - x", "__h - 1 - y"), 270: ("y", "__w - 1 - x")}[angle]
+    turned = px.join(s, "image_id").withColumns({"x": F.expr(x), "y": F.expr(y)})
+    return turned.drop("__h", "__w")
 
 
 def pad(px: DataFrame, margin: int, value: Column | int) -> DataFrame:
@@ -206,16 +241,57 @@ def pad(px: DataFrame, margin: int, value: Column | int) -> DataFrame:
     return inner.unionByName(border.withColumn("v", F.lit(value) if isinstance(value, int) else value))
 
 
+def pad_half(px: DataFrame, q: float) -> DataFrame:
+    """Half the height added on every side, filled with the image's percentile ``q``, truncated."""
+    s = px.groupBy("image_id").agg(F.percentile("v", F.lit(q)).cast("int").alias("fill"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")).withColumn("m", F.expr("cast(h div 2 as int)"))
+    grid = s.withColumn("y", F.explode(F.expr("sequence(0, h + 2 * m - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, w + 2 * m - 1)")))
+    border = grid.filter("y < m or y >= h + m or x < m or x >= w + m").select("image_id", "y", "x", F.col("fill").alias("v"))
+    inner = px.join(s.select("image_id", "m"), "image_id").select("image_id", F.expr("y + m").alias("y"), F.expr("x + m").alias("x"), "v")
+    return inner.unionByName(border)
+
+
+#: Source places and weights of an output place ``o`` when ``n`` places become ``m``.
+TAPS = {
+    "linear": "transform(sequence(0, 1), j -> struct(cast(greatest(0, least(n - 1, floor(s) + j)) as int) as i, case j when 1 then s - floor(s) else 1 - (s - floor(s)) end as k))",
+    "cubic": "transform(transform(sequence(-1, 2), j -> struct(j, abs(j - (s - floor(s))) as t)), q -> struct(cast(greatest(0, least(n - 1, floor(s) + q.j)) as int) as i, "
+    "case when q.t <= 1 then (1.25D * q.t - 2.25D) * q.t * q.t + 1 else ((-0.75D * q.t + 3.75D) * q.t - 6D) * q.t + 3D end as k))",
+    "area": "transform(sequence(cast(floor(lo) as int), cast(least(n, ceil(hi - 1e-9D)) as int) - 1), j -> struct(j as i, (least(hi, j + 1D) - greatest(lo, cast(j as double))) * m / n as k))",
+}
+
+
+def _axis(sizes: DataFrame, old: str, new: str, at: str) -> DataFrame:
+    """``image_id, at, o, k``: weights of the source places of each output place along one axis."""
+    o = sizes.select("image_id", "method", F.col(old).cast("int").alias("n"), F.col(new).cast("int").alias("m")).withColumn("o", F.explode(F.expr("sequence(0, m - 1)")))
+    o = o.withColumns({"s": F.expr("(o + 0.5D) * n / m - 0.5D"), "lo": F.expr("o * cast(n as double) / m"), "hi": F.expr("(o + 1) * cast(n as double) / m")})
+    pick = F.expr(f"case method when 'linear' then {TAPS['linear']} when 'cubic' then {TAPS['cubic']} else {TAPS['area']} end")
+    return o.select("image_id", "o", F.explode(pick).alias("t")).select("image_id", "o", F.col("t.i").alias(at), F.col("t.k").alias("k"))
+
+
+def resize(px: DataFrame, sizes: DataFrame, method: str | None = None) -> DataFrame:
+    """Each image from ``h`` x ``w`` to ``nh`` x ``nw`` of ``sizes(image_id, h, w, nh, nw)``.
+
+    ``method`` is linear or cubic (centre-aligned, replicating borders) or area
+    (overlap-weighted mean); without it each row of ``sizes`` names its own.
+    The pass over the rows comes first, then that over the columns.
+    """
+    s = sizes if method is None else sizes.withColumn("method", F.lit(method))
+    down = px.join(_axis(s, "h", "nh", "y"), ["image_id", "y"]).groupBy("image_id", F.col("o").alias("y"), "x").agg(F.sum(F.col("k") * F.col("v")).alias("v"))
+    return down.join(_axis(s, "w", "nw", "x"), ["image_id", "x"]).groupBy("image_id", "y", F.col("o").alias("x")).agg(F.sum(F.col("k") * F.col("v")).alias("v"))
+
+
 def resize_linear(px: DataFrame, factor: float) -> DataFrame:
     """Bilinear resize by one factor, centre-aligned, replicating borders."""
-    s = shape(px)
-    nh, nw = F.greatest(F.lit(1), F.bround(F.col("h") * factor).cast("int")), F.greatest(F.lit(1), F.bround(F.col("w") * factor).cast("int"))
-    g = s.withColumn("nh", nh).withColumn("nw", nw).withColumn("oy", F.explode(F.expr("sequence(0, nh - 1)"))).withColumn("ox", F.explode(F.expr("sequence(0, nw - 1)")))
-    g = g.withColumn("sy", F.expr("(oy + 0.5D) * h / nh - 0.5D")).withColumn("sx", F.expr("(ox + 0.5D) * w / nw - 0.5D"))
-    four = F.explode(F.expr("array(struct(0 as dy, 0 as dx), struct(0 as dy, 1 as dx), struct(1 as dy, 0 as dx), struct(1 as dy, 1 as dx))"))
-    g = g.withColumn("c", four).withColumn("k", F.expr("(case c.dy when 1 then sy - floor(sy) else 1 - (sy - floor(sy)) end) * (case c.dx when 1 then sx - floor(sx) else 1 - (sx - floor(sx)) end)"))
-    g = g.withColumn("y", F.expr("cast(greatest(0, least(h - 1, floor(sy) + c.dy)) as int)")).withColumn("x", F.expr("cast(greatest(0, least(w - 1, floor(sx) + c.dx)) as int)"))
-    return g.join(px, ["image_id", "y", "x"]).groupBy("image_id", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("k") * F.col("v")).alias("v"))
+    new = lambda c: F.greatest(F.lit(1), F.bround(F.col(c) * factor).cast("int"))
+    return resize(px, shape(px).withColumns({"nh": new("h"), "nw": new("w")}), "linear")
+
+
+def shrink_to(px: DataFrame, height: int = 360) -> DataFrame:
+    """Images above ``height`` scaled down to it by area means, rounded; the others as they are."""
+    f = F.least(F.lit(1.0), height / F.col("h"))
+    new = lambda c: F.greatest(F.lit(1), F.bround(F.col(c) * f).cast("int"))
+    s = shape(px).withColumns({"nh": new("h"), "nw": new("w")})
+    tall = resize(px, s.filter(F.col("h") > height), "area").withColumn("v", F.rint("v").cast("int"))
+    return px.select("image_id", "y", "x", F.col("v").cast("int").alias("v")).join(s.filter(F.col("h") <= height).select("image_id"), "image_id", "left_semi").unionByName(tall)
 
 
 def resize_area(px: DataFrame, factor: int) -> DataFrame:

@@ -88,7 +88,7 @@ def skeleton(ink: DataFrame) -> DataFrame:
 
 
 def contours(px: DataFrame) -> DataFrame:
-    """``image_id, label, k, y, x``: outer contour pixels of each component in clockwise order.
+    """``image_id, label, k, y, x``: outer contour pixels of each component, counter-clockwise from the first in raster order.
 
     Sides of pixels against the background are directed edges with the ink to
     their right; the next edge is found by a join, and its place from the start
@@ -122,7 +122,9 @@ def contours(px: DataFrame) -> DataFrame:
     full = last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     step = step.withColumn("k", F.row_number().over(last) - 1).withColumn("end", F.max("k").over(total))
     back = (F.col("k") == F.col("end")) & (F.col("k") > 0) & (F.col("y") == F.first("y").over(full)) & (F.col("x") == F.first("x").over(full))
-    return step.withColumn("back", back).filter("not back").select("image_id", "label", "k", "y", "x")  # the way ends where it began
+    once = step.withColumn("back", back).filter("not back")  # the way ends where it began
+    turned = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.max("k").over(total) + 1 - F.col("k"))
+    return once.withColumn("k", turned).select("image_id", "label", "k", "y", "x")
 
 
 # ---- features: one row per image, null where not computable ---------------
@@ -138,8 +140,9 @@ def stroke_width_var(ink: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def spacing_dev(boxes: DataFrame) -> DataFrame:
-    """Variation of the gaps between neighbouring boxes ``(image_id, x, y, w, h)``."""
-    gap = F.greatest(F.lead("x").over(Window.partitionBy("image_id").orderBy("x", "y", "w", "h")) - (F.col("x") + F.col("w")), F.lit(0))
+    """Variation of the gaps between neighbouring boxes ``(image_id, x, y, w, h)``; n boxes have n - 1 gaps."""
+    after = F.lead("x").over(Window.partitionBy("image_id").orderBy("x", "y", "w", "h"))
+    gap = F.when(after.isNotNull(), F.greatest(after - (F.col("x") + F.col("w")), F.lit(0)))
     return boxes.withColumn("gap", gap).groupBy("image_id").agg(F.when(F.count("*") >= 2, variation("gap")).alias("spacing_dev"))
 
 
@@ -155,9 +158,12 @@ def slant_var(mask: DataFrame) -> DataFrame:
     return e.groupBy("image_id").agg(F.when(F.count("*") > 10, F.stddev_pop("t")).alias("slant_var"))
 
 
-def curvature_var(px: DataFrame, step: int = 5) -> DataFrame:
-    """Spread of the turns along every fifth point of contours of 15 points or more; needs six turns."""
-    c = contours(px)
+def curvature_var(px: DataFrame, sizes: DataFrame, step: int = 5) -> DataFrame:
+    """Spread of the turns along every fifth point of contours of 15 points or more; needs six turns.
+
+    Components inside another's hole do not count.
+    """
+    c = contours(px.join(I.outer_labels(px, I.outside(px, sizes)), ["image_id", "label"], "left_semi"))
     long = c.withColumn("n", F.count("*").over(Window.partitionBy("image_id", "label"))).filter("n >= 15").filter(F.col("k") % step == 0)
     w = Window.partitionBy("image_id", "label").orderBy("k")
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -181,20 +187,27 @@ def contour_irregularity(px: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def ink_mask(px: DataFrame, height: int | None = None) -> DataFrame:
-    """Sparse ink by polarity, blur, Otsu and the 2 % area rule, moved to its bounding box plus 4."""
-    bright = R.to_bright_ink(px)
-    blurred = R.gaussian_blur(bright, 5).withColumn("v", F.rint("v").cast("int"))
+    """Sparse ink by polarity, blur, Otsu and the 2 % area rule, moved to its bounding box plus 4.
+
+    With ``height`` the bounding box is scaled to it (bilinear, above half stays).
+    """
+    bright = R.to_bright_ink(px, qs=R.SHAPE_POLARITY)
+    blurred = R.gaussian_blur(bright, 3).withColumn("v", F.rint("v").cast("int"))
     lit = blurred.join(R.otsu(blurred), "image_id").filter("v > thr").select("image_id", "y", "x")
     lab = materialize(I.label_runs(lit), "mask")
     kept = I.to_ink(lab.join(I.largest_share(I.components(lab)).select("image_id", "label"), ["image_id", "label"], "left_semi"))
-    box = kept.groupBy("image_id").agg(F.min("y").alias("y0"), F.min("x").alias("x0"), (F.max("y") - F.min("y") + 1).alias("bh"))
-    moved = kept.join(box, "image_id").select("image_id", F.expr("y - y0").alias("y"), F.expr("x - x0").alias("x"), "bh")
+    box = kept.groupBy("image_id").agg(F.min("y").alias("y0"), F.min("x").alias("x0"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"))
+    moved = kept.join(box, "image_id").select("image_id", F.expr("y - y0").alias("y"), F.expr("x - x0").alias("x"))
     if height is None:
         return moved.select("image_id", F.expr("y + 4").alias("y"), F.expr("x + 4").alias("x"))
-    # nearest source pixel of each pixel of the scaled raster
-    s = moved.withColumn("f", F.lit(float(height)) / F.col("bh"))
-    span = lambda c: F.explode(F.expr(f"sequence(cast(ceil({c} * f - 0.5) as int), greatest(cast(ceil({c} * f - 0.5) as int), cast(ceil(({c} + 1) * f - 0.5) as int) - 1))"))
-    return s.withColumn("ny", span("y")).withColumn("nx", span("x")).select("image_id", F.expr("ny + 4").alias("y"), F.expr("nx + 4").alias("x")).distinct()
+    s = box.withColumns({"nh": F.lit(height), "nw": F.greatest(F.lit(1), F.bround(F.col("w") * height / F.col("h")).cast("int"))})
+    # pixels without ink add nothing to the sums, so the sparse table is enough
+    scaled = R.resize(moved.withColumn("v", F.lit(255)), s, "linear").filter(F.rint("v") > 127)
+    return scaled.select("image_id", F.expr("y + 4").alias("y"), F.expr("x + 4").alias("x"))
+
+
+#: The eight features in the order of a model record.
+FEATURES = ["stroke_width_var", "spacing_dev", "slant_var", "baseline_wobble", "curvature_var", "cc_size_var", "contour_irregularity", "stroke_connectivity"]
 
 
 def features(px: DataFrame, height: int | None = 100, least_ink: int = 30) -> DataFrame:
@@ -212,6 +225,6 @@ def features(px: DataFrame, height: int | None = 100, least_ink: int = 30) -> Da
     dense = grid.join(ink.withColumn("v", F.lit(1)), ["image_id", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
     boxes = materialize(merge_boxes(comp), "features")
     out = sizes.select("image_id")
-    for f in (stroke_width_var(ink, sizes), spacing_dev(boxes), slant_var(dense), baseline_wobble(boxes), curvature_var(cells), component_features(comp), contour_irregularity(cells, sizes)):
+    for f in (stroke_width_var(ink, sizes), spacing_dev(boxes), slant_var(dense), baseline_wobble(boxes), curvature_var(cells, sizes), component_features(comp), contour_irregularity(cells, sizes)):
         out = out.join(f, "image_id", "left")
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rasterlake.operators import frames as FR, gate as G, ink as I, layout as L, learn as M, rasters as R, shapes as S
 from rasterlake.plans.sql import SQL
-from rasterlake.sources import views as V
+from rasterlake.sources import images as IM, views as V
 from rasterlake.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,7 +169,7 @@ def raster_contrast_map(spark, d):
 
 @query
 def ink_runs(spark, d):
-    return I.runs(V.text_ink(spark, d)).drop("run_id")
+    return I.runs(V.text_ink(spark, d))
 
 
 @query
@@ -241,9 +241,33 @@ def detect_markings(spark, d):
 
 @query
 def find_writing(spark, d):
-    soft = materialize(R.gaussian_blur(gray(spark, d), 3), "soft")
-    out = G.find_writing(R.ink_strength(soft, True, 5), soft)
-    return r6(out, "width", "likeness")
+    return r6(G.find_writing(*G.gate_rasters(gray(spark, d), size=5)), "width", "likeness")
+
+
+#: Fixed model of the eight shape features for the judging query.
+SHAPE_MODEL = [{"median_for_missing": m, "mean": u, "std": s, "weight": w} for m, u, s, w in ((0.2, 0.2, 0.1, 0.5), (0.5, 0.6, 0.3, 0.3), (9.0, 10.0, 4.0, 0.2), (0.2, 0.3, 0.2, 0.4), (0.8, 0.8, 0.2, 0.1), (0.4, 0.5, 0.3, 0.2), (1.2, 1.3, 0.3, 0.3), (0.5, 0.4, 0.2, -0.3))]
+
+
+@query
+def judge_rasters(spark, d):
+    """Whole photographs: ink test, eight features at full height, decision."""
+    out = G.judge_rasters(R.pad_half(gray(spark, d), 0.5), SHAPE_MODEL, 0.1, live=False)
+    return r6(out.select("image_id", "reason", "prob", "this_frame"), "prob")
+
+
+@query
+def judge_live(spark, d):
+    """Live frames: the gate, then the features of its crop."""
+    out = G.judge_rasters(R.pad_half(gray(spark, d), 0.5), SHAPE_MODEL, 0.1)
+    return r6(out.select("image_id", G.shown_reason(F.col("reason")).alias("reason"), "prob", "this_frame"), "prob")
+
+
+@query
+def corpus_padded(spark, d):
+    """Both classes of the second corpus, padded and inverted by their rule."""
+    cls = V.read(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.expr("if(label % 2 = 0, 'handwritten', 'formal')").alias("cls"))
+    px = IM.padded_corpus(gray(spark, d).join(cls, "image_id"))
+    return r6(px.groupBy("image_id", "label").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), "mean")
 
 
 # ---- layout ----------------------------------------------------------------
@@ -280,6 +304,25 @@ def glyph_gaps(spark, d):
     return r6(S.spacing_dev(c).join(S.baseline_wobble(c), "image_id"), "spacing_dev", "baseline_wobble")
 
 
+def mean_reader(pictures: DataFrame) -> DataFrame:
+    """Readings from the mean brightness of each glyph's image."""
+    m = pictures.groupBy("image_id", "pos").agg(F.avg("v").alias("m"))
+    conf = F.pmod(F.col("m"), F.lit(1.0))
+    return m.select("image_id", "pos", F.char(65 + F.floor("m") % 26).alias("char"), conf.alias("conf"), F.char(65 + F.floor(F.col("m") + 1) % 26).alias("alt"), (1 - conf).alias("alt_conf"))
+
+
+@query
+def find_glyphs(spark, d):
+    glyphs, pictures = L.find_glyphs(R.pad_half(gray(spark, d), 0.5), sensitivity=8.0, least=3, block=5)
+    seen = pictures.groupBy("image_id", "pos").agg(F.count("*").alias("pixels"), F.avg("v").alias("mean"))
+    return r6(glyphs.drop("labels").join(seen, ["image_id", "pos"]), "mean")
+
+
+@query
+def read_frames(spark, d):
+    return L.read_frame(R.pad_half(gray(spark, d), 0.5), mean_reader, min_conf=0.3, sensitivity=8.0, least=3, block=5)[1]
+
+
 @query
 def line_texts(spark, d):
     e = V.read(spark, d, "events").select(F.col("user_id").alias("image_id"), F.dayofmonth("ts").alias("line"), F.col("event_id").alias("pos"), F.substring("event_type", 1, 1).alias("char"), (F.abs("value") / 100).alias("conf"))
@@ -288,7 +331,7 @@ def line_texts(spark, d):
 
 @query
 def top_readings(spark, d):
-    return r6(L.top_two(V.class_scores(spark, d)), "conf", "alt_conf").withColumn("band", L.confidence_band(F.col("conf")))
+    return r6(L.top_two(V.class_scores(spark, d)).drop("label"), "conf", "alt_conf").withColumn("band", L.confidence_band(F.col("conf")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,13 +436,13 @@ def samples_drift(spark, d):
 
 @query
 def class_confusions(spark, d):
-    t = L.top_two(V.class_scores(spark, d)).join(V.class_scores(spark, d).select("item_id", "label").distinct(), "item_id")
+    t = L.top_two(V.class_scores(spark, d))
     return M.confusion_pairs(t.select("label", F.col("char").alias("predicted")))
 
 
 @query
 def class_accuracy(spark, d):
-    t = L.top_two(V.class_scores(spark, d)).join(V.class_scores(spark, d).select("item_id", "label").distinct(), "item_id")
+    t = L.top_two(V.class_scores(spark, d))
     return r6(t.groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("char")).cast("int")).alias("accuracy")), "accuracy")
 
 

@@ -82,7 +82,7 @@ def test_skeleton_equals_a_plain_loop(spark):
 def test_contour_runs_once_round(spark):
     cells = I.to_ink(I.label_runs(ink(spark, ["####", "####", "####"])))
     got = [(r.y, r.x) for r in S.contours(cells).orderBy("k").collect()]
-    assert got == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 3), (2, 3), (2, 2), (2, 1), (2, 0), (1, 0)]
+    assert got == [(0, 0), (1, 0), (2, 0), (2, 1), (2, 2), (2, 3), (1, 3), (0, 3), (0, 2), (0, 1)]
 
 
 def test_lines_and_order(spark):
@@ -92,9 +92,80 @@ def test_lines_and_order(spark):
 
 
 def test_a_bridge_joins_the_first_group_only(spark):
-    rows = [(0, 1, 0, 0, 10, 10, 0), (0, 2, 12, 0, 10, 10, 0), (0, 3, 14, 12, 8, 4, 0), (0, 4, 4, 12, 16, 3, 0)]
+    # 1 and 2 stand apart; 3, later in x order, is narrow enough to overlap both by half of its width
+    rows = [(0, 1, 0, 0, 20, 10, 0), (0, 2, 2, 40, 18, 10, 0), (0, 3, 4, 12, 10, 26, 0)]
     g = layout.group_glyphs(spark.createDataFrame(rows, "image_id bigint, label bigint, x int, y int, w int, h int, area int"))
-    assert sorted(sorted(r.labels) for r in g.collect()) == [[1, 4], [2, 3]]
+    assert sorted(sorted(r.labels) for r in g.collect()) == [[1, 3], [2]]
+
+
+def test_equal_gaps_have_no_spread(spark):
+    rows = [(0, x, 0, 4, 9) for x in (0, 10, 20)] + [(1, x, 0, 4, 9) for x in (0, 10)] + [(2, 0, 0, 4, 9)] + [(3, x, 0, 4, 9) for x in (0, 6, 30)]
+    got = {r.image_id: r.spacing_dev for r in S.spacing_dev(spark.createDataFrame(rows, "image_id bigint, x int, y int, w int, h int")).collect()}
+    assert got[0] == got[1] == 0 and got[2] is None and math.isclose(got[3], 9 / 11)
+
+
+def test_a_part_inside_a_hole_turns_nothing(spark):
+    ring = ["." * 24] + ["." + "#" * 22 + "."] * 3 + ["." + "###" + "." * 16 + "###" + "."] * 14 + ["." + "#" * 22 + "."] * 3 + ["." * 24]
+    filled = [line[:9] + "######" + line[15:] if 8 <= y <= 14 else line for y, line in enumerate(ring)]
+    cells = I.to_ink(I.label_runs(ink(spark, ring, filled)))
+    got = {r.image_id: r.curvature_var for r in S.curvature_var(cells, sizes(spark, ring, filled)).collect()}
+    assert got[0] is not None and got[0] == got[1]
+
+
+def test_shape_polarity_and_glyph_polarity_differ(spark):
+    g = np.full(1000, 120)
+    g[:8], g[8:18] = 20, 180  # dark beyond the 0.5 % mark only
+    p = pixels(spark, g.reshape(10, 100).repeat(1, 0))
+    flat = R.percentiles(p, [0.005, 0.01, 0.5, 0.99, 0.995]).first()
+    dark = {q: flat.q2 - lo > hi - flat.q2 for q, lo, hi in (("glyph", flat.q0, flat.q4), ("shape", flat.q1, flat.q3))}
+    assert dark == {"glyph": True, "shape": False}
+    assert R.SHAPE_POLARITY == (0.01, 0.5, 0.99)
+
+
+def plain_resize(m, nh, nw):
+    h, w = m.shape
+    out = np.zeros((nh, nw))
+    for y in range(nh):
+        for x in range(nw):
+            sy, sx = (y + 0.5) * h / nh - 0.5, (x + 0.5) * w / nw - 0.5
+            fy, fx = math.floor(sy), math.floor(sx)
+            for dy in (0, 1):
+                for dx in (0, 1):
+                    k = (sy - fy if dy else 1 - sy + fy) * (sx - fx if dx else 1 - sx + fx)
+                    out[y, x] += k * m[min(max(fy + dy, 0), h - 1), min(max(fx + dx, 0), w - 1)]
+    return out
+
+
+def test_mask_is_scaled_to_height_100(spark):
+    g = np.full((60, 90), 230)
+    g[10:40, 20:26], g[10:16, 20:50], g[30:50, 60:66] = 30, 30, 30
+    got = {(r.y, r.x) for r in S.ink_mask(pixels(spark, g), 100).collect()}
+    b = 255 - g.astype(float)
+    p = np.pad(b, 1, mode="reflect")
+    soft = np.rint(sum(ky * kx * p[1 + dy : 61 + dy, 1 + dx : 91 + dx] for dy, ky in ((-1, 0.25), (0, 0.5), (1, 0.25)) for dx, kx in ((-1, 0.25), (0, 0.5), (1, 0.25))))
+    values = np.unique(soft)[:-1]
+    m = soft > max(values, key=lambda t: ((soft <= t).sum() * float((soft > t).sum()) * (soft[soft <= t].mean() - soft[soft > t].mean()) ** 2, -t))
+    ys, xs = np.nonzero(m)
+    m = m[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1]
+    big = plain_resize(m * 255.0, 100, max(1, round(m.shape[1] * 100 / m.shape[0])))
+    assert got == {(y + 4, x + 4) for y, x in zip(*np.nonzero(np.rint(big) > 127))}
+
+
+def test_resizing_by_area_and_cubic(spark):
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 256, (7, 10))
+    s = spark.createDataFrame([(0, 7, 10, 3, 4)], "image_id bigint, h int, w int, nh int, nw int")
+
+    def weights(n, m):
+        return np.array([[max(0.0, min((o + 1) * n / m, i + 1) - max(o * n / m, i)) * m / n for i in range(n)] for o in range(m)])
+
+    want = weights(7, 3) @ g @ weights(10, 4).T
+    for r in R.resize(pixels(spark, g), s, "area").collect():
+        assert math.isclose(r.v, want[r.y, r.x], abs_tol=1e-9)
+    up = s.select("image_id", "h", "w", (s.h * 3).alias("nh"), (s.w * 3).alias("nw"))
+    flat = R.resize(pixels(spark, np.full((7, 10), 9)), up, "cubic").collect()
+    assert len(flat) == 21 * 30 and all(math.isclose(r.v, 9) for r in flat)
+    assert {(r.y, r.x): round(r.v) for r in R.resize(pixels(spark, g), up, "cubic").filter("y % 3 = 1 and x % 3 = 1").collect()} == {(3 * y + 1, 3 * x + 1): g[y, x] for y in range(7) for x in range(10)}
 
 
 def test_cleaning_drops_border_line_and_speck(spark):
