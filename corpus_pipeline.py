@@ -3,6 +3,12 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``documents``.
+
+In every stage a null or empty text is an ordinary text without words: it is
+scored by the model's bias, is no copy of another, holds no benchmark item and no
+personal data, and has no tokens.  Rows that repeat stay or go together; of rows
+that share a ``doc_id`` a decision about the id holds for all.  Columns beside
+those of ``documents`` are left out, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
