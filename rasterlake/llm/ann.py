@@ -6,10 +6,13 @@ number of reverse neighbours, with their vectors, compares them with each other
 and offers each the others that are nearer than its worst neighbour so far;
 offers meet their node by a grouped top k.  A greedy search then starts at each
 query's own node, expands the nearest nodes it has not expanded, and stops when
-nothing nearer turns up.  All steps are Spark joins; no vector is collected.
+nothing nearer turns up.  It follows the graph's links and, of those that point at
+a node, the ``reverse`` nearest, so a hub is no larger key than others.  All steps
+are Spark joins; no vector is collected.
 
-Distances inside the graph are single precision; the final order and scores are
-computed in double precision on the original vectors.
+Inside the graph vectors are centred by column, scaled to 1 and held in single
+precision, and distances are taken about each block's own centre; the final order
+and scores are computed in double precision on the original vectors.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part; a query without a valid vector has
@@ -32,12 +35,12 @@ SALTS = 32
 BLOCK = 384
 
 
-def _bytes(batches: Iterator[pa.RecordBatch], projections: int) -> Iterator[pa.RecordBatch]:
-    """(id, vec, p0, p1, ...): single-precision bytes and random projections."""
+def _bytes(batches: Iterator[pa.RecordBatch], projections: int, scale: float, centre: np.ndarray, spread: float) -> Iterator[pa.RecordBatch]:
+    """(id, vec, p0, p1, ...): centred and scaled single-precision bytes and random projections."""
     for batch in batches:
-        x = np.array(batch.column(1).to_pylist(), np.float32)
-        if not len(x):
+        if not batch.num_rows:
             continue
+        x = ((np.array(batch.column(1).to_pylist(), np.float64) / scale - centre) / spread).astype(np.float32)
         axes = np.random.default_rng(7).standard_normal((x.shape[1], projections)).astype(np.float32)
         p = (x @ axes).astype(np.float64)
         cols = [batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), *(pa.array(p[:, j]) for j in range(projections))]
@@ -49,6 +52,7 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     n = len(ids)
     if n < 2:
         return ids[:0], ids[:0], np.zeros(0, np.float32)
+    x = x - x.mean(0)
     sq = (x * x).sum(1)
     d = sq[:, None] + sq - 2 * (x @ x.T)
     np.fill_diagonal(d, np.inf)
@@ -87,7 +91,7 @@ def _local_join(k: int):
             out = []
             for members in batch.column(0).to_pylist():
                 ids = np.array([m["id"] for m in members], np.int64)
-                x = np.array([np.frombuffer(m["vec"], np.float16) for m in members]).astype(np.float32)
+                x = np.array([np.frombuffer(m["vec"], np.float32) for m in members])
                 limit = dict(zip(ids.tolist(), (m["far"] for m in members)))
                 a, b, d = _nearest(ids, x, k)
                 near = d < np.array([limit[i] for i in a.tolist()], np.float32)
@@ -98,11 +102,6 @@ def _local_join(k: int):
     return run
 
 
-def _half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.frombuffer(v, np.float32).astype(np.float16).tobytes() for v in batch.column(1).to_pylist()], pa.binary())], names=["id", "vec"])
-
-
 def _top(edges: DataFrame, k: int, key: str = "a") -> DataFrame:
     """The ``k`` nearest of each node; the limit is applied before the shuffle too."""
     w = Window.partitionBy(key).orderBy("d", "b")
@@ -112,7 +111,6 @@ def _top(edges: DataFrame, k: int, key: str = "a") -> DataFrame:
 
 def build_graph(nodes: DataFrame, k: int = 20, rounds: int = 5, reverse: int = 20, projections: int = 4) -> DataFrame:
     """``a, b, d``: about the ``k`` nearest others of each of ``nodes(id, vec, p*)``."""
-    half = materialize(nodes.select("id", "vec").mapInArrow(_half, "id bigint, vec binary"), "ann")
     first = None
     for j in range(projections):
         part = nodes.repartitionByRange(f"p{j}").sortWithinPartitions(f"p{j}", "id").select("id", "vec").mapInArrow(_blocks(k), EDGES)
@@ -123,7 +121,7 @@ def build_graph(nodes: DataFrame, k: int = 20, rounds: int = 5, reverse: int = 2
         turned = graph.select(F.col("b").alias("a"), F.col("a").alias("b")).withColumn("r", F.row_number().over(back)).filter(F.col("r") <= reverse).drop("r")
         gather = graph.select("a", "b").unionByName(turned).distinct()
         far = graph.groupBy("a").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("far"))
-        info = materialize(half.join(far.withColumnRenamed("a", "id"), "id", "left").select("id", "vec", F.coalesce("far", F.lit(float("inf")).cast("float")).alias("far")), "ann")
+        info = materialize(nodes.select("id", "vec").join(far.withColumnRenamed("a", "id"), "id", "left").select("id", "vec", F.coalesce("far", F.lit(float("inf")).cast("float")).alias("far")), "ann")
         held = gather.join(info.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("id"), "vec", "far")).alias("members"))
         offers = held.select("members").mapInArrow(_local_join(max(4, k // 3)), EDGES)
         new = materialize(_top(graph.unionByName(offers.filter("a <> b")), k), "ann")
@@ -146,13 +144,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(((q - x) ** 2).sum(1)).astype(np.float32))], names=["a", "b", "d"])
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = 300, expand: int = 75, hops: int = 12) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = 300, expand: int = 75, hops: int = 12, reverse: int = 40) -> DataFrame:
     """``a, b, d``: the ``beam`` nearest nodes found for each of ``queries(id, vec)``.
 
     ``queries`` are nodes of the graph; a hop expands the ``expand`` nearest
     nodes of each query that were not expanded, within its beam.
     """
-    both = materialize(graph.select("a", "b").union(graph.select("b", "a")).distinct().withColumnsRenamed({"a": "from", "b": "to"}), "ann")
+    back = _top(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), reverse)
+    both = materialize(graph.select("a", "b").unionByName(back.select("a", "b")).distinct().withColumnsRenamed({"a": "from", "b": "to"}), "ann")
     vecs, asked = nodes.select(F.col("id").alias("b"), "vec"), queries.select(F.col("id").alias("a"), F.col("vec").alias("qvec"))
     found = materialize(asked.select("a", F.col("a").alias("b"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done")), "ann")
     best = Window.partitionBy("a").orderBy("d", "b")
@@ -173,12 +172,12 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = 3
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """``vec_id, embedding array<float>`` of the rows that take part."""
-    ok = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter("vec_id is not null and embedding is not null")
+    """``vec_id, embedding array<double>`` of the rows that take part."""
+    ok = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and embedding is not null")
     ok = ok.filter(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))).filter(F.exists("embedding", lambda v: v != 0))
     sizes = ok.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     ok = ok.filter(F.size("embedding") == (sizes[0]["n"] if sizes else 0))
-    return ok.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", F.transform("embedding", lambda v: v + F.lit(0.0).cast("float")).alias("embedding"))
+    return ok.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select("vec_id", F.transform("embedding", lambda v: v + F.lit(0.0)).alias("embedding"))
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, neighbours: int = 20, rounds: int = 5, beam: int = 300) -> DataFrame:
@@ -192,7 +191,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, neighbours: int =
     few = materialize(part.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).filter(F.col("r") <= k + 1).select("id", "vec_id"), "ann")
     projections = 4
     shape = "id bigint, vec binary, " + ", ".join(f"p{j} double" for j in range(projections))
-    nodes = materialize(classes.select("id", "embedding").mapInArrow(lambda b: _bytes(b, projections), shape), "ann")
+    scale = classes.agg(F.max(F.array_max(F.transform("embedding", lambda v: F.abs(v))))).first()[0] or 1.0
+    column = classes.select(F.posexplode(F.transform("embedding", lambda v: v / scale)).alias("p", "v")).groupBy("p")
+    column = column.agg(F.avg("v").alias("c"), F.max("v").alias("hi"), F.min("v").alias("lo")).orderBy("p").collect()  # one row a dimension
+    centre = np.array([r["c"] for r in column])
+    spread = max([1e-300, *(max(r["hi"] - r["c"], r["c"] - r["lo"]) for r in column)])
+    nodes = materialize(classes.select("id", "embedding").mapInArrow(lambda b: _bytes(b, projections, scale, centre, spread), shape), "ann")
     graph = build_graph(nodes, neighbours, rounds, neighbours, projections)
     ask = materialize(member.filter(F.col("vec_id") % every == 0).withColumnsRenamed({"vec_id": "query_id"}), "ann")
     found = search(ask.select("id").distinct().join(nodes, "id").select("id", "vec"), nodes, graph, beam)
