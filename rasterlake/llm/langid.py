@@ -2,10 +2,11 @@
 
 Training counts the words of every labelled text (counted in each task before
 the shuffle) and, from the word counts, the character n-grams of orders 5 to 1.
-A word or n-gram enters a language's table when its share of that language's
-occurrences is at least ``word_share`` or ``gram_share``; a table therefore has
-at most 1/share rows for each language and order, whatever the size of the
-corpus, and may be broadcast.
+A word or n-gram enters the tables when its share of some language's occurrences
+is at least ``word_share`` or ``gram_share``, with its own count in every
+language (half of one where it has none); the tables therefore have at most
+1/share rows for each language and order, whatever the size of the corpus, and may
+be broadcast.
 
 Scoring adds, for each word, the log frequency of the word in each language; a
 word in no table backs off to the mean log frequency of its longest n-grams
@@ -93,14 +94,19 @@ def train(docs: DataFrame, word_share: float = 2e-5, gram_share: float = 1e-4) -
     )
     all_grams = counts.select("lang", F.lit(0).alias("ord"), F.col("word").alias("gram"), "n").unionByName(per_gram)
     total = all_grams.groupBy("lang", "ord").agg(F.sum("n").alias("total"))
+    total = materialize(total, "lang")  # a row for each language and order
     share = F.when(F.col("ord") == 0, word_share).otherwise(gram_share)
-    rows = all_grams.join(F.broadcast(total), ["lang", "ord"]).filter(F.col("n") >= share * F.col("total")).select("lang", "ord", "gram", (F.col("n") / F.col("total")).alias("p")).collect()
-    langs = sorted({r["lang"] for r in rows})
+    kept = all_grams.join(F.broadcast(total), ["lang", "ord"]).filter(F.col("n") >= share * F.col("total")).select("ord", "gram").distinct()
+    # at most languages / share rows, so the broadcast has a bound
+    rows = all_grams.join(F.broadcast(materialize(kept, "lang")), ["ord", "gram"], "left_semi").select("lang", "ord", "gram", "n").collect()
+    totals = {(r["lang"], r["ord"]): r["total"] for r in total.collect()}
+    langs = sorted({lang for lang, _ in totals})
     col = {lang: i for i, lang in enumerate(langs)}
     tables: dict[int, dict[str, list[float]]] = {o: {} for o in (0, *ORDERS)}
+    none = {o: [float(np.log(0.5 / totals.get((lang, o), 1))) for lang in langs] for o in tables}
     for r in rows:
-        floor = np.log((word_share if r["ord"] == 0 else gram_share) / 4)
-        tables[r["ord"]].setdefault(r["gram"], [floor] * len(langs))[col[r["lang"]]] = float(np.log(r["p"]))
+        o = r["ord"]
+        tables[o].setdefault(r["gram"], list(none[o]))[col[r["lang"]]] = float(np.log(r["n"] / totals[r["lang"], o]))
     return {"langs": langs, "tables": tables}
 
 
