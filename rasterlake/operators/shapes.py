@@ -53,13 +53,12 @@ def distance_transform(ink: DataFrame, sizes: DataFrame) -> DataFrame:
     zero = F.when(F.col("ink").isNull(), F.col("y"))
     up = F.last(zero, True).over(R.columns_of().rowsBetween(Window.unboundedPreceding, 0))
     down = F.first(zero, True).over(R.columns_of().rowsBetween(0, Window.unboundedFollowing))
-    g = materialize(g.withColumn("c", F.least(F.col("y") - up, down - F.col("y"))), "distance")
-    a, b = g.filter("ink = 1").alias("a"), g.filter("c is not null").alias("b")
-    same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.y") == F.col("b.y"))
-    reach = F.col("a.c").isNull() | (F.abs(F.col("a.x") - F.col("b.x")) <= F.col("a.c"))
-    d2 = F.min((F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")) + F.col("b.c") * F.col("b.c"))
-    near = a.join(b, same & reach).groupBy(F.col("a.image_id").alias("image_id"), F.col("a.y").alias("y"), F.col("a.x").alias("x")).agg(F.sqrt(d2).alias("d"))
-    return ink.select("image_id", "y", "x").join(near, ["image_id", "y", "x"], "left")
+    # along a row the nearest lies within the column's distance, so a line is one array and nothing is joined
+    line = g.withColumn("c", F.least(F.col("y") - up, down - F.col("y"))).groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "c", "ink"))).alias("a"))
+    reach = "coalesce(p.c, size(a))"
+    part = f"slice(a, cast(greatest(1, p.x + 1 - {reach}) as int), cast(2 * {reach} + 1 as int))"
+    near = f"transform(filter(a, p -> p.ink = 1), p -> struct(p.x as x, array_min(transform({part}, q -> (q.x - p.x) * (q.x - p.x) + q.c * q.c)) as d2))"
+    return line.select("image_id", "y", F.explode(F.expr(near)).alias("n")).select("image_id", "y", F.col("n.x").alias("x"), F.sqrt("n.d2").alias("d"))
 
 
 def thinning_step(ink: DataFrame, second: bool) -> DataFrame:

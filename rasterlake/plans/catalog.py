@@ -278,14 +278,19 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     return materialize(I.components(I.label_runs(V.text_ink(spark, d))), "boxes")
 
 
+def listed(groups: DataFrame) -> DataFrame:
+    """Groups with their labels as one text."""
+    return groups.withColumn("labels", F.array_join(F.col("labels").cast("array<string>"), ","))
+
+
 @query
 def glyph_groups(spark, d):
-    return L.group_glyphs(I.components(labelled(spark, d)))
+    return listed(L.group_glyphs(I.components(labelled(spark, d))))
 
 
 @query
 def glyph_boxes(spark, d):
-    return L.merge_boxes(I.components(labelled(spark, d)))
+    return listed(L.merge_boxes(I.components(labelled(spark, d))))
 
 
 @query

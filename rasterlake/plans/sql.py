@@ -82,7 +82,7 @@ def folded(rule: str) -> str:
     """Components of each image in order, folded into boxes by ``rule(gs, c)``."""
     return f""", o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY x, label, y, w, h) AS i, count(*) OVER (PARTITION BY image_id) AS n FROM comp),
 f(image_id, i, gs) AS (SELECT image_id, i, [{NEW}] FROM o c WHERE i = 1 UNION ALL SELECT f.image_id, c.i, {rule} FROM f JOIN o c ON c.image_id = f.image_id AND c.i = f.i + 1)
-SELECT image_id, g.x AS x, g.y AS y, g.w AS w, g.h AS h, g.labels AS labels FROM (SELECT image_id, unnest(gs) AS g FROM f JOIN (SELECT DISTINCT image_id, n FROM o) USING (image_id) WHERE i = n)"""
+SELECT image_id, g.x AS x, g.y AS y, g.w AS w, g.h AS h, array_to_string(g.labels, ',') AS labels FROM (SELECT image_id, unnest(gs) AS g FROM f JOIN (SELECT DISTINCT image_id, n FROM o) USING (image_id) WHERE i = n)"""
 
 
 FITS = f"list_position(list_transform(gs, lambda g: {over('g')} AND greatest(g.y, c.y) - least(g.y + g.h, c.y + c.h) < 0.5 * greatest(g.h, c.h)), true)"

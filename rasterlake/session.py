@@ -62,7 +62,7 @@ def materialize(df: DataFrame, name: str = "stage", tasks: int | None = None) ->
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP)
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         (df if tasks is None else df.coalesce(tasks)).write.parquet(path)

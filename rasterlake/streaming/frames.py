@@ -10,9 +10,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rasterlake.operators.learn import decide
+
 OUT = "camera_id bigint, seq bigint, ts timestamp, stable boolean, shown string, misses int, failed boolean, fps double"
 STATE = "flags array<boolean>, texts array<string>, misses int, last double, fps double"
 
@@ -45,3 +47,14 @@ def smooth(stream: DataFrame, flags: int = 8, texts: int = 10, least: int = 5, l
         yield pd.DataFrame(out, columns=["camera_id", "seq", "ts", "stable", "shown", "misses", "failed", "fps"])
 
     return stream.groupBy("camera_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def smooth_scored(stream: DataFrame, cols: list[str], model: list[dict], bias: float, threshold: float = 0.5, **how) -> DataFrame:
+    """``smooth`` with the flag of each frame from its features ``cols``.
+
+    Scoring is stateless; a frame without any feature, which the gate has
+    rejected, is no hit.
+    """
+    scored = decide(stream, cols, model, bias, threshold)
+    hit = F.coalesce(*cols).isNotNull() & F.col("is_handwritten")
+    return smooth(scored.select("camera_id", "seq", "ts", "text", hit.alias("hit")), **how)

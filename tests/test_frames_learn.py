@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.operators import frames as FR, learn as M, ranks
 from rasterlake.sources import sinks, views as V
-from rasterlake.streaming.frames import smooth
+from rasterlake.streaming.frames import smooth, smooth_scored
 
 SCHEMA = "camera_id bigint, seq bigint, ts timestamp, text string, hit boolean"
 
@@ -36,6 +36,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert all(abs(fps[k] - last[k]) < 1e-9 for k in fps)
 
 
+def test_frames_of_a_stream_are_scored_and_smoothed(spark, tmp_path):
+    model = [{"median_for_missing": 0.0, "mean": 0.0, "std": 1.0, "weight": w} for w in (2.0, -1.0)]
+    data = [(1, i, datetime(2024, 1, 1) + timedelta(seconds=i), "t", None if i % 5 == 0 else float(i % 4), None if i % 5 < 2 else float(i % 3)) for i in range(40)]
+    shape = "camera_id bigint, seq bigint, ts timestamp, text string, f1 double, f2 double"
+    df = spark.createDataFrame(data, shape)
+    df.coalesce(1).write.json(str(tmp_path / "in"))
+    src = spark.readStream.schema(shape).json(str(tmp_path / "in"))
+    q = smooth_scored(src, ["f1", "f2"], model, -1.0).writeStream.format("memory").queryName("scored").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    hits = [not (a is None and b is None) and 2 * (a or 0) - (b or 0) - 1 >= 0 for *_, a, b in data]
+    want = {i: 2 * sum(hits[max(0, i - 7) : i + 1]) > min(i + 1, 8) for i in range(40)}
+    assert {r.seq: r.stable for r in spark.table("scored").collect()} == want
+
+
 def samples(spark, n=80):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(n, 2))

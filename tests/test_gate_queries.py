@@ -1,5 +1,7 @@
 """The gate's registered queries on small rasters with a known answer."""
 
+import random
+
 from rasterlake.plans import catalog
 
 
@@ -25,3 +27,37 @@ def test_marks_on_uneven_paper_are_no_writing(spark, tmp_path):
     d = stored(spark, tmp_path, [stroke(250), stroke(150)])
     pieces = {r.image_id: r.pieces for r in catalog.queries()["find_writing"](spark, d).collect()}
     assert pieces == {0: 1, 1: 0}
+
+
+def test_lines_of_whole_texts_equal_a_plain_loop(spark, tmp_path):
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab  \n\t\u00e9") for _ in range(n)) for n in (0, 1, 63, 64, 65, 700, 1500)] + [None, " " * 200, "x" * 300]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, t in enumerate(texts):
+        ink = {(k // 64, k % 64) for k, c in enumerate(t or "") if ord(c) > 32}
+        boxes = []
+        while ink:
+            todo, part = [ink.pop()], []
+            while todo:
+                y, x = todo.pop()
+                part.append((y, x))
+                near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & ink
+                ink -= near
+                todo += near
+            ys, xs = [y for y, _ in part], [x for _, x in part]
+            boxes.append((min(xs), min(ys), max(xs) + 1 - min(xs), max(ys) + 1 - min(ys)))
+        if not boxes:
+            continue
+        heights, line, last = sorted(b[3] for b in boxes), 0, None
+        med = (heights[(len(boxes) - 1) // 2] + heights[len(boxes) // 2]) / 2
+        rows = {}
+        for x, y, w, h in sorted(boxes, key=lambda b: (b[1] + b[3] / 2, b[0], b[1], b[2])):
+            cy = y + h / 2
+            line += last is not None and cy - last > 0.6 * med
+            last = cy
+            rows.setdefault(line, []).append((x, y, w, h))
+        for k, bs in rows.items():
+            want.add((i, k, len(bs), min(b[0] for b in bs), max(b[0] + b[2] for b in bs), min(b[1] for b in bs), max(b[1] + b[3] for b in bs)))
+    got = {(g.image_id, g.line, g.boxes, g.x0, g.x1, g.y0, g.y1) for g in catalog.queries()["document_lines"](spark, str(tmp_path)).collect()}
+    assert got == want

@@ -33,6 +33,15 @@ def test_query_equals_sql(spark, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
+@pytest.mark.parametrize("name", sorted(SLOW))
+def test_slow_query_equals_sql_on_a_few_images(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT * FROM '{DATA}/embeddings.parquet' ORDER BY vec_id LIMIT 25) TO '{tmp_path}/embeddings.parquet'")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got, want = normal(catalog.queries()[name](spark, str(tmp_path)).toPandas()), normal(con.sql(catalog.oracle_sql()[name]).df())
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
 def test_entry_imports_and_names_agree():
     import __spark_entry__ as e
 
