@@ -11,14 +11,13 @@ number) is cut again with another seed, which keeps the guarantee, as its
 partner is cut again too or was found before.  No link is lost, and only sets
 that share a whole part meet.
 
-Within a tile sets are first linked to one pivot (in each task before the
-shuffle, so a tile of any size sends one row a task), candidates are tested by
-hashed bitmaps, whose differing bits bound the overlap from above, and then by
-exact intersection of sorted arrays.  Tiles whose members all fall in one
-component need no more.  In the others, members next to each other in a few
-random orders are compared, which joins most of what belongs together; what
-still lies apart is cut into cells of bounded size, and all pairs across
-components that pass the bitmap bound are intersected too.
+A tile's sets are compared with one pivot, the member that meets most others: by
+hashed bitmaps first, whose differing bits bound the overlap from above, then by
+exact differences of the sorted arrays.  Members of one tile
+whose components still differ can link only if they differ from the pivot in
+common elements, more than half of the smaller difference; pairs that may are
+found by their rarest such elements, and tested by the bitmaps and then by exact
+intersection of the arrays.  So the edited copies of one text meet its original, not each other.
 
 Edge cases: null or empty texts have empty sets, link with nothing and are
 their own component; texts shorter than a shingle are one element; repeated
@@ -45,8 +44,6 @@ from rasterlake.session import materialize, tasks_for
 
 BITMAP_WORDS = 16
 FLUSH_KEYS = 1_000_000
-CELL_ROWS = 256
-ROUNDS, STEPS = 2, 8
 BITMAP = [f"w{i}" for i in range(BITMAP_WORDS)]
 
 
@@ -145,17 +142,26 @@ def _sets(rule: Rule):
 
 
 def _keys(rule: Rule):
-    """(key, doc, pivot): pivot null for rows to meet by key, else a pair of one tile found here."""
+    """(key, doc, pivot, pop): pivot null for rows to meet by key, else a pair of one tile found here.
+
+    Of a tile's members found here the pivot is the one whose keys meet most
+    others (``pop`` of them), as an original's do among its copies.
+    """
 
     def flush(keys: list[np.ndarray], docs: list[int]) -> pa.RecordBatch:
         key = np.concatenate(keys)
-        doc = np.repeat(np.array(docs, np.int64), [len(k) for k in keys])
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
+        at = np.repeat(np.arange(len(docs)), [len(k) for k in keys])
+        _, tile, size = np.unique(key, return_inverse=True, return_counts=True)
+        pop = np.bincount(at, size[tile] > 1, len(docs)).astype(np.int64)[at]
+        doc = np.array(docs, np.int64)[at]
+        order = np.lexsort((doc, -pop, tile))
+        key, doc, pop = key[order], doc[order], pop[order]
         first = np.append(True, key[1:] != key[:-1])
         pivot = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
         keep = first | (doc != pivot)
-        return pa.RecordBatch.from_arrays([pa.array(signed(key)[keep]), pa.array(doc[keep]), pa.array(pivot[keep], mask=first[keep])], names=["key", "doc", "pivot"])
+        first = first[keep]
+        cols = [pa.array(signed(key)[keep]), pa.array(doc[keep]), pa.array(pivot[keep], mask=first), pa.array(pop[keep].astype(np.int32), mask=~first)]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "doc", "pivot", "pop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, held, seen = [], [], 0, set()
@@ -182,13 +188,13 @@ def _keys(rule: Rule):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key become pairs with the first document of their key."""
+    """Rows sorted by key, most met first, become pairs with the first document of their key; pairs of a task stay (``own``)."""
     last_key, last_doc = None, None
     for batch in batches:
         key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        local = np.asarray(batch.column(2).is_valid())
+        own = np.asarray(batch.column(2).is_valid())
         pivot = batch.column(2).fill_null(0).to_numpy().copy()
-        at = np.flatnonzero(~local)
+        at = np.flatnonzero(~own)
         if len(at):
             k, d = key[at], doc[at]
             first = np.append(last_key is None or k[0] != last_key, k[1:] != k[:-1])
@@ -197,7 +203,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pivot[at] = np.where(head >= 0, d[head], last_doc or 0)
             last_key, last_doc = k[-1], pivot[at[-1]]
         keep = pivot != doc
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(pivot[keep]), pa.array(doc[keep])], names=["key", "pivot", "doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(pivot[keep]), pa.array(doc[keep]), pa.array(own[keep])], names=["key", "pivot", "doc", "own"])
 
 
 def bitmap(u: np.ndarray) -> np.ndarray:
@@ -241,38 +247,125 @@ def _may_link(rule: Rule, x=lambda c: F.col(f"x.{c}"), y=lambda c: F.col(f"y.{c}
     return overlap * (rule.den + rule.num) >= rule.num * n
 
 
+def _listed(ids):
+    """Rows whose first column may be in a bit set of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(idfilter.mask(ids.value, batch.column(0))))
+
+    return run
+
+
 def _linked_pairs(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     """``a, b, ok`` for each pair: bitmap bound first, then exact intersection."""
-    side = arrays.select("id", "n", *BITMAP, "arr")
+    ids = idfilter.build(pairs.select("a").union(pairs.select("b")))
+    side = arrays.select("id", "n", *BITMAP, "arr").mapInArrow(_listed(ids), arrays.select("id", "n", *BITMAP, "arr").schema)
     both = pairs.join(side.alias("x"), F.col("a") == F.col("x.id")).join(side.alias("y"), F.col("b") == F.col("y.id"))
     both = both.filter(_may_link(rule)).select("a", "b", F.col("x.arr").alias("p"), F.col("y.arr").alias("q"))
     return both.mapInArrow(_verify(rule), "a bigint, b bigint, ok boolean").filter("ok").select("a", "b").distinct()
 
 
-def _open_tiles(stars: DataFrame, labels: DataFrame, brief: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """Of ``stars(key, pivot, doc)`` the tiles with several components, and their members.
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, id, several, sizes, elements that only the pivot and that only the other set holds)."""
+    for batch in batches:
+        pn, n, lost, gained = [], [], [], []
+        for x, y in zip(batch.column(3), batch.column(4)):
+            p, q = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+            pn.append(len(p))
+            n.append(len(q))
+            lost.append(signed(np.setdiff1d(p, q, assume_unique=True)))
+            gained.append(signed(np.setdiff1d(q, p, assume_unique=True)))
+        arrays = [pa.array(v, pa.list_(pa.int64())) for v in (lost, gained)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(pn, pa.int64()), pa.array(n, pa.int64()), *arrays], names=["pivot", "id", "several", "pn", "n", "lost", "gained"])
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """``pivot, id, several``: every member of a tile with the pivot that all tasks have in common.
+
+    ``several`` tells whether one of their tiles has a further member: without
+    one, only the pivot itself may link with the member there.
+    """
+    tiles = met.groupBy("key").agg(F.max(F.when(~F.col("own"), F.col("pivot"))).alias("top"), F.count("*").alias("n"))
+    members = met.select("key", "pivot", "doc").join(tiles, "key").select(F.coalesce("top", "pivot").alias("pivot"), F.col("doc").alias("id"), (F.col("n") > 1).alias("several"))
+    return members.filter("pivot <> id").groupBy("pivot", "id").agg(F.max("several").alias("several"))
 
-    Members are ``key, id, c, cells, n, w*``: component and the number of cells
-    that the tile needs.
+
+def _compared(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
+    """``pivot, id, several, pn, n, lost, gained`` of the pairs that matter: those that may link by their bitmaps, and those with several members."""
+    brief = materialize(arrays.select("id", "n", *BITMAP), "jaccard")
+    x, y = brief.alias("x"), brief.alias("y")
+    both = pairs.withColumnRenamed("id", "a").join(x, F.col("a") == F.col("x.id")).join(y, F.col("pivot") == F.col("y.id"))
+    wanted = materialize(both.filter(F.col("several") | _may_link(rule)).select("pivot", "a", "several"), "jaccard")
+    ids = idfilter.build(wanted.select("a").union(wanted.select("pivot")))
+    side = arrays.select("id", "arr").mapInArrow(_listed(ids), "id bigint, arr binary")
+    x, y = side.alias("x"), side.alias("y")
+    sent = wanted.join(x, F.col("a") == F.col("x.id")).join(y, F.col("pivot") == F.col("y.id"))
+    sent = sent.select("pivot", F.col("a").alias("id"), "several", F.col("y.arr").alias("p"), F.col("x.arr").alias("q"))
+    return sent.mapInArrow(_differences, "pivot bigint, id bigint, several boolean, pn bigint, n bigint, lost array<bigint>, gained array<bigint>")
+
+
+def _across(stars: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b``: all pairs of one star and different components that may link.
+
+    Of two sets that differ from the pivot in d(a) and d(b) elements, and link
+    though one of them does not link with the pivot, at least ``k`` of these
+    elements are the same (sizes and distances bound k from below for each set
+    by itself), and at least ``k`` less the lost ones are gained.  A set with too
+    few gained elements that another component's set gained as well leaves first:
+    that is what a copy's own edits look like.  For that the first elements in one
+    order are enough, so many that a linked pair has ``enough`` of them in common (all
+    that it must have in common, if these are fewer).  Of the others, both hold a common element among their first ``shared - k + 1``,
+    rarest first, where ``shared`` counts those of another component's sets.
     """
+    den, num = rule.den + rule.num, rule.den - rule.num
 
     def label(of: str) -> DataFrame:
         return labels.select(F.col("node").alias(of), F.col("component").alias(f"c_{of}"))
 
-    pairs = stars.select("pivot", "doc").distinct()
-    apart = pairs.join(label("pivot"), "pivot", "left").join(label("doc"), "doc", "left").filter(F.coalesce("c_pivot", "pivot") != F.coalesce("c_doc", "doc")).select("pivot", "doc")
-    keys = materialize(stars.join(materialize(apart, "jaccard", tasks), ["pivot", "doc"]).select("key").distinct(), "jaccard", tasks)
-    held = materialize(stars.join(keys, "key"), "jaccard", tasks)
-    members = materialize(held.select("key", F.col("pivot").alias("id")).union(held.select("key", "doc")).distinct(), "jaccard", tasks)
-    cells = materialize(members.groupBy("key").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("cells")), "jaccard", tasks)
-    member = members.join(cells, "key").join(brief, "id").join(label("id"), "id", "left").withColumn("c", F.coalesce("c_id", "id")).drop("c_id")
-    return held, materialize(member, "jaccard", tasks)
-
-
-def _relabel(labels: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Components after adding the links ``fresh(a, b)``."""
-    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return materialize(connected_components(known.unionByName(fresh), "a", "b"), "jaccard")
+    star = stars.filter("several").select("pivot", "id", "pn", "n", F.size("lost").alias("lost"), (F.size("lost") + F.size("gained")).alias("d"))
+    star = star.join(label("id"), "id", "left").join(label("pivot"), "pivot", "left")
+    star = star.withColumn("c", F.coalesce("c_id", "id")).withColumn("far", F.col("c") != F.coalesce("c_pivot", "pivot")).drop("c_id", "c_pivot")
+    star = materialize(star, "jaccard")
+    several = star.groupBy("pivot").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("pivot")
+    # a far set's partner may equal the pivot, any other set's partner is a far one
+    k = F.when(F.col("far"), F.ceil((den * F.col("d") - num * (F.col("n") + F.col("pn"))) / (2 * den)))
+    k = k.otherwise(F.greatest(F.lit(1), F.floor((den * F.col("d") + num * (F.col("pn") - F.col("n"))) / (2 * den)) + 1))
+    # no partner is farther than the sizes allow, so it differs from the pivot in much the same
+    k = F.greatest(k, F.col("d") - F.floor(F.col("n") * num / rule.num))
+    part = star.withColumn("k", k).filter("k <= d").join(several, "pivot", "left_semi").withColumn("enough", F.floor(F.col("pn") * num / rule.num) + 1)
+    take = F.greatest(F.lit(0), F.col("d") - F.col("k") + F.col("enough")).cast("int")  # of the gained: d - lost, less k - lost, and enough
+    part = materialize(part.select("pivot", "id", "c", "n", "d", "lost", "k", "enough", take.alias("take")), "jaccard")
+
+    def rows_of(members: DataFrame, e) -> DataFrame:
+        rows = stars.select("pivot", "id", F.col("lost").alias("l"), "gained").join(members, ["pivot", "id"]).select("pivot", "id", "c", F.explode(e).alias("e"))
+        return materialize(rows, "jaccard")
+
+    def held_apart(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy("pivot", "e").agg(F.count("*").alias("df"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("pivot", "e", "df")
+        return rows.select("pivot", "e", "id").join(materialize(held, "jaccard"), ["pivot", "e"])
+
+    gained = held_apart(rows_of(part, F.slice("gained", F.lit(1), F.col("take")))).groupBy("pivot", "id").agg(F.count("*").alias("also"))
+    left = lambda p: materialize(p.filter("k <= d").filter(F.col("also") >= F.least(F.col("k") - F.col("lost"), F.col("enough"))), "jaccard")
+    part = left(part.drop("take").join(gained, ["pivot", "id"], "left").fillna(0, ["also"]))
+    for _ in range(2):
+        # who has left is nobody's partner: the others' distances raise k
+        of = part.groupBy("pivot").agg(F.min("d").alias("least"), F.max("n").alias("most"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+        k = F.ceil((den * (F.col("d") + F.col("least")) - num * (F.col("n") + F.col("most"))) / (2 * den))
+        part = left(part.join(of.select("pivot", "least", "most"), "pivot").withColumn("k", F.greatest("k", k)).drop("least", "most"))
+    part = part.select("pivot", "id", "c", "n", "d", "k")
+    pair = F.xxhash64("pivot", "id").alias("pair")
+    stars = stars.select(pair, "pivot", "id", "lost", "gained")
+    stars = stars.mapInArrow(_listed(idfilter.build(part.select(pair))), stars.schema)
+    common = materialize(held_apart(rows_of(part, F.concat("l", "gained"))), "jaccard")
+    own = Window.partitionBy("pivot", "id")
+    first = common.join(part, ["pivot", "id"]).withColumn("shared", F.count("*").over(own)).filter("shared >= k")
+    first = first.withColumn("r", F.row_number().over(own.orderBy("df", "e"))).filter("r <= shared - k + 1").select("pivot", "e", "id", "c", "n", "d", "shared")
+    first = materialize(first, "jaccard")
+    x, y = first.alias("x"), first.alias("y")
+    fits = F.expr(f"{den} * (x.d + y.d - 2 * least(x.shared, y.shared)) <= {num} * (x.n + y.n)")
+    meet = [F.col("x.pivot") == F.col("y.pivot"), F.col("x.e") == F.col("y.e"), F.col("x.id") < F.col("y.id"), F.col("x.c") != F.col("y.c"), fits]
+    return x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
@@ -285,45 +378,26 @@ def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     equal = materialize(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"), "jaccard")
     copies = sets.join(equal, ["n_shingles", "f1", "f2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    # tiles: pairs of each member with a pivot
-    keys = docs.mapInArrow(_keys(rule), "key bigint, doc bigint, pivot bigint")
+    # pairs of each member of a tile with its pivot
+    keys = docs.mapInArrow(_keys(rule), "key bigint, doc bigint, pivot bigint, pop int")
     route = F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.xxhash64("key", "doc"))
-    stars = materialize(keys.repartition(route).sortWithinPartitions("key", "doc").mapInArrow(_stars, "key bigint, pivot bigint, doc bigint"), "jaccard")
-    tasks = tasks_for(docs.sparkSession, 2 * stars.count())
-    pairs = materialize(stars.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "jaccard", tasks)
-    ids = pairs.select("a").union(pairs.select("b"))
+    met = keys.repartition(route).sortWithinPartitions("key", F.desc("pop"), "doc").mapInArrow(_stars, "key bigint, pivot bigint, doc bigint, own boolean")
+    met = materialize(met, "jaccard")
+    pairs = materialize(_pairs(met), "jaccard", tasks_for(docs.sparkSession, 2 * met.count()))
+
+    # exact differences of the pairs
+    ids = pairs.select("pivot").union(pairs.select("id"))
     arrays = docs.mapInArrow(_arrays(rule, idfilter.build(ids)), "id bigint, n bigint, arr binary, " + ", ".join(f"{w} bigint" for w in BITMAP))
     arrays = materialize(arrays, "jaccard")
-    links = materialize(_linked_pairs(pairs, arrays, rule).unionByName(copies), "jaccard")
+    stars = materialize(_compared(pairs, arrays, rule), "jaccard")
+    near = stars.filter((F.size("lost") + F.size("gained")) * (rule.den + rule.num) <= (F.col("n") + F.col("pn")) * (rule.den - rule.num))
+    links = materialize(near.select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(copies), "jaccard")
     labels = materialize(connected_components(links, "a", "b"), "jaccard")
 
-    # tiles that still hold several components: neighbours in a few random orders first
-    brief = materialize(arrays.select("id", "n", *BITMAP), "jaccard")
-    for turn in range(ROUNDS):
-        stars, member = _open_tiles(stars, labels, brief, tasks)
-        member = member.withColumn("cell", F.pmod(F.xxhash64("id", F.lit(turn)), F.col("cells")))
-        order = Window.partitionBy("key", "cell").orderBy(F.xxhash64("id", F.lit(turn)), "id")
-        sides = F.struct("id", "c", "n", *BITMAP)
-        after = member.withColumn("after", F.array(*(F.lead(sides, step).over(order) for step in range(1, STEPS + 1))))
-        fit = F.filter("after", lambda y: y.isNotNull() & (y["c"] != F.col("c")) & _may_link(rule, F.col, lambda c: y[c]))
-        near = after.select("id", F.explode(F.transform(fit, lambda y: y["id"])).alias("other"))
-        near = materialize(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "jaccard", tasks)
-        fresh = materialize(_linked_pairs(near, arrays, rule), "jaccard")
-        if fresh.isEmpty():
-            break
-        labels = _relabel(labels, fresh)
-
-    # then all their pairs across components, in cells
-    stars, member = _open_tiles(stars, labels, brief, tasks)
-    member = member.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
-    spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    spread = materialize(spread.select("key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "id", "c", "n", *BITMAP), "jaccard")
-    x, y = spread.alias("x"), spread.alias("y")
-    meet = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("key", "i", "j")]
-    more = x.join(y, [*meet, F.col("x.id") < F.col("y.id"), F.col("x.c") != F.col("y.c"), _may_link(rule)]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = materialize(more, "jaccard")
-    if not more.isEmpty():
-        fresh = materialize(_linked_pairs(more, arrays, rule), "jaccard")
-        if not fresh.isEmpty():
-            labels = _relabel(labels, fresh)
+    # pairs of one star in different components
+    more = materialize(_across(stars, labels, rule), "jaccard")
+    fresh = materialize(_linked_pairs(more, arrays, rule), "jaccard")
+    if not fresh.isEmpty():
+        known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = materialize(connected_components(known.unionByName(fresh), "a", "b"), "jaccard")
     return sets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -128,6 +128,38 @@ def test_jaccard_components_equal_all_pairs(spark):
     assert got == brute_jaccard(texts)
 
 
+def edited(r, words, share):
+    """A copy with words replaced, dropped or doubled."""
+    out = []
+    for w in words:
+        x = r.random()
+        out += [w] if x > share else [[f"n{r.random()}"], [], [w, w]][r.randrange(3)]
+    return out
+
+
+def test_jaccard_of_a_large_group_just_under_the_threshold(spark):
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    kin = edited(r, base, 0.04)  # a second original, with copies of its own
+    group = [edited(r, base, r.choice([0.0, 0.01, 0.02, 0.03, 0.05])) for _ in range(330)]
+    group += [edited(r, kin, r.choice([0.01, 0.02, 0.03])) for _ in range(90)]
+    group += [edited(r, group[-1], 0.01), edited(r, group[5], 0.0), *(g[:-20] for g in group[:30])]
+    texts = [" ".join(g) for g in group]
+    want = brute_jaccard(texts)
+    assert len({c for _, c in want.values()}) > 30
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_classes(docs(spark, texts)).collect()}
+    assert got == want
+
+
+def test_jaccard_edge_rows(spark):
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    rows = [(1, long), (1, long), (2, long + " end"), (None, long), (3, None), (4, "one two"), (4, "one two"), (5, "ONE two")]
+    d = spark.createDataFrame([(i, t, 0, 0, 0) for i, t in rows], "doc_id bigint, text string, key int, pivot int, component int")
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.component_id) for x in jaccard.similar_classes(d).collect())
+    assert got == [(False, 1, 1), (False, 1, 1), (False, 2, 1), (False, 3, 3), (False, 4, 4), (False, 4, 4), (False, 5, 4), (True, 0, None)]
+    assert jaccard.similar_classes(d.filter("doc_id > 9")).count() == 0
+
+
 @pytest.mark.parametrize("num", [70, 80, 85, 95])
 def test_tiles_lose_no_linked_pair(num):
     rule, rng = jaccard.Rule(num=num), np.random.default_rng(5)
