@@ -39,6 +39,13 @@ def lit(spark: SparkSession, d: str) -> DataFrame:
     return gray(spark, d).filter(F.col("v") > INK).select("image_id", "y", "x")
 
 
+def scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Dark marks on paper: bright pixels as ink, three times as large, with a margin."""
+    p = gray(spark, d).withColumn("v", F.when(F.col("v") > INK + 5, 40).otherwise(230))
+    big = R.resize(p, R.shape(p).withColumns({"nh": F.col("h") * 3, "nw": F.col("w") * 3}), "linear")
+    return materialize(R.pad_half(big.withColumn("v", F.rint("v").cast("int")), 0.5), "scenes")
+
+
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     return materialize(I.label_runs(lit(spark, d)), "labels")
 
@@ -251,14 +258,14 @@ SHAPE_MODEL = [{"median_for_missing": m, "mean": u, "std": s, "weight": w} for m
 @query
 def judge_rasters(spark, d):
     """Whole photographs: ink test, eight features at full height, decision."""
-    out = G.judge_rasters(R.pad_half(gray(spark, d), 0.5), SHAPE_MODEL, 0.1, live=False)
+    out = G.judge_rasters(scenes(spark, d), SHAPE_MODEL, 0.1, live=False)
     return r6(out.select("image_id", "reason", "prob", "this_frame"), "prob")
 
 
 @query
 def judge_live(spark, d):
     """Live frames: the gate, then the features of its crop."""
-    out = G.judge_rasters(R.pad_half(gray(spark, d), 0.5), SHAPE_MODEL, 0.1)
+    out = G.judge_rasters(scenes(spark, d), SHAPE_MODEL, 0.1)
     return r6(out.select("image_id", G.shown_reason(F.col("reason")).alias("reason"), "prob", "this_frame"), "prob")
 
 
@@ -318,14 +325,14 @@ def mean_reader(pictures: DataFrame) -> DataFrame:
 
 @query
 def find_glyphs(spark, d):
-    glyphs, pictures = L.find_glyphs(R.pad_half(gray(spark, d), 0.5), sensitivity=8.0, least=3, block=5)
+    glyphs, pictures = L.find_glyphs(scenes(spark, d), least=4)
     seen = pictures.groupBy("image_id", "pos").agg(F.count("*").alias("pixels"), F.avg("v").alias("mean"))
     return r6(glyphs.drop("labels").join(seen, ["image_id", "pos"]), "mean")
 
 
 @query
 def read_frames(spark, d):
-    return L.read_frame(R.pad_half(gray(spark, d), 0.5), mean_reader, min_conf=0.3, sensitivity=8.0, least=3, block=5)[1]
+    return L.read_frame(scenes(spark, d), mean_reader, min_conf=0.3, least=4)[1]
 
 
 @query
