@@ -3,7 +3,7 @@
 The symbols of many words stand in one flat array.  A round looks up every
 adjacent pair by binary search over the sorted pair keys, takes the lowest rank
 of each word with ``minimum.reduceat`` and merges all its occurrences.  Words
-seen before come from a bounded cache of the Python worker.
+seen before come from a cache of the task, bounded in bytes.
 
 Edge cases: a null or empty text has no tokens (hash of the empty string);
 texts of any length are encoded whole; repeated rows give repeated results; an
@@ -23,7 +23,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 400_000
+from rasterlake.llm.kernels import tidy
+
+CACHE_BYTES = 48 << 20
+ENTRY_BYTES = 200
 GROUP_CHARS = 2_000_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -53,6 +56,7 @@ class ByteBPE:
         for token, i in added.items():
             self.bytes_of[i] = token.encode()
         self.text_of = [str(i) for i in range(top)]
+        self.id_of = list(range(top))  # one object an id, which all cached words share
         self.first = np.zeros(256, np.int64)
         for c, b in of_char.items():
             self.first[b] = vocab[c]
@@ -71,6 +75,7 @@ class ByteBPE:
         self.rank = np.append(rank[order], self.none)
         self.made = made
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def _ranks(self, sym: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Rank of the pair that begins at each symbol; ``none`` where there is none."""
@@ -95,7 +100,7 @@ class ByteBPE:
             done = least == self.none
             if done.any():
                 for b, n in zip(begin[done].tolist(), length[done].tolist()):
-                    out[word[b]] = tuple(sym[b : b + n].tolist())
+                    out[word[b]] = tuple(map(self.id_of.__getitem__, sym[b : b + n].tolist()))
                 stay = np.repeat(~done, length)
                 sym, word, rank = sym[stay], word[stay], rank[stay]
                 least, length = least[~done], length[~done]
@@ -113,6 +118,11 @@ class ByteBPE:
             sym, word = sym[keep], word[keep]
         return out
 
+    def forget(self) -> None:
+        """Empties the cache of words."""
+        self.cache.clear()
+        self.held = 0
+
     def _pieces(self, text: str) -> list[str]:
         if self.cut is None or not self.cut.search(text):
             return self.split.findall(text)
@@ -127,13 +137,15 @@ class ByteBPE:
         """Ids of each text."""
         split = [self._pieces(t) for t in batch]
         seen = set(chain.from_iterable(split))
-        if len(self.cache) + len(seen) > CACHE_WORDS:
-            self.cache.clear()
+        if self.held > CACHE_BYTES:
+            self.forget()
         fresh = [w for w in seen if w not in self.cache and w not in self.added]
         known = self.cache
         for lo in range(0, len(fresh), 50_000):
             part = fresh[lo : lo + 50_000]
-            known.update(zip(part, self.merge(part)))
+            made = self.merge(part)
+            known.update(zip(part, made))
+            self.held += ENTRY_BYTES * len(part) + sum(map(len, part)) + 8 * sum(map(len, made))
         known.update((t, (i,)) for t, i in self.added.items())
         get = known.__getitem__
         return [list(chain.from_iterable(map(get, ws))) for ws in split]
@@ -190,8 +202,9 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
                 if with_ids:
                     cols, names = [*cols, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        bpe.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -203,4 +216,4 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [bpe.decode_bytes(ids or ()).decode() for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id bigint, text string")

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterlake.llm.kernels import ALNUM, U64, chunks, mix, window_hashes, word_hashes, words
+from rasterlake.llm.kernels import ALNUM, U64, chunks, mix, tidy, window_hashes, word_hashes, words
 from rasterlake.session import materialize
 
 BLOCK_WORDS = 100_000
@@ -297,7 +297,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8, min_words:
                 cols += [pa.array([1 - v[0] / v[3] for _, v in rows], pa.float64()), pa.array([v[2] for _, v in rows], pa.int32()), pa.array([v[1] for _, v in rows], pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "distance", "similarity", "start_word", "end_word"])
 
-        out = out.unionByName(materialize(docs.mapInArrow(run, SCHEMA), "leaks"))
+        out = out.unionByName(materialize(docs.mapInArrow(tidy(run), SCHEMA), "leaks"))
         sent.destroy()
     return out
 
@@ -317,5 +317,5 @@ def clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8, min_words:
                 keep[[hit[0] for hit in _search(sent.value, batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

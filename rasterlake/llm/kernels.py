@@ -8,8 +8,9 @@ is a fixed number of passes over the bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 #: Bytes of words under the contract's class ``[^\x20\x09-\x0D]``.
 NOT_SPACE = np.ones(256, bool)
@@ -29,6 +30,28 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def trim() -> None:
+    """Gives freed memory back, so that a reused Python worker does not keep a task's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over a task's batches, with ``trim`` at its end."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the public splitmix64 finaliser)."""
     x = x ^ (x >> U64(30))
@@ -43,21 +66,26 @@ def mix1(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], U64))[0])
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    def of(b: int) -> np.ndarray:
-        out = np.full(size, b, U64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return of(base), of(pow(base, -1, 2**64))
+#: One table a base in each worker; those for single texts over ``KEPT_POWERS`` are not kept.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+KEPT_POWERS = 4 * CHUNK_BYTES
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and its inverse modulo 2**64 for i below ``n``."""
-    size = 1 << max(12, int(n).bit_length())
-    up, down = _powers(base, size)
-    return up[:n], down[:n]
+
+    def of(b: int, size: int) -> np.ndarray:
+        out = np.full(size, b, U64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    table = _POWERS.get(base)
+    if table is None or len(table[0]) < n:
+        size = 1 << max(12, int(n).bit_length())
+        table = of(base, size), of(pow(base, -1, 2**64), size)
+        if size <= KEPT_POWERS:
+            _POWERS[base] = table
+    return table[0][:n], table[1][:n]
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

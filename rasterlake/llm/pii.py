@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from rasterlake.llm import idfilter
+from rasterlake.llm.kernels import tidy
 from rasterlake.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -44,7 +45,7 @@ LEAD, TRAIL = "\"'([{<.,;:", "\"')]}>.,;:!?"
 WIDE = re.compile(r"[\x20\x09-\x0D\"'(\[{<.,;:]{8}")
 WORD = re.compile(r"\w+")
 CONTEXT_CHARS = 48
-CACHE = 300_000
+CACHE = 100_000
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 CANDIDATE = "array<struct<kind:string,start:int,end:int,patterns:array<string>>>"
 
@@ -240,7 +241,7 @@ def _occurrences(texts: DataFrame, sent=None, by: str = "base") -> DataFrame:
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "instance", "pattern", "n"])
 
-    return texts.mapInArrow(run, "kind string, instance string, pattern string, n bigint")
+    return texts.mapInArrow(tidy(run), "kind string, instance string, pattern string, n bigint")
 
 
 def learn(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
@@ -333,7 +334,7 @@ def _scan(table: dict | None, marks=None):
 
 def _joined(keyed: DataFrame, learned: DataFrame) -> DataFrame:
     """``row, doc_id, base, more`` of ``(row, doc_id, text)`` for more patterns than are broadcast."""
-    seen = materialize(keyed.mapInArrow(_scan(None, _pattern_set(learned.select("pattern").distinct())), f"row string, doc_id bigint, base {SPAN}, found {CANDIDATE}"), "pii")
+    seen = materialize(keyed.mapInArrow(tidy(_scan(None, _pattern_set(learned.select("pattern").distinct()))), f"row string, doc_id bigint, base {SPAN}, found {CANDIDATE}"), "pii")
     occ = seen.select("row", F.explode("found").alias("f")).select("row", "f.start", "f.end", F.explode("f.patterns").alias("pattern"))
     fresh = occ.join(learned, "pattern").groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("conf", "kind")).alias("kind"))
     fresh = fresh.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))  # at most one row's spans
@@ -353,7 +354,7 @@ def extract(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support:
         seen = _joined(materialize(rows, "pii"), learned)
     else:
         sent = docs.sparkSession.sparkContext.broadcast(table)
-        seen = rows.mapInArrow(_scan(sent), f"row string, doc_id bigint, base {SPAN}, found {CANDIDATE}")
+        seen = rows.mapInArrow(tidy(_scan(sent)), f"row string, doc_id bigint, base {SPAN}, found {CANDIDATE}")
         seen = seen.select("row", "doc_id", "base", F.expr("transform(found, s -> struct(s.kind as kind, s.start as start, s.end as end))").alias("more"))
     rank = F.expr("transform(concat(base, more), s -> struct(s.start as start, array_position(array('email','ip','card','phone'), s.kind) as k, s.end as end, s.kind as kind))")
     spans = F.expr("transform(array_sort(ranked), s -> struct(s.kind as kind, s.start as start, s.end as end))")
@@ -416,7 +417,7 @@ def _masked(docs: DataFrame, table: dict[str, tuple[float, str]]) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 :]], names=cols)
 
-    done = docs.mapInArrow(run, docs.schema)
+    done = docs.mapInArrow(tidy(run), docs.schema)
     return done.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in cols else done
 
 
@@ -435,5 +436,5 @@ def _redact_joined(docs: DataFrame, learned: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : spans_at]], names=cols)
 
     joined = keyed.join(spans, keyed["__row"] == spans["row"], "left").select(*[keyed[c] for c in cols], "__spans")
-    done = joined.mapInArrow(run, docs.schema)
+    done = joined.mapInArrow(tidy(run), docs.schema)
     return done.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in cols else done

@@ -5,9 +5,10 @@ of a text, lower-cased and hashed into 2**31 slots, each with value 1.  The
 learner is FTRL-proximal with a rate of its own for every coordinate and L1
 regularisation, so only a small sorted array of slots and weights is broadcast.
 
-Training uses a bounded sample of labelled rows (``max_rows``, those with the
-smallest hash of ``doc_id``), whose features Spark extracts; one task then runs
-the sequential learner over that bounded block.  A feature of a single row is
+Training uses a bounded sample of labelled rows: those with the smallest hash of
+``doc_id``, ``max_rows`` at most and with ``max_slots`` features at most (one row
+at least).  Spark extracts the features; one task then runs the sequential
+learner over that bounded block.  A feature of a single row is
 left out beforehand, as L1 would leave it at zero.  Scoring covers every row
 without a shuffle.
 
@@ -21,11 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from rasterlake.llm.kernels import ALNUM, LOWER, U64, chunks, mix, signed, window_hashes, word_hashes, words
+from rasterlake.llm.kernels import ALNUM, LOWER, U64, chunks, mix, signed, tidy, window_hashes, word_hashes, words
 from rasterlake.session import materialize
 
 SLOT_BITS = 31
@@ -46,30 +46,32 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, slots) of the training sample."""
+    """(o, label, n, slots) of the training sample."""
     for batch in batches:
-        for lo, hi, data, offsets in chunks(batch.column(1)):
+        for lo, hi, data, offsets in chunks(batch.column(2)):
             slots = [np.unique(x).astype(np.int32).tobytes() for x in features(data, offsets)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(slots, pa.binary())],
-                names=["label", "slots"],
-            )
+            cols = [*(c.slice(lo, hi - lo) for c in batch.columns[:2]), pa.array([len(s) // 4 for s in slots], pa.int64()), pa.array(slots, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["o", "label", "n", "slots"])
 
 
-def _ftrl(rows: pd.DataFrame, epochs: int, alpha: float, beta: float, l1: float, l2: float, positive: float) -> pd.DataFrame:
-    """FTRL-proximal over the sample, row after row; the weights that are not zero."""
-    rows = rows.sort_values(["slots", "label"])
-    each, label = [np.frombuffer(s, np.int32) for s in rows["slots"]], rows["label"].to_numpy(float)
-    names, count = np.unique(np.concatenate(each), return_counts=True)
+def _ftrl(flat: np.ndarray, size: np.ndarray, label: np.ndarray, epochs: int, alpha: float, beta: float, l1: float, l2: float, positive: float) -> tuple[np.ndarray, np.ndarray]:
+    """FTRL-proximal over rows of ``size`` slots each, row after row; slots and weights that are not zero."""
+    ordered = np.sort(flat)
+    first = np.append(True, ordered[1:] != ordered[:-1])
     # one row moves z by at most epochs * positive, which may not pass l1
-    names = names[count > 1] if epochs * positive <= 2 * l1 else names
+    if epochs * positive <= 2 * l1:
+        first[:-1] &= ordered[1:] == ordered[:-1]
+        first[-1:] = False
+    names = ordered[first]
+    del ordered, first
     bias = len(names)
 
     def local(x: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(names, x), max(0, bias - 1))
-        return np.append(at[names[at] == x] if bias else at[:0], bias)
+        return np.append(at[names[at] == x] if bias else at[:0], bias).astype(np.int32)
 
-    parts = [local(x) for x in each]
+    ends = np.cumsum(size)
+    parts = [local(flat[z - n : z]) for z, n in zip(ends.tolist(), size.tolist())]
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
@@ -88,13 +90,37 @@ def _ftrl(rows: pd.DataFrame, epochs: int, alpha: float, beta: float, l1: float,
             n[at] += g * g
     w = weights(z, n)
     keep = (w != 0) | (np.arange(bias + 1) == bias)
-    return pd.DataFrame({"slot": np.append(names.astype(np.int64), BIAS)[keep], "w": w[keep]})
+    return np.append(names.astype(np.int64), BIAS)[keep], w[keep]
+
+
+def _fit(*args: float):
+    """The learner in one task, over all rows that come, in an order of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, size, label, mark = [], [], [], []
+        for batch in batches:
+            for y, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = np.frombuffer(s.as_buffer(), np.int32)
+                flat.append(x.copy())
+                size.append(len(x))
+                label.append(y)
+                mark.append(int(mix(x.astype(U64)).sum()))
+        if not size:
+            return
+        order = np.lexsort((np.array(label), np.array(mark, U64), np.array(size)))
+        joined = np.concatenate([flat[i] for i in order])
+        flat.clear()
+        slot, w = _ftrl(joined, np.array(size)[order], np.array(label, float)[order], *args)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(w, pa.float64())], names=["slot", "w"])
+
+    return run
 
 
 def train(
     docs: DataFrame,
     labels: DataFrame,
     max_rows: int = 16_384,
+    max_slots: int = 1 << 25,
     epochs: int = 3,
     alpha: float = 1.0,
     beta: float = 1.0,
@@ -104,7 +130,8 @@ def train(
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots, weights and bias from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    ``max_rows`` bounds the sample of labelled rows that is fitted, in one task;
+    ``max_rows`` and ``max_slots`` bound the sample of labelled rows that is
+    fitted, in one task, in rows and in features (four bytes each);
     ``positive`` is the weight of a toxic row.  A document with two labels
     counts as toxic if either says so.
     """
@@ -115,11 +142,14 @@ def train(
         .withColumn("o", F.xxhash64("doc_id"))
         .orderBy("o", "doc_id")
         .limit(max_rows)
-        .select("doc_id", "label")
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text")
-    rows = materialize(sample.mapInArrow(_rows, "label int, slots binary"), "toxic")
-    fit = rows.groupBy(F.lit(0).alias("block")).applyInPandas(lambda pdf: _ftrl(pdf, epochs, alpha, beta, l1, l2, positive), "slot bigint, w double")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("o", "label", "text")
+    rows = materialize(sample.mapInArrow(tidy(_rows), "o bigint, label int, n bigint, slots binary"), "toxic")
+    # a row of two numbers for each of the sample's at most max_rows
+    before = F.coalesce(F.sum("n").over(Window.orderBy("o").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"), F.lit(0))
+    fits = rows.select("o", "n").withColumn("before", before).filter((F.col("before") + F.col("n") <= max_slots) | (F.col("before") == 0)).select("o").distinct()
+    block = rows.join(F.broadcast(fits), "o", "left_semi").select("label", "slots").coalesce(1)
+    fit = block.mapInArrow(tidy(_fit(epochs, alpha, beta, l1, l2, positive)), "slot bigint, w double")
     got = {r["slot"]: r["w"] for r in fit.collect()}
     slot = np.array(sorted(s for s in got if s != BIAS), np.int64)
     return slot, np.array([got[s] for s in slot.tolist()], float), got.get(BIAS, 0.0)
@@ -153,4 +183,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + (", score double" if keep is None else ", toxic_score double")
-    return docs.select(*cols, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*cols, F.col("text").alias("__text")).mapInArrow(tidy(run), schema)
