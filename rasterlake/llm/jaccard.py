@@ -31,19 +31,20 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rasterlake.llm import idfilter
-from rasterlake.llm.kernels import LOWER, U64, chunks, mix, signed, window_hashes, word_hashes, words
+from rasterlake.llm.kernels import LOWER, U64, chunks, mix, signed, tidy, window_hashes, word_hashes, words
 from rasterlake.operators.graph import connected_components
 from rasterlake.session import materialize, tasks_for
 
 BITMAP_WORDS = 16
 FLUSH_KEYS = 1_000_000
+SHARES = 3
 BITMAP = [f"w{i}" for i in range(BITMAP_WORDS)]
 
 
@@ -260,10 +261,10 @@ def _listed(ids):
 def _linked_pairs(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     """``a, b, ok`` for each pair: bitmap bound first, then exact intersection."""
     ids = idfilter.build(pairs.select("a").union(pairs.select("b")))
-    side = arrays.select("id", "n", *BITMAP, "arr").mapInArrow(_listed(ids), arrays.select("id", "n", *BITMAP, "arr").schema)
+    side = arrays.select("id", "n", *BITMAP, "arr").mapInArrow(tidy(_listed(ids)), arrays.select("id", "n", *BITMAP, "arr").schema)
     both = pairs.join(side.alias("x"), F.col("a") == F.col("x.id")).join(side.alias("y"), F.col("b") == F.col("y.id"))
     both = both.filter(_may_link(rule)).select("a", "b", F.col("x.arr").alias("p"), F.col("y.arr").alias("q"))
-    return both.mapInArrow(_verify(rule), "a bigint, b bigint, ok boolean").filter("ok").select("a", "b").distinct()
+    return both.mapInArrow(tidy(_verify(rule)), "a bigint, b bigint, ok boolean").filter("ok").select("a", "b").distinct()
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +298,16 @@ def _compared(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     x, y = brief.alias("x"), brief.alias("y")
     both = pairs.withColumnRenamed("id", "a").join(x, F.col("a") == F.col("x.id")).join(y, F.col("pivot") == F.col("y.id"))
     wanted = materialize(both.filter(F.col("several") | _may_link(rule)).select("pivot", "a", "several"), "jaccard")
-    ids = idfilter.build(wanted.select("a").union(wanted.select("pivot")))
-    side = arrays.select("id", "arr").mapInArrow(_listed(ids), "id bigint, arr binary")
-    x, y = side.alias("x"), side.alias("y")
-    sent = wanted.join(x, F.col("a") == F.col("x.id")).join(y, F.col("pivot") == F.col("y.id"))
-    sent = sent.select("pivot", F.col("a").alias("id"), "several", F.col("y.arr").alias("p"), F.col("x.arr").alias("q"))
-    return sent.mapInArrow(_differences, "pivot bigint, id bigint, several boolean, pn bigint, n bigint, lost array<bigint>, gained array<bigint>")
+    done = []
+    for r in range(SHARES):  # a share of the pivots at a time, so that only its arrays are on the way at once
+        share = wanted.filter(F.pmod(F.xxhash64("pivot"), F.lit(SHARES)) == r)
+        ids = idfilter.build(share.select("a").union(share.select("pivot")))
+        side = arrays.select("id", "arr").mapInArrow(tidy(_listed(ids)), "id bigint, arr binary")
+        x, y = side.alias("x"), side.alias("y")
+        sent = share.join(x, F.col("a") == F.col("x.id")).join(y, F.col("pivot") == F.col("y.id"))
+        sent = sent.select("pivot", F.col("a").alias("id"), "several", F.col("y.arr").alias("p"), F.col("x.arr").alias("q"))
+        done.append(materialize(sent.mapInArrow(tidy(_differences), "pivot bigint, id bigint, several boolean, pn bigint, n bigint, lost array<bigint>, gained array<bigint>"), "jaccard"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def _across(stars: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
@@ -372,24 +377,24 @@ def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
     rule = rule or Rule()
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = materialize(docs.mapInArrow(_sets(rule), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint"), "jaccard")
+    sets = materialize(docs.mapInArrow(tidy(_sets(rule)), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint"), "jaccard")
 
     # equal sets: their smallest document stands for them
     equal = materialize(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"), "jaccard")
     copies = sets.join(equal, ["n_shingles", "f1", "f2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     # pairs of each member of a tile with its pivot
-    keys = docs.mapInArrow(_keys(rule), "key bigint, doc bigint, pivot bigint, pop int")
+    keys = docs.mapInArrow(tidy(_keys(rule)), "key bigint, doc bigint, pivot bigint, pop int")
     route = F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.xxhash64("key", "doc"))
-    met = keys.repartition(route).sortWithinPartitions("key", F.desc("pop"), "doc").mapInArrow(_stars, "key bigint, pivot bigint, doc bigint, own boolean")
+    met = keys.repartition(route).sortWithinPartitions("key", F.desc("pop"), "doc").mapInArrow(tidy(_stars), "key bigint, pivot bigint, doc bigint, own boolean")
     met = materialize(met, "jaccard")
     pairs = materialize(_pairs(met), "jaccard", tasks_for(docs.sparkSession, 2 * met.count()))
 
     # exact differences of the pairs
     ids = pairs.select("pivot").union(pairs.select("id"))
-    arrays = docs.mapInArrow(_arrays(rule, idfilter.build(ids)), "id bigint, n bigint, arr binary, " + ", ".join(f"{w} bigint" for w in BITMAP))
+    arrays = docs.mapInArrow(tidy(_arrays(rule, idfilter.build(ids))), "id bigint, n bigint, arr binary, " + ", ".join(f"{w} bigint" for w in BITMAP))
     arrays = materialize(arrays, "jaccard")
-    stars = materialize(_compared(pairs, arrays, rule), "jaccard")
+    stars = _compared(pairs, arrays, rule)
     near = stars.filter((F.size("lost") + F.size("gained")) * (rule.den + rule.num) <= (F.col("n") + F.col("pn")) * (rule.den - rule.num))
     links = materialize(near.select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(copies), "jaccard")
     labels = materialize(connected_components(links, "a", "b"), "jaccard")
