@@ -1,9 +1,10 @@
 """Vectorised helpers that run inside Spark's Arrow tasks.
 
 A batch of texts is looked at as one byte array with row offsets.  Words are
-byte runs, their hashes come from prefix sums of a polynomial modulo 2**64, and
-hashes of word windows come from prefix sums over word hashes, so every kernel
-is a fixed number of passes over the bytes.
+byte runs; a word's hash adds a scrambled value of each byte and its place, and
+hashes of word windows join the hashes of two halves, scrambled at every step.
+No hash is a polynomial: those modulo 2**64 are equal for some pairs of regular
+words whatever their base.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+PLACE_SALT, JOIN = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Places of a word whose values are kept in a table; those behind are computed.
+PLACES = 32
 CHUNK_BYTES = 1 << 18
 
 #: Bytes of words under the contract's class ``[^\x20\x09-\x0D]``.
@@ -61,31 +64,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def mix1(x: int) -> int:
-    """``mix`` of one integer."""
-    return int(mix(np.array([x & (2**64 - 1)], U64))[0])
-
-
-#: One table a base in each worker; those for single texts over ``KEPT_POWERS`` are not kept.
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-KEPT_POWERS = 4 * CHUNK_BYTES
+def _place_values(code: np.ndarray) -> np.ndarray:
+    """The value of each ``place << 8 | byte``."""
+    return mix(code.astype(U64) + U64(PLACE_SALT))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and its inverse modulo 2**64 for i below ``n``."""
+PLACE_VALUES = _place_values(np.arange(PLACES << 8))
 
-    def of(b: int, size: int) -> np.ndarray:
-        out = np.full(size, b, U64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
 
-    table = _POWERS.get(base)
-    if table is None or len(table[0]) < n:
-        size = 1 << max(12, int(n).bit_length())
-        table = of(base, size), of(pow(base, -1, 2**64), size)
-        if size <= KEPT_POWERS:
-            _POWERS[base] = table
-    return table[0][:n], table[1][:n]
+def mix1(x: int) -> int:
+    """``mix`` of one integer."""
+    return int(mix(np.array([x & (2**64 - 1)], U64))[0])
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,20 +117,31 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NOT_SPACE)
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, independent of where it stands."""
-    up, down = powers(BYTE_BASE, len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    if not len(starts):
+        return np.zeros(0, U64)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    at = np.arange(int(size.sum()))
+    code = (at - np.repeat(first, size)) << 8 | data[at + np.repeat(starts - first, size)]
+    value = PLACE_VALUES[np.minimum(code, len(PLACE_VALUES) - 1)]
+    far = np.flatnonzero(code >= len(PLACE_VALUES))
+    value[far] = _place_values(code[far])
+    return mix(np.add.reduceat(value, first) + size.astype(U64))
 
 
-def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
+def window_hashes(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hash of each ``k`` consecutive entries of ``h`` (across rows; callers mask)."""
-    if len(h) < k:
+    n = len(h) - k + 1
+    if n <= 0:
         return np.zeros(0, U64)
-    up, down = powers(WORD_BASE, len(h) + 1)
-    sums = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * up[:-1], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[: len(h) - k + 1] + U64(k))
+    join = lambda a, b: mix(a * U64(JOIN) + b + U64(salt))
+    size = 1
+    while 2 * size <= k:
+        h = join(h[:-size], h[size:])
+        size *= 2
+    if size < k:
+        h = join(h[:n], h[k - size :])
+    return mix(h + U64(k))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

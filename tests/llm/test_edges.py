@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from rasterlake.llm import ann, bpe, decontam, idfilter, kernels, langid, packing, pii, substrings, toxicity, warczip
+from rasterlake.llm import ann, bpe, decontam, idfilter, jaccard, kernels, langid, packing, pii, substrings, toxicity, warczip
 
 JSON = P.path("byte_bpe_50k.json")
 WIDE = "doc_id bigint, text string, lang string, source string, n_chars bigint, label int, score double, spans string, row string, key int, told int, part int"
@@ -245,10 +245,41 @@ def test_a_worker_keeps_little():
     for i in range(40):
         coder.encode_batch([" ".join(f"q{i}z{j}" for j in range(20_000))])
         assert coder.held <= bpe.CACHE_BYTES + 20_000 * 1000
-    for n in (10, 5000, kernels.KEPT_POWERS * 3, 70_000):
-        up, down = kernels.powers(kernels.BYTE_BASE, n)
-        assert len(up) == len(down) == n and int(up[1]) == kernels.BYTE_BASE and ((up * down) == 1).all()
-    assert sum(t[0].nbytes + t[1].nbytes for t in kernels._POWERS.values()) <= 2 * 16 * kernels.KEPT_POWERS
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_regular_words_do_not_collide():
+    word = thue_morse(10)
+    other = word.translate(str.maketrans("ab", "ba"))
+    column = pa.array([f"{word} {other} x{word} {word}", "p q q p", "q p p q"])
+    data, offsets = kernels.texts(column)
+    h = kernels.word_hashes(data, *kernels.words(data, offsets)[:2])
+    assert h[0] != h[1] and h[0] == h[3] and h[2] != h[0]
+    x, y = h[4], h[5]
+    bits = [c == "a" for c in thue_morse(6)]
+    one, two = np.where(bits, x, y), np.where(bits, y, x)
+    assert kernels.window_hashes(one, 64) != kernels.window_hashes(two, 64)
+    long = np.arange(120, dtype=np.uint64)
+    for k in (1, 2, 3, 4, 5, 25, 50):
+        g = kernels.window_hashes(long, k)
+        assert len(g) == 121 - k and len(np.unique(g)) == len(g) and (kernels.window_hashes(long[7:], k) == g[7:]).all()
+
+
+def test_collision_pair_in_the_joins(spark):
+    word = thue_morse(10)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{i}" for i in range(49)]
+    texts = [" ".join([*rest[:25], w, *rest[25:]]) for w in (word, other)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.n_removed for r in substrings.dedup(d).collect()] == [0, 0]
+    short = spark.createDataFrame([(0, word), (1, other)], "doc_id bigint, text string")
+    assert sorted(r.component_id for r in jaccard.similar_classes(short).collect()) == [0, 1]
 
 
 def test_remainders_are_those_of_crc32(spark):
