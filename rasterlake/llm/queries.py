@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterlake.llm import ann, bpe, decontam, jaccard, langid, packing, pii, search, substrings, toxicity, warczip
+from rasterlake.llm import ann, bpe, decontam, jaccard, langid, packing, phrases, pii, search, substrings, toxicity, warczip
 from rasterlake.session import scratch_path, ship_code
 
 
@@ -73,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -109,6 +113,23 @@ FROM w LEFT JOIN gone USING (doc_id)
 """
 
 
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+e AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*) AS a FROM e GROUP BY lang, k, g),
+t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k >= 2 AND a >= 30),
+part AS (SELECT lang, k, g, a, j, g[1:j] AS p, g[j + 1:k] AS q FROM c, (SELECT unnest([1, 2, 3]) AS j) WHERE j < k),
+cut AS (SELECT lang, k, part.g, part.a, j, x.a AS l, y.a AS r, CAST((2000000::HUGEINT * part.a) // (x.a + y.a) AS BIGINT) AS score
+        FROM part JOIN (SELECT lang, g AS p, a FROM f) x USING (lang, p) JOIN (SELECT lang, g AS q, a FROM f) y USING (lang, q)),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inner_of AS (SELECT lang, g[i:i + j - 1] AS g, max(a) AS m FROM c, (SELECT unnest([2, 3]) AS j), (SELECT unnest([1, 2, 3]) AS i) WHERE j < k AND i + j - 1 <= k GROUP BY ALL),
+kept AS (SELECT low.*, array_to_string(low.g, ' ') AS phrase FROM low LEFT JOIN inner_of o ON o.lang = low.lang AND o.g = low.g WHERE m IS NULL OR 100 * m < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 s AS (SELECT count(*) AS nn, sum(len(w)) AS ll FROM d WHERE len(w) > 0),
@@ -129,4 +150,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op2_warc_zip": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op9_substring_dedup": OP9_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op2_warc_zip": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op9_substring_dedup": OP9_SQL, "op12_phrases": OP12_SQL, "op13_lexical_search": OP13_SQL}
