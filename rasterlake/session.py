@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +71,57 @@ def materialize(df: DataFrame, name: str = "stage", tasks: int | None = None) ->
         (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    if _STAGES.get() is not None:
+        _STAGES.get().tables.append(out)
+    return out
+
+
+class Stages:
+    """The stage tables written in a ``with stages()`` block."""
+
+    def __init__(self, outer: Stages | None) -> None:
+        self.outer, self.tables = outer, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leaves one to the block around, if there is any."""
+        self.tables = [t for t in self.tables if t is not df]
+        if self.outer is not None:
+            self.outer.tables.append(df)
+        return df
+
+    def release(self, *dfs: DataFrame) -> None:
+        """Deletes some before the block ends."""
+        self.tables = [t for t in self.tables if not any(t is df for df in dfs)]
+        release(*dfs)
+
+
+_STAGES: ContextVar[Stages | None] = ContextVar("stages", default=None)
+
+
+@contextmanager
+def stages() -> Iterator[Stages]:
+    """Deletes the stage tables that are written in its block when that ends, but for those kept."""
+    own = Stages(_STAGES.get())
+    token = _STAGES.set(own)
+    try:
+        yield own
+        release(*own.tables)
+    finally:
+        _STAGES.reset(token)
+
+
+def release(*stages: DataFrame) -> None:
+    """Delete stage tables that ``materialize`` wrote and nothing reads again.
+
+    What was made from them must be written by now: a lost executor's work is
+    done again from the files that it read.
+    """
+    for df in stages:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(df.stage_path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def ship_code(spark: SparkSession) -> None:
