@@ -40,11 +40,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rasterlake.llm import idfilter
 from rasterlake.llm.kernels import LOWER, U64, chunks, mix, signed, tidy, window_hashes, word_hashes, words
 from rasterlake.operators.graph import connected_components
-from rasterlake.session import materialize, tasks_for
+from rasterlake.session import Stages, materialize, stages, tasks_for
 
 BITMAP_WORDS = 16
 FLUSH_KEYS = 1_000_000
-SHARES = 3
+SHARES = 4
 BITMAP = [f"w{i}" for i in range(BITMAP_WORDS)]
 
 
@@ -70,6 +70,18 @@ class Rule:
         """Most elements in which two linked sets of at most ``size`` differ."""
         return 2 * size * (self.den - self.num) // (self.den + self.num)
 
+    #: Columns of a set's signature.
+    columns = BITMAP
+
+    def may_link(self, x=lambda c: F.col(f"x.{c}"), y=lambda c: F.col(f"y.{c}")):
+        """Whether two sets may link by their sizes and signatures, columns ``n, w*`` that ``x`` and ``y`` give."""
+        differing = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in BITMAP), F.lit(0))
+        return self.sizes_fit(x, y, F.least(x("n"), y("n"), (x("n") + y("n")) / 2 - differing / 2))
+
+    def sizes_fit(self, x, y, overlap):
+        """Whether an overlap from above is enough for two sets' sizes."""
+        return overlap * (self.den + self.num) >= self.num * (x("n") + y("n"))
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         """Exact test of two sorted arrays of distinct values."""
         need = -(-self.num * (len(a) + len(b)) // (self.den + self.num))
@@ -214,22 +226,31 @@ def bitmap(u: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _arrays(rule: Rule, wanted):
+def _arrays(rule: Rule, wanted, columns: list[str]):
+    """``id, n, arr`` of the wanted documents, with their bitmaps if ``columns`` names these."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = wanted.value
         for batch in batches:
             batch = batch.filter(pa.array(idfilter.mask(packed, batch.column(0))))
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 sets = list(doc_sets(data, offsets, rule.shingle))
-                maps = np.array([bitmap(u) for u in sets]).reshape(len(sets), BITMAP_WORDS)
+                maps = np.array([bitmap(u) for u in sets]).reshape(len(sets), BITMAP_WORDS) if columns else None
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary()), *(pa.array(maps[:, j]) for j in range(BITMAP_WORDS))],
-                    names=["id", "n", "arr", *BITMAP],
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary()), *(pa.array(maps[:, j]) for j in range(len(columns)))],
+                    names=["id", "n", "arr", *columns],
                 )
 
     return run
 
 
+def set_arrays(docs: DataFrame, pairs: DataFrame, rule: Rule, columns: list[str]) -> DataFrame:
+    """The sorted sets of all documents of ``pairs(pivot, id)``, as a stage table."""
+    ids = idfilter.build(pairs.select("pivot").union(pairs.select("id")))
+    schema = "id bigint, n bigint, arr binary" + "".join(f", {w} bigint" for w in columns)
+    return materialize(docs.mapInArrow(tidy(_arrays(rule, ids, columns)), schema), "jaccard")
+
+
 def _verify(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,14 +261,6 @@ def _verify(rule: Rule):
     return run
 
 
-def _may_link(rule: Rule, x=lambda c: F.col(f"x.{c}"), y=lambda c: F.col(f"y.{c}")):
-    """Size and bitmap bound of the columns ``n, w*`` that ``x`` and ``y`` give, from above."""
-    n = x("n") + y("n")
-    differing = sum((F.bit_count(x(w).bitwiseXOR(y(w))) for w in BITMAP), F.lit(0))
-    overlap = F.least(x("n"), y("n"), n / 2 - differing / 2)
-    return overlap * (rule.den + rule.num) >= rule.num * n
-
-
 def _listed(ids):
     """Rows whose first column may be in a bit set of ids."""
 
@@ -258,13 +271,21 @@ def _listed(ids):
     return run
 
 
-def _linked_pairs(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
-    """``a, b, ok`` for each pair: bitmap bound first, then exact intersection."""
+def _side(table: DataFrame, columns: list[str], ids) -> DataFrame:
+    table = table.select(*columns)
+    return table.mapInArrow(tidy(_listed(ids)), table.schema)
+
+
+def _linked_pairs(pairs: DataFrame, brief: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b`` of the pairs that link: signatures first, then exact intersection."""
     ids = idfilter.build(pairs.select("a").union(pairs.select("b")))
-    side = arrays.select("id", "n", *BITMAP, "arr").mapInArrow(tidy(_listed(ids)), arrays.select("id", "n", *BITMAP, "arr").schema)
+    side = _side(brief, ["id", "n", *rule.columns], ids)
     both = pairs.join(side.alias("x"), F.col("a") == F.col("x.id")).join(side.alias("y"), F.col("b") == F.col("y.id"))
-    both = both.filter(_may_link(rule)).select("a", "b", F.col("x.arr").alias("p"), F.col("y.arr").alias("q"))
-    return both.mapInArrow(tidy(_verify(rule)), "a bigint, b bigint, ok boolean").filter("ok").select("a", "b").distinct()
+    both = materialize(both.filter(rule.may_link()).select("a", "b"), "jaccard")
+    side = _side(arrays, ["id", "arr"], idfilter.build(both.select("a").union(both.select("b"))))
+    sent = both.join(side.alias("x"), F.col("a") == F.col("x.id")).join(side.alias("y"), F.col("b") == F.col("y.id"))
+    sent = sent.select("a", "b", F.col("x.arr").alias("p"), F.col("y.arr").alias("q"))
+    return sent.mapInArrow(tidy(_verify(rule)), "a bigint, b bigint, ok boolean").filter("ok").select("a", "b").distinct()
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,22 +313,22 @@ def _pairs(met: DataFrame) -> DataFrame:
     return members.filter("pivot <> id").groupBy("pivot", "id").agg(F.max("several").alias("several"))
 
 
-def _compared(pairs: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
-    """``pivot, id, several, pn, n, lost, gained`` of the pairs that matter: those that may link by their bitmaps, and those with several members."""
-    brief = materialize(arrays.select("id", "n", *BITMAP), "jaccard")
+def _compared(pairs: DataFrame, brief: DataFrame, arrays: DataFrame, rule: Rule, made: Stages) -> list[DataFrame]:
+    """``pivot, id, several, pn, n, lost, gained`` of the pairs that matter: those that may link by their signatures, and those with several members."""
     x, y = brief.alias("x"), brief.alias("y")
     both = pairs.withColumnRenamed("id", "a").join(x, F.col("a") == F.col("x.id")).join(y, F.col("pivot") == F.col("y.id"))
-    wanted = materialize(both.filter(F.col("several") | _may_link(rule)).select("pivot", "a", "several"), "jaccard")
+    wanted = materialize(both.filter(F.col("several") | rule.may_link()).select("pivot", "a", "several"), "jaccard")
+    made.release(pairs)
     done = []
     for r in range(SHARES):  # a share of the pivots at a time, so that only its arrays are on the way at once
         share = wanted.filter(F.pmod(F.xxhash64("pivot"), F.lit(SHARES)) == r)
-        ids = idfilter.build(share.select("a").union(share.select("pivot")))
-        side = arrays.select("id", "arr").mapInArrow(tidy(_listed(ids)), "id bigint, arr binary")
+        side = _side(arrays, ["id", "arr"], idfilter.build(share.select("a").union(share.select("pivot"))))
         x, y = side.alias("x"), side.alias("y")
         sent = share.join(x, F.col("a") == F.col("x.id")).join(y, F.col("pivot") == F.col("y.id"))
         sent = sent.select("pivot", F.col("a").alias("id"), "several", F.col("y.arr").alias("p"), F.col("x.arr").alias("q"))
         done.append(materialize(sent.mapInArrow(tidy(_differences), "pivot bigint, id bigint, several boolean, pn bigint, n bigint, lost array<bigint>, gained array<bigint>"), "jaccard"))
-    return reduce(DataFrame.unionByName, done)
+    made.release(wanted)
+    return done
 
 
 def _across(stars: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
@@ -373,36 +394,47 @@ def _across(stars: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     return x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
-    rule = rule or Rule()
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = materialize(docs.mapInArrow(tidy(_sets(rule)), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint"), "jaccard")
-
-    # equal sets: their smallest document stands for them
-    equal = materialize(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"), "jaccard")
-    copies = sets.join(equal, ["n_shingles", "f1", "f2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-
-    # pairs of each member of a tile with its pivot
-    keys = docs.mapInArrow(tidy(_keys(rule)), "key bigint, doc bigint, pivot bigint, pop int")
-    route = F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.xxhash64("key", "doc"))
-    met = keys.repartition(route).sortWithinPartitions("key", F.desc("pop"), "doc").mapInArrow(tidy(_stars), "key bigint, pivot bigint, doc bigint, own boolean")
-    met = materialize(met, "jaccard")
-    pairs = materialize(_pairs(met), "jaccard", tasks_for(docs.sparkSession, 2 * met.count()))
-
-    # exact differences of the pairs
-    ids = pairs.select("pivot").union(pairs.select("id"))
-    arrays = docs.mapInArrow(tidy(_arrays(rule, idfilter.build(ids))), "id bigint, n bigint, arr binary, " + ", ".join(f"{w} bigint" for w in BITMAP))
-    arrays = materialize(arrays, "jaccard")
-    stars = _compared(pairs, arrays, rule)
-    near = stars.filter((F.size("lost") + F.size("gained")) * (rule.den + rule.num) <= (F.col("n") + F.col("pn")) * (rule.den - rule.num))
-    links = materialize(near.select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(copies), "jaccard")
-    labels = materialize(connected_components(links, "a", "b"), "jaccard")
+def linked_components(pairs: DataFrame, brief: DataFrame, arrays: DataFrame, copies: DataFrame, rule: Rule, made: Stages) -> DataFrame:
+    """``node, component`` of the documents that link: ``copies(a, b)``, and all that a tile or band of ``pairs`` holds.
 
-    # pairs of one star in different components
-    more = materialize(_across(stars, labels, rule), "jaccard")
-    fresh = materialize(_linked_pairs(more, arrays, rule), "jaccard")
+    ``pairs``, ``brief`` and ``arrays`` are stage tables of ``made`` and are released.
+    """
+    parts = _compared(pairs, brief, arrays, rule, made)
+    stars = reduce(DataFrame.unionByName, parts)
+    near = stars.filter((F.size("lost") + F.size("gained")) * (rule.den + rule.num) <= (F.col("n") + F.col("pn")) * (rule.den - rule.num))
+    with stages() as own:
+        links = materialize(near.select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(copies), "jaccard")
+        labels = own.keep(materialize(connected_components(links, "a", "b"), "jaccard"))
+    with stages() as own:  # pairs of one star in different components
+        more = own.keep(materialize(_across(stars, labels, rule), "jaccard"))
+    made.release(*parts)
+    fresh = materialize(_linked_pairs(more, brief, arrays, rule), "jaccard")
+    made.release(more, brief, arrays)
     if not fresh.isEmpty():
         known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
         labels = materialize(connected_components(known.unionByName(fresh), "a", "b"), "jaccard")
+    return labels
+
+
+def similar_classes(docs: DataFrame, rule: Rule | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text)``."""
+    rule = rule or Rule()
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    with stages() as made:
+        sets = made.keep(materialize(docs.mapInArrow(tidy(_sets(rule)), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint"), "jaccard"))
+
+        # equal sets: their smallest document stands for them
+        equal = materialize(sets.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"), "jaccard")
+        copies = sets.join(equal, ["n_shingles", "f1", "f2"]).filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+
+        # pairs of each member of a tile with its pivot
+        keys = docs.mapInArrow(tidy(_keys(rule)), "key bigint, doc bigint, pivot bigint, pop int")
+        route = F.when(F.col("pivot").isNull(), F.col("key")).otherwise(F.xxhash64("key", "doc"))
+        met = keys.repartition(route).sortWithinPartitions("key", F.desc("pop"), "doc").mapInArrow(tidy(_stars), "key bigint, pivot bigint, doc bigint, own boolean")
+        met = materialize(met, "jaccard")
+        pairs = materialize(_pairs(met), "jaccard", tasks_for(docs.sparkSession, 2 * met.count()))
+        made.release(met)
+        arrays = set_arrays(docs, pairs, rule, BITMAP)
+        brief = materialize(arrays.select("id", "n", *BITMAP), "jaccard")
+        labels = made.keep(linked_components(pairs, brief, arrays, copies, rule, made))
     return sets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rasterlake.llm import ann, bpe, decontam, jaccard, langid, packing, phrases, pii, search, substrings, toxicity, warczip
+from rasterlake.llm import ann, bpe, decontam, jaccard, langid, minhash, packing, phrases, pii, search, substrings, toxicity, warczip
 from rasterlake.session import scratch_path, ship_code
 
 
@@ -73,6 +73,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -113,6 +117,8 @@ FROM w LEFT JOIN gone USING (doc_id)
 """
 
 
+OP11_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({OP4_SQL.replace('>= 85 *', '>= 80 *')})"
+
 OP12_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
@@ -150,4 +156,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op2_warc_zip": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op9_substring_dedup": OP9_SQL, "op12_phrases": OP12_SQL, "op13_lexical_search": OP13_SQL}
+    return {"op2_warc_zip": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op9_substring_dedup": OP9_SQL, "op11_minhash": OP11_SQL, "op12_phrases": OP12_SQL, "op13_lexical_search": OP13_SQL}
