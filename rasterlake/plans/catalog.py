@@ -12,12 +12,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rasterlake.operators import frames as FR, gate as G, ink as I, layout as L, learn as M, rasters as R, shapes as S
 from rasterlake.plans.sql import SQL
 from rasterlake.sources import images as IM, views as V
-from rasterlake.session import materialize
+from rasterlake.session import materialize, scratch_path
+from rasterlake.sources import sinks
+from rasterlake.streaming import frames as ST
+from rasterlake.streaming.landing import frame_stream, land_late
+from rasterlake.streaming.sink import BatchSink, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 #: Fixed model for scoring queries: medians, means, deviations, weights of f1..f4.
 MODEL = [{"median_for_missing": m, "mean": u, "std": s, "weight": w} for m, u, s, w in ((7.0, 7.0, 1.0, 0.4), (6.0, 6.0, 1.5, -0.3), (5.0, 5.0, 1.2, 0.2), (0.9, 0.9, 0.1, 0.5))]
+#: Fixed model of the streamed frames' two features.
+FRAME_MODEL = [{"median_for_missing": m, "mean": u, "std": s, "weight": w} for m, u, s, w in ((0.5, 0.5, 0.3, 0.8), (5.0, 5.0, 2.0, 0.5))]
 INK = 135
 
 
@@ -390,6 +396,39 @@ def frames_health(spark, d):
     return r6(V.source_health(V.frames(spark, d)), "mean_value")
 
 
+def landed(spark: SparkSession, fr: DataFrame) -> tuple[DataFrame, str]:
+    """The stream of frames that land late by up to one step, and the delay that covers it."""
+    path = scratch_path(spark, "landing")
+    delay = land_late(fr, path)
+    return frame_stream(spark, path, fr.schema, "parquet", 4), f"{delay} seconds"
+
+
+@query
+def frames_streamed(spark, d):
+    """Majority, stable text and missed frames from a stream whose files land out of order."""
+    stream, delay = landed(spark, V.frames(spark, d).filter("ts is not null and camera_id is not null").withColumn("hit", F.col("value") > 50).drop("value"))
+    sink = BatchSink(scratch_path(spark, "smoothed"), "frames", "parquet")
+    with ST.state_store(spark):
+        run_available(ST.smooth_in_order(stream, delay, limit=3), sink, scratch_path(spark, "checkpoint"))
+    return sink.read(spark, ST.OUT).select("camera_id", "seq", "stable", "shown", F.col("misses").cast("bigint").alias("misses"), "failed")
+
+
+@query
+def decisions_streamed(spark, d):
+    """Every frame of a stream scored, and its decision record appended to its class folder."""
+    f1 = F.when(F.col("text").isNotNull(), F.col("value") / 100)
+    fr = V.frames(spark, d).filter("ts is not null and camera_id is not null").withColumns({"f1": f1, "f2": F.length(F.nullif("text", F.lit(""))).cast("double")})
+    stream, _ = landed(spark, fr.select("camera_id", "seq", "ts", "text", "f1", "f2"))
+    judged = M.decide(stream.filter("camera_id is not null"), ["f1", "f2"], FRAME_MODEL, -0.2)
+    gate = F.coalesce("f1", "f2").isNotNull()
+    judged = judged.select(F.col("seq").alias("image_id"), F.when(~gate, "no frame").alias("reason"), F.when(gate, F.col("prob")).alias("prob"), (gate & F.col("is_handwritten")).alias("this_frame"), "f1", "f2")
+    records = sinks.decision_records(judged, ["f1", "f2"]).withColumn("cls", F.when(F.col("this_frame_handwritten"), "handwritten").otherwise("printed"))
+    sink = BatchSink(scratch_path(spark, "decisions"), "frames", "json", ("cls",))
+    run_available(records, sink, scratch_path(spark, "checkpoint"))
+    back = sink.read(spark, "image_id bigint, shown string, this_frame_handwritten boolean, reason string, prob double, features map<string, double>, cls string")
+    return back.select("image_id", "cls", "shown", "reason", "prob", F.col("features")["f1"].alias("f1"), F.col("features")["f2"].alias("f2"))
+
+
 # ---- learning --------------------------------------------------------------
 
 
@@ -425,7 +464,7 @@ def samples_metrics_by_source(spark, d):
 
 @query
 def samples_folds(spark, d):
-    return M.folds(V.samples(spark, d), 3, 5).select("sample_id", "repeat", "fold")
+    return M.folds(V.samples(spark, d)).select("sample_id", "repeat", "fold")
 
 
 @query

@@ -170,8 +170,20 @@ SELECT camera_id, round(arg_max(fps, i), 6) AS fps FROM s GROUP BY camera_id""",
 m AS (SELECT count(*) AS n, {MET}, coalesce(-avg(ln(greatest(prob, 1e-12))) FILTER (label = 1), 0) AS l1, coalesce(-avg(ln(greatest(1 - prob, 1e-12))) FILTER (label <> 1), 0) AS l0, sum(rk) FILTER (label = 1) AS sr, -avg(ln(greatest(CASE WHEN label = 1 THEN prob ELSE 1 - prob END, 1e-12))) AS bce, 1 - avg((prob - label) ** 2) / nullif(var_pop(label), 0) AS r2 FROM k)
 SELECT round(bce, 6) AS bce, round(r2, 6) AS r2, n, round(tp / greatest(pos, 1), 6) AS tpr, round((neg - fp) / greatest(neg, 1), 6) AS tnr, round((tp / greatest(pos, 1) + (neg - fp) / greatest(neg, 1)) / 2, 6) AS balanced_accuracy, round(1 - (neg - fp) / greatest(neg, 1), 6) AS fp_share, round(0.5 * l1 + 0.5 * l0, 6) AS balanced_log_loss, round(tp / greatest(tp + fp, 1), 6) AS precision, round(2 * tp / greatest(2 * tp + fp + pos - tp, 1), 6) AS f1, round(rmse, 6) AS rmse, round((sr - pos * (pos + 1) / 2) / (pos * neg), 6) AS auc FROM m""",
     "samples_metrics_by_source": f"WITH {SMP}, {SC}, m AS (SELECT source, count(*) AS n, {MET} FROM sc GROUP BY source) SELECT source, n, round(tp / greatest(pos, 1), 6) AS tpr, round((neg - fp) / greatest(neg, 1), 6) AS tnr, round((tp / greatest(pos, 1) + (neg - fp) / greatest(neg, 1)) / 2, 6) AS balanced_accuracy, round(rmse, 6) AS rmse FROM m",
-    "samples_folds": f"WITH {SMP} SELECT sample_id, repeat, CAST((row_number() OVER (PARTITION BY repeat, label ORDER BY ((sample_id + 1) * (7919 + 104729 * repeat)) % 1000003, sample_id) - 1) % 5 AS INT) AS fold FROM s, (VALUES (0), (1), (2)) r(repeat)",
+    "samples_folds": f"WITH {SMP} SELECT sample_id, CAST(repeat AS INT) AS repeat, CAST((row_number() OVER (PARTITION BY repeat, label ORDER BY ((sample_id + 1) * (7919 + 104729 * repeat)) % 1000003, sample_id) - 1) % 5 AS INT) AS fold FROM s, range(10) r(repeat)",
     "samples_drift": f"WITH {SMP}, l AS (" + " UNION ALL ".join(f"SELECT 'f{i}' AS key, f{i} AS v FROM s" for i in range(1, 5)) + ") SELECT key, round(avg(v), 6) AS measured_mean, round(stddev_pop(v), 6) AS measured_std, CASE key WHEN 'f1' THEN 7.0 WHEN 'f2' THEN 6.0 WHEN 'f3' THEN 5.0 ELSE 0.9 END AS mean, CASE key WHEN 'f1' THEN 1.0 WHEN 'f2' THEN 1.5 WHEN 'f3' THEN 1.2 ELSE 0.1 END AS std FROM l GROUP BY key",
     "class_confusions": f"WITH {CLS} SELECT label, char AS predicted, count(*) AS n FROM tt WHERE label <> char GROUP BY ALL ORDER BY n DESC, label, predicted LIMIT 10",
     "class_accuracy": f"WITH {CLS} SELECT label, count(*) AS n, round(avg(CASE WHEN label = char THEN 1 ELSE 0 END), 6) AS accuracy FROM tt GROUP BY label",
 }
+SQL["frames_streamed"] = f"""
+SELECT camera_id, seq, stable, shown, misses, failed FROM ({SQL["frames_majority"]}) LEFT JOIN ({SQL["frames_stable_text"]}) USING (camera_id, seq)
+JOIN ({SQL["frames_missed"]}) USING (camera_id, seq) JOIN (SELECT event_id AS seq FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL) USING (seq)
+"""
+SQL["decisions_streamed"] = f"""
+WITH {FRAMES},
+g AS (SELECT seq, CASE WHEN text IS NOT NULL THEN value / 100 END AS f1, CAST(length(nullif(text, '')) AS DOUBLE) AS f2 FROM f WHERE ts IS NOT NULL AND camera_id IS NOT NULL),
+p AS (SELECT *, 1 / (1 + exp(-greatest(-60, least(60, -0.2 + (coalesce(f1, 0.5) - 0.5) / 0.3 * 0.8 + (coalesce(f2, 5.0) - 5.0) / 2.0 * 0.5)))) AS prob, coalesce(f1, f2) IS NOT NULL AS gate FROM g),
+h AS (SELECT *, gate AND prob >= 0.5 AS hit FROM p)
+SELECT seq AS image_id, CASE WHEN hit THEN 'handwritten' ELSE 'printed' END AS cls, CASE WHEN hit THEN '1' ELSE '' END AS shown, CASE WHEN NOT gate THEN 'no frame' END AS reason,
+       CASE WHEN gate THEN round(prob, 4) END AS prob, CASE WHEN gate THEN round(f1, 4) END AS f1, CASE WHEN gate THEN round(f2, 4) END AS f2 FROM h
+"""

@@ -97,11 +97,6 @@ def labelled_features(px: DataFrame, labels: DataFrame, features_fn) -> DataFram
     return labels.join(features_fn(materialize(px, "corpus")), "image_id").withColumnRenamed("image_id", "sample_id")
 
 
-def frame_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Frames as they land in a folder of JSON files."""
-    return spark.readStream.schema(schema).json(path)
-
-
 def plates(spark: SparkSession, n: int, h: int = 200, w: int = 300, noise: bool = True) -> DataFrame:
     """Synthetic plates: background 120, a filled rectangle of 255, and 2 % of 0 and of 255 by a hash of the place."""
     p = spark.range(n).select(F.col("id").alias("image_id"), F.explode(F.sequence(F.lit(0), F.lit(h * w - 1))).alias("p"))

@@ -1,22 +1,64 @@
-"""The frame operators as arbitrary stateful streams, one state per camera.
+"""The frame operators as stateful streams, one state per camera.
 
-Rows of a micro-batch are put in order of ``(ts, seq)``, so results do not
-depend on the order in which files land within it.
+``smooth_in_order`` holds frames back until the watermark has passed them, so
+its results do not depend on the micro-batch in which a frame lands, as long as
+it is no later than the allowed delay.  ``smooth`` answers at once and puts only
+the frames of one micro-batch in order.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rasterlake.operators.learn import decide
+from rasterlake.session import ship_code
 
 OUT = "camera_id bigint, seq bigint, ts timestamp, stable boolean, shown string, misses int, failed boolean, fps double"
 STATE = "flags array<boolean>, texts array<string>, misses int, last double, fps double"
+COLUMNS = ["camera_id", "seq", "ts", "stable", "shown", "misses", "failed", "fps"]
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class Recent:
+    """What a camera's last frames leave behind: a few short lists and numbers."""
+
+    def __init__(self, held: tuple | None, flags: int, texts: int, least: int, limit: int, keep: float) -> None:
+        hits, seen, self.misses, self.last, self.fps = held or ([], [], 0, None, 0.0)
+        self.hits, self.seen = list(hits), list(seen)
+        self.flags, self.texts, self.least, self.limit, self.keep = flags, texts, least, limit, keep
+
+    def held(self) -> tuple:
+        return self.hits, self.seen, self.misses, self.last, self.fps
+
+    def add(self, text: str | None, hit: bool, us: float) -> tuple:
+        """``stable, shown, misses, failed, fps`` with one more frame, at ``us`` microseconds."""
+        self.hits = [*self.hits, hit][-self.flags :]
+        missed, shown = text is None, None
+        self.misses = self.misses + 1 if missed else 0
+        if not missed:
+            self.seen = [*self.seen, text][-self.texts :]
+            count = Counter(t for t in self.seen if t)
+            best = max(count, key=lambda t: (count[t], -self.seen.index(t)), default=None)
+            shown = best if best and count[best] >= self.least else None
+        if self.last is not None:
+            self.fps = self.keep * self.fps + (1 - self.keep) / max((us - self.last) / 1e6, 1e-6)
+        self.last = us
+        return 2 * sum(self.hits) > len(self.hits), shown, self.misses, self.misses == self.limit, self.fps
+
+
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
+
+
+def _hit(value) -> bool:
+    return value is not None and value == value and bool(value)
 
 
 def smooth(stream: DataFrame, flags: int = 8, texts: int = 10, least: int = 5, limit: int = 30, keep: float = 0.9) -> DataFrame:
@@ -26,35 +68,113 @@ def smooth(stream: DataFrame, flags: int = 8, texts: int = 10, least: int = 5, l
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        hits, seen, misses, last, fps = state.get if state.exists else ([], [], 0, None, 0.0)
-        hits, seen, out = list(hits), list(seen), []
+        recent, out = Recent(state.get if state.exists else None, flags, texts, least, limit, keep), []
         for r in pd.concat(list(parts)).sort_values(["ts", "seq"]).itertuples():
-            hits = [*hits, bool(r.hit)][-flags:]
-            missed = r.text is None
-            misses = misses + 1 if missed else 0
-            shown = None
-            if not missed:
-                seen = [*seen, r.text][-texts:]
-                count = Counter(t for t in seen if t)
-                best = max(count, key=lambda t: (count[t], -seen.index(t)), default=None)
-                shown = best if best and count[best] >= least else None
-            now = r.ts.timestamp()
-            if last is not None:
-                fps = keep * fps + (1 - keep) / max(now - last, 1e-6)
-            last = now
-            out.append((key[0], r.seq, r.ts, 2 * sum(hits) > len(hits), shown, misses, misses == limit, fps))
-        state.update((hits, seen, misses, last, fps))
-        yield pd.DataFrame(out, columns=["camera_id", "seq", "ts", "stable", "shown", "misses", "failed", "fps"])
+            out.append((key[0], r.seq, r.ts, *recent.add(_text(r.text), _hit(r.hit), float(r.ts.value // 1000))))
+        state.update(recent.held())
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     return stream.groupBy("camera_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+class InOrder(StatefulProcessor):
+    """Holds a camera's frames in a list state and passes them on when a timer says that none before them can come."""
+
+    def __init__(self, how: dict) -> None:
+        self.how = how
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, text string, hit boolean")
+        self.flags = handle.getListState("flags", "hit boolean")
+        self.texts = handle.getListState("texts", "text string")
+        self.values = handle.getValueState("values", "misses int, last double, fps double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = []
+        for part in rows:
+            new += [(int(us), int(seq), _text(text), _hit(hit)) for us, seq, text, hit in zip(part["us"], part["seq"], part["text"], part["hit"]) if seq == seq]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(r[0] for r in new))
+        yield pd.DataFrame(columns=COLUMNS)
+
+    def _wake(self, us: int) -> None:
+        """One timer a camera, at its earliest waiting frame."""
+        at, there = -(-us // 1000), list(self.handle.listTimers())
+        if not there or at < min(there):
+            for t in there:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or "", r[3]))
+        ready = [r for r in waiting if r[0] <= upto]
+        later = waiting[len(ready) :]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(-(-later[0][0] // 1000))
+        else:
+            self.waiting.clear()
+        if not ready:
+            yield pd.DataFrame(columns=COLUMNS)
+            return
+        held = None
+        if self.values.exists():
+            held = [r[0] for r in self.flags.get()], [r[0] for r in self.texts.get()], *self.values.get()
+        recent, out = Recent(held, **self.how), []
+        for us, seq, text, hit in ready:
+            out.append((key[0], seq, pd.Timestamp(us, unit="us"), *recent.add(text, hit, float(us))))
+        hits, seen, *values = recent.held()
+        self.flags.put([(h,) for h in hits])
+        if seen:
+            self.texts.put([(t,) for t in seen])
+        self.values.update(tuple(values))
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started in this block keep their state in RocksDB, which timers and list states need."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def smooth_in_order(stream: DataFrame, delay: str, flags: int = 8, texts: int = 10, least: int = 5, limit: int = 30, keep: float = 0.9) -> DataFrame:
+    """``smooth`` in the order of ``(ts, seq)`` across micro-batches.
+
+    A frame waits until the watermark, ``delay`` behind the latest time seen, has
+    passed it; frames that come later than that are dropped, as Spark counts
+    them.  A camera's state is its waiting frames, as many as come within the
+    delay, and a few short lists.  Rows without a ``seq`` only move the watermark;
+    frames without a time or a camera have no place in the order and are left out.
+    Start the stream within ``state_store``.
+    """
+    ship_code(stream.sparkSession)
+    how = {"flags": flags, "texts": texts, "least": least, "limit": limit, "keep": keep}
+    rows = stream.select("camera_id", "ts", "seq", "text", "hit").withWatermark("ts", delay).filter("ts is not null").withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("camera_id").transformWithStateInPandas(statefulProcessor=InOrder(how), outputStructType=OUT, outputMode="Append", timeMode="EventTime").filter("camera_id is not null")
+
+
 def smooth_scored(stream: DataFrame, cols: list[str], model: list[dict], bias: float, threshold: float = 0.5, **how) -> DataFrame:
     """``smooth`` with the flag of each frame from its features ``cols``.
 
     Scoring is stateless; a frame without any feature, which the gate has
     rejected, is no hit.
     """
+    return smooth(scored_frames(stream, cols, model, bias, threshold), **how)
+
+
+def scored_frames(stream: DataFrame, cols: list[str], model: list[dict], bias: float, threshold: float = 0.5) -> DataFrame:
+    """``camera_id, seq, ts, text, hit`` of frames with features ``cols``."""
     scored = decide(stream, cols, model, bias, threshold)
     hit = F.coalesce(*cols).isNotNull() & F.col("is_handwritten")
-    return smooth(scored.select("camera_id", "seq", "ts", "text", hit.alias("hit")), **how)
+    return scored.select("camera_id", "seq", "ts", "text", hit.alias("hit"))
