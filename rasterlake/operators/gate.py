@@ -16,7 +16,7 @@ def detect_markings(px: DataFrame, threshold: int = 200, min_area: float = 500,
     sizes = R.shape(px)
     lit = (R.median_blur(px) if denoise else px).filter(F.col("v") > threshold).select("image_id", "y", "x")
     lab = materialize(I.label_runs(lit), "marks")
-    area = S.contour_area(I.to_ink(lab), sizes).filter(F.col("area") >= min_area).withColumnRenamed("area", "contour_area")
+    area = S.contour_area(lab, sizes).filter(F.col("area") >= min_area).withColumnRenamed("area", "contour_area")
     return I.components(lab).drop("area").join(area, ["image_id", "label"])
 
 
@@ -40,17 +40,11 @@ def gate_rasters(px: DataFrame, dark: bool = True, height: int = 360, size: int
 def ring_spread(px: DataFrame, labelled: DataFrame, every: DataFrame | None = None, least: int = 20) -> DataFrame:
     """``image_id, label, spread``: brightness spread in an 11x11 ring around a component, away from all ink.
 
-    ``labelled`` are runs, ``every`` those of all ink (else the same); they are widened as runs, so a run costs eleven rows
-    and not 121 for each pixel.
+    ``labelled`` are runs, ``every`` those of all ink (else the same); they are widened as runs.
     """
-
-    def widened(r: DataFrame, key: list[str], radius: int) -> DataFrame:
-        grown = r.withColumn("y", F.explode(F.sequence(F.col("y") - radius, F.col("y") + radius)))
-        cells = grown.select(*key, "y", F.explode(F.sequence(F.col("x0") - radius, F.col("x1") + radius)).alias("x"))
-        return cells.distinct()
-
-    ring = widened(labelled, ["image_id", "label"], 5)
-    free = ring.join(widened(labelled if every is None else every, ["image_id"], 1), ["image_id", "y", "x"], "left_anti")
+    ring = I.run_pixels(I.dilate_runs(labelled, 5, ("image_id", "label")), ("image_id", "label"))
+    grown = I.run_pixels(I.dilate_runs(labelled if every is None else every, 1))
+    free = ring.join(grown, ["image_id", "y", "x"], "left_anti")
     return free.join(px, ["image_id", "y", "x"]).groupBy("image_id", "label").agg(F.when(F.count("*") >= least, F.stddev_pop("v")).alias("spread"))
 
 

@@ -1,4 +1,4 @@
-"""Sparse ink: runs, connected components and their cleaning.
+"""Sparse ink: runs, the algebra of masks on runs, connected components and their cleaning.
 
 ``ink(image_id, y, x)`` holds ink pixels only; repeated pixels count once, and
 an empty table gives empty tables.  A component's label is the smallest raster
@@ -15,6 +15,7 @@ from rasterlake.operators.graph import connected_components
 from rasterlake.session import materialize
 
 SIDE = 1 << 16
+KEY = ("image_id",)
 
 
 def runs(ink: DataFrame) -> DataFrame:
@@ -24,6 +25,66 @@ def runs(ink: DataFrame) -> DataFrame:
     return island.groupBy("image_id", "y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("g")
 
 
+def sweep(*masks: DataFrame, keys: tuple[str, ...] = KEY, tag: str | None = None) -> DataFrame:
+    """``keys, y, x0, x1, c0, c1...``: pieces of lines, and how many runs of each mask cover them.
+
+    ``masks`` are runs, which may overlap.  A run is two events at its ends, so
+    rows are in proportion to runs and not to pixels.  ``tag`` is a column of the first mask, whose
+    runs must not overlap then, and comes with the pieces that it covers.
+    """
+    counts = [f"c{i}" for i in range(len(masks))]
+    parts = []
+    for i, m in enumerate(masks):
+        tagged = F.col(tag) if tag and i == 0 else F.lit(None).cast(dict(masks[0].dtypes)[tag]) if tag else F.lit(None).cast("int")
+        ends = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("c"), tagged.alias("tag")), F.struct((F.col("x1") + 1).alias("x"), F.lit(-1).alias("c"), F.lit(None).cast(m.select(tagged.alias("t")).dtypes[0][1]).alias("tag"))))
+        e = m.select(*keys, "y", ends.alias("e"))
+        parts.append(e.select(*keys, "y", "e.x", "e.tag", *((F.col("e.c") if j == i else F.lit(0)).alias(c) for j, c in enumerate(counts))))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    events = every.groupBy(*keys, "y", "x").agg(*(F.sum(c).alias(c) for c in counts), F.max("tag").alias("tag"))
+    line = Window.partitionBy(*keys, "y").orderBy("x")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    out = events.select(*keys, "y", F.col("x").alias("x0"), (F.lead("x").over(line) - 1).alias("x1"), *(F.sum(c).over(upto).alias(c) for c in counts), F.last("tag", True).over(upto).alias("tag"))
+    out = out.filter("x1 is not null")
+    return out.drop("tag") if tag is None else out.withColumnRenamed("tag", tag)
+
+
+def joined_pieces(pieces: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Runs of pieces that follow each other without a gap."""
+    line = Window.partitionBy(*keys, "y").orderBy("x0")
+    new = F.coalesce(F.col("x0") > F.lag("x1").over(line) + 1, F.lit(True)).cast("int")
+    g = pieces.select(*keys, "y", "x0", "x1", new.alias("new"))
+    g = g.withColumn("g", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return g.groupBy(*keys, "y", "g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("g")
+
+
+def union_runs(*masks: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+    return joined_pieces(sweep(*masks, keys=keys).filter(" or ".join(f"c{i} > 0" for i in range(len(masks)))), keys)
+
+
+def without_runs(mask: DataFrame, gone: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """The runs of ``mask`` less those of ``gone``."""
+    return joined_pieces(sweep(mask, gone, keys=keys).filter("c0 > 0 and c1 = 0"), keys)
+
+
+def dilate_runs(mask: DataFrame, radius: int, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Dilation by a square, a row for each run and line of the square; it may reach outside the raster."""
+    lines = F.explode(F.sequence(F.col("y") - radius, F.col("y") + radius))
+    grown = mask.select(*keys, lines.alias("y"), (F.col("x0") - radius).alias("x0"), (F.col("x1") + radius).alias("x1"))
+    return union_runs(grown, keys=keys)
+
+
+def raster_lines(sizes: DataFrame, margin: int = 0) -> DataFrame:
+    """One run for each line of rasters ``sizes(image_id, h, w)``, with a frame of ``margin``."""
+    lines = F.explode(F.sequence(F.lit(-margin), F.col("h") - 1 + margin))
+    return sizes.filter("h > 0 and w > 0").select("image_id", lines.alias("y"), F.lit(-margin).alias("x0"), (F.col("w") - 1 + margin).alias("x1"))
+
+
+def run_pixels(mask: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+    return mask.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
 def adjacency(r: DataFrame, eight: bool = True) -> DataFrame:
     """Pairs of runs of one image that touch across neighbouring rows."""
     a, b, reach = r.alias("a"), r.alias("b"), 1 if eight else 0
@@ -33,8 +94,13 @@ def adjacency(r: DataFrame, eight: bool = True) -> DataFrame:
 
 
 def label_runs(ink: DataFrame, eight: bool = True) -> DataFrame:
-    """``runs`` with ``label``."""
-    r = materialize(runs(ink).withColumn("run_id", F.monotonically_increasing_id()), "runs")
+    """``runs`` of ``ink`` with ``label``."""
+    return labelled_runs(runs(ink), eight)
+
+
+def labelled_runs(mask: DataFrame, eight: bool = True) -> DataFrame:
+    """Runs ``(image_id, y, x0, x1)`` with ``label``."""
+    r = materialize(mask.withColumn("run_id", F.monotonically_increasing_id()), "runs")
     c = materialize(connected_components(adjacency(r, eight)).withColumnRenamed("node", "run_id"), "runs")
     at = F.col("y").cast("bigint") * SIDE + F.col("x0")
     held = r.join(c, "run_id", "left").select("image_id", "y", "x0", "x1", at.alias("at"), F.coalesce("component", "run_id").alias("component"))
@@ -76,23 +142,25 @@ def classify_size(comp: DataFrame, sizes: DataFrame, tiny: int = 15) -> DataFram
     return s.withColumn("kind", F.when(F.col("area") < tiny, "tiny").when(border, "border").otherwise("candidate"))
 
 
-def outside(ink: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Background pixels joined to the raster's frame by 4-connectivity, the frame itself included."""
-    grid = sizes.select("image_id", F.explode(F.expr("sequence(-1, h)")).alias("y"), "w").select("image_id", "y", F.explode(F.expr("sequence(-1, w)")).alias("x"))
-    back = grid.join(ink.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti")
-    shifted = back.select("image_id", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"))
-    lab = label_runs(shifted, eight=False)
-    return to_ink(lab.filter("label = 0")).select("image_id", (F.col("y") - 1).alias("y"), (F.col("x") - 1).alias("x"))
+def outside(mask: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Runs of the background that 4-connectivity joins to the raster's frame, the frame itself included.
+
+    ``mask`` are runs.  The background is the gaps between them, so there are about as many rows as runs and lines.
+    """
+    frame = raster_lines(sizes, 1)
+    back = without_runs(frame, mask.join(sizes.select("image_id"), "image_id", "left_semi"))
+    shifted = back.select("image_id", *((F.col(c) + 1).alias(c) for c in ("y", "x0", "x1")))
+    lab = labelled_runs(shifted, eight=False).filter("label = 0")
+    return lab.select("image_id", *((F.col(c) - 1).alias(c) for c in ("y", "x0", "x1")))
 
 
-def fill_holes(ink: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Ink and everything that it encloses."""
-    grid = sizes.select("image_id", F.explode(F.expr("sequence(0, h - 1)")).alias("y"), "w").select("image_id", "y", F.explode(F.expr("sequence(0, w - 1)")).alias("x"))
-    return grid.join(outside(ink, sizes), ["image_id", "y", "x"], "left_anti")
+def fill_holes(mask: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Runs of the ink and everything that it encloses."""
+    return without_runs(raster_lines(sizes), outside(mask, sizes))
 
 
-def outer_labels(px: DataFrame, out: DataFrame) -> DataFrame:
-    """``image_id, label`` of the components of ``px(image_id, y, x, label)`` that the outside touches."""
-    near = out.withColumn("d", F.explode(F.expr("array(struct(0 as dy, 1 as dx), struct(0 as dy, -1 as dx), struct(1 as dy, 0 as dx), struct(-1 as dy, 0 as dx))")))
-    near = near.select("image_id", F.expr("y + d.dy").alias("y"), F.expr("x + d.dx").alias("x")).distinct()
-    return px.join(near, ["image_id", "y", "x"], "left_semi").select("image_id", "label").distinct()
+def outer_labels(labelled: DataFrame, out: DataFrame) -> DataFrame:
+    """``image_id, label`` of the components of labelled runs that the outside's runs touch."""
+    lines = F.expr("explode(array(struct(-1 as dy, 0 as r), struct(0 as dy, 1 as r), struct(1 as dy, 0 as r)))")
+    near = out.select("image_id", "y", "x0", "x1", lines.alias("d")).select("image_id", F.expr("y + d.dy").alias("y"), F.expr("x0 - d.r").alias("x0"), F.expr("x1 + d.r").alias("x1"))
+    return sweep(labelled, near, tag="label").filter("c0 > 0 and c1 > 0").select("image_id", "label").distinct()

@@ -152,9 +152,9 @@ def ink_strength_channels(px: DataFrame, dark: bool = True, size: int = 15) -> D
 
 def dilate(ink: DataFrame, radius: int) -> DataFrame:
     """Sparse dilation by a square; the result may reach outside the raster."""
-    o = F.sequence(F.lit(-radius), F.lit(radius))
-    grown = ink.withColumn("dy", F.explode(o)).withColumn("dx", F.explode(o))
-    return grown.select("image_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
+    from rasterlake.operators import ink as I
+
+    return I.run_pixels(I.dilate_runs(I.runs(ink), radius))
 
 
 def sobel(px: DataFrame) -> DataFrame:

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rasterlake.operators import ink as I, rasters as R
-from rasterlake.session import materialize
+from rasterlake.session import materialize, ship_code
 
 #: Neighbours in the order of Zhang and Suen: up, then clockwise.
 AROUND = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 
 
-def contour_area(px: DataFrame, sizes: DataFrame) -> DataFrame:
+def contour_area(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
     """``image_id, label, area``: polygon area of outer contours by Pick's theorem.
 
-    ``px(image_id, y, x, label)``; of the filled component, pixels minus half
-    of its boundary pixels (those with an outside 4-neighbour) minus 1.
+    ``labelled`` are runs; of the filled component, pixels minus half of its
+    boundary pixels (those with an outside 4-neighbour) minus 1.  A pixel
+    is inside the boundary when its run and both neighbouring lines go on around it.
     """
-    out = I.outside(px, sizes)
-    filled = I.label_runs(I.fill_holes(px, sizes))
-    cells = I.to_ink(filled)
-    rim = out.withColumn("k", F.explode(F.expr("sequence(0, 3)"))).select("image_id", F.expr("y + element_at(array(-1, 1, 0, 0), k + 1)").alias("y"), F.expr("x + element_at(array(0, 0, -1, 1), k + 1)").alias("x")).distinct().withColumn("rim", F.lit(1))
-    got = cells.join(rim, ["image_id", "y", "x"], "left").groupBy("image_id", "label").agg(F.count("*").alias("n"), F.sum(F.coalesce("rim", F.lit(0))).alias("b"))
+    filled = materialize(I.labelled_runs(I.fill_holes(labelled.select("image_id", "y", "x0", "x1"), sizes)), "area")
+    n = filled.groupBy("image_id", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
+    core = filled.filter("x1 - x0 >= 2").select("image_id", "y", F.expr("x0 + 1").alias("x0"), F.expr("x1 - 1").alias("x1"), "label")
+    above, below = (filled.select("image_id", F.expr(f"y + {d}").alias("y"), "x0", "x1") for d in (1, -1))
+    inner = I.sweep(core, above, below, tag="label").filter("c0 > 0 and c1 > 0 and c2 > 0")
+    inner = inner.groupBy("image_id", "label").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("i"))
+    got = n.join(inner, ["image_id", "label"], "left").withColumn("b", F.col("n") - F.coalesce("i", F.lit(0)))
     return got.select("image_id", "label", F.greatest(F.lit(0.0), F.col("n") - F.col("b") / 2 - 1).alias("area"))
 
 
@@ -46,44 +54,124 @@ def hull_area(px: DataFrame) -> DataFrame:
     return ring.select("image_id", "label", F.expr(shoelace).alias("hull"))
 
 
-def distance_transform(ink: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``image_id, y, x, d``: exact Euclidean distance of ink to the nearest other pixel of the raster; null if there is none."""
-    grid = sizes.select("image_id", F.explode(F.expr("sequence(0, h - 1)")).alias("y"), "w").select("image_id", "y", F.explode(F.expr("sequence(0, w - 1)")).alias("x"))
-    g = grid.join(ink.select("image_id", "y", "x", F.lit(1).alias("ink")), ["image_id", "y", "x"], "left")
-    zero = F.when(F.col("ink").isNull(), F.col("y"))
-    up = F.last(zero, True).over(R.columns_of().rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(zero, True).over(R.columns_of().rowsBetween(0, Window.unboundedFollowing))
-    # along a row the nearest lies within the column's distance, so a line is one array and nothing is joined
-    line = g.withColumn("c", F.least(F.col("y") - up, down - F.col("y"))).groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "c", "ink"))).alias("a"))
-    reach = "coalesce(p.c, size(a))"
-    part = f"slice(a, cast(greatest(1, p.x + 1 - {reach}) as int), cast(2 * {reach} + 1 as int))"
-    near = f"transform(filter(a, p -> p.ink = 1), p -> struct(p.x as x, array_min(transform({part}, q -> (q.x - p.x) * (q.x - p.x) + q.c * q.c)) as d2))"
-    return line.select("image_id", "y", F.explode(F.expr(near)).alias("n")).select("image_id", "y", F.col("n.x").alias("x"), F.sqrt("n.d2").alias("d"))
+def envelope(column: np.ndarray, left: bool, right: bool) -> np.ndarray:
+    """Squared distances along one run of ink by the lower envelope of parabolas; -1 where there is no background.
 
+    ``column`` holds each pixel's distance to the background within its column
+    (-1 for none); ``left`` and ``right`` tell whether the run ends at background.
+    Nothing behind these ends is nearer, so a run needs no other pixels of its line.
+    Each parabola enters and leaves the envelope once.
+    """
+    n = len(column)
+    sites = [(i, c * c) for i, c in enumerate(column.tolist()) if c >= 0]
+    sites = [(-1, 0)] * left + sites + [(n, 0)] * right
+    if not sites:
+        return np.full(n, -1, np.int64)
+    at, base, begin = [], [], []
+    for q, f in sites:
+        s = float("-inf")
+        while at:
+            s = ((f + q * q) - (base[-1] + at[-1] * at[-1])) / (2 * (q - at[-1]))
+            if s > begin[-1]:
+                break
+            at.pop(), base.pop(), begin.pop()
+            s = float("-inf")
+        at.append(q), base.append(f), begin.append(s)
+    x = np.arange(n)
+    k = np.searchsorted(np.array(begin), x, "left") - 1
+    return (x - np.array(at)[k]) ** 2 + np.array(base)[k]
+
+
+def _envelopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        offsets = batch.column(0).offsets.to_numpy()
+        values = batch.column(0).values.to_numpy()
+        d2 = [envelope(values[a:z], i, j) for a, z, i, j in zip(offsets[:-1], offsets[1:], left, right)]
+        flat = np.concatenate(d2) if d2 else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), pa.array(flat, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[3:], lists], names=[*batch.schema.names[3:], "d2"])
 
-def thinning_step(ink: DataFrame, second: bool) -> DataFrame:
-    """One Zhang-Suen sub-iteration: the ink that stays."""
+
+def distance_transform(ink: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``image_id, y, x, d``: exact Euclidean distance of ink to the nearest other pixel of the raster; null if there is none.
+
+    Runs of ink along each column give the distance within the column, then each
+    run along a line is one array, in time linear in its length.  Only ink has rows.
+    """
+    ship_code(ink.sparkSession)
+    px = ink.select("image_id", "y", "x").distinct().join(sizes.select("image_id", "h", "w"), "image_id")
+    px = px.withColumn("__g", F.col("y") - F.row_number().over(R.columns_of()))
+    own = Window.partitionBy("image_id", "x", "__g")
+    up = F.when(F.min("y").over(own) > 0, F.col("y") - F.min("y").over(own) + 1)
+    down = F.when(F.max("y").over(own) < F.col("h") - 1, F.max("y").over(own) - F.col("y") + 1)
+    px = px.withColumn("c", F.coalesce(F.least(up, down), F.lit(-1)).cast("bigint"))
+    line = Window.partitionBy("image_id", "y").orderBy("x")
+    px = px.withColumn("__g", F.col("x") - F.row_number().over(line))
+    part = px.groupBy("image_id", "y", "__g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("w").alias("w"), F.sort_array(F.collect_list(F.struct("x", "c"))).alias("a"))  # one run of a line
+    part = part.select(F.col("a.c").alias("c"), (F.col("x0") > 0).alias("l"), (F.col("x1") < F.col("w") - 1).alias("r"), "image_id", "y", "x0")
+    kind = dict(part.dtypes)
+    got = part.mapInArrow(_envelopes, f"image_id {kind['image_id']}, y {kind['y']}, x0 {kind['x0']}, d2 array<bigint>")
+    got = got.select("image_id", "y", "x0", F.posexplode("d2").alias("i", "d2"))
+    return got.select("image_id", "y", (F.col("x0") + F.col("i")).alias("x"), F.when(F.col("d2") >= 0, F.sqrt("d2")).alias("d"))
+
+
+def _neighbours(ink: DataFrame) -> DataFrame:
+    """``image_id, y, x, n``: ink with a byte of its ink neighbours, bits in the order of ``AROUND``."""
     bits = F.expr("array(" + ", ".join(f"struct({-dy} as dy, {-dx} as dx, {1 << i} as bit)" for i, (dy, dx) in enumerate(AROUND)) + ", struct(0 as dy, 0 as dx, 256 as bit))")
     e = ink.select("image_id", "y", "x", F.explode(bits).alias("o")).select("image_id", F.expr("y + o.dy").alias("y"), F.expr("x + o.dx").alias("x"), "o.bit")
-    n = e.groupBy("image_id", "y", "x").agg(F.bit_or("bit").alias("n")).filter("n >= 256").withColumn("n", F.expr("n - 256"))
+    return e.groupBy("image_id", "y", "x").agg(F.bit_or("bit").alias("n")).filter("n >= 256").withColumn("n", F.expr("n - 256"))
+
+
+def _leaves(second: bool) -> str:
+    """Whether a Zhang-Suen sub-iteration removes a pixel of neighbours ``n``."""
     a = "bit_count((255 - n) & (shiftright(n, 1) | shiftleft(n & 1, 7)))"
     first, last = ((1 | 4 | 64, 1 | 16 | 64) if second else (1 | 4 | 16, 4 | 16 | 64))
-    gone = f"bit_count(n) between 2 and 6 and {a} = 1 and (n & {first}) <> {first} and (n & {last}) <> {last}"
-    return n.filter(f"not ({gone})").select("image_id", "y", "x")
+    return f"(bit_count(n) between 2 and 6 and {a} = 1 and (n & {first}) <> {first} and (n & {last}) <> {last})"
+
+
+def thinning_step(ink: DataFrame, second: bool) -> DataFrame:
+    """One Zhang-Suen sub-iteration: the ink that stays."""
+    return _neighbours(ink).filter(f"not {_leaves(second)}").select("image_id", "y", "x")
+
+
+def _front_step(front: DataFrame, second: bool) -> DataFrame:
+    """One sub-iteration on the front: what it removes (``gone``), and the front after it.
+
+    A removed pixel's byte names its ink neighbours, which lose a bit; one that was not
+    of the front had all eight.  A pixel is looked at when a neighbour has gone since the
+    last sub-iteration of the kind (``due``).
+    """
+    bit = 2 if second else 1
+    seen = front.withColumn("gone", F.expr(f"(due & {bit}) <> 0 and {_leaves(second)}"))
+    # of a removed pixel's neighbour i, the pixel itself is neighbour i + 4
+    tell = F.expr("filter(array(" + ", ".join(f"struct({dy} as dy, {dx} as dx, {1 << i} as have, {1 << (i + 4) % 8} as lost)" for i, (dy, dx) in enumerate(AROUND)) + "), o -> (n & o.have) <> 0)")
+    told = seen.filter("gone").select("image_id", "y", "x", F.explode(tell).alias("o"))
+    told = told.select("image_id", F.expr("y + o.dy").alias("y"), F.expr("x + o.dx").alias("x"), F.lit(None).cast("int").alias("n"), F.lit(3).alias("due"), F.lit(False).alias("gone"), F.col("o.lost").alias("lost"))
+    own = seen.select("image_id", "y", "x", "n", F.expr(f"due & {3 - bit}").alias("due"), "gone", F.lit(0).alias("lost"))
+    merged = own.unionByName(told).groupBy("image_id", "y", "x").agg(F.max("n").alias("n"), F.bit_or("due").alias("due"), F.max("gone").alias("gone"), F.bit_or("lost").alias("lost"))
+    return merged.select("image_id", "y", "x", F.expr("coalesce(n, 255) & ~lost").cast("int").alias("n"), "due", "gone")
 
 
 def skeleton(ink: DataFrame) -> DataFrame:
-    """Zhang-Suen thinning to the fixpoint; images that no longer change leave the loop."""
-    live, done = materialize(ink.select("image_id", "y", "x").distinct(), "thin"), None
+    """Zhang-Suen thinning to the fixpoint, on a front.
+
+    The front holds the ink that has a neighbour which is no ink; all other ink
+    cannot go and is read once.  Each step reads the front alone, and images in which
+    nothing is due leave it.
+    """
+    every = materialize(ink.select("image_id", "y", "x").distinct(), "thin")
+    front = _neighbours(every).filter("n <> 255").select("image_id", "y", "x", F.col("n").cast("int").alias("n"), F.lit(3).alias("due"), F.lit(False).alias("gone"))
+    front, gone = materialize(front, "thin"), []
     while True:
-        new = materialize(thinning_step(thinning_step(live, False), True), "thin")
-        old_n, new_n = live.groupBy("image_id").agg(F.count("*").alias("a")), new.groupBy("image_id").agg(F.count("*").alias("b"))
-        still = materialize(old_n.join(new_n, "image_id").filter("a = b").select("image_id"), "thin")
-        settled = new.join(still, "image_id", "left_semi")
-        done = settled if done is None else done.unionByName(settled)
-        live = materialize(new.join(still, "image_id", "left_anti"), "thin")
-        if live.isEmpty():
-            return done
+        for second in (False, True):
+            step = materialize(_front_step(front, second), "thin")
+            gone.append(step.filter("gone").select("image_id", "y", "x"))
+            front = step.filter("not gone")
+        due = front.filter("due <> 0").select("image_id").distinct()
+        front = materialize(front.join(due, "image_id", "left_semi"), "thin")
+        if front.isEmpty():
+            return every.join(reduce(DataFrame.unionByName, gone), ["image_id", "y", "x"], "left_anti")
 
 
 def contours(px: DataFrame) -> DataFrame:
@@ -100,12 +188,12 @@ def contours(px: DataFrame) -> DataFrame:
     free = s.join(ink.select("image_id", F.col("y").alias("ny"), F.col("x").alias("nx")), ["image_id", "ny", "nx"], "left_anti")
     e = free.select("image_id", "label", "y", "x", "s.d", F.expr("y + case s.d when 0 then 0 when 1 then 0 when 2 then 1 else 1 end").alias("fy"), F.expr("x + case s.d when 0 then 0 when 1 then 1 when 2 then 1 else 0 end").alias("fx"))
     e = e.withColumn("ty", F.expr("fy + case d when 1 then 1 when 3 then -1 else 0 end")).withColumn("tx", F.expr("fx + case d when 0 then 1 when 2 then -1 else 0 end"))
-    e = materialize(e.withColumn("id", F.expr(f"((cast(image_id as bigint) * {I.SIDE} + y) * {I.SIDE} + x) * 4 + d")), "contour")
+    e = materialize(e.withColumn("id", F.monotonically_increasing_id()), "contour")
     a, b = e.alias("a"), e.alias("b")
     meet = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.ty") == F.col("b.fy")) & (F.col("a.tx") == F.col("b.fx"))
     turn = F.expr("pmod(b.d - a.d + 1, 4)")  # a left turn first: diagonal pixels belong together
     nxt = a.join(b, meet).groupBy(F.col("a.id").alias("id")).agg(F.min_by(F.col("b.id"), turn).alias("next"))
-    start = e.groupBy("image_id", "label").agg(F.min("id").alias("head")).select("head")
+    start = e.groupBy("image_id", "label").agg(F.min_by("id", F.struct("y", "x", "d")).alias("head")).select("head")
     hop = materialize(nxt.join(start, F.col("next") == F.col("head"), "left").select("id", F.when(F.col("head").isNull(), F.col("next")).alias("next"), F.lit(1).alias("n")), "contour")
     while True:
         far = hop.alias("p").join(hop.alias("q"), F.col("p.next") == F.col("q.id"), "left")
@@ -157,12 +245,12 @@ def slant_var(mask: DataFrame) -> DataFrame:
     return e.groupBy("image_id").agg(F.when(F.count("*") > 10, F.stddev_pop("t")).alias("slant_var"))
 
 
-def curvature_var(px: DataFrame, sizes: DataFrame, step: int = 5) -> DataFrame:
+def curvature_var(px: DataFrame, outer: DataFrame, step: int = 5) -> DataFrame:
     """Spread of the turns along every fifth point of contours of 15 points or more; needs six turns.
 
-    Components inside another's hole do not count.
+    ``outer(image_id, label)`` are the components that count, not those inside another's hole.
     """
-    c = contours(px.join(I.outer_labels(px, I.outside(px, sizes)), ["image_id", "label"], "left_semi"))
+    c = contours(px.join(outer, ["image_id", "label"], "left_semi"))
     long = c.withColumn("n", F.count("*").over(Window.partitionBy("image_id", "label"))).filter("n >= 15").filter(F.col("k") % step == 0)
     w = Window.partitionBy("image_id", "label").orderBy("k")
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -178,9 +266,9 @@ def component_features(comp: DataFrame) -> DataFrame:
     return comp.groupBy("image_id").agg(F.when(n >= 2, variation("area")).otherwise(F.lit(0.0)).alias("cc_size_var"), (1 / n).alias("stroke_connectivity"))
 
 
-def contour_irregularity(px: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Hull areas of outer components over ink pixels."""
-    outer = hull_area(px).join(I.outer_labels(px, I.outside(px, sizes)), ["image_id", "label"])
+def contour_irregularity(px: DataFrame, outer: DataFrame) -> DataFrame:
+    """Hull areas of the components ``outer(image_id, label)`` over ink pixels."""
+    outer = hull_area(px).join(outer, ["image_id", "label"])
     n = px.groupBy("image_id").agg(F.count("*").alias("n"))
     return outer.groupBy("image_id").agg(F.sum("hull").alias("s")).join(n, "image_id").select("image_id", (F.col("s") / F.col("n")).alias("contour_irregularity"))
 
@@ -223,7 +311,8 @@ def features(px: DataFrame, height: int | None = 100, least_ink: int = 30) -> Da
     grid = sizes.select("image_id", F.explode(F.expr("sequence(0, h - 1)")).alias("y"), "w").select("image_id", "y", F.explode(F.expr("sequence(0, w - 1)")).alias("x"))
     dense = grid.join(ink.withColumn("v", F.lit(1)), ["image_id", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
     boxes = materialize(merge_boxes(comp), "features")
+    outer = materialize(I.outer_labels(lab, I.outside(lab.select("image_id", "y", "x0", "x1"), sizes)), "features")
     out = sizes.select("image_id")
-    for f in (stroke_width_var(ink, sizes), spacing_dev(boxes), slant_var(dense), baseline_wobble(boxes), curvature_var(cells, sizes), component_features(comp), contour_irregularity(cells, sizes)):
+    for f in (stroke_width_var(ink, sizes), spacing_dev(boxes), slant_var(dense), baseline_wobble(boxes), curvature_var(cells, outer), component_features(comp), contour_irregularity(cells, outer)):
         out = out.join(f, "image_id", "left")
     return out

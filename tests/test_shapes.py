@@ -33,8 +33,8 @@ def test_components_are_eight_connected(spark):
 
 def test_contour_area_of_a_rectangle_and_a_ring(spark):
     rect = ["." * 105] * 2 + ["." * 2 + "#" * 101 + ".."] * 51 + ["." * 105] * 2
-    cells = I.to_ink(I.label_runs(ink(spark, rect, RING)))
-    got = {(r.image_id, r.area) for r in S.contour_area(cells, sizes(spark, rect, RING)).collect()}
+    lab = I.label_runs(ink(spark, rect, RING))
+    got = {(r.image_id, r.area) for r in S.contour_area(lab, sizes(spark, rect, RING)).collect()}
     assert got == {(0, 5000.0), (1, 16.0)}  # the dot in the ring's hole is no outer contour
 
 
@@ -107,8 +107,9 @@ def test_equal_gaps_have_no_spread(spark):
 def test_a_part_inside_a_hole_turns_nothing(spark):
     ring = ["." * 24] + ["." + "#" * 22 + "."] * 3 + ["." + "###" + "." * 16 + "###" + "."] * 14 + ["." + "#" * 22 + "."] * 3 + ["." * 24]
     filled = [line[:9] + "######" + line[15:] if 8 <= y <= 14 else line for y, line in enumerate(ring)]
-    cells = I.to_ink(I.label_runs(ink(spark, ring, filled)))
-    got = {r.image_id: r.curvature_var for r in S.curvature_var(cells, sizes(spark, ring, filled)).collect()}
+    lab = I.label_runs(ink(spark, ring, filled))
+    outer = I.outer_labels(lab, I.outside(lab.select("image_id", "y", "x0", "x1"), sizes(spark, ring, filled)))
+    got = {r.image_id: r.curvature_var for r in S.curvature_var(I.to_ink(lab), outer).collect()}
     assert got[0] is not None and got[0] == got[1]
 
 
