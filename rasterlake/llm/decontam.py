@@ -44,7 +44,9 @@ from rasterlake.llm.kernels import ALNUM, U64, chunks, mix, tidy, window_hashes,
 from rasterlake.session import materialize
 
 BLOCK_WORDS = 100_000
-TABLES, SAMPLE, MAX_WALKS, COPIES = 8, 4, 96, 120
+TABLES, SAMPLE, MAX_WALKS, COPIES = 8, 4, 512, 300
+#: Standard errors by which the copies met must exceed the recall, as they also decide when to stop.
+MARGIN = 1.0
 CHUNK, FOLD = 1 << 20, 1024
 PRE_BITS = 20
 SCHEMA = "doc_id bigint, item_id bigint, distance int, similarity double, start_word int, end_word int"
@@ -133,7 +135,9 @@ class LengthClass:
         row = np.repeat(np.arange(len(copies)), [len(c) for c in copies])
         met = np.zeros(len(copies), bool)
         self.walks: list[tuple[Walk, list[tuple[np.ndarray, np.ndarray]]]] = []
-        while met.mean() < recall and len(self.walks) < MAX_WALKS:
+        while met.mean() - MARGIN * (met.mean() * (1 - met.mean()) / len(met)) ** 0.5 < recall:
+            if len(self.walks) == MAX_WALKS:
+                raise ValueError(f"{MAX_WALKS} walks meet {met.mean():.3f} of the copies of items of {least} words or more; recall {recall} is not reached")
             walk = Walk(len(self.walks), least)
             key, inside = walk.keys(flat, start, end)
             tables = []
