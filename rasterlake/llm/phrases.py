@@ -219,11 +219,12 @@ def _survivors(scored: dict[int, DataFrame], tables: dict[int, DataFrame], limit
     return reduce(DataFrame.unionByName, out)
 
 
-def collocations(docs: DataFrame, count: int = 2000, least: int = 30, share: int = 80) -> DataFrame:
+def collocations(docs: DataFrame, count: int = 2000, least: int = 30, share: int = 80, ahead: int = 3) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's best phrases of ``docs(lang, text)``.
 
     Phrases occur ``least`` times or more; one that a longer candidate holds
-    with ``share`` per cent of its count or more is left out.
+    with ``share`` per cent of its count or more is left out.  The first frontier
+    is that of each language's ``ahead * count`` best pairs; the result does not depend on it.
     """
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     salt = 0
@@ -241,7 +242,7 @@ def collocations(docs: DataFrame, count: int = 2000, least: int = 30, share: int
     scored = {2: materialize(_with_scores(tables[2], 2, tables), "phrases")}
     parts = {3: _bits(tables[2], _names(2))}
 
-    want, limits = 3 * count, None
+    want, limits = ahead * count, None
     while True:
         known = reduce(DataFrame.unionByName, (s.select("lang", "score") for s in scored.values()))
         fresh = _threshold(known, want)

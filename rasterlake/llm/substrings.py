@@ -11,8 +11,8 @@ Probes are numerous, so they travel packed: a task hashes its documents, sorts
 the hashes and sends each partition one array of (47-bit hash, block flag,
 document) words.  Blocks that many documents of one task share are answered in
 that task and sent once, so frequent passages fill no partition.  Window hashes
-(64 bits) are sent once per task with the smallest document, which decides who
-is first.  ``spark.sql.shuffle.partitions`` sets the number of hash ranges, each
+(128 bits, of two salts) are sent once per task with the smallest document, which
+decides who is first; within a document 64 bits name a window.  ``spark.sql.shuffle.partitions`` sets the number of hash ranges, each
 of which one task sorts in memory (about 30 bytes for each probe).
 
 Edge cases: null and empty texts have no words; documents shorter than a window
@@ -40,6 +40,8 @@ MAX_LOCAL = 1 << 16
 BLOCK_BITS = U64(17)
 FLAG = U64(1 << 16)
 LOW = U64(0xFFFF)
+#: Salt of a window's second hash.
+SECOND = 0x2545F4914F6CDD1D
 
 
 def _ranges(sorted_hash: np.ndarray, parts: int, bits: int) -> np.ndarray:
@@ -186,24 +188,29 @@ def _anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
         yield _answers(np.ascontiguousarray(pair["d"]), index[pair["a"]], parts)
 
 
+def _sorted_windows(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows by both hashes and document, and which of them begin a window."""
+    order = np.lexsort((doc, g, h))
+    h, g, doc = h[order], g[order], doc[order]
+    return h, g, doc, np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
+
+
 def _windows(window: int, parts: int):
     """Exact windows around the anchors, packed by hash range with the task's smallest document."""
     block = window // 2
 
-    def flush(held: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate(held)
-        doc = np.repeat(np.array(ids, np.int64), [len(x) for x in held])
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        first = np.append(True, h[1:] != h[:-1])
+    def flush(held: list[tuple[np.ndarray, np.ndarray]], ids: list[int]) -> Iterator[pa.RecordBatch]:
+        h, g = (np.concatenate(x) for x in zip(*held))
+        doc = np.repeat(np.array(ids, np.int64), [len(x) for x, _ in held])
+        h, g, doc, first = _sorted_windows(h, g, doc)
         least = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
         later = doc != least
         if later.any():
             pair = np.unique(np.rec.fromarrays([doc[later], h[later]], names="d,h"))
             yield _told(np.ascontiguousarray(pair["d"]), pair["h"], parts)
-        h, doc = h[first], doc[first]
-        cuts = _ranges(h, parts, 64)
-        out = [(p, h[cuts[p] : cuts[p + 1]].tobytes(), doc[cuts[p] : cuts[p + 1]].tobytes()) for p in range(parts) if cuts[p + 1] > cuts[p]]
+        pair, doc = np.stack([h[first], g[first]], 1), doc[first]
+        cuts = _ranges(pair[:, 0], parts, 64)
+        out = [(p, pair[cuts[p] : cuts[p + 1]].tobytes(), doc[cuts[p] : cuts[p + 1]].tobytes()) for p in range(parts) if cuts[p + 1] > cuts[p]]
         for lo in range(0, len(out), 16):
             yield _sent(out[lo : lo + 16])
 
@@ -214,7 +221,7 @@ def _windows(window: int, parts: int):
             for lo, _, data, offsets in chunks(batch.column(1)):
                 starts, ends, at = words(data, offsets)
                 h = word_hashes(data, starts, ends)
-                g, full = window_hashes(h, block) >> BLOCK_BITS, window_hashes(h, window)
+                g, full, second = window_hashes(h, block) >> BLOCK_BITS, window_hashes(h, window), window_hashes(h, window, SECOND)
                 for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                     if b - a < window:
                         continue
@@ -226,7 +233,7 @@ def _windows(window: int, parts: int):
                     np.add.at(change, np.clip(p + 1, 0, last + 1), -1)
                     s = np.flatnonzero(np.cumsum(change)[: last + 1] > 0)
                     if len(s):
-                        held.append(full[a + s])
+                        held.append((full[a + s], second[a + s]))
                         ids.append(doc_ids[lo + i])
                         n += len(s)
                     if n >= FLUSH:
@@ -244,12 +251,10 @@ def _firsts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     yield from _parcels(batches, mine)
     if not mine:
         return
-    h = np.concatenate([np.frombuffer(d, U64) for d, _ in mine])
+    pair = np.concatenate([np.frombuffer(d, U64) for d, _ in mine]).reshape(-1, 2)
     doc = np.concatenate([np.frombuffer(t, np.int64) for _, t in mine])
     mine.clear()
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    first = np.append(True, h[1:] != h[:-1])
+    h, _, doc, first = _sorted_windows(pair[:, 0], pair[:, 1], doc)
     later = doc != doc[np.flatnonzero(first)][np.cumsum(first) - 1]
     if later.any():
         yield _answers(doc[later], h[later], parts)
