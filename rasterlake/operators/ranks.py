@@ -34,16 +34,19 @@ def running(df: DataFrame, order: list[str], weight: str | None = None, keys: li
 
 
 def medians(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
-    """``keys, med_<col>...``: exact medians, the mean of the two middle values; null without values."""
+    """``keys, med_<col>...``: exact medians, the mean of the two middle values; null without values.
+
+    All columns go through one cut into ranges, with their name as part of the key.
+    """
     keys = keys or []
-    out = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    for c in cols:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("n"))
-        upto = running(counts, [c], "n", keys)
-        half = upto.groupBy(*keys).agg(F.max("upto").alias("total"))
-        both = upto.join(F.broadcast(half), keys) if keys else upto.crossJoin(F.broadcast(half))  # one row per key
-        low, high = (F.floor((F.col("total") + k) / 2) for k in (1, 2))
-        has = lambda at: (F.col("upto") - F.col("n") < at) & (at <= F.col("upto"))
-        med = both.groupBy(*keys).agg(((F.max(F.when(has(low), F.col(c))) + F.max(F.when(has(high), F.col(c)))) / 2).alias(f"med_{c}"))
-        out = out.join(F.broadcast(med), keys, "left") if keys else out.crossJoin(F.broadcast(med))
-    return out
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__v")) for c in cols)))
+    long = df.select(*keys, each.alias("__e")).select(*keys, "__e.*").filter("__v is not null")
+    own = [*keys, "__col"]
+    upto = running(long.groupBy(*own, "__v").agg(F.count("*").alias("n")), ["__v"], "n", own)
+    half = upto.groupBy(*own).agg(F.max("upto").alias("total"))
+    both = upto.join(F.broadcast(half), own)  # one row per key and column
+    low, high = (F.floor((F.col("total") + k) / 2) for k in (1, 2))
+    has = lambda at: (F.col("upto") - F.col("n") < at) & (at <= F.col("upto"))
+    pick = lambda c, at: F.max(F.when((F.col("__col") == c) & has(at), F.col("__v")))
+    med = both.groupBy(*keys).agg(*(((pick(c, low) + pick(c, high)) / 2).alias(f"med_{c}") for c in cols))
+    return df.select(*keys).distinct().join(F.broadcast(med), keys, "left") if keys else med

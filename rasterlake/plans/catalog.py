@@ -182,7 +182,7 @@ def raster_contrast_map(spark, d):
 
 @query
 def ink_runs(spark, d):
-    return I.runs(V.text_ink(spark, d))
+    return V.text_runs(spark, d)
 
 
 @query
@@ -192,7 +192,7 @@ def ink_components(spark, d):
 
 @query
 def ink_text_components(spark, d):
-    return I.components(I.label_runs(V.text_ink(spark, d)))
+    return I.components(I.labelled_runs(V.text_runs(spark, d)))
 
 
 @query
@@ -288,7 +288,7 @@ def corpus_padded(spark, d):
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     """Component boxes of the sparse text rasters."""
-    return materialize(I.components(I.label_runs(V.text_ink(spark, d))), "boxes")
+    return materialize(I.components(I.labelled_runs(V.text_runs(spark, d))), "boxes")
 
 
 def listed(groups: DataFrame) -> DataFrame:
@@ -437,9 +437,14 @@ def samples_by_source(spark, d):
     return V.samples(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.sum("label").alias("positive"))
 
 
+def sampled(spark: SparkSession, d: str) -> DataFrame:
+    """The samples' few numbers, written once, as fits read them many times."""
+    return materialize(V.samples(spark, d), "samples")
+
+
 @query
 def samples_standardized(spark, d):
-    z = M.class_weights(M.standardize(M.impute(V.samples(spark, d), V.SAMPLE_FEATURES), V.SAMPLE_FEATURES))
+    z = M.class_weights(M.standardize(M.impute(sampled(spark, d), V.SAMPLE_FEATURES), V.SAMPLE_FEATURES))
     return r6(z.select("sample_id", "label", "cw", *V.SAMPLE_FEATURES), "cw", *V.SAMPLE_FEATURES)
 
 
@@ -464,18 +469,18 @@ def samples_metrics_by_source(spark, d):
 
 @query
 def samples_folds(spark, d):
-    return M.folds(V.samples(spark, d)).select("sample_id", "repeat", "fold")
+    return M.folds(sampled(spark, d)).select("sample_id", "repeat", "fold")
 
 
 @query
 def samples_cross_validation(spark, d):
-    cv = M.cross_validate(V.samples(spark, d), V.SAMPLE_FEATURES)
+    cv = M.cross_validate(sampled(spark, d), V.SAMPLE_FEATURES)
     return r6(cv, *(c for c in cv.columns if c not in ("repeat", "out", "n")))
 
 
 @query
 def samples_model(spark, d):
-    m = M.train_model(V.samples(spark, d), V.SAMPLE_FEATURES)
+    m = M.train_model(sampled(spark, d), V.SAMPLE_FEATURES)
     return m.select("selected_lambda", F.round("bias", 6).alias("bias"), F.explode("features").alias("f")).select("selected_lambda", "bias", "f.*")
 
 

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from rasterlake.operators.ink import union_runs
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,10 +20,24 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("image_id", F.expr("cast(p div 8 as int)").alias("y"), (F.col("p") % 8).alias("x"), v.alias("v"))
 
 
-def text_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ink(image_id, y, x)``: 64-wide raster of each whole text; every character that is no blank is ink."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "")).alias("p", "ch"))
-    return d.filter(F.ascii("ch") > 32).select("image_id", F.expr("cast(p div 64 as int)").alias("y"), F.expr("cast(p % 64 as int)").alias("x"))
+#: Characters in a line of a text's raster.
+TEXT_WIDTH = 64
+
+
+def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``runs(image_id, y, x0, x1)``: 64-wide raster of each whole text; every character that is no blank is ink.
+
+    A text is cut into lines, and lines into blanks and ink, within its row, so
+    only runs leave it.  Runs of rows that share an id are joined.
+    """
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), "text")
+    lines = d.select("image_id", F.posexplode(F.expr(rf"regexp_extract_all(text, '(?s).{{1,{TEXT_WIDTH}}}', 0)")).alias("y", "line"))
+    pieces = F.expr(r"regexp_extract_all(line, '[\\x00-\\x20]+|[^\\x00-\\x20]+', 0)")
+    step = "(s, p) -> struct(s.at + length(p) as at, if(ascii(p) > 32, concat(s.runs, array(struct(s.at as x0, s.at + length(p) - 1 as x1))), s.runs) as runs)"
+    runs = F.expr(f"aggregate(pieces, struct(0 as at, cast(array() as array<struct<x0:int,x1:int>>) as runs), {step}, s -> s.runs)")
+    out = lines.select("image_id", "y", pieces.alias("pieces")).select("image_id", "y", F.explode(runs).alias("r")).select("image_id", "y", "r.x0", "r.x1")
+    single = d.filter("image_id is not null").groupBy("image_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return out if single else union_runs(out)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
