@@ -3,20 +3,21 @@
 Samples are ``(sample_id, source, label, features...)``; null and non-finite
 features are not computable and are imputed.  Ranks, folds and medians come from
 ``ranks``, so no task holds a whole class or column.  Many models are fitted together: every Newton step
-is one grouped sum over (model key, sample) rows, and only the small gradient
-and Hessian of each key come to the driver.
+is one scan, and only the small gradient and Hessian of each model come to the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from rasterlake.operators.ranks import medians, running
-from rasterlake.session import materialize
+from rasterlake.operators.ranks import medians, running, running_sums
+from rasterlake.session import materialize, ship_code
 
 LAMBDAS = [0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0]
 
@@ -47,15 +48,18 @@ def class_weights(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(p)).withColumn("cw", F.when(F.col("label") == 1, 0.5 / F.col("p")).otherwise(0.5 / (1 - F.col("p")))).drop("p")
 
 
-def folds(df: DataFrame, repeats: int = 10, k: int = 5) -> DataFrame:
-    """``repeat, fold``: stratified by label, in an order given by a public arithmetic hash of the id."""
+def _fold_places(df: DataFrame, repeats: int, k: int) -> DataFrame:
+    """``sample_id, label, repeat, fold`` of each sample; rows that repeat a sample have one place."""
     r = df.select("sample_id", "label").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     r = r.withColumn("h", F.expr("pmod((sample_id + 1) * (7919 + 104729 * repeat), 1000003)"))
-    # of rows that repeat a sample one gets the place
     once = r.groupBy("repeat", "label", "sample_id").agg(F.first("h").alias("h"))
     place = running(once, ["h", "sample_id"], keys=["repeat", "label"])
-    fold = place.select("sample_id", "label", "repeat", F.pmod(F.col("upto") - 1, F.lit(k)).cast("int").alias("fold"))
-    return df.join(fold, ["sample_id", "label"])
+    return place.select("sample_id", "label", "repeat", F.pmod(F.col("upto") - 1, F.lit(k)).cast("int").alias("fold"))
+
+
+def folds(df: DataFrame, repeats: int = 10, k: int = 5) -> DataFrame:
+    """``repeat, fold``: stratified by label, in an order given by a public arithmetic hash of the id."""
+    return df.join(_fold_places(df, repeats, k), ["sample_id", "label"])
 
 
 def probability(cols: list[str], weights: list[float], bias: float):
@@ -105,6 +109,27 @@ def penalty(weights: list[float], lam: float) -> float:
     return lam * sum(w * w for w in weights)
 
 
+def _step(m: tuple, tried: np.ndarray, sw: float, loss: float, g: np.ndarray, h: np.ndarray, w: dict, base: dict, move: dict, tol: float) -> None:
+    """Takes the weights tried for model ``m`` if they lower its loss, and finds its next Newton step (none when settled); else halves the step.
+
+    ``m`` begins with lambda; ``loss``, ``g`` and ``h`` are sums, ``sw`` that of the sample weights.
+    """
+    value = loss / sw + penalty(tried[:-1], m[0])
+    if m in base and not value <= base[m] + 1e-12:
+        move[m] = move[m] / 2
+        return
+    w[m], base[m] = tried, value
+    pull = 2 * m[0] * np.append(np.ones(len(tried) - 1), 0.0)
+    step = np.linalg.solve(h / sw + np.diag(pull) + 1e-12 * np.eye(len(tried)), g / sw + pull * tried)
+    move[m] = step if float(np.abs(step).max()) >= tol else None
+
+
+def _settled(w: dict, base: dict, move: dict, rounds: int) -> None:
+    open_ = [m for m in w if m not in base or move[m] is not None]
+    if open_:
+        raise ValueError(f"{len(open_)} of {len(w)} models have not settled after {rounds} rounds")
+
+
 def fit_grouped(df: DataFrame, cols: list[str], keys: list[str], lams: list[float], rounds: int = 60, tol: float = 1e-9) -> DataFrame:
     """``lam, keys, w array<double>`` (bias last) minimising weighted BCE + lam * |w|^2 for each key and lambda.
 
@@ -136,39 +161,165 @@ def fit_grouped(df: DataFrame, cols: list[str], keys: list[str], lams: list[floa
         sums = [F.sum(F.col("g") * F.col(c)).alias(f"g{i}") for i, c in enumerate(xs)] + [F.sum(F.col("q") * F.col(xs[a]) * F.col(xs[b])).alias(f"h{a}_{b}") for a, b in tri]
         for r in j.groupBy("lam", *keys).agg(F.sum("cw").alias("sw"), F.sum(loss).alias("loss"), *sums).collect():
             m = (r["lam"], *(r[c] for c in keys))
-            value = r["loss"] / r["sw"] + penalty(tried[m][:-1], m[0])
-            if m in base and not value <= base[m] + 1e-12:
-                move[m] = move[m] / 2
-                continue
-            w[m], base[m] = tried[m], value
-            pull = 2 * m[0] * np.append(np.ones(n - 1), 0.0)
-            g = np.array([r[f"g{i}"] for i in range(n)]) / r["sw"] + pull * w[m]
             h = np.zeros((n, n))
             for a, b in tri:
-                h[a, b] = h[b, a] = r[f"h{a}_{b}"] / r["sw"]
-            step = np.linalg.solve(h + np.diag(pull) + 1e-12 * np.eye(n), g)
-            move[m] = step if float(np.abs(step).max()) >= tol else None
-    open_ = [m for m in w if m not in base or move[m] is not None]
-    if open_:
-        raise ValueError(f"{len(open_)} of {len(w)} models have not settled after {rounds} rounds")
+                h[a, b] = h[b, a] = r[f"h{a}_{b}"]
+            _step(m, tried[m], r["sw"], r["loss"], np.array([r[f"g{i}"] for i in range(n)]), h, w, base, move, tol)
+    _settled(w, base, move, rounds)
     return spark.createDataFrame([(m[0], *m[1:], v.tolist()) for m, v in w.items()], "lam double, " + ", ".join(f"{c} {t}" for c, t in df.select(*keys).dtypes) + ", w array<double>")
 
 
+def fold_table(df: DataFrame, cols: list[str], repeats: int, k: int) -> DataFrame:
+    """``label, folds`` and ``cols``: one row a sample, with its fold in each repeat."""
+    of = F.transform(F.sort_array(F.collect_list(F.struct("repeat", "fold"))), lambda s: s["fold"])  # as many as repeats
+    lists = _fold_places(df, repeats, k).groupBy("sample_id", "label").agg(of.alias("folds"))
+    return clean_nan(df, cols).join(lists, ["sample_id", "label"]).select("label", "folds", *cols)
+
+
+def fold_statistics(table: DataFrame, cols: list[str], repeats: int, k: int) -> dict[tuple[int, int], dict]:
+    """Of each (repeat, fold left out): class share, medians, means and deviations of the training part.
+
+    The medians come from one cut of the distinct values into ranges, with running counts of each
+    fold; moments after imputing follow from sums of powers about the median.  The
+    result has the size of the grid.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in cols)))
+    long = table.select("folds", each.alias("e")).select("folds", "e.*").filter("v is not null")
+    long = long.select("col", "v", F.posexplode("folds").alias("repeat", "fold"))
+    counts = long.groupBy("col", "repeat", "v").agg(*(F.count_if(F.col("fold") == j).alias(f"n{j}") for j in range(k)))
+    upto = running_sums(counts, ["v"], {f"u{j}": F.col(f"n{j}") for j in range(k)}, ["col", "repeat"])
+    upto = materialize(upto, "folds")
+    total = upto.groupBy("col", "repeat").agg(*(F.max(f"u{j}").alias(f"t{j}") for j in range(k)))
+    both = upto.join(F.broadcast(total), ["col", "repeat"])  # a row for each column and repeat
+    without = lambda p, out: sum((F.col(f"{p}{j}") for j in range(k) if j != out), F.lit(0))
+    picks = []
+    for out in range(k):
+        u, n, t = (without(p, out) for p in "unt")
+        for name, i in (("low", 1), ("high", 2)):
+            at = F.floor((t + i) / 2)
+            picks.append(F.max(F.when((u - n < at) & (at <= u), F.col("v"))).alias(f"{name}{out}"))
+    got = both.groupBy("col", "repeat").agg(*picks).collect()
+    med = {(r["repeat"], out, r["col"]): 0.0 if r[f"low{out}"] is None else (r[f"low{out}"] + r[f"high{out}"]) / 2 for r in got for out in range(k)}
+    stats = {(r, out): {"med": [med.get((r, out, c), 0.0) for c in cols]} for r in range(repeats) for out in range(k)}
+    # two passes, as the deviation is about the mean of imputed values
+    for what in ("mu", "sd"):
+        sums = _summed(table, cols, _Moments(stats, what, len(cols)))
+        for key, (n, *v) in sums.items():
+            v = np.array(v)
+            if what == "mu":
+                stats[key] |= {"n": n} | ({"p": v[0] / n, "mu": v[1:] / n} if n else {})
+            else:
+                stats[key]["sd"] = np.sqrt(v[1:] / n) + 1e-9
+        if what == "mu":
+            stats = {key: st for key, st in stats.items() if st.get("n")}
+    return stats
+
+
+class _Moments:
+    """Sums of the label and of the imputed columns (``mu``), or of their squared deviations (``sd``)."""
+
+    def __init__(self, stats: dict, what: str, width: int) -> None:
+        self.stats, self.what, self.width = stats, what, 2 + width
+
+    def keys(self) -> list:
+        return list(self.stats)
+
+    def __call__(self, key, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if self.what == "sd":
+            x = (x - self.stats[key]["mu"]) ** 2
+        return np.concatenate([[len(y), y.sum()], x.sum(0)])
+
+
+class _Newton:
+    """Loss, gradient and Hessian sums of models (repeat, fold left out, lambda), all lambdas of a key at once."""
+
+    def __init__(self, stats: dict, tried: dict[tuple, dict[float, np.ndarray]], n: int) -> None:
+        self.stats, self.tried = stats, tried
+        self.tri = np.triu_indices(n)
+        self.each = 2 + n + len(self.tri[0])
+        self.width = max(len(t) for t in tried.values()) * self.each
+
+    def keys(self) -> list:
+        return list(self.tried)
+
+    def __call__(self, key, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        st = self.stats[key]
+        z = np.c_[(x - st["mu"]) / st["sd"], np.ones(len(y))]
+        cw = np.where(y == 1, 0.5 / st["p"] if st["p"] else 0.0, 0.5 / (1 - st["p"]) if st["p"] < 1 else 0.0)
+        w = np.array([v for _, v in sorted(self.tried[key].items())])
+        s = z @ w.T
+        p = 1 / (1 + np.exp(-np.maximum(s, -700)))
+        g = cw[:, None] * (p - y[:, None])
+        q = cw[:, None] * p * (1 - p)
+        loss = cw[:, None] * (np.maximum(s, 0) + np.log1p(np.exp(-np.abs(s))) - y[:, None] * s)
+        h = np.einsum("nl,na,nb->lab", q, z, z, optimize=True)[:, self.tri[0], self.tri[1]]
+        out = np.c_[np.full(len(w), cw.sum()), loss.sum(0), g.T @ z, h].ravel()
+        return np.pad(out, (0, self.width - len(out)))
+
+
+def _summed(table: DataFrame, cols: list[str], measure) -> dict[tuple[int, int], list[float]]:
+    """Sums of ``measure`` over the training part of each key, in one scan with a row for each key and task."""
+    ship_code(table.sparkSession)
+    stats, keys, width = measure.stats, measure.keys(), measure.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(keys), width))
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            folds_of = np.array(batch.column(1).to_pylist(), int).reshape(len(y), -1)
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[2:]], 1)
+            for i, key in enumerate(keys):
+                train = folds_of[:, key[0]] != key[1]
+                part = x[train]
+                held[i] += measure(key, np.where(np.isnan(part), stats[key]["med"], part), y[train])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(keys)), pa.int32()), *(pa.array(held[:, j]) for j in range(width))], names=["key", *(f"v{j}" for j in range(width))])
+
+    rows = table.select("label", "folds", *cols).mapInArrow(run, "key int, " + ", ".join(f"v{j} double" for j in range(width)))
+    got = rows.groupBy("key").agg(*(F.sum(f"v{j}").alias(f"v{j}") for j in range(width))).collect()  # the size of the grid
+    return {keys[r["key"]]: [r[f"v{j}"] for j in range(width)] for r in got}
+
+
+def fit_folds(table: DataFrame, cols: list[str], stats: dict, lams: list[float], rounds: int = 60, tol: float = 1e-9) -> dict[tuple, np.ndarray]:
+    """Weights (bias last) by (lambda, repeat, fold left out), of samples with their folds.
+
+    Each round is one scan of the samples, which are not repeated: a task sums the
+    parts of all models' gradients and Hessians, and only these sums meet.  Steps are those of
+    ``fit_grouped``.
+    """
+    n = len(cols) + 1
+    w = {(lam, *key): np.zeros(n) for lam in lams for key in stats}
+    base, move = {}, {}
+    for _ in range(rounds):
+        live = [m for m in w if m not in base or move[m] is not None]
+        if not live:
+            break
+        tried: dict[tuple, dict[float, np.ndarray]] = {}
+        for m in live:
+            tried.setdefault(m[1:], {})[m[0]] = w[m] - move[m] if m in base else w[m]
+        newton = _Newton(stats, tried, n)
+        for key, sums in _summed(table, cols, newton).items():
+            for i, lam in enumerate(sorted(tried[key])):
+                m, v = (lam, *key), np.array(sums[i * newton.each : (i + 1) * newton.each])
+                h = np.zeros((n, n))
+                h[newton.tri] = v[2 + n :]
+                _step(m, tried[key][lam], v[0], v[1], v[2 : 2 + n], h + np.triu(h, 1).T, w, base, move, tol)
+    _settled(w, base, move, rounds)
+    return w
+
+
 def cross_validate(df: DataFrame, cols: list[str], lambdas: list[float] = LAMBDAS, repeats: int = 10, k: int = 5) -> DataFrame:
     """``lam, repeat, out`` and metrics: imputing, scaling and weights refitted on each training part."""
-    f = folds(clean_nan(df, cols), repeats, k).withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    f = materialize(f.select("repeat", "out", "fold", "label", *cols), "folds")
-    keys = ["repeat", "out"]
-    train = F.col("fold") != F.col("out")
-    med = medians(f.filter(train), cols, keys).join(F.broadcast(f.filter(train).groupBy(*keys).agg(F.avg("label").alias("p"))), keys)
-    filled = f.join(F.broadcast(med), keys).withColumns({c: F.coalesce(c, f"med_{c}") for c in cols})
-    st = filled.filter(train).groupBy(*keys).agg(*(F.avg(c).alias(f"mu_{c}") for c in cols), *((F.stddev_pop(c) + 1e-9).alias(f"sd_{c}") for c in cols))
-    z = filled.join(F.broadcast(st), keys).withColumns({c: (F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}") for c in cols})
-    z = materialize(z.withColumn("cw", F.when(F.col("label") == 1, 0.5 / F.col("p")).otherwise(0.5 / (1 - F.col("p")))).select(*keys, "fold", "label", "cw", *cols), "folds")
-    w = fit_grouped(z.filter(train), cols, keys, list(lambdas))
-    held = z.filter(~train).join(F.broadcast(w), keys)
-    s = reduce(lambda a, b: a + b, (F.col(c) * F.col("w")[i] for i, c in enumerate(cols)), F.col("w")[len(cols)])
-    return metrics(held.withColumn("prob", 1 / (1 + F.exp(-s))), ["lam", *keys])
+    spark = df.sparkSession
+    table = materialize(fold_table(df, cols, repeats, k), "folds")
+    stats = fold_statistics(table, cols, repeats, k)
+    models = fit_folds(table, cols, stats, list(lambdas))
+    num = lambda v: [float(x) for x in v]
+    rows = [(r, out, lam, num(stats[r, out]["med"]), num(stats[r, out]["mu"]), num(stats[r, out]["sd"]), num(w)) for (lam, r, out), w in models.items()]
+    grid = spark.createDataFrame(rows, "repeat int, out int, lam double, med array<double>, mu array<double>, sd array<double>, w array<double>")
+    # a sample is held out once in each repeat
+    held = table.select("label", *cols, F.posexplode("folds").alias("repeat", "out")).join(F.broadcast(grid), ["repeat", "out"])
+    s = reduce(lambda a, b: a + b, ((F.coalesce(F.col(c), F.col("med")[i]) - F.col("mu")[i]) / F.col("sd")[i] * F.col("w")[i] for i, c in enumerate(cols)), F.col("w")[len(cols)])
+    return metrics(held.withColumn("prob", 1 / (1 + F.exp(-s))), ["lam", "repeat", "out"])
 
 
 def select_lambda(cv: DataFrame) -> tuple[float, DataFrame]:

@@ -13,24 +13,28 @@ from rasterlake.session import materialize
 
 
 def running(df: DataFrame, order: list[str], weight: str | None = None, keys: list[str] | None = None, name: str = "upto") -> DataFrame:
-    """``df`` with the rows (or the sum of ``weight``) up to and with each row, in its key's order.
+    """``df`` with the rows (or the sum of ``weight``) up to and with each row, in its key's order."""
+    return running_sums(df, order, {name: F.lit(1) if weight is None else F.col(weight)}, keys)
+
+
+def running_sums(df: DataFrame, order: list[str], sums: dict, keys: list[str] | None = None) -> DataFrame:
+    """``df`` with the sums of columns up to and with each row, in its key's order.
 
     ``order`` must be unique within a key.  The ranges are written once, so both
     uses of them see the same cut.
     """
     keys = keys or []
     cut = materialize(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranks")
-    one = F.lit(1) if weight is None else F.col(weight)
     own = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = cut.groupBy("__part", *keys).agg(F.sum(one).alias("__total"))  # a row for each range and key
+    total = cut.groupBy("__part", *keys).agg(*(F.sum(c).alias(n) for n, c in sums.items()))  # a row for each range and key
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.withColumn("__base", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
+    base = total.select("__part", *keys, *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__base_{n}") for n in sums))
     base = base.withColumnsRenamed({c: f"__of_{c}" for c in ("__part", *keys)})
     on = F.col("__part") == F.col("__of___part")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
-    joined = cut.withColumn("__own", F.sum(one).over(own)).join(F.broadcast(base), on)
-    return joined.select(*df.columns, (F.col("__own") + F.col("__base")).alias(name))
+    joined = cut.withColumns({f"__own_{n}": F.sum(c).over(own) for n, c in sums.items()}).join(F.broadcast(base), on)
+    return joined.select(*df.columns, *((F.col(f"__own_{n}") + F.col(f"__base_{n}")).alias(n) for n in sums))
 
 
 def medians(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:

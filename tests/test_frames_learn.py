@@ -149,3 +149,37 @@ def test_best_epoch_is_the_first_of_the_best(spark):
 def test_too_few_samples_stop(spark):
     with pytest.raises(ValueError):
         M.enough_samples(samples(spark, 8), "p")
+
+
+def test_folds_fitted_in_one_scan_equal_grouped_fits(spark):
+    df, cols, lams = samples(spark, 90), ["f1", "f2"], [0.01, 0.3]
+    table = M.fold_table(df, cols, 2, 3)
+    stats = M.fold_statistics(table, cols, 2, 3)
+    got = M.fit_folds(table, cols, stats, lams)
+    rows = M.folds(df, 2, 3).toPandas()
+    assert table.count() == 90 and len(got) == 12
+    for r in range(2):
+        for out in range(3):
+            part = rows[(rows.repeat == r) & (rows.fold != out)]
+            med, st = part[cols].median(), stats[r, out]
+            x = part[cols].fillna(med)
+            z = ((x - x.mean()) / (x.std(ddof=0) + 1e-9)).to_numpy()
+            assert np.allclose(st["med"], med) and np.allclose(st["mu"], x.mean()) and np.allclose(st["sd"], x.std(ddof=0) + 1e-9)
+            y = part.label.to_numpy()
+            cw = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+            one = np.c_[z, np.ones(len(y))]
+            for lam in lams:  # the gradient of the loss is zero where it is least
+                w = got[lam, r, out]
+                g = one.T @ (cw * (1 / (1 + np.exp(-one @ w)) - y)) / cw.sum() + 2 * lam * np.append(w[:2], 0)
+                assert np.abs(g).max() < 1e-7
+            keyed = spark.createDataFrame([(0, int(a), float(b), *map(float, v)) for a, b, v in zip(y, cw, z)], "k int, label int, cw double, f1 double, f2 double")
+            want = {m.lam: m.w for m in M.fit_grouped(keyed, cols, ["k"], lams).collect()}
+            assert all(np.allclose(want[lam], got[lam, r, out], atol=1e-7) for lam in lams)
+    assert M.cross_validate(df.limit(0), cols, lams, 2, 3).count() == 0
+
+
+def test_repeated_samples_keep_their_rows_and_folds(spark):
+    df = samples(spark, 30)
+    twice = df.unionByName(df.filter("sample_id < 5"))
+    table = M.fold_table(twice, ["f1", "f2"], 2, 3)
+    assert table.count() == 35 and all(len(r.folds) == 2 for r in table.collect())
