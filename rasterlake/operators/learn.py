@@ -77,6 +77,22 @@ def decide(df: DataFrame, cols: list[str], model: list[dict], bias: float, thres
     return df.withColumn("prob", p).withColumn("is_handwritten", F.col("prob") >= threshold).withColumn("imputed", names)
 
 
+def decide_by(df: DataFrame, cols: list[str], record: DataFrame) -> DataFrame:
+    """``decide`` by a model record in a table of one row: ``features`` (by ``index``), ``bias`` and, or 0.5, ``decision_threshold``.
+
+    A record with another number of features than ``cols`` is an error.
+    """
+    threshold = F.coalesce("decision_threshold", F.lit(0.5)) if "decision_threshold" in record.columns else F.lit(0.5)
+    fits = F.when(F.size("features") == len(cols), F.expr("array_sort(features, (a, b) -> cast(a.index - b.index as int))")).otherwise(F.raise_error(F.lit(f"the record needs {len(cols)} features")))
+    m = record.limit(1).select(F.struct(fits.alias("f"), F.col("bias").cast("double").alias("bias"), threshold.alias("t")).alias("__model"))
+    f = F.col("__model.f")
+    parts = ((F.coalesce(F.col(c), f[i]["median_for_missing"]) - f[i]["mean"]) / f[i]["std"] * f[i]["weight"] for i, c in enumerate(cols))
+    s = reduce(lambda a, b: a + b, parts, F.col("__model.bias"))
+    names = F.filter(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in cols)), lambda v: v.isNotNull())
+    out = df.crossJoin(F.broadcast(m)).withColumn("prob", 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), s)))))
+    return out.withColumn("is_handwritten", F.col("prob") >= F.col("__model.t")).withColumn("imputed", names).drop("__model")
+
+
 def metrics(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """From ``label, prob``: rates, balanced accuracy, log losses, precision, F1, errors, R2 and rank AUC."""
     y, hit = F.col("label") == 1, F.col("prob") >= 0.5

@@ -172,6 +172,11 @@ def raster_resize_linear(spark, d):
     return r6(R.resize_linear(gray(spark, d), 0.75), "v")
 
 
+@query
+def raster_reader_input(spark, d):
+    return r6(L.reader_input(gray(spark, d)), "v")
+
+
 @query
 def raster_contrast_map(spark, d):
     return R.contrast_map(gray(spark, d))
@@ -393,7 +398,7 @@ def frames_most_common(spark, d):
 
 @query
 def frames_health(spark, d):
-    return r6(V.source_health(V.frames(spark, d)), "mean_value")
+    return r6(V.source_health(V.frames(spark, d)), "last_value")
 
 
 def landed(spark: SparkSession, fr: DataFrame) -> tuple[DataFrame, str]:
@@ -454,6 +459,15 @@ def samples_scored(spark, d):
     return r6(s.select("sample_id", "prob", "is_handwritten", F.concat_ws(",", "imputed").alias("imputed")), "prob")
 
 
+@query
+def samples_scored_by_record(spark, d):
+    """The model is a table, its features in any order."""
+    feats = [(i + 1, f"f{i + 1}", *(m[c] for c in ("median_for_missing", "mean", "std", "weight"))) for i, m in enumerate(MODEL)]
+    record = spark.createDataFrame([(feats[::-1], 0.3)], "features array<struct<index:int,key:string,median_for_missing:double,mean:double,std:double,weight:double>>, bias double")
+    s = M.decide_by(V.samples(spark, d), V.SAMPLE_FEATURES, record)
+    return r6(s.select("sample_id", "prob", "is_handwritten", F.concat_ws(",", "imputed").alias("imputed")), "prob")
+
+
 @query
 def samples_metrics(spark, d):
     s = M.decide(V.samples(spark, d), V.SAMPLE_FEATURES, MODEL, 0.3, 0.5).withColumn("prob", F.round("prob", 6))

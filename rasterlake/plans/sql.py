@@ -162,7 +162,8 @@ SELECT camera_id, seq, CASE WHEN n >= 5 AND text IS NOT NULL THEN text END AS sh
     "frames_rate": f"""WITH RECURSIVE {FRAMES}, d AS (SELECT camera_id, row_number() OVER ({FO}) AS i, (epoch_us(ts) - lag(epoch_us(ts)) OVER ({FO})) / 1e6 AS dt FROM f), s(camera_id, i, fps) AS (SELECT camera_id, i, 0.1 / greatest(dt, 1e-6) FROM d WHERE i = 2 UNION ALL SELECT d.camera_id, d.i, 0.9 * fps + 0.1 / greatest(dt, 1e-6) FROM s JOIN d ON d.camera_id = s.camera_id AND d.i = s.i + 1)
 SELECT camera_id, round(arg_max(fps, i), 6) AS fps FROM s GROUP BY camera_id""",
     "frames_most_common": f"WITH {FRAMES}, c AS (SELECT camera_id, text, count(*) AS n FROM f WHERE text <> '' GROUP BY ALL) SELECT camera_id, text, n FROM c QUALIFY row_number() OVER (PARTITION BY camera_id ORDER BY n DESC, text) = 1",
-    "frames_health": f"WITH {FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY seq) AS i FROM f) SELECT camera_id, count(*) AS n, arg_max(text, seq) FILTER (text IS NOT NULL) AS last_text, round(avg(value), 6) AS mean_value, CASE WHEN avg(value) < 10 THEN 'dark' END AS note FROM r WHERE i <= 15 GROUP BY camera_id",
+    "frames_health": f"""WITH {FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY seq) AS i FROM f), k AS (SELECT * FROM r WHERE i <= 15 AND text IS NOT NULL)
+SELECT camera_id, count(*) AS n, arg_max(text, i) AS last_text, round(arg_max(value, i), 6) AS last_value, CASE WHEN arg_max(value, i) < 10 THEN 'dark' END AS note FROM k GROUP BY camera_id""",
     "samples_by_source": f"WITH {SMP} SELECT source, count(*) AS n, CAST(sum(label) AS BIGINT) AS positive FROM s GROUP BY source",
     "samples_standardized": f"WITH {SMP}, m AS (SELECT " + ", ".join(f"quantile_cont(f{i}, 0.5) AS m{i}" for i in range(1, 5)) + ", avg(label) AS p FROM s), f AS (SELECT sample_id, label, p, " + ", ".join(f"coalesce(f{i}, m{i}) AS f{i}" for i in range(1, 5)) + " FROM s, m), z AS (SELECT " + ", ".join(f"avg(f{i}) AS u{i}, stddev_pop(f{i}) + 1e-9 AS d{i}" for i in range(1, 5)) + " FROM f) SELECT sample_id, label, round(CASE WHEN label = 1 THEN 0.5 / p ELSE 0.5 / (1 - p) END, 6) AS cw, " + ", ".join(f"round((f{i} - u{i}) / d{i}, 6) AS f{i}" for i in range(1, 5)) + " FROM f, z",
     "samples_scored": f"WITH {SMP}, {SC} SELECT sample_id, round(prob, 6) AS prob, prob >= 0.5 AS is_handwritten, imputed FROM sc",
@@ -187,3 +188,5 @@ h AS (SELECT *, gate AND prob >= 0.5 AS hit FROM p)
 SELECT seq AS image_id, CASE WHEN hit THEN 'handwritten' ELSE 'printed' END AS cls, CASE WHEN hit THEN '1' ELSE '' END AS shown, CASE WHEN NOT gate THEN 'no frame' END AS reason,
        CASE WHEN gate THEN round(prob, 4) END AS prob, CASE WHEN gate THEN round(f1, 4) END AS f1, CASE WHEN gate THEN round(f2, 4) END AS f2 FROM h
 """
+SQL["samples_scored_by_record"] = SQL["samples_scored"]
+SQL["raster_reader_input"] = f"WITH {E} SELECT image_id, y, x, round((v / 255.0::DOUBLE - 0.449) / 0.226, 6) AS v FROM e"

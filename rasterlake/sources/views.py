@@ -106,8 +106,15 @@ def best_epoch(log: DataFrame) -> DataFrame:
     return log.agg(F.max_by("epoch", F.struct("accuracy", -F.col("epoch"))).alias("epoch"), F.max("accuracy").alias("best"))
 
 
-def source_health(fr: DataFrame, reads: int = 15, dark: float = 10.0) -> DataFrame:
-    """Last non-null reading and mean value of each camera's first ``reads`` frames, and whether it is dark."""
+def source_health(fr: DataFrame, reads: int = 15, dark: float = 10.0, last: tuple[str, ...] = ("text", "value")) -> DataFrame:
+    """What each camera's last frame of its first ``reads`` shows, and whether it is dark.
+
+    ``last`` are columns of the last frame that was read, such as its resolution; the
+    last of them is its brightness.  Missed frames have a null text; cameras without
+    a frame are left out.
+    """
     r = F.row_number().over(Window.partitionBy("camera_id").orderBy("seq"))
-    first = fr.withColumn("r", r).filter(F.col("r") <= reads)
-    return first.groupBy("camera_id").agg(F.count("*").alias("n"), F.expr("max_by(text, seq) filter (where text is not null)").alias("last_text"), F.avg("value").alias("mean_value")).withColumn("note", F.when(F.col("mean_value") < dark, "dark"))
+    first = fr.withColumn("r", r).filter((F.col("r") <= reads) & F.col("text").isNotNull())
+    ends = first.groupBy("camera_id").agg(F.count("*").alias("n"), F.max_by(F.struct(*last), "r").alias("z"))
+    out = ends.select("camera_id", "n", *(F.col(f"z.{c}").alias(f"last_{c}") for c in last))
+    return out.withColumn("note", F.when(F.col(f"last_{last[-1]}") < dark, "dark"))
