@@ -110,6 +110,16 @@ def raster_ellipse_close(spark, d):
     return R.ellipse_close(gray(spark, d), 5)
 
 
+@query
+def raster_ellipse_close15(spark, d):
+    return R.ellipse_close(gray(spark, d))
+
+
+@query
+def raster_ellipse_open15(spark, d):
+    return R.ellipse_open(gray(spark, d))
+
+
 @query
 def raster_ink_strength(spark, d):
     return R.ink_strength(gray(spark, d), True, 5)
@@ -162,6 +172,16 @@ def raster_rotate(spark, d):
     return R.rotate(gray(spark, d), 90)
 
 
+@query
+def raster_rotate_180(spark, d):
+    return R.rotate(gray(spark, d), 180)
+
+
+@query
+def raster_rotate_270(spark, d):
+    return R.rotate(gray(spark, d), 270)
+
+
 @query
 def raster_resize_area(spark, d):
     return r6(R.resize_area(gray(spark, d), 2), "v")

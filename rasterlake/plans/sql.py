@@ -190,3 +190,8 @@ SELECT seq AS image_id, CASE WHEN hit THEN 'handwritten' ELSE 'printed' END AS c
 """
 SQL["samples_scored_by_record"] = SQL["samples_scored"]
 SQL["raster_reader_input"] = f"WITH {E} SELECT image_id, y, x, round((v / 255.0::DOUBLE - 0.449) / 0.226, 6) AS v FROM e"
+H15 = {dy: round(7 * math.sqrt((49 - dy * dy) / 49)) for dy in range(-7, 8)}
+for _name, _first, _second in (("close", "max", "min"), ("open", "min", "max")):
+    SQL[f"raster_ellipse_{_name}15"] = f"WITH {E}, c1 AS {ellipse('e', _first, H15)}, cl AS {ellipse('c1', _second, H15)} SELECT * FROM cl"
+SQL["raster_rotate_180"] = f"WITH {E}, {SH} SELECT image_id, h - 1 - y AS y, w - 1 - x AS x, v FROM e JOIN sh USING (image_id)"
+SQL["raster_rotate_270"] = f"WITH {E}, {SH} SELECT image_id, w - 1 - x AS y, y AS x, v FROM e JOIN sh USING (image_id)"
