@@ -288,18 +288,57 @@ def _linked_pairs(pairs: DataFrame, brief: DataFrame, arrays: DataFrame, rule: R
     return sent.mapInArrow(tidy(_verify(rule)), "a bigint, b bigint, ok boolean").filter("ok").select("a", "b").distinct()
 
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, id, several, sizes, elements that only the pivot and that only the other set holds)."""
+def _bounds_of(rule: Rule, n, pn, d, least, whole):
+    """Of a set that differs from its pivot in ``d`` elements: how many of these a partner of another component must share.
+
+    The first number holds for a set that does not link with the pivot, the second for one that does;
+    neither is below the third, as no partner is farther than the sizes allow.  ``least`` and ``whole``
+    are the larger of two numbers and division rounded down, of columns or of integers.
+    """
+    den, num = rule.den + rule.num, rule.den - rule.num
+    far = -whole(num * (n + pn) - den * d, 2 * den)
+    near = least(1, whole(den * d + num * (pn - n), 2 * den) + 1)
+    return far, near, d - whole(n * num, rule.num)
+
+
+def _needed(rule: Rule, n: int, pn: int, lost: int, gained: int) -> int:
+    """So many of the elements that a set alone holds, in order, are enough to tell whether others share them."""
+    d = lost + gained
+    far, near, size = _bounds_of(rule, n, pn, d, max, lambda a, b: a // b)
+    return min(gained, max(0, d - max(min(far, near), size) + pn * (rule.den - rule.num) // rule.num + 1))
+
+
+def _differences(rule: Rule):
+    """(pivot, id, several, sizes, how many elements only the pivot and only the other set holds, and the first of the latter)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, first = [], []
+            for several, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                p, q = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+                gained = np.setdiff1d(q, p, assume_unique=True)
+                lost = len(p) - (len(q) - len(gained))
+                rows.append((len(p), len(q), lost, len(gained)))
+                first.append(signed(gained[: _needed(rule, len(q), len(p), lost, len(gained)) if several else 0]))
+            sizes = np.array(rows, np.int64).reshape(len(rows), 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(sizes[:, j]) for j in range(4)), pa.array(first, pa.list_(pa.int64()))], names=["pivot", "id", "several", "pn", "n", "lost", "gained", "first"])
+
+    return run
+
+
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pivot, id, the elements that one of both sets holds)."""
     for batch in batches:
-        pn, n, lost, gained = [], [], [], []
-        for x, y in zip(batch.column(3), batch.column(4)):
-            p, q = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-            pn.append(len(p))
-            n.append(len(q))
-            lost.append(signed(np.setdiff1d(p, q, assume_unique=True)))
-            gained.append(signed(np.setdiff1d(q, p, assume_unique=True)))
-        arrays = [pa.array(v, pa.list_(pa.int64())) for v in (lost, gained)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(pn, pa.int64()), pa.array(n, pa.int64()), *arrays], names=["pivot", "id", "several", "pn", "n", "lost", "gained"])
+        both = [signed(np.setxor1d(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), assume_unique=True)) for x, y in zip(batch.column(2), batch.column(3))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(both, pa.list_(pa.int64()))], names=["pivot", "id", "e"])
+
+
+def _with_sets(pairs: DataFrame, arrays: DataFrame, columns: list[str]) -> DataFrame:
+    """``pivot, id, columns`` with both sorted arrays, ``p`` and ``q``."""
+    side = _side(arrays, ["id", "arr"], idfilter.build(pairs.select("id").union(pairs.select("pivot"))))
+    x, y = side.withColumnRenamed("id", "x").alias("x"), side.withColumnRenamed("id", "y").alias("y")
+    sent = pairs.join(x, F.col("id") == F.col("x.x")).join(y, F.col("pivot") == F.col("y.y"))
+    return sent.select("pivot", "id", *columns, F.col("y.arr").alias("p"), F.col("x.arr").alias("q"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -314,24 +353,21 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, brief: DataFrame, arrays: DataFrame, rule: Rule, made: Stages) -> list[DataFrame]:
-    """``pivot, id, several, pn, n, lost, gained`` of the pairs that matter: those that may link by their signatures, and those with several members."""
-    x, y = brief.alias("x"), brief.alias("y")
-    both = pairs.withColumnRenamed("id", "a").join(x, F.col("a") == F.col("x.id")).join(y, F.col("pivot") == F.col("y.id"))
-    wanted = materialize(both.filter(F.col("several") | rule.may_link()).select("pivot", "a", "several"), "jaccard")
+    """``pivot, id, several, pn, n, lost, gained, first`` of the pairs that matter: those that may link by their signatures, and those with several members."""
+    x, y = brief.withColumnRenamed("id", "x").alias("x"), brief.withColumnRenamed("id", "y").alias("y")
+    both = pairs.join(x, F.col("id") == F.col("x.x")).join(y, F.col("pivot") == F.col("y.y"))
+    wanted = materialize(both.filter(F.col("several") | rule.may_link()).select("pivot", "id", "several"), "jaccard")
     made.release(pairs)
     done = []
     for r in range(SHARES):  # a share of the pivots at a time, so that only its arrays are on the way at once
         share = wanted.filter(F.pmod(F.xxhash64("pivot"), F.lit(SHARES)) == r)
-        side = _side(arrays, ["id", "arr"], idfilter.build(share.select("a").union(share.select("pivot"))))
-        x, y = side.alias("x"), side.alias("y")
-        sent = share.join(x, F.col("a") == F.col("x.id")).join(y, F.col("pivot") == F.col("y.id"))
-        sent = sent.select("pivot", F.col("a").alias("id"), "several", F.col("y.arr").alias("p"), F.col("x.arr").alias("q"))
-        done.append(materialize(sent.mapInArrow(tidy(_differences), "pivot bigint, id bigint, several boolean, pn bigint, n bigint, lost array<bigint>, gained array<bigint>"), "jaccard"))
+        sent = _with_sets(share, arrays, ["several"])
+        done.append(materialize(sent.mapInArrow(tidy(_differences(rule)), "pivot bigint, id bigint, several boolean, pn bigint, n bigint, lost bigint, gained bigint, first array<bigint>"), "jaccard"))
     made.release(wanted)
     return done
 
 
-def _across(stars: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+def _across(stars: DataFrame, labels: DataFrame, arrays: DataFrame, rule: Rule) -> DataFrame:
     """``a, b``: all pairs of one star and different components that may link.
 
     Of two sets that differ from the pivot in d(a) and d(b) elements, and link
@@ -349,29 +385,27 @@ def _across(stars: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     def label(of: str) -> DataFrame:
         return labels.select(F.col("node").alias(of), F.col("component").alias(f"c_{of}"))
 
-    star = stars.filter("several").select("pivot", "id", "pn", "n", F.size("lost").alias("lost"), (F.size("lost") + F.size("gained")).alias("d"))
+    star = stars.filter("several").select("pivot", "id", "pn", "n", "lost", (F.col("lost") + F.col("gained")).alias("d"))
     star = star.join(label("id"), "id", "left").join(label("pivot"), "pivot", "left")
     star = star.withColumn("c", F.coalesce("c_id", "id")).withColumn("far", F.col("c") != F.coalesce("c_pivot", "pivot")).drop("c_id", "c_pivot")
     star = materialize(star, "jaccard")
     several = star.groupBy("pivot").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("pivot")
     # a far set's partner may equal the pivot, any other set's partner is a far one
-    k = F.when(F.col("far"), F.ceil((den * F.col("d") - num * (F.col("n") + F.col("pn"))) / (2 * den)))
-    k = k.otherwise(F.greatest(F.lit(1), F.floor((den * F.col("d") + num * (F.col("pn") - F.col("n"))) / (2 * den)) + 1))
-    # no partner is farther than the sizes allow, so it differs from the pivot in much the same
-    k = F.greatest(k, F.col("d") - F.floor(F.col("n") * num / rule.num))
+    whole = lambda a, b: F.floor(a / b)
+    at_far, at_near, by_size = _bounds_of(rule, F.col("n"), F.col("pn"), F.col("d"), lambda a, b: F.greatest(F.lit(a), b), whole)
+    k = F.greatest(F.when(F.col("far"), at_far).otherwise(at_near), by_size)
     part = star.withColumn("k", k).filter("k <= d").join(several, "pivot", "left_semi").withColumn("enough", F.floor(F.col("pn") * num / rule.num) + 1)
     take = F.greatest(F.lit(0), F.col("d") - F.col("k") + F.col("enough")).cast("int")  # of the gained: d - lost, less k - lost, and enough
     part = materialize(part.select("pivot", "id", "c", "n", "d", "lost", "k", "enough", take.alias("take")), "jaccard")
 
-    def rows_of(members: DataFrame, e) -> DataFrame:
-        rows = stars.select("pivot", "id", F.col("lost").alias("l"), "gained").join(members, ["pivot", "id"]).select("pivot", "id", "c", F.explode(e).alias("e"))
-        return materialize(rows, "jaccard")
+    def rows_of(members: DataFrame, table: DataFrame, e) -> DataFrame:
+        return materialize(table.join(members, ["pivot", "id"]).select("pivot", "id", "c", F.explode(e).alias("e")), "jaccard")
 
     def held_apart(rows: DataFrame) -> DataFrame:
         held = rows.groupBy("pivot", "e").agg(F.count("*").alias("df"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("pivot", "e", "df")
         return rows.select("pivot", "e", "id").join(materialize(held, "jaccard"), ["pivot", "e"])
 
-    gained = held_apart(rows_of(part, F.slice("gained", F.lit(1), F.col("take")))).groupBy("pivot", "id").agg(F.count("*").alias("also"))
+    gained = held_apart(rows_of(part, stars.select("pivot", "id", "first"), F.slice("first", F.lit(1), F.col("take")))).groupBy("pivot", "id").agg(F.count("*").alias("also"))
     left = lambda p: materialize(p.filter("k <= d").filter(F.col("also") >= F.least(F.col("k") - F.col("lost"), F.col("enough"))), "jaccard")
     part = left(part.drop("take").join(gained, ["pivot", "id"], "left").fillna(0, ["also"]))
     for _ in range(2):
@@ -380,10 +414,8 @@ def _across(stars: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
         k = F.ceil((den * (F.col("d") + F.col("least")) - num * (F.col("n") + F.col("most"))) / (2 * den))
         part = left(part.join(of.select("pivot", "least", "most"), "pivot").withColumn("k", F.greatest("k", k)).drop("least", "most"))
     part = part.select("pivot", "id", "c", "n", "d", "k")
-    pair = F.xxhash64("pivot", "id").alias("pair")
-    stars = stars.select(pair, "pivot", "id", "lost", "gained")
-    stars = stars.mapInArrow(_listed(idfilter.build(part.select(pair))), stars.schema)
-    common = materialize(held_apart(rows_of(part, F.concat("l", "gained"))), "jaccard")
+    sets = _with_sets(part.select("pivot", "id"), arrays, []).mapInArrow(tidy(_elements), "pivot bigint, id bigint, e array<bigint>")
+    common = materialize(held_apart(rows_of(part, sets.withColumnRenamed("e", "all"), F.col("all"))), "jaccard")
     own = Window.partitionBy("pivot", "id")
     first = common.join(part, ["pivot", "id"]).withColumn("shared", F.count("*").over(own)).filter("shared >= k")
     first = first.withColumn("r", F.row_number().over(own.orderBy("df", "e"))).filter("r <= shared - k + 1").select("pivot", "e", "id", "c", "n", "d", "shared")
@@ -401,12 +433,12 @@ def linked_components(pairs: DataFrame, brief: DataFrame, arrays: DataFrame, cop
     """
     parts = _compared(pairs, brief, arrays, rule, made)
     stars = reduce(DataFrame.unionByName, parts)
-    near = stars.filter((F.size("lost") + F.size("gained")) * (rule.den + rule.num) <= (F.col("n") + F.col("pn")) * (rule.den - rule.num))
+    near = stars.filter((F.col("lost") + F.col("gained")) * (rule.den + rule.num) <= (F.col("n") + F.col("pn")) * (rule.den - rule.num))
     with stages() as own:
         links = materialize(near.select(F.col("pivot").alias("a"), F.col("id").alias("b")).unionByName(copies), "jaccard")
         labels = own.keep(materialize(connected_components(links, "a", "b"), "jaccard"))
     with stages() as own:  # pairs of one star in different components
-        more = own.keep(materialize(_across(stars, labels, rule), "jaccard"))
+        more = own.keep(materialize(_across(stars, labels, arrays, rule), "jaccard"))
     made.release(*parts)
     fresh = materialize(_linked_pairs(more, brief, arrays, rule), "jaccard")
     made.release(more, brief, arrays)
