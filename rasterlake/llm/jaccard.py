@@ -405,7 +405,13 @@ def _across(stars: DataFrame, labels: DataFrame, arrays: DataFrame, rule: Rule)
         held = rows.groupBy("pivot", "e").agg(F.count("*").alias("df"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("pivot", "e", "df")
         return rows.select("pivot", "e", "id").join(materialize(held, "jaccard"), ["pivot", "e"])
 
-    gained = held_apart(rows_of(part, stars.select("pivot", "id", "first"), F.slice("first", F.lit(1), F.col("take")))).groupBy("pivot", "id").agg(F.count("*").alias("also"))
+    also = []
+    for r in range(SHARES):  # their elements are many, so a share of the pivots at a time
+        mine = F.pmod(F.xxhash64("pivot"), F.lit(SHARES)) == r
+        with stages() as own:
+            rows = rows_of(part.filter(mine), stars.filter(mine).select("pivot", "id", "first"), F.slice("first", F.lit(1), F.col("take")))
+            also.append(own.keep(materialize(held_apart(rows).groupBy("pivot", "id").agg(F.count("*").alias("also")), "jaccard")))
+    gained = reduce(DataFrame.unionByName, also)
     left = lambda p: materialize(p.filter("k <= d").filter(F.col("also") >= F.least(F.col("k") - F.col("lost"), F.col("enough"))), "jaccard")
     part = left(part.drop("take").join(gained, ["pivot", "id"], "left").fillna(0, ["also"]))
     for _ in range(2):
