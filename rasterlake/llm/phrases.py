@@ -123,7 +123,12 @@ def _in(bits: Broadcast, key: np.ndarray) -> np.ndarray:
 
 
 def _phrases(k: int, salt: int, parts: Broadcast, prefixes: Broadcast | None, suffixes: Broadcast | None, whole: Broadcast | None):
-    """``x1..xk, n`` of the phrases of a task whose parts are frequent and that are asked for."""
+    """``x1..xk, n`` of the phrases of a task whose parts are frequent and that are asked for.
+
+    Parts are words for pairs, and pairs for longer phrases, as all frequent pairs are
+    known but only those triples that were asked for.
+    """
+    part = min(k - 1, 2)
 
     def rows(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held)]
@@ -141,16 +146,15 @@ def _phrases(k: int, salt: int, parts: Broadcast, prefixes: Broadcast | None, su
             for h, piece, *_ in _tokens(batch, salt):
                 if len(h) < k:
                     continue
-                part = _key([h[i : len(h) - k + 2 + i] for i in range(k - 1)])
-                known = _in(parts, part)
-                at = np.flatnonzero(known[:-1] & known[1:] & (piece[k - 1 :] == piece[: len(h) - k + 1]))
+                known, n = _in(parts, _key([h[i : len(h) - part + 1 + i] for i in range(part)])), len(h) - k + 1
+                at = np.flatnonzero(reduce(np.logical_and, (known[i : n + i] for i in range(k - part + 1))) & (piece[k - 1 :] == piece[:n]))
                 asked = np.zeros(len(at), bool)
                 if whole is not None:
                     asked |= _in(whole, _key([h[at + i] for i in range(k)]))
                 if prefixes is not None:
-                    asked |= _in(prefixes, part[at])
+                    asked |= _in(prefixes, _key([h[at + i] for i in range(k - 1)]))
                 if suffixes is not None:
-                    asked |= _in(suffixes, part[at + 1])
+                    asked |= _in(suffixes, _key([h[at + i] for i in range(1, k)]))
                 at = at if whole is prefixes is suffixes is None else at[asked]
                 held.append([h[at + i] for i in range(k)])
                 size += len(at)
@@ -237,10 +241,9 @@ def collocations(docs: DataFrame, count: int = 2000, least: int = 30, share: int
     totals = found.groupBy("lang").agg(F.sum("a").alias("n"))
     vocabulary = materialize(found.filter(F.col("a") >= least).select(F.col("x").alias("x1"), "lang", "word", "a"), "phrases")
     tables = {1: vocabulary}
-    parts = _bits(vocabulary, ["x1"])
-    tables[2] = _counted(docs, 2, salt, least, parts)
+    tables[2] = _counted(docs, 2, salt, least, _bits(vocabulary, ["x1"]))
     scored = {2: materialize(_with_scores(tables[2], 2, tables), "phrases")}
-    parts = {3: _bits(tables[2], _names(2))}
+    pairs = _bits(tables[2], _names(2))
 
     want, limits = ahead * count, None
     while True:
@@ -251,16 +254,14 @@ def collocations(docs: DataFrame, count: int = 2000, least: int = 30, share: int
         limits = materialize(fresh, "phrases", 1)
         for k in (3, 4):
             below = scored[k - 1]
-            if k == 4:
-                parts[4] = _bits(tables[3], _names(3))
             asked = _bits(_reaching(below, limits, "bound"), _names(k - 1)), _bits(_reaching(below, limits), _names(k - 1))
-            new = _counted(docs, k, salt, least, parts[k], *asked)
+            new = _counted(docs, k, salt, least, pairs, *asked)
             if k == 4:  # what is left of a phrase's first word may not have been counted
                 y, x = _names(4), _names(3)
                 tails = new.select(*(F.col(c).alias(x[i]) for i, c in enumerate(y[1:]))).distinct().join(tables[3], x, "left_anti")
                 tails = materialize(tails, "phrases")
                 if not tails.isEmpty():
-                    more = _counted(docs, 3, salt, least, parts[3], whole=_bits(tails, x))
+                    more = _counted(docs, 3, salt, least, pairs, whole=_bits(tails, x))
                     tables[3] = materialize(tables[3].unionByName(more).distinct(), "phrases")
             tables[k] = new if k not in tables else materialize(tables[k].unionByName(new).distinct(), "phrases")
             scored[k] = materialize(_with_scores(tables[k], k, tables), "phrases")

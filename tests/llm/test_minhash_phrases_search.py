@@ -154,6 +154,20 @@ def test_the_frontier_grows_until_enough_survive(spark, monkeypatch):
     assert got == plain_phrases(rows, 60, 6, 80) and len(seen) > 1 and seen == sorted(seen)
 
 
+def test_phrases_of_rare_words_around_frequent_ones(spark):
+    """Pairs such as ``of the`` and ``the state`` score too low to be grown; the phrases around them do not."""
+    r = random.Random(3)
+    pieces = [f"p{i} q{i}" for i in range(12) for _ in range(8)]
+    pieces += ["end of the day"] * 20 + ["the state of emergency"] * 12 + ["state of emergency"]
+    pieces += [" ".join(r.choice([["of"], ["the"], ["of", "the"], [f"w{r.randrange(40)}"]])[0] for _ in range(6)) for _ in range(400)]
+    r.shuffle(pieces)
+    rows = [(i, ". ".join(pieces[i::10]), "en") for i in range(10)]
+    want = plain_phrases(rows, 14, 6, 80)
+    assert {"end of the day", "the state of emergency"} & {w[2] for w in want}
+    got = {tuple(x) for x in phrases.collocations(wide(spark, rows), 14, 6, 80, 1).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()}
+    assert got == want
+
+
 def test_phrases_of_no_rows_and_long_texts(spark):
     assert phrases.collocations(wide(spark, [])).count() == 0
     assert phrases.collocations(wide(spark, [(1, "only a few words", "en")])).count() == 0
