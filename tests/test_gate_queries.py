@@ -61,3 +61,10 @@ def test_lines_of_whole_texts_equal_a_plain_loop(spark, tmp_path):
             want.add((i, k, len(bs), min(b[0] for b in bs), max(b[0] + b[2] for b in bs), min(b[1] for b in bs), max(b[1] + b[3] for b in bs)))
     got = {(g.image_id, g.line, g.boxes, g.x0, g.x1, g.y0, g.y1) for g in catalog.queries()["document_lines"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_pixel_tables_are_not_broadcast_by_their_files_size(spark, tmp_path):
+    d = stored(spark, tmp_path, [[[(7 * x + y) % 256 for x in range(8)] for y in range(8)]])
+    for name in ("find_writing", "judge_live", "read_frames"):
+        plan = catalog.queries()[name](spark, d)._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" in plan and "BroadcastHashJoin" not in plan
