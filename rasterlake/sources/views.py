@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rasterlake.operators.ink import union_runs
+from rasterlake.session import ship_code
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,24 +27,49 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Characters in a line of a text's raster.
 TEXT_WIDTH = 64
+RUN_ROWS, PART_BYTES = 100_000, 1 << 20
 
 
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``runs(image_id, y, x0, x1)``: 64-wide raster of each whole text; every character that is no blank is ink.
 
-    A text is cut into lines, and lines into blanks and ink, within its row, so
-    only runs leave it.  Runs of rows that share an id are joined.
+    A task looks at the bytes of its texts at once, so only runs leave it.  Runs of
+    rows that share an id are joined.
     """
+    ship_code(spark)
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), "text")
-    lines = d.select("image_id", F.posexplode(F.expr(rf"regexp_extract_all(text, '(?s).{{1,{TEXT_WIDTH}}}', 0)")).alias("y", "line"))
-    pieces = F.expr(r"regexp_extract_all(line, '[\\x00-\\x20]+|[^\\x00-\\x20]+', 0)")
-    step = "(s, p) -> struct(s.at + length(p) as at, if(ascii(p) > 32, concat(s.runs, array(struct(s.at as x0, s.at + length(p) - 1 as x1))), s.runs) as runs)"
-    runs = F.expr(f"aggregate(pieces, struct(0 as at, cast(array() as array<struct<x0:int,x1:int>>) as runs), {step}, s -> s.runs)")
-    out = lines.select("image_id", "y", pieces.alias("pieces")).select("image_id", "y", F.explode(runs).alias("r")).select("image_id", "y", "r.x0", "r.x1")
+    out = d.mapInArrow(_ink_runs, f"image_id {dict(d.dtypes)['image_id']}, y int, x0 int, x1 int")
     single = d.filter("image_id is not null").groupBy("image_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     return out if single else union_runs(out)
 
 
+def _ink_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``image_id, y, x0, x1`` of ``image_id, text``."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        if not len(texts):
+            continue
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        every = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        parts = np.flatnonzero(np.diff((ends[1:] - ends[0]) // PART_BYTES)) + 1  # rows of about that many bytes at once
+        for lo, hi in zip([0, *parts], [*parts, len(texts)]):
+            data, offsets = every[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo]
+            lead = (data & 0xC0) != 0x80  # a character's first byte
+            before = np.append(0, np.cumsum(lead))[offsets]
+            ink = data[lead] > 0x20
+            row = np.repeat(np.arange(hi - lo), np.diff(before))
+            at = np.arange(len(ink)) - before[row]
+            head = at % TEXT_WIDTH == 0  # no run goes on from a line or a text to the next
+            first, last = ink.copy(), ink.copy()
+            first[1:] &= ~ink[:-1] | head[1:]
+            last[:-1] &= ~ink[1:] | head[1:]
+            first, last = np.flatnonzero(first), np.flatnonzero(last)
+            cols = [batch.column(0).take(pa.array(lo + row[first])), *(pa.array(c.astype(np.int32)) for c in (at[first] // TEXT_WIDTH, at[first] % TEXT_WIDTH, at[last] % TEXT_WIDTH))]
+            out = pa.RecordBatch.from_arrays(cols, names=["image_id", "y", "x0", "x1"])
+            for i in range(0, len(first), RUN_ROWS):
+                yield out.slice(i, RUN_ROWS)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``frames(camera_id, seq, ts, text, value)``: null text is a missed frame, empty text read nothing."""
     kind = F.col("event_type")

@@ -68,3 +68,25 @@ def test_pixel_tables_are_not_broadcast_by_their_files_size(spark, tmp_path):
     for name in ("find_writing", "judge_live", "read_frames"):
         plan = catalog.queries()[name](spark, d)._jdf.queryExecution().sparkPlan().toString()
         assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_runs_of_texts_come_from_their_bytes(spark, tmp_path, monkeypatch):
+    """No null, empty, wide or long text shifts the runs of another, however the batches are cut."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("ab \t\né一\U0001f600") for _ in range(n)) for n in (0, 1, 64, 65, 130, 3000, 2)] + [None, "", "\x00a\x1f", " " * 70]
+    rows = list(zip([*range(len(texts) - 1), None], texts))
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in rows:
+        for y in range(0, len(t or ""), 64):
+            line = [ord(c) > 32 for c in t[y : y + 64]] + [False]
+            heads = [x for x in range(64) if x < len(line) and line[x] and (x == 0 or not line[x - 1])]
+            want += [(i, y // 64, x, x + line[x:].index(False) - 1) for x in heads]
+    from rasterlake.sources import views
+
+    out = catalog.queries()["ink_runs"](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(views, "PART_BYTES", 50)
+    again = [b for batch in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text").toArrow().to_batches() for b in views._ink_runs(iter([batch]))]
+    assert sorted(str((x["image_id"], x["y"], x["x0"], x["x1"])) for b in again for x in b.to_pylist()) == sorted(map(str, want))
