@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from rasterlake.session import materialize, ship_code, tasks_for
 
-BLOCK_EDGES = 1_000_000
+#: Edges of a block, and how many times as long the block of one group may get.
+BLOCK_EDGES, LONG = 1_000_000, 4
 
 
 def _forest_of(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -33,13 +34,27 @@ def _forest_of(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the edges of a task, block by block, by stars of what they connect."""
+    """Replaces the edges of a task, block by block, by stars of what they connect.
+
+    A third column names groups whose edges follow each other; a block ends with a
+    group, unless that is long.
+    """
     u, v, held = [], [], 0
-    for batch in batches:
+
+    def pieces() -> Iterator[tuple[pa.RecordBatch, bool]]:
+        for batch in batches:
+            cut = 0
+            if batch.num_columns > 2 and held + batch.num_rows >= BLOCK_EDGES and batch.num_rows:
+                key = batch.column(2).to_numpy(zero_copy_only=False)
+                cut = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
+            yield batch.slice(0, cut), cut > 0
+            yield batch.slice(cut), batch.num_columns == 2 or held > LONG * BLOCK_EDGES
+
+    for batch, ends in pieces():
         u.append(batch.column(0).to_numpy())
         v.append(batch.column(1).to_numpy())
         held += batch.num_rows
-        if held >= BLOCK_EDGES:
+        if held >= BLOCK_EDGES and ends:
             yield _forest_of(np.concatenate(u), np.concatenate(v))
             u, v, held = [], [], 0
     if held:
@@ -54,7 +69,7 @@ def _is_stars(edges: DataFrame) -> bool:
     return node.filter("least <> most or (root and least is not null)").agg(F.count("*")).first()[0] == 0
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", within: str | None = None) -> DataFrame:
     """Smallest reachable id of every node that has an edge.
 
     Each task first reduces its edges to stars.  Then the published large-star
@@ -63,10 +78,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     component is gathered in one task.  Null ends and self loops are ignored;
     repeated edges count once; ids are whole numbers of 64 bits.
 
+    ``within`` is a column of groups that no edge leaves.  Their edges then meet in a
+    task, sorted by group, so that most groups are stars from the start; adaptive
+    execution splits the tasks of large groups, and the rounds join those.
+
     Returns ``node, component``; nodes without edges are absent.
     """
     ship_code(edges.sparkSession)
-    e = edges.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v")).filter("u is not null and v is not null and u <> v")
+    e = edges.select(F.col(src).cast("bigint").alias("u"), F.col(dst).cast("bigint").alias("v"), *([F.col(within).alias("g")] if within else []))
+    e = e.filter("u is not null and v is not null and u <> v")
+    if within:
+        e = e.hint("rebalance", "g").select("u", "v", F.xxhash64("g").alias("g")).sortWithinPartitions("g")
     e = materialize(e.mapInArrow(_forest, "u bigint, v bigint").distinct(), "cc")
     while not _is_stars(e):
         # a step makes at most two rows of an edge

@@ -90,7 +90,7 @@ def adjacency(r: DataFrame, eight: bool = True) -> DataFrame:
     a, b, reach = r.alias("a"), r.alias("b"), 1 if eight else 0
     cond = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.y") == F.col("a.y") + 1)
     touch = (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)
-    return a.join(b, cond & touch).select(F.col("a.run_id").alias("src"), F.col("b.run_id").alias("dst"))
+    return a.join(b, cond & touch).select(F.col("a.image_id").alias("image_id"), F.col("a.run_id").alias("src"), F.col("b.run_id").alias("dst"))
 
 
 def label_runs(ink: DataFrame, eight: bool = True) -> DataFrame:
@@ -101,7 +101,7 @@ def label_runs(ink: DataFrame, eight: bool = True) -> DataFrame:
 def labelled_runs(mask: DataFrame, eight: bool = True) -> DataFrame:
     """Runs ``(image_id, y, x0, x1)`` with ``label``."""
     r = materialize(mask.withColumn("run_id", F.monotonically_increasing_id()), "runs")
-    c = materialize(connected_components(adjacency(r, eight)).withColumnRenamed("node", "run_id"), "runs")
+    c = materialize(connected_components(adjacency(r, eight), within="image_id").withColumnRenamed("node", "run_id"), "runs")
     at = F.col("y").cast("bigint") * SIDE + F.col("x0")
     held = r.join(c, "run_id", "left").select("image_id", "y", "x0", "x1", at.alias("at"), F.coalesce("component", "run_id").alias("component"))
     first = held.groupBy("component").agg(F.min("at").alias("label"))

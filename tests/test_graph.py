@@ -35,3 +35,20 @@ def test_components(spark, monkeypatch, edges, block):
     found = [tuple(r) for r in graph.connected_components(table).collect()]
     assert len(found) == len(set(found))
     assert dict(found) == plain(edges)
+
+
+def test_groups_are_stars_from_the_start(spark, monkeypatch):
+    """Edges of a group meet in a task, so no round is needed; split groups are joined by the rounds."""
+    r, written, write = random.Random(6), [], graph.materialize
+    edges = [(1000 * g + i, 1000 * g + i + 1, g) for g in range(40) for i in range(90)]
+    r.shuffle(edges)
+    monkeypatch.setattr(graph, "materialize", lambda df, name, *a: written.append(name) or write(df, name, *a))
+    table = spark.createDataFrame(edges, "src long, dst long, image_id long").repartition(7)
+    assert dict(map(tuple, graph.connected_components(table, within="image_id").collect())) == plain([e[:2] for e in edges])
+    assert written == ["cc"]
+    import pyarrow as pa
+
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 100)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sorted(edges, key=lambda e: e[2])[i : i + 70])], names=["u", "v", "g"]) for i in range(0, len(edges), 70)]
+    stars = [(u, v) for b in graph._forest(iter(batches)) for u, v in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(stars) == 40 * 90 and all(v % 1000 == 0 for _, v in stars)
