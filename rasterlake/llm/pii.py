@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rasterlake.llm import idfilter
+from rasterlake.llm import contexts, idfilter
 from rasterlake.llm.kernels import tidy
 from rasterlake.session import materialize
 
@@ -39,6 +39,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+SEED = re.compile(r"[0-9@]")  # every base span has one
 SPACES = re.compile(r"([\x20\x09-\x0D]+)")
 LEAD, TRAIL = "\"'([{<.,;:", "\"')]}>.,;:!?"
 # between two tokens, so much that the word before may be cut by the context's bound
@@ -46,6 +47,8 @@ WIDE = re.compile(r"[\x20\x09-\x0D\"'(\[{<.,;:]{8}")
 WORD = re.compile(r"\w+")
 CONTEXT_CHARS = 48
 CACHE = 100_000
+#: Parts of the texts, of 1024, in which too frequent patterns are found.
+PARTS = (4, 64)
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 CANDIDATE = "array<struct<kind:string,start:int,end:int,patterns:array<string>>>"
 
@@ -202,33 +205,57 @@ def _code(prefix: str, col):
 
 
 def _pattern_set(wanted: DataFrame):
-    """Bit set of ``pattern`` and of the words that may stand right before its tokens."""
-    part = F.split("pattern", " ")
-    word = F.explode(F.array(part[0], part[1], F.regexp_replace(part[0], ":$", "")))
-    return idfilter.build(wanted.select(_code("p", F.col("pattern"))).unionByName(wanted.select(word.alias("w")).select(_code("w", F.col("w")))))
+    """Bit set of ``pattern``, as text and as ``contexts`` hashes its words."""
+    return idfilter.build(wanted.select(_code("p", F.col("pattern"))).unionByName(wanted.select("pattern").mapInArrow(contexts.pattern_ids, "id bigint")))
+
+
+def _marked(texts: list[str | None], bits: np.ndarray) -> Iterator[tuple[str | None, list[tuple[int, int]]]]:
+    """Each text and its tokens that may have a pattern of the set; base spans are not looked at."""
+    for lo, hi in contexts.pieces([t or "" for t in texts]):
+        part = texts[lo:hi]
+        yield from zip(part, contexts.marked([t or "" for t in part], bits, LEAD, TRAIL, CONTEXT_CHARS))
+
+
+def _apart(some: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Those of the sorted ``some`` that overlap no base span."""
+    if not base or not some:
+        return some
+    reach, out, k = 0, [], 0
+    for s, e in some:
+        while k < len(base) and base[k][0] < e:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= s:
+            out.append((s, e))
+    return out
 
 
 def _occurrences(texts: DataFrame, sent=None, by: str = "base") -> DataFrame:
     """``kind, instance, pattern, n``, counted in each batch.
 
-    By "base" the base spans, by "pattern" also the tokens, with the patterns
-    of the set, by "instance" base spans and tokens whose instance is in it.
+    By "base" the base spans, and the other tokens that may be equal to one; by
+    "pattern" base spans and tokens, with the patterns of the set; by "instance"
+    base spans and tokens whose instance is in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
         if by == "pattern":
-            listed, tails = Lookup(_bit_test(sent.value, "p")), Lookup(tail_test(_bit_test(sent.value, "w")))
+            listed = Lookup(_bit_test(sent.value, "p"))
         elif by == "instance":
-            listed, tails = Lookup(_bit_test(sent.value, "i")), None
+            listed = Lookup(_bit_test(sent.value, "i"))
             own = Lookup(lambda t: listed[instance_of(t, *trim(t))])
+        else:
+            own = Lookup(lambda t: SEED.search(t) is not None)
         for batch in batches:
             counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
+            texts = batch.column(0).to_pylist()
+            for text, some in _marked(texts, sent.value) if by == "pattern" else ((t, None) for t in texts):
                 base = base_spans(text)
                 seen = [(KINDS[k], s, e) for s, k, e in base]
-                if by != "base":
-                    seen += [(None, s, e) for s, e in candidates(text, base, tails, own)]
+                if by == "pattern":
+                    seen += [(None, s, e) for s, e in _apart(some, base)]
+                elif by == "instance" or SEED.search(text):
+                    seen += [(None, s, e) for s, e in candidates(text, base, own=own)]
                 for kind, s, e in seen:
                     if by == "instance" and not listed[instance_of(text, s, e)]:
                         continue
@@ -244,24 +271,54 @@ def _occurrences(texts: DataFrame, sent=None, by: str = "base") -> DataFrame:
     return texts.mapInArrow(tidy(run), "kind string, instance string, pattern string, n bigint")
 
 
+def _rarer(texts: DataFrame, wanted: DataFrame, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """Those of ``wanted(pattern, pos)`` that ``pos`` occurrences may make confident, and ``pattern, least`` of the others.
+
+    Patterns of frequent words get their known instances by chance, and have far more
+    other occurrences.  ``PARTS`` of the texts, each larger than the one before, are
+    looked at first; a pattern with too many occurrences there has as many in all, so
+    none is dropped that could be confident, and no step reads many more occurrences
+    than there are texts or known ones.
+    """
+    gone = None
+    for part in PARTS:
+        some = texts.filter(F.pmod(F.xxhash64("__text"), F.lit(1024)) < part)
+        found = _occurrences(some, _pattern_set(wanted), "pattern").groupBy("pattern").agg(F.sum("n").alias("least"))
+        seen = materialize(wanted.join(found, "pattern", "left"), "pii")
+        over = F.coalesce(F.col("least") * confidence > F.col("pos") + 1, F.lit(False))
+        dropped = seen.filter(over).select("pattern", "least")
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        wanted = seen.filter(~over).select("pattern", "pos")
+    return wanted, gone
+
+
 def learn(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
     """``pattern, kind, conf`` after some rounds over the texts.
 
     A pattern needs ``support`` different known instances; all its other
     occurrences, whatever token stands there, count against it.  Each round
-    first finds the patterns with enough known instances and then reads every
-    occurrence of these, so no token is left out and no text is shuffled.
+    first finds the patterns with enough known instances, leaves out those
+    whose occurrences in a part of the texts are too many already, and then reads
+    every occurrence of the others; no text is shuffled.
     """
     texts = docs.filter("text is not null and text <> ''").select(F.col("text").alias("__text"))
     grouped = lambda o: o.groupBy("pattern", "instance").agg(F.sum("n").alias("n"), F.max("kind").alias("seed"))
-    first = materialize(grouped(_occurrences(texts)), "pii")
-    seeds = materialize(first.select("instance", F.col("seed").alias("kind")).distinct(), "pii")
-    held, known = first, seeds
+    read = materialize(grouped(_occurrences(texts)), "pii")
+    seeds = materialize(read.filter("seed is not null").select("instance", F.col("seed").alias("kind")).distinct(), "pii")
+    # with the tokens equal to a seed that are no base span themselves
+    first = materialize(read.join(seeds.select("instance").distinct(), "instance", "left_semi"), "pii")
+    held, known, over = first, seeds, None
     for i in range(rounds):
-        wanted = held.join(known, "instance").groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("c")).filter(F.col("c") >= support)
-        wanted = materialize(wanted.select("pattern").distinct(), "pii")
+        wanted = held.join(known, "instance").groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("c"), F.sum("n").alias("pos")).filter(F.col("c") >= support)
+        wanted = wanted.groupBy("pattern").agg(F.max("pos").alias("pos"))
+        if over is not None:  # what the rounds before counted
+            wanted = wanted.join(over.groupBy("pattern").agg(F.max("least").alias("least")), "pattern", "left").filter(~F.coalesce(F.col("least") * confidence > F.col("pos") + 1, F.lit(False)))
+        wanted = materialize(wanted.select("pattern", "pos"), "pii")
+        if not wanted.isEmpty():
+            wanted, gone = _rarer(texts, wanted, confidence)
         if wanted.isEmpty():
             return known.select(F.col("instance").alias("pattern"), "kind", F.lit(0.0).alias("conf")).limit(0)
+        over = gone if over is None else over.unionByName(gone)
         edges = grouped(_occurrences(texts, _pattern_set(wanted), "pattern").join(wanted, "pattern", "left_semi"))
         edges = materialize(edges, "pii")
         total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
@@ -277,8 +334,8 @@ def learn(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: in
         if best.isEmpty() or (now.exceptAll(known).isEmpty() and known.exceptAll(now).isEmpty()):
             break  # a further round would repeat this one
         known = now
-        held = _occurrences(texts, idfilter.build(best.select(_code("i", F.col("instance")))), "instance").join(best.select("instance"), "instance", "left_semi")
-        held = materialize(grouped(held.unionByName(first.select(F.col("seed").alias("kind"), "instance", "pattern", "n"))), "pii")
+        found = _occurrences(texts, idfilter.build(best.select(_code("i", F.col("instance")))), "instance").join(best.select("instance"), "instance", "left_semi")
+        held = materialize(grouped(found).join(first.select("pattern", "instance"), ["pattern", "instance"], "left_anti").unionByName(first), "pii")
     return kept
 
 
@@ -310,19 +367,20 @@ def _scan(table: dict | None, marks=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if table is None:
-            listed, tails = Lookup(_bit_test(marks.value, "p")), Lookup(tail_test(_bit_test(marks.value, "w")))
+            listed = Lookup(_bit_test(marks.value, "p"))
         else:
             given = table.value
             tails = _tails(given)
         for batch in batches:
             base_col, found_col = [], []
-            for text in batch.column(2).to_pylist():
+            texts = batch.column(2).to_pylist()
+            for text, some in _marked(texts, marks.value) if table is None else ((t, None) for t in texts):
                 base = base_spans(text) if text else []
                 base_col.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in base])
                 if not text:
                     found_col.append([])
                 elif table is None:
-                    found_col.append([{"kind": None, "start": s, "end": e, "patterns": f} for s, e in candidates(text, base, tails) if (f := [p for p in patterns(text, s, e) if listed[p]])])
+                    found_col.append([{"kind": None, "start": s, "end": e, "patterns": f} for s, e in _apart(some, base) if (f := [p for p in patterns(text, s, e) if listed[p]])])
                 else:
                     found_col.append([{"kind": k, "start": s, "end": e, "patterns": []} for s, e, k in _discovered(text, base, given, tails)])
             kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])

@@ -6,13 +6,15 @@ import re
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from rasterlake.llm import bpe, decontam, jaccard, langid, packing, pii, substrings, toxicity
+from rasterlake.llm import bpe, contexts, decontam, idfilter, jaccard, langid, packing, pii, substrings, toxicity
 
 SCHEMA = "doc_id bigint, text string, score int, part string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LETTERS = str.maketrans("0123456789", "abcdefghij")
 
 
 def docs(spark, texts, start=0):
@@ -97,6 +99,38 @@ def test_joined_patterns_equal_broadcast_ones(spark, monkeypatch):
     assert {r.doc_id: r.text for r in pii.redact(docs(spark, texts)).collect()} == masked
 
 
+def test_frequent_contexts_are_left_before_all_their_tokens_are_read(spark, monkeypatch):
+    texts = [f"one of the user{i}@site.com is here" for i in range(5)] + ["one of the " + f"word{i} is here".translate(LETTERS) for i in range(4000)]
+    texts += [f"please write to name{i}@site.com today" for i in range(5)] + ["please write to john(at)site.com today"]
+    rows, keep = [], pii.materialize
+
+    def counted(df, *more):
+        out = keep(df, *more)
+        if out.columns == ["pattern", "instance", "n", "seed"]:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(pii, "materialize", counted)
+    learned = {r.pattern for r in pii.learn(docs(spark, texts)).collect()}
+    assert learned == {"write to _", "to _ today"} and max(rows) < 100
+
+
+def test_marked_tokens_hold_all_with_a_wanted_pattern():
+    r = random.Random(3)
+    parts = ["to", "É", "İ", "Σ", "𝐀", "_", "w" * 45, "q" * 20, " ", " ", "\t", "-", ".", ":", "= ", "(", "x1", "1@b.c", "          "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(2000)]
+    found = {t: {(s, e): pii.patterns(t, s, e) for s, e in pii.candidates(t, [])} for t in texts}
+    known = r.sample(sorted({p for f in found.values() for ps in f.values() for p in ps}), 300)
+    bits = np.zeros(idfilter.BITS, bool)
+    ids = next(contexts.pattern_ids(iter([pa.RecordBatch.from_arrays([pa.array(known)], names=["pattern"])])))
+    bits[idfilter._slots(ids.column(0).to_numpy())] = True
+    got = [m for lo, hi in contexts.pieces(texts) for m in contexts.marked(texts[lo:hi], np.packbits(bits), pii.LEAD, pii.TRAIL, pii.CONTEXT_CHARS)]
+    assert len(got) == len(texts)
+    for t, m in zip(texts, got):
+        assert {at for at, ps in found[t].items() if set(ps) & set(known)} <= set(m)
+    assert contexts.marked(["one two three four"], np.zeros(idfilter.BITS >> 3, np.uint8), pii.LEAD, pii.TRAIL, pii.CONTEXT_CHARS) == [[]]
+
+
 def test_skipped_tokens_have_none_of_the_patterns():
     r = random.Random(9)
     known = {"to", "é", "_"}
