@@ -47,7 +47,9 @@ BLOCK_WORDS = 100_000
 TABLES, SAMPLE, MAX_WALKS, COPIES = 8, 4, 512, 300
 #: Standard errors by which the copies met must exceed the recall, as they also decide when to stop.
 MARGIN = 1.0
-CHUNK, FOLD = 1 << 20, 1024
+CHUNK, FOLD = 1 << 19, 1024
+#: Rows whose texts are held as strings at a time.
+ROWS = 256
 PRE_BITS = 20
 SCHEMA = "doc_id bigint, item_id bigint, distance int, similarity double, start_word int, end_word int"
 #: What is no letter, digit or ASCII character.
@@ -87,7 +89,7 @@ class Walk:
     def __init__(self, number: int, least: int) -> None:
         rng = np.random.default_rng([number, least])
         steps = 2 * least  # half of the steps move on, so a walk covers an item
-        self.bits = rng.integers(0, 2, (steps, FOLD), np.intp)
+        self.bits = rng.integers(0, 2, (steps, FOLD), np.intp).astype(np.int8)  # each task holds every walk
         self.samples = [np.sort(rng.choice(steps, min(SAMPLE, steps), replace=False)) for _ in range(TABLES)]
         self.at: dict[int, list[int]] = {}
         for t, sample in enumerate(self.samples):
@@ -245,7 +247,8 @@ class Matcher:
 
 def _words_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, bounds of each row's words) of chunks of a text column."""
-    for lo, _, data, offsets in chunks(pa.array(map(normal, column.to_pylist()), pa.large_string()), CHUNK):
+    plain = pa.concat_arrays([pa.array(map(normal, column.slice(i, ROWS).to_pylist()), pa.large_string()) for i in range(0, len(column), ROWS)] or [pa.array([], pa.large_string())])
+    for lo, _, data, offsets in chunks(plain, CHUNK):
         starts, ends, at = words(data, offsets, ALNUM)
         yield lo, word_hashes(data, starts, ends), at
 

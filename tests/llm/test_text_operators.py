@@ -289,3 +289,12 @@ def test_best_fit_takes_the_fullest_row():
 @pytest.mark.parametrize("run", [lambda d: jaccard.similar_classes(d), lambda d: substrings.dedup(d), lambda d: bpe.encode(d, P.path("byte_bpe_50k.json"), P.PATTERN), lambda d: pii.extract(d)])
 def test_empty_tables_give_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_matchers_are_sent_in_bytes_and_read_in_slices():
+    r = random.Random(4)
+    rows = [None, ""] + [" ".join(r.choice(["Straße", "x1", "漢字", "b-c", "w"]) for _ in range(r.randint(0, 9))) for _ in range(700)]
+    got = [tuple(h[a:z]) for _, h, at in decontam._words_of(pa.array(rows)) for a, z in zip(at[:-1], at[1:])]
+    assert got == [tuple(h[a:z]) for t in rows for _, h, at in decontam._words_of(pa.array([t], pa.string())) for a, z in zip(at[:-1], at[1:])]
+    walk = decontam.Walk(0, 50)
+    assert walk.bits.nbytes == walk.bits.size and list(decontam._words_of(pa.array([], pa.string()))) == []
