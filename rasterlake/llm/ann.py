@@ -105,7 +105,7 @@ def _local_join(k: int):
 def _top(edges: DataFrame, k: int, key: str = "a") -> DataFrame:
     """The ``k`` nearest of each node; the limit is applied before the shuffle too."""
     w = Window.partitionBy(key).orderBy("d", "b")
-    merged = edges.groupBy(key, "b").agg(F.min("d").alias("d"))
+    merged = edges.groupBy(key, "b").agg(F.min("d").alias("d"), *(F.max(c).alias(c) for c in edges.columns if c not in (key, "b", "d")))
     return merged.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).drop("r")
 
 
@@ -124,10 +124,11 @@ def build_graph(nodes: DataFrame, k: int = 20, rounds: int = 5, reverse: int = 2
         info = materialize(nodes.select("id", "vec").join(far.withColumnRenamed("a", "id"), "id", "left").select("id", "vec", F.coalesce("far", F.lit(float("inf")).cast("float")).alias("far")), "ann")
         held = gather.join(info.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("id"), "vec", "far")).alias("members"))
         offers = held.select("members").mapInArrow(_local_join(max(4, k // 3)), EDGES)
-        new = materialize(_top(graph.unionByName(offers.filter("a <> b")), k), "ann")
-        changed = new.select("a", "b").exceptAll(graph.select("a", "b")).count()
-        graph = new
-        if changed <= 0.01 * graph.count():
+        merged = graph.withColumn("old", F.lit(1)).unionByName(offers.filter("a <> b").withColumn("old", F.lit(0)))
+        new = materialize(_top(merged, k), "ann")
+        graph = new.drop("old")
+        now = new.agg(F.count("*").alias("n"), F.sum(1 - F.col("old")).alias("changed")).first()
+        if (now["changed"] or 0) <= 0.01 * now["n"]:
             break
     return graph
 
@@ -153,22 +154,20 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = 3
     back = _top(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"), reverse)
     both = materialize(graph.select("a", "b").unionByName(back.select("a", "b")).distinct().withColumnsRenamed({"a": "from", "b": "to"}), "ann")
     vecs, asked = nodes.select(F.col("id").alias("b"), "vec"), queries.select(F.col("id").alias("a"), F.col("vec").alias("qvec"))
-    found = materialize(asked.select("a", F.col("a").alias("b"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done")), "ann")
-    best = Window.partitionBy("a").orderBy("d", "b")
+    best, order = Window.partitionBy("a").orderBy("d", "b"), Window.partitionBy("a", "done").orderBy("d", "b")
+    found = materialize(asked.select("a", F.col("a").alias("b"), F.lit(0.0).cast("float").alias("d"), F.lit(False).alias("done"), F.lit(True).alias("now")), "ann")
     for _ in range(hops):
-        ranked = found.withColumn("r", F.row_number().over(best))
-        kept = ranked.filter(F.col("r") <= beam)
-        order = Window.partitionBy("a", "done").orderBy("d", "b")
-        kept = materialize(kept.withColumn("e", F.row_number().over(order)).withColumn("now", (~F.col("done")) & (F.col("e") <= expand)).drop("r", "e"), "ann")
-        steps = kept.filter("now").join(both, F.col("b") == F.col("from")).select("a", F.col("to").alias("b")).distinct()
-        fresh = steps.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        seen = fresh.join(vecs, "b").join(asked, "a").select("a", "b", "qvec", "vec").mapInArrow(_measure, EDGES)
-        last = found.select("a", "b", "d", "done").join(kept.filter("now").select("a", "b", "now"), ["a", "b"], "left").select("a", "b", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        found = materialize(last.unionByName(seen.select("a", "b", "d", F.lit(False).alias("done"))), "ann")
-        open_ = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).filter("not done")
-        if open_.isEmpty():
+        # what is known of a pair and what is reached again meet once; a pair without a distance is new
+        known = found.select("a", "b", "d", (F.col("done") | F.col("now")).alias("done"))
+        steps = found.filter("now").select("a", F.col("b").alias("from")).join(both, "from").select("a", F.col("to").alias("b"), F.lit(None).cast("float").alias("d"), F.lit(False).alias("done"))
+        pairs = materialize(known.unionByName(steps).groupBy("a", "b").agg(F.max("d").alias("d"), F.max("done").alias("done")), "ann")
+        seen = pairs.filter("d is null").select("a", "b").join(vecs, "b").join(asked, "a").select("a", "b", "qvec", "vec").mapInArrow(_measure, EDGES)
+        # a pair beyond the beam does not come back: what is in the beam only gets nearer
+        ranked = pairs.filter("d is not null").unionByName(seen.select("a", "b", "d", F.lit(False).alias("done"))).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam)
+        found = materialize(ranked.withColumn("e", F.row_number().over(order)).withColumn("now", (~F.col("done")) & (F.col("e") <= expand)).drop("r", "e"), "ann")
+        if found.filter("now").isEmpty():
             break
-    return found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam).select("a", "b", "d")
+    return found.select("a", "b", "d")
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
