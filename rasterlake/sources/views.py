@@ -84,15 +84,17 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``samples(sample_id, source, label, f1..f4)``: statistics of labelled texts, null where not computable."""
     d = read(spark, sf_dir, "documents").filter("text is not null")
     n = F.length("text").cast("double")
-    words = (F.length("text") - F.length(F.translate("text", " ", "")) + 1).cast("double")
-    lines = (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("double")
+    # replace works on bytes, translate on each character by a dictionary
+    without = lambda c, text="text": F.replace(text, F.lit(c), F.lit(""))
+    words = (F.length("text") - F.length(without(" ")) + 1).cast("double")
+    lines = (F.length("text") - F.length(without("\n")) + 1).cast("double")
     # four numbers a document, not its text, meet the labels
     d = d.select(
         "doc_id", "source",
         F.log(n + 1).alias("f1"),
         F.when(words >= 2, n / words).alias("f2"),
         F.when(lines >= 2, F.log(n / lines)).alias("f3"),
-        (F.length(F.translate("text", ".,", "")).cast("double") / (n + 1)).alias("f4"),
+        (F.length(without(",", without("."))).cast("double") / (n + 1)).alias("f4"),
     )
     j = d.join(read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").filter("label is not null")
     return j.select(F.col("doc_id").alias("sample_id"), "source", "label", *SAMPLE_FEATURES)

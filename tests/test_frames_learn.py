@@ -183,3 +183,28 @@ def test_repeated_samples_keep_their_rows_and_folds(spark):
     twice = df.unionByName(df.filter("sample_id < 5"))
     table = M.fold_table(twice, ["f1", "f2"], 2, 3)
     assert table.count() == 35 and all(len(r.folds) == 2 for r in table.collect())
+
+
+def test_choosing_a_model_ranks_no_held_out_sample(spark, monkeypatch):
+    ranked, plain = [], M._mid_ranks
+    monkeypatch.setattr(M, "_mid_ranks", lambda df, keys=None: ranked.append(keys) or plain(df, keys))
+    s = samples(spark)
+    model = M.train_model(s, ["f1", "f2"], [0.03, 0.3], 2, 4).first()
+    assert ranked == [None]  # the final training metrics alone
+    lam, means = M.select_lambda(M.cross_validate(s, ["f1", "f2"], [0.03, 0.3], 2, 4))
+    assert lam == model.selected_lambda and ranked == [None, ["lam", "repeat", "out"]]
+    want = means.filter(F.col("lam") == lam).first().asDict()
+    assert model.cross_validation_at_selected_lambda == pytest.approx(want)
+    assert "auc" in model.final_training_metrics
+
+
+def test_sample_features_equal_a_plain_loop(spark, tmp_path):
+    texts = ["", " ", "a", "a b", "é 😀. x,\n\ny", "..,,", "\n", "one two\nthree. four,", None]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.sample_id: (r.f1, r.f2, r.f3, r.f4) for r in V.samples(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts[:-1]):
+        n, words, lines = len(t), t.count(" ") + 1, t.count("\n") + 1
+        want = (np.log(n + 1), n / words if words >= 2 else None, np.log(n / lines) if lines >= 2 else None, len(t.replace(".", "").replace(",", "")) / (n + 1))
+        assert got[i] == pytest.approx(want), t
+    assert len(got) == len(texts) - 1
