@@ -1,4 +1,4 @@
-"""The frame operators as stateful streams, one state per camera.
+"""The frame operators as stateful streams, one state per camera or group of cameras.
 
 ``smooth_in_order`` holds frames back until the watermark has passed them, so
 its results do not depend on the micro-batch in which a frame lands, as long as
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,6 +25,8 @@ from rasterlake.session import ship_code
 OUT = "camera_id bigint, seq bigint, ts timestamp, stable boolean, shown string, misses int, failed boolean, fps double"
 STATE = "flags array<boolean>, texts array<string>, misses int, last double, fps double"
 COLUMNS = ["camera_id", "seq", "ts", "stable", "shown", "misses", "failed", "fps"]
+#: The group of rows that are no frames.
+NO_FRAME = -1
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -77,30 +81,50 @@ def smooth(stream: DataFrame, flags: int = 8, texts: int = 10, least: int = 5, l
     return stream.groupBy("camera_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+WAITING = pa.schema([("camera_id", pa.int64()), ("us", pa.int64()), ("seq", pa.int64()), ("text", pa.string()), ("hit", pa.bool_())])
+HELD = pa.schema([("camera_id", pa.int64()), ("hits", pa.list_(pa.bool_())), ("seen", pa.list_(pa.string())), ("misses", pa.int64()), ("last", pa.float64()), ("fps", pa.float64())])
+
+
+def _packed(table: pa.Table) -> bytes:
+    """A table as one value of a state."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(values: list, schema: pa.Schema) -> pa.Table:
+    return pa.concat_tables([schema.empty_table(), *(pa.ipc.open_stream(v).read_all() for v in values)])
+
+
 class InOrder(StatefulProcessor):
-    """Holds a camera's frames in a list state and passes them on when a timer says that none before them can come."""
+    """Holds the frames of a group of cameras in a list state and passes them on when a timer says that none before them can come.
+
+    A call to the state costs far more than a frame, so states hold tables: the frames
+    of a micro-batch are one value of the list, and what the group's cameras leave behind is one value.
+    """
 
     def __init__(self, how: dict) -> None:
         self.how = how
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, text string, hit boolean")
-        self.flags = handle.getListState("flags", "hit boolean")
-        self.texts = handle.getListState("texts", "text string")
-        self.values = handle.getValueState("values", "misses int, last double, fps double")
+        self.waiting = handle.getListState("waiting", "frames binary")
+        self.held = handle.getValueState("held", "cameras binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = []
-        for part in rows:
-            new += [(int(us), int(seq), _text(text), _hit(hit)) for us, seq, text, hit in zip(part["us"], part["seq"], part["text"], part["hit"]) if seq == seq]
+        for part in rows if key[0] != NO_FRAME else ():
+            cols = part["camera_id"], part["us"], part["seq"], [_text(t) for t in part["text"]], [_hit(h) for h in part["hit"]]
+            new.append(pa.table([pa.array(c, f.type) for c, f in zip(cols, WAITING)], schema=WAITING))
         if new:
-            self.waiting.appendList(new)
-            self._wake(min(r[0] for r in new))
+            table = pa.concat_tables(new)
+            self.waiting.appendValue((_packed(table),))
+            self._wake(pc.min(table["us"]).as_py())
         yield pd.DataFrame(columns=COLUMNS)
 
     def _wake(self, us: int) -> None:
-        """One timer a camera, at its earliest waiting frame."""
+        """One timer a group, at its earliest waiting frame."""
         at, there = -(-us // 1000), list(self.handle.listTimers())
         if not there or at < min(there):
             for t in there:
@@ -109,29 +133,33 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or "", r[3]))
-        ready = [r for r in waiting if r[0] <= upto]
-        later = waiting[len(ready) :]
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(-(-later[0][0] // 1000))
+        waiting = _unpacked([r[0] for r in self.waiting.get()], WAITING)
+        ready = waiting.filter(pc.less_equal(waiting["us"], upto))
+        later = waiting.filter(pc.greater(waiting["us"], upto))
+        if later.num_rows:
+            self.waiting.put([(_packed(later),)])
+            self.handle.registerTimer(-(-pc.min(later["us"]).as_py() // 1000))
         else:
             self.waiting.clear()
-        if not ready:
+        if not ready.num_rows:
             yield pd.DataFrame(columns=COLUMNS)
             return
-        held = None
-        if self.values.exists():
-            held = [r[0] for r in self.flags.get()], [r[0] for r in self.texts.get()], *self.values.get()
-        recent, out = Recent(held, **self.how), []
-        for us, seq, text, hit in ready:
-            out.append((key[0], seq, pd.Timestamp(us, unit="us"), *recent.add(text, hit, float(us))))
-        hits, seen, *values = recent.held()
-        self.flags.put([(h,) for h in hits])
-        if seen:
-            self.texts.put([(t,) for t in seen])
-        self.values.update(tuple(values))
-        yield pd.DataFrame(out, columns=COLUMNS)
+        held = _unpacked([self.held.get()[0]] if self.held.exists() else [], HELD)
+        left = dict(zip(held["camera_id"].to_pylist(), zip(*(held[c].to_pylist() for c in HELD.names[1:]))))
+        # a missed frame before an empty text, and no hit before a hit
+        ready = ready.append_column("read", pc.is_valid(ready["text"])).sort_by([(c, "ascending") for c in ("camera_id", "us", "seq", "read", "text", "hit")])
+        camera, recent, out = None, None, []
+        for c, us, seq, text, hit in zip(*(ready[c].to_pylist() for c in WAITING.names)):
+            if c != camera:
+                if recent is not None:
+                    left[camera] = recent.held()
+                camera, recent = c, Recent(left.get(c), **self.how)
+            out.append((c, seq, us, *recent.add(text, hit, float(us))))
+        left[camera] = recent.held()
+        self.held.update((_packed(pa.table([pa.array(c, f.type) for c, f in zip(zip(*((c, *v) for c, v in left.items())), HELD)], schema=HELD)),))
+        done = pd.DataFrame(out, columns=COLUMNS)
+        done["ts"] = pd.to_datetime(done["ts"], unit="us")
+        yield done
 
     def close(self) -> None:
         pass
@@ -148,20 +176,23 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before)
 
 
-def smooth_in_order(stream: DataFrame, delay: str, flags: int = 8, texts: int = 10, least: int = 5, limit: int = 30, keep: float = 0.9) -> DataFrame:
+def smooth_in_order(stream: DataFrame, delay: str, flags: int = 8, texts: int = 10, least: int = 5, limit: int = 30, keep: float = 0.9, groups: int = 512) -> DataFrame:
     """``smooth`` in the order of ``(ts, seq)`` across micro-batches.
 
     A frame waits until the watermark, ``delay`` behind the latest time seen, has
     passed it; frames that come later than that are dropped, as Spark counts
-    them.  A camera's state is its waiting frames, as many as come within the
-    delay, and a few short lists.  Rows without a ``seq`` only move the watermark;
+    them.  Cameras share ``groups`` states by a hash of their id; a state is the
+    waiting frames of its cameras, as many as come within the delay, and a few short lists of each camera.
+    A group's frames that get ready in a micro-batch meet in one task, so ``groups``
+    should follow the rate of the stream.  Rows without a ``seq`` only move the watermark;
     frames without a time or a camera have no place in the order and are left out.
     Start the stream within ``state_store``.
     """
     ship_code(stream.sparkSession)
     how = {"flags": flags, "texts": texts, "least": least, "limit": limit, "keep": keep}
     rows = stream.select("camera_id", "ts", "seq", "text", "hit").withWatermark("ts", delay).filter("ts is not null").withColumn("us", F.unix_micros("ts"))
-    return rows.groupBy("camera_id").transformWithStateInPandas(statefulProcessor=InOrder(how), outputStructType=OUT, outputMode="Append", timeMode="EventTime").filter("camera_id is not null")
+    group = F.when(F.expr("camera_id is null or seq is null"), NO_FRAME).otherwise(F.pmod(F.xxhash64("camera_id"), F.lit(groups)).cast("int"))
+    return rows.withColumn("group", group).groupBy("group").transformWithStateInPandas(statefulProcessor=InOrder(how), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
 
 
 def smooth_scored(stream: DataFrame, cols: list[str], model: list[dict], bias: float, threshold: float = 0.5, **how) -> DataFrame:

@@ -188,3 +188,52 @@ def test_a_million_frames_of_one_camera_in_a_day(spark):
     assert abs(FR.frame_rate(df, parts=16).first().fps - fps) < 1e-9
     got = FR.missed_runs(df, 5, parts=16).agg(F.max("misses"), F.sum(F.col("failed").cast("int"))).first()
     assert tuple(got) == (7, 1000)
+
+
+class Counted:
+    """A state, or the handle of states, in memory; counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value, self.timers = calls, [], []
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls[name] += 1
+            if name in ("getListState", "getValueState"):
+                return Counted(self.calls)
+            if name in ("listTimers", "registerTimer", "deleteTimer"):
+                self.timers += args if name == "registerTimer" else []
+                return list(self.timers)
+            if name == "get":
+                return self.value
+            self.value = {"appendValue": lambda: [*self.value, *args], "put": lambda: list(*args), "update": lambda: args[0], "clear": list, "exists": lambda: self.value}[name]()
+            return bool(self.value)
+
+        return call
+
+
+@pytest.mark.parametrize("cameras", [3, 200])
+def test_a_groups_calls_to_its_state_do_not_grow_with_its_cameras(cameras):
+    rows = [(c, s, T0 + timedelta(seconds=s), None if s % 4 == 3 else "ab"[s % 2], s % 3 > 0) for c in range(cameras) for s in range(12)]
+    calls, out = Counter(), []
+    group = ST.InOrder({"flags": 8, "texts": 10, "least": 5, "limit": 1, "keep": 0.9})
+    group.init(Counted(calls))
+    us = lambda t: int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+    for lo, upto in ((0, 3), (6, 20)):
+        part = ST.pd.DataFrame([(c, us(t), s, x, h) for c, s, t, x, h in reversed(rows) if lo <= s < lo + 6], columns=["camera_id", "us", "seq", "text", "hit"])
+        list(group.handleInputRows((5,), iter([part]), None))
+        now = type("Now", (), {"getCurrentWatermarkInMs": staticmethod(lambda upto=upto: us(T0 + timedelta(seconds=upto)) // 1000)})
+        out += [r for df in group.handleExpiredTimer((5,), now, None) for r in df.itertuples(index=False)]
+    same({(r.camera_id, r.seq): tuple(r[3:]) for r in out}, plain(rows, limit=1))
+    assert sum(calls.values()) < 30
+
+
+def test_cameras_that_share_a_state_equal_a_plain_loop(spark, tmp_path):
+    big = 1 << 60
+    rows = [(c + big, s + big + 1, *rest) for c, s, *rest in frames(30, range(7), 8)]
+    df = spark.createDataFrame(rows + [(None, 1, T0, "a", True), (1, None, T0, "a", True)], SCHEMA)
+    delay = land_late(df, str(tmp_path / "in"), slices=2, files=1)
+    sink = BatchSink(str(tmp_path / "out"), "s", "parquet")
+    with ST.state_store(spark):
+        run_available(ST.smooth_in_order(frame_stream(spark, str(tmp_path / "in"), SCHEMA, "parquet", 1), f"{delay} seconds", limit=2, groups=2), sink, str(tmp_path / "cp"))
+    same(results(sink.read(spark, ST.OUT)), plain(rows, limit=2))
