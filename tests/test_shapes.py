@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from art import ink, pixels, sizes
 
 from rasterlake.operators import gate, ink as I, layout, rasters as R, shapes as S
@@ -200,3 +201,17 @@ def test_rotation_four_times_is_the_identity(spark):
     p = pixels(spark, np.arange(12).reshape(3, 4))
     q = R.rotate(R.rotate(p, 90), 270)
     assert {tuple(r[c] for c in "yxv") for r in q.collect()} == {tuple(r[c] for c in "yxv") for r in p.collect()}
+
+
+def test_slant_of_runs_equals_that_of_the_dense_raster(spark):
+    r = np.random.default_rng(11)
+    rows = []
+    for i, (h, w, share) in enumerate([(20, 25, 0.5), (18, 30, 0.15), (6, 6, 0.9), (12, 12, 1.0), (9, 40, 0.3)]):
+        a = np.zeros((h + 8, w + 8), int)
+        a[4:-4, 4:-4] = r.random((h, w)) < share
+        rows += [(i, y, x, int(v)) for (y, x), v in np.ndenumerate(a)]
+    dense = spark.createDataFrame(rows, "image_id bigint, y int, x int, v int")
+    want = {x.image_id: x.slant_var for x in S.slant_var(dense).collect()}
+    got = {x.image_id: x.slant_var for x in S.slant_var_of_runs(I.runs(dense.filter("v = 1").select("image_id", "y", "x"))).collect()}
+    assert got.keys() == want.keys() and len(want) >= 4
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
