@@ -3,7 +3,8 @@
 The symbols of many words stand in one flat array.  A round looks up every
 adjacent pair by binary search over the sorted pair keys, takes the lowest rank
 of each word with ``minimum.reduceat`` and merges all its occurrences.  Words
-seen before come from a cache of the task, bounded in bytes.
+seen before come from a cache of the task, bounded in bytes.  A batch's texts are
+taken in groups of bounded size, as their pieces need many times their bytes.
 
 Edge cases: a null or empty text has no tokens (hash of the empty string);
 texts of any length are encoded whole; repeated rows give repeated results; an
@@ -20,14 +21,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from rasterlake.llm.kernels import tidy
 
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 ENTRY_BYTES = 200
-GROUP_CHARS = 2_000_000
+#: Characters that are split at once (one text at least), and words that merge in the same rounds.
+GROUP_CHARS, MERGE_WORDS = 1 << 18, 10_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -141,8 +144,8 @@ class ByteBPE:
             self.forget()
         fresh = [w for w in seen if w not in self.cache and w not in self.added]
         known = self.cache
-        for lo in range(0, len(fresh), 50_000):
-            part = fresh[lo : lo + 50_000]
+        for lo in range(0, len(fresh), MERGE_WORDS):
+            part = fresh[lo : lo + MERGE_WORDS]
             made = self.merge(part)
             known.update(zip(part, made))
             self.held += ENTRY_BYTES * len(part) + sum(map(len, part)) + 8 * sum(map(len, made))
@@ -166,16 +169,32 @@ def load(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, int, list[str]]]:
-    lo, chars, group = 0, 0, []
-    for i, t in enumerate(texts):
-        group.append(t or "")
-        chars += len(group[-1])
-        if chars >= GROUP_CHARS:
-            yield lo, i + 1, group
-            lo, chars, group = i + 1, 0, []
-    if group:
-        yield lo, len(texts), group
+def _groups(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """Row ranges of about ``GROUP_CHARS`` characters and their texts; nulls are empty."""
+    size = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(size), 0
+    while lo < len(column):
+        before = ends[lo - 1] if lo else 0
+        hi = min(len(column), int(np.searchsorted(ends, before + GROUP_CHARS)) + 1)
+        yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
+def encoded(bpe: ByteBPE, batch: pa.RecordBatch, with_ids: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of ``encode`` for a batch of ``doc_id, text``."""
+    for lo, hi, group in _groups(batch.column(1)):
+        n, ids_sha, text_sha, kept = [], [], [], []
+        for ids in bpe.encode_batch(group):
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
+            text_sha.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
+            if with_ids:
+                kept.append(ids)
+        cols = [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            cols, names = [*cols, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -188,20 +207,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
         for batch in batches:
-            ids_col, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi, group in _groups(texts):
-                n, ids_sha, text_sha, kept = [], [], [], []
-                for ids in bpe.encode_batch(group):
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
-                    if with_ids:
-                        kept.append(ids)
-                cols = [ids_col.slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    cols, names = [*cols, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield from encoded(bpe, batch, with_ids)
         bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA + ", ids array<int>" * with_ids)

@@ -43,7 +43,8 @@ from rasterlake.operators.graph import connected_components
 from rasterlake.session import Stages, materialize, stages, tasks_for
 
 BITMAP_WORDS = 16
-FLUSH_KEYS = 1_000_000
+#: Keys of a task that meet at once, and rows made from them at a time.
+FLUSH_KEYS, FLUSH_ROWS = 1_000_000, 1 << 16
 SHARES = 4
 BITMAP = [f"w{i}" for i in range(BITMAP_WORDS)]
 
@@ -161,20 +162,33 @@ def _keys(rule: Rule):
     others (``pop`` of them), as an original's do among its copies.
     """
 
-    def flush(keys: list[np.ndarray], docs: list[int]) -> pa.RecordBatch:
+    def flush(keys: list[np.ndarray], docs: list[int]) -> Iterator[pa.RecordBatch]:
+        at = np.repeat(np.arange(len(docs), dtype=np.int32), [len(k) for k in keys])
         key = np.concatenate(keys)
-        at = np.repeat(np.arange(len(docs)), [len(k) for k in keys])
-        _, tile, size = np.unique(key, return_inverse=True, return_counts=True)
-        pop = np.bincount(at, size[tile] > 1, len(docs)).astype(np.int64)[at]
-        doc = np.array(docs, np.int64)[at]
-        order = np.lexsort((doc, -pop, tile))
-        key, doc, pop = key[order], doc[order], pop[order]
+        keys.clear()
+        order = np.argsort(key)
+        key, at = key[order], at[order]
+        del order
         first = np.append(True, key[1:] != key[:-1])
-        pivot = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
-        keep = first | (doc != pivot)
-        first = first[keep]
-        cols = [pa.array(signed(key)[keep]), pa.array(doc[keep]), pa.array(pivot[keep], mask=first), pa.array(pop[keep].astype(np.int32), mask=~first)]
-        return pa.RecordBatch.from_arrays(cols, names=["key", "doc", "pivot", "pop"])
+        key, tile, size = key[first], np.cumsum(first, dtype=np.int64) - 1, np.diff(np.append(np.flatnonzero(first), len(at)))
+        pop = np.bincount(at[(size > 1)[tile]], minlength=len(docs)).astype(np.int32)
+        # one number for a tile and the place of a member in it: most met first, then by document
+        doc = np.array(docs, np.int64)
+        best = np.lexsort((doc, -pop))
+        place = np.empty_like(best)
+        place[best] = np.arange(len(best))
+        tile *= len(docs)
+        tile += place[at]
+        tile.sort()
+        for lo in range(0, len(tile), FLUSH_ROWS):
+            t, who = np.divmod(tile[lo : lo + FLUSH_ROWS], len(docs))
+            # a tile's members stand together, so its pivot stands where its first row does
+            head = np.searchsorted(tile, t * len(docs))
+            pivot, who, top = doc[best[tile[head] % len(docs)]], best[who], head == np.arange(lo, lo + len(t))
+            keep = top | (doc[who] != pivot)
+            t, who, pivot, top = t[keep], who[keep], pivot[keep], top[keep]
+            cols = [pa.array(signed(key[t])), pa.array(doc[who]), pa.array(pivot, mask=top), pa.array(pop[who], mask=~top)]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "pivot", "pop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, held, seen = [], [], 0, set()
@@ -192,10 +206,10 @@ def _keys(rule: Rule):
                         docs.append(ids[lo + i])
                         held += len(k)
                     if held >= FLUSH_KEYS:
-                        yield flush(keys, docs)
+                        yield from flush(keys, docs)
                         keys, docs, held, seen = [], [], 0, set()
         if held:
-            yield flush(keys, docs)
+            yield from flush(keys, docs)
 
     return run
 

@@ -22,6 +22,8 @@ PLACE_SALT, JOIN = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Places of a word whose values are kept in a table; those behind are computed.
 PLACES = 32
 CHUNK_BYTES = 1 << 18
+#: Bytes that a task sends to Spark at once, about.
+PIECE_BYTES = 1 << 21
 
 #: Bytes of words under the contract's class ``[^\x20\x09-\x0D]``.
 NOT_SPACE = np.ones(256, bool)
@@ -42,13 +44,20 @@ def trim() -> None:
         pass
 
 
+def pieces(batch: pa.RecordBatch, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in batches of about ``size`` bytes, one row at least."""
+    rows = batch.num_rows if batch.nbytes <= size else max(1, batch.num_rows * size // batch.nbytes)
+    yield from (batch.slice(lo, rows) for lo in range(0, max(1, batch.num_rows), max(1, rows)))
+
+
 def tidy(run: Callable) -> Callable:
-    """``run`` over a task's batches, with ``trim`` at its end."""
+    """``run`` over a task's batches, with ``trim`` at its end; what it yields goes in small pieces, which the JVM holds outside its heap."""
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield from pieces(batch)
         finally:
             trim()
 

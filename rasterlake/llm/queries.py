@@ -11,10 +11,15 @@ from rasterlake.llm import ann, bpe, decontam, jaccard, langid, minhash, packing
 from rasterlake.session import scratch_path, ship_code
 
 
+#: A batch ends with the row that passes these bytes; executors hold a few for each task, outside the heap and in Python.
+BATCH_BYTES = str(1 << 21)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; Arrow batches are kept small as texts may be long."""
+    """One input table; Arrow batches are kept small in rows and bytes as texts, and sets made from them, may be long."""
     ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

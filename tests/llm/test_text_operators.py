@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from rasterlake.llm import bpe, contexts, decontam, idfilter, jaccard, langid, packing, pii, substrings, toxicity
+from rasterlake.llm import bpe, contexts, decontam, idfilter, jaccard, kernels, langid, packing, pii, queries, substrings, toxicity
 
 SCHEMA = "doc_id bigint, text string, score int, part string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -298,3 +299,55 @@ def test_matchers_are_sent_in_bytes_and_read_in_slices():
     assert got == [tuple(h[a:z]) for t in rows for _, h, at in decontam._words_of(pa.array([t], pa.string())) for a, z in zip(at[:-1], at[1:])]
     walk = decontam.Walk(0, 50)
     assert walk.bits.nbytes == walk.bits.size and list(decontam._words_of(pa.array([], pa.string()))) == []
+
+
+class Held:
+    """A table of one batch, whose mapInArrow runs here."""
+
+    def __init__(self, texts):
+        self.batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run(iter([self.batch]))
+
+
+def peak_mb(rows):
+    tracemalloc.start()
+    n = sum(b.num_rows for b in rows)
+    peak = tracemalloc.get_traced_memory()[1] / 2**20
+    tracemalloc.stop()
+    return n, peak
+
+
+def test_bpe_splits_a_bounded_part_of_a_batch_at_once():
+    r = random.Random(3)
+    v = ["".join(r.choices("abcdefgh", k=5)) for _ in range(2000)]
+    args = P.path("byte_bpe_50k.json"), P.PATTERN, True
+    bpe.load(*args[:2])
+    n, peak = peak_mb(bpe.encode(Held([" ".join(r.choices(v, k=400)) for _ in range(1000)]), *args))
+    assert n == 1000 and peak < 16
+
+
+def test_keys_of_a_task_meet_in_little_memory():
+    r = random.Random(4)
+    v = [f"w{i}" for i in range(5000)]
+    texts = Held([" ".join(r.choices(v, k=500)) for _ in range(1000)])
+    n, peak = peak_mb(texts.mapInArrow(jaccard._keys(jaccard.Rule(5, 80, 100)), None))
+    assert n > 150_000 and peak < 16
+
+
+def test_what_goes_to_spark_goes_in_pieces():
+    whole = pa.RecordBatch.from_arrays([pa.array(range(100_000)), pa.array(["x" * 100] * 100_000)], names=["a", "b"])
+    got = list(kernels.tidy(lambda batches: batches)(iter([whole, whole.slice(0, 0)])))
+    assert max(b.nbytes for b in got) <= 1.1 * kernels.PIECE_BYTES
+    assert pa.Table.from_batches(got) == pa.Table.from_batches([whole])
+
+
+def test_batches_of_a_table_are_bounded_in_bytes(spark, tmp_path):
+    docs(spark, ["x" * 10_000] * 1500).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    got = [r.n for r in queries.table(spark, str(tmp_path), "documents").select("text").mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) > 15_000_000 and max(got) < 2_200_000
