@@ -23,10 +23,33 @@ def columns_of():
     return Window.partitionBy("image_id", "x").orderBy("y")
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """``a * b + c`` of doubles with one rounding, by the error terms of the product and of the sum."""
+    halves = lambda x: (x * 134217729.0 - (x * 134217729.0 - x), x - (x * 134217729.0 - (x * 134217729.0 - x)))
+    (ah, al), (bh, bl) = halves(a), halves(b)
+    p = a * b
+    s = p + c
+    off = (p - (s - (s - p))) + (c - (s - p))
+    return s + (off + ((ah * bh - p) + ah * bl + al * bh + al * bl))
+
+
 def percentiles(px: DataFrame, qs: list[float], name: str = "q") -> DataFrame:
-    """Exact percentiles per image with linear interpolation: ``q0, q1, ...``."""
-    got = px.groupBy("image_id").agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("p"))
-    return got.select("image_id", *(F.col("p")[i].alias(f"{name}{i}") for i in range(len(qs))))
+    """Exact percentiles per image with linear interpolation: ``q0, q1, ...``.
+
+    Between two values it is ``lo * (1 - part) + hi * part``, rounded as the SQL's engine does:
+    another order of these operations breaks the ties of compared percentiles otherwise.
+    """
+    hist = px.groupBy("image_id", F.col("v").cast("double").alias("v")).agg(F.count("v").alias("n"))
+    every = Window.partitionBy("image_id")  # a row for each value
+    h = hist.select("image_id", "v", "n", F.sum("n").over(every.orderBy("v")).alias("upto"), F.sum("n").over(every).alias("total"))
+    cols = []
+    for i, q in enumerate(qs):
+        at = (F.col("total") - 1) * F.lit(float(q))
+        ends = (F.max(F.when((F.col("upto") - F.col("n") <= k) & (k < F.col("upto")), F.col("v"))) for k in (F.floor(at), F.ceil(at)))
+        cols.append(F.struct(*(e.alias(n) for e, n in zip(ends, ("lo", "hi"))), F.max(at - F.floor(at)).alias("part")).alias(f"{name}{i}"))
+    got = h.groupBy("image_id").agg(*cols)
+    value = lambda q: fused(q["lo"], 1 - q["part"], q["hi"] * q["part"])
+    return got.select("image_id", *(value(F.col(f"{name}{i}")).alias(f"{name}{i}") for i in range(len(qs))))
 
 
 def shape(px: DataFrame) -> DataFrame:
