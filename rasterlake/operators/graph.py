@@ -14,21 +14,26 @@ from rasterlake.session import materialize, ship_code, tasks_for
 BLOCK_EDGES, LONG = 1_000_000, 4
 
 
-def _forest_of(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    """Each node of some edges with the smallest node that it reaches by them."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of ``n`` nodes that each reaches by the edges ``a, b``."""
+    root = np.arange(n)
     while True:
         x, y = root[a], root[b]
         apart = x != y
         if not apart.any():
-            break
+            return root
         np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
         while True:
             up = root[root]
             if (up == root).all():
                 break
             root = up
+
+
+def _forest_of(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Each node of some edges with the smallest node that it reaches by them."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = roots(len(nodes), at[: len(u)], at[len(u) :])
     keep = root != np.arange(len(nodes))
     return pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(nodes[root[keep]], pa.int64())], names=["u", "v"])
 

@@ -3,18 +3,26 @@
 ``ink(image_id, y, x)`` holds ink pixels only; repeated pixels count once, and
 an empty table gives empty tables.  A component's label is the smallest raster
 index ``y * W + x`` of its pixels with ``W`` = 2**16, so images may be of any
-height and up to 2**16 wide.  Runs get ids of their own when they are written,
-so image ids may be any whole numbers.
+height and up to 2**16 wide.  A label names a component within its image, so
+image ids may be any whole numbers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rasterlake.operators.graph import connected_components
-from rasterlake.session import materialize
+from rasterlake.operators.graph import connected_components, roots
+from rasterlake.session import materialize, ship_code
 
 SIDE = 1 << 16
+#: Lines of an image that one task labels, and rows that it looks at at once.
+BAND, BLOCK_ROWS = 256, 200_000
 KEY = ("image_id",)
 
 
@@ -85,27 +93,118 @@ def run_pixels(mask: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     return mask.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
-def adjacency(r: DataFrame, eight: bool = True) -> DataFrame:
-    """Pairs of runs of one image that touch across neighbouring rows."""
-    a, b, reach = r.alias("a"), r.alias("b"), 1 if eight else 0
-    cond = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.y") == F.col("a.y") + 1)
-    touch = (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)
-    return a.join(b, cond & touch).select(F.col("a.image_id").alias("image_id"), F.col("a.run_id").alias("src"), F.col("b.run_id").alias("dst"))
+def changes(col: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; nulls are alike."""
+    if pa.types.is_struct(col.type):
+        return np.logical_or.reduce([changes(c) for c in col.flatten()])
+    a, b = col.slice(0, len(col) - 1), col.slice(1)
+    differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+    return differ.to_numpy(zero_copy_only=False)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], starts: Callable[[pa.RecordBatch], np.ndarray], rows: int = BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Blocks of at least ``rows`` rows that end where a group ends; ``starts`` tells of each row but the first whether it begins one."""
+    held, n = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < rows:
+            continue
+        block = joined()
+        at = np.flatnonzero(starts(block))
+        if len(at):
+            yield block.slice(0, at[-1] + 1)
+            block = block.slice(at[-1] + 1)
+        held, n = [block], block.num_rows
+        rows = max(rows, 2 * n)  # a long group is not joined anew for each batch
+    if held:
+        yield joined()
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], eight: bool, band: int | None, pixels: bool) -> Iterator[pa.RecordBatch]:
+    """``image_id, y, x0, x1, label`` of ``image_id, y, x0, x1`` (``pixels``: ``image_id, y, x``) in that order.
+
+    Lines of one image and ``band`` (None: of one image) are joined.
+    """
+
+    def starts(block: pa.RecordBatch) -> np.ndarray:
+        new = changes(block.column(0))
+        if band is not None:
+            new = new | (np.diff(block.column(1).to_numpy() // band) != 0)
+        return new
+
+    for block in whole_groups(batches, starts):
+        y, x0, x1 = (block.column(i).to_numpy().astype(np.int64) for i in (1, 2, 2 if pixels else 3))
+        ids, new, known = block.column(0), starts(block), block.column(0).is_valid().to_numpy(zero_copy_only=False)
+        if pixels:
+            cut = new | (np.diff(y) != 0) | (np.diff(x0) > 1)
+            first, last = np.flatnonzero(np.append(True, cut)), np.flatnonzero(np.append(cut, True))
+            new = np.logical_or.reduceat(np.append(True, new), first)[1:]
+            ids, y, x0, x1, known = ids.take(pa.array(first)), y[first], x0[first], x1[last], known[first]
+        # neighbouring lines of a group have numbers that follow each other
+        line = np.append(0, np.cumsum(np.where(new, 2, np.minimum(np.diff(y), 2)))) * (4 * SIDE)
+        reach = 1 if eight else 0
+        low = np.searchsorted(line + x1, line - 4 * SIDE + x0 - reach, "left")
+        high = np.searchsorted(line + x0, line - 4 * SIDE + x1 + reach, "right")
+        n = np.where(known, np.maximum(high - low, 0), 0)
+        b = np.repeat(np.arange(len(y)), n)
+        a = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[b]
+        root = roots(len(y), a, b)
+        label = y[root] * SIDE + x0[root]
+        types = [block.schema.field(i).type for i in (1, 2, 2 if pixels else 3)]
+        cols = [ids, *(pa.array(c, pa.int64()).cast(t) for c, t in zip((y, x0, x1), types)), pa.array(label, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["image_id", "y", "x0", "x1", "label"])
 
 
 def label_runs(ink: DataFrame, eight: bool = True) -> DataFrame:
     """``runs`` of ``ink`` with ``label``."""
-    return labelled_runs(runs(ink), eight)
+    return _labels(ink.select("image_id", "y", "x"), eight, True)
 
 
-def labelled_runs(mask: DataFrame, eight: bool = True) -> DataFrame:
-    """Runs ``(image_id, y, x0, x1)`` with ``label``."""
-    r = materialize(mask.withColumn("run_id", F.monotonically_increasing_id()), "runs")
-    c = materialize(connected_components(adjacency(r, eight), within="image_id").withColumnRenamed("node", "run_id"), "runs")
-    at = F.col("y").cast("bigint") * SIDE + F.col("x0")
-    held = r.join(c, "run_id", "left").select("image_id", "y", "x0", "x1", at.alias("at"), F.coalesce("component", "run_id").alias("component"))
-    first = held.groupBy("component").agg(F.min("at").alias("label"))
-    return held.join(first, "component").select("image_id", "y", "x0", "x1", "label")
+def labelled_runs(mask: DataFrame, eight: bool = True, whole: bool = False) -> DataFrame:
+    """Runs ``(image_id, y, x0, x1)`` with ``label``.
+
+    With ``whole`` all runs of an image follow each other in one task, by ``y`` and ``x0``, and are labelled there.
+    """
+    mask = mask.select("image_id", "y", "x0", "x1")
+    if not whole:
+        return _labels(mask, eight, False)
+    ship_code(mask.sparkSession)
+    kinds = ", ".join(f"{n} {t}" for n, t in mask.dtypes)
+    return mask.mapInArrow(partial(_labelled, eight=eight, band=None, pixels=False), f"{kinds}, label bigint")
+
+
+def _labels(mask: DataFrame, eight: bool, pixels: bool) -> DataFrame:
+    """Labels the bands of each image, one band in one task, and then joins what goes on from band to band."""
+    ship_code(mask.sparkSession)
+    kinds = dict(mask.dtypes)
+    band = F.floor(F.col("y") / BAND)
+    dealt = mask.repartition("image_id", band).sortWithinPartitions("image_id", "y", "x" if pixels else "x0")
+    x = [kinds["x"]] * 2 if pixels else [kinds["x0"], kinds["x1"]]
+    out = f"image_id {kinds['image_id']}, y {kinds['y']}, x0 {x[0]}, x1 {x[1]}, label bigint"
+    lab = materialize(dealt.mapInArrow(partial(_labelled, eight=eight, band=BAND, pixels=pixels), out), "runs")
+    reach = 1 if eight else 0
+    a, b = lab.filter(F.pmod("y", F.lit(BAND)) == BAND - 1).alias("a"), lab.filter(F.pmod("y", F.lit(BAND)) == 0).alias("b")
+    touch = (F.col("b.x0") <= F.col("a.x1") + reach) & (F.col("b.x1") >= F.col("a.x0") - reach)
+    if lab.filter(F.pmod("y", F.lit(BAND)) == BAND - 1).isEmpty():
+        return lab
+    pairs = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.y") == F.col("a.y") + 1) & touch)
+    pairs = materialize(pairs.select("a.image_id", F.col("a.label").alias("p"), F.col("b.label").alias("q")).distinct(), "bands")
+    ends = pairs.select("image_id", F.col("p").alias("label")).union(pairs.select("image_id", "q")).distinct()
+    ends = materialize(ends.withColumn("id", F.monotonically_increasing_id()), "bands")
+    of = lambda c: ends.select("image_id", F.col("label").alias(c), F.col("id").alias(f"{c}_id"))
+    links = pairs.join(of("p"), ["image_id", "p"]).join(of("q"), ["image_id", "q"])
+    joined = connected_components(links, "p_id", "q_id")
+    held = ends.join(joined, F.col("id") == F.col("node")).select("image_id", "label", "component")
+    first = held.groupBy("component").agg(F.min("label").alias("first"))
+    new = held.join(first, "component").select("image_id", "label", "first")
+    return lab.join(new, ["image_id", "label"], "left").select("image_id", "y", "x0", "x1", F.coalesce("first", "label").alias("label"))
 
 
 def components(labelled: DataFrame) -> DataFrame:

@@ -223,7 +223,7 @@ def ink_components(spark, d):
 
 @query
 def ink_text_components(spark, d):
-    return I.components(I.labelled_runs(V.text_runs(spark, d)))
+    return I.components(V.labelled_texts(spark, d))
 
 
 @query
@@ -319,7 +319,7 @@ def corpus_padded(spark, d):
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     """Component boxes of the sparse text rasters."""
-    return materialize(I.components(I.labelled_runs(V.text_runs(spark, d))), "boxes")
+    return materialize(I.components(V.labelled_texts(spark, d)), "boxes")
 
 
 def listed(groups: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from rasterlake.operators.ink import union_runs
+from rasterlake.operators.ink import labelled_runs, union_runs
 from rasterlake.session import ship_code
 
 
@@ -36,11 +36,22 @@ def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     A task looks at the bytes of its texts at once, so only runs leave it.  Runs of
     rows that share an id are joined.
     """
+    out, single = _runs_by_row(spark, sf_dir)
+    return out if single else union_runs(out)
+
+
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``text_runs`` with ``label``; a text of its own id is labelled in the task that read it."""
+    out, single = _runs_by_row(spark, sf_dir)
+    return labelled_runs(out, whole=True) if single else labelled_runs(union_runs(out))
+
+
+def _runs_by_row(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, bool]:
+    """The runs of each row's text, and whether no two rows share an id."""
     ship_code(spark)
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), "text")
     out = d.mapInArrow(_ink_runs, f"image_id {dict(d.dtypes)['image_id']}, y int, x0 int, x1 int")
-    single = d.filter("image_id is not null").groupBy("image_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    return out if single else union_runs(out)
+    return out, d.filter("image_id is not null").groupBy("image_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
 def _ink_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from art import ink, sizes
 from pyspark.sql import functions as F
 
 from rasterlake.operators import ink as I, layout, rasters as R, shapes as S
+from rasterlake.sources import views as V
 from test_shapes import thin
 
 
@@ -196,3 +197,37 @@ def test_contours_of_any_image_id(spark):
     far = one.withColumn("image_id", F.lit(2**62 + 1).cast("bigint"))
     got = {(r.image_id, r.k, r.y, r.x) for r in S.contours(one.unionByName(far)).collect()}
     assert {g[1:] for g in got if g[0] == 0} == {g[1:] for g in got if g[0] == 2**62 + 1} and len(got) == 20
+
+
+@pytest.mark.parametrize("eight", [True, False])
+def test_labels_join_over_bands_in_no_rounds_of_their_own(spark, monkeypatch, eight):
+    """A long image is labelled band by band, and only what goes over a band's end is joined in rounds."""
+    monkeypatch.setattr(I, "BAND", 4)
+    m = np.random.default_rng(9).random((3, 21, 17)) < 0.55
+    rows = [(i - 1, int(y), int(x)) for i in range(3) for y, x in zip(*np.nonzero(m[i]))]
+    px = spark.createDataFrame(rows + rows[:5], "image_id bigint, y int, x int")  # repeated pixels count once
+    near = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (eight or not dy or not dx) and (dy or dx)]
+    want, ink_of = {}, set(rows)
+    for p in sorted(rows):
+        if p in want:
+            continue
+        todo, want[p] = deque([p]), p[1] * I.SIDE + p[2]
+        while todo:
+            i, y, x = todo.popleft()
+            for q in ((i, y + dy, x + dx) for dy, dx in near):
+                if q in ink_of and q not in want:
+                    want[q] = want[p]
+                    todo.append(q)
+    got = {(r.image_id, r.y, r.x): r.label for r in I.to_ink(I.label_runs(px, eight)).collect()}
+    assert got == want and I.to_ink(I.label_runs(px, eight)).count() == len(rows)
+
+
+def test_texts_are_labelled_where_they_are_read(spark, tmp_path, monkeypatch):
+    """No run of a text is exchanged or written before its components are known."""
+    texts = ["ab c\n" * 40, "", None, "x" * 200 + " " * 70 + "y", "é ü" * 50]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {tuple(r) for r in I.components(I.labelled_runs(V.text_runs(spark, str(tmp_path)))).collect()}
+    monkeypatch.setattr(I, "materialize", lambda *a, **b: pytest.fail("runs were written"))
+    lab = V.labelled_texts(spark, str(tmp_path))
+    assert "Exchange" not in lab._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in I.components(lab).collect()} == want and len(want) > 3
