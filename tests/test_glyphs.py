@@ -219,3 +219,18 @@ def test_samples_are_appended_listed_and_undone(spark, tmp_path):
     assert {r.sample_id for r in sinks.without_undone(back, sinks.last_of_session(back)).collect()} == {1}
     names = {r.name for r in s.select(sinks.sample_name(F.col("sample_id"), F.lit("2024-01-02 03:04:05.678901").cast("timestamp")).alias("name")).collect()}
     assert "20240102_030405_678901_0001" in names
+
+
+def test_pictures_of_small_glyphs_are_not_exchanged(spark, monkeypatch):
+    """Crops become pictures in one task each; those too large for that get the same pictures by joins of pixels."""
+    g = paper((10, 20), (12, 46), (62, 25))
+    g[40, 100:160] += np.arange(60) % 7
+    px = pixels(spark, g)
+    found = []
+    for most in (1 << 20, 1200, 0):
+        with monkeypatch.context() as m:
+            m.setattr(layout, "CROP_PIXELS", most)
+            if most == 1 << 20:
+                m.setattr(layout, "normalise_glyph", lambda px: pytest.fail("scaled pixels are exchanged"))
+            found.append(sorted(map(tuple, layout.find_glyphs(px)[1].collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3 * 64 * 64
