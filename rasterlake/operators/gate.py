@@ -66,14 +66,14 @@ def _gated(px: DataFrame, paper: DataFrame | None, max_spread: float) -> tuple[D
     cheap = F.when(F.expr("area < 0.001 * h * w"), "none").when(F.expr("area > 0.15 * h * w"), "too much dark").when(F.expr("border > 2 * area"), "runs off box").when(F.col("pieces") > 40, "too many pieces")
     m = materialize(m.withColumn("cheap", cheap), "gate")
     passed = m.filter("cheap is null").select("image_id")
-    ink = I.to_ink(lab.join(comp.filter(cand).select("image_id", "label"), ["image_id", "label"], "left_semi").join(passed, "image_id", "left_semi"))
-    ink = materialize(ink.select("image_id", "y", "x"), "gate")
-    near = S.distance_transform(ink, sizes.join(passed, "image_id", "left_semi"))
-    thin = S.skeleton(ink).join(near, ["image_id", "y", "x"]).groupBy("image_id").agg(F.count("*").alias("skel"), (2 * F.percentile("d", F.lit(0.5))).alias("width"))
+    runs = lab.join(comp.filter(cand).select("image_id", "label"), ["image_id", "label"], "left_semi").join(passed, "image_id", "left_semi")
+    runs = materialize(runs.select("image_id", "y", "x0", "x1"), "gate")
+    thin = S.stroke_pixels(runs, m.filter("cheap is null").select("image_id", "h", "w"))
+    thin = thin.groupBy("image_id").agg(F.count("*").alias("skel"), (2 * F.percentile("d", F.lit(0.5))).alias("width"))
     out = m.join(thin, "image_id", "left").withColumns({"skel": F.coalesce("skel", F.lit(0)), "width": F.when(F.col("cheap").isNull(), F.coalesce("width", F.lit(0.0)))})
     out = out.withColumn("likeness", F.when(F.col("cheap").isNull(), F.expr("skel * greatest(width, 1) / nullif(area, 0)")))
     late = F.when(F.expr("width > 0.10 * h"), "too thick").when(~F.col("likeness").between(0.5, 2), "not stroke-shaped")
-    return out.withColumn("reason", F.coalesce("cheap", late)).drop("cheap"), ink
+    return out.withColumn("reason", F.coalesce("cheap", late)).drop("cheap"), I.run_pixels(runs)
 
 
 def find_writing(px: DataFrame, paper: DataFrame | None = None, max_spread: float = 15.0) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,11 @@ def hull_area(px: DataFrame) -> DataFrame:
     Only the ends of each row can be hull points; they go through a monotone
     chain, a fold over an array of at most two points a row.
     """
-    ends = px.groupBy("image_id", "label", "y").agg(F.min("x").alias("l"), F.max("x").alias("r"))
+    return _hulls(px.groupBy("image_id", "label", "y").agg(F.min("x").alias("l"), F.max("x").alias("r")))
+
+
+def _hulls(ends: DataFrame) -> DataFrame:
+    """``hull_area`` of the outermost pixels ``image_id, label, y, l, r`` of each line."""
     pts = ends.groupBy("image_id", "label").agg(F.sort_array(F.collect_list(F.struct("y", "l", "r"))).alias("e"))
     cross = "(element_at(s, -1).x - element_at(s, -2).x) * (p.y - element_at(s, -2).y) - (element_at(s, -1).y - element_at(s, -2).y) * (p.x - element_at(s, -2).x)"
 
@@ -214,6 +218,173 @@ def contours(px: DataFrame) -> DataFrame:
     return once.withColumn("k", turned).select("image_id", "label", "k", "y", "x")
 
 
+# ---- images of bounded size, one at a time in a task --------------------------
+
+#: Pixels of a raster that one task holds as an array; larger ones are spread over tasks.
+IMAGE_PIXELS = 1 << 21
+
+
+def by_size(sizes: DataFrame, *areas: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``sizes`` whose ``areas`` fit an array of one task, and the others."""
+    fits = F.expr(" and ".join(f"{a} <= {IMAGE_PIXELS}" for a in areas))
+    return sizes.filter(fits), sizes.filter(~fits)
+
+
+def _each_image(runs: DataFrame, sizes: DataFrame, kernel, out: str) -> DataFrame:
+    """``kernel`` over the runs, and what comes with them, of each image of ``sizes``, whose columns come last."""
+    ship_code(runs.sparkSession)
+    dealt = runs.join(sizes, "image_id").repartition("image_id").sortWithinPartitions("image_id")
+    return dealt.mapInArrow(partial(_over_images, kernel=kernel), f"image_id {dict(runs.dtypes)['image_id']}, {out}")
+
+
+def _over_images(batches: Iterator[pa.RecordBatch], kernel) -> Iterator[pa.RecordBatch]:
+    for block in I.whole_groups(batches, lambda b: I.changes(b.column(0))):
+        cols = [c.to_numpy(zero_copy_only=False) for c in block.columns[1:]]
+        ends = np.append(np.flatnonzero(np.append(True, I.changes(block.column(0)))), block.num_rows)
+        for a, z in zip(ends[:-1], ends[1:]):
+            got = {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in kernel(*(c[a:z] for c in cols)).items()}
+            n = len(next(iter(got.values())))
+            yield pa.RecordBatch.from_arrays([block.column(0).slice(a, 1).take(pa.array(np.zeros(n, np.int64))), *got.values()], names=["image_id", *got])
+
+
+def _raster(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, h: int, w: int, v=1) -> np.ndarray:
+    """Runs, which have gaps between them, as an array of ``v``."""
+    m = np.zeros((h, w + 1), np.int32)
+    m[y, x0], m[y, x1 + 1] = v, -v
+    return np.cumsum(m, axis=1)[:, :w]
+
+
+def _leaving(second: bool) -> np.ndarray:
+    """``_leaves`` of every byte of neighbours."""
+    n = np.arange(256)
+    on = (n[:, None] >> np.arange(8)) & 1
+    first, last = ((1 | 4 | 64, 1 | 16 | 64) if second else (1 | 4 | 16, 4 | 16 | 64))
+    a = ((on == 0) & (np.roll(on, -1, axis=1) == 1)).sum(1)
+    return (on.sum(1) >= 2) & (on.sum(1) <= 6) & (a == 1) & ((n & first) != first) & ((n & last) != last)
+
+
+LEAVING = _leaving(False), _leaving(True)
+
+
+def _thinned(m: np.ndarray) -> np.ndarray:
+    """``skeleton`` of one raster."""
+    p, (h, w) = np.pad(m, 1).astype(np.uint8), m.shape
+    own, gone = p[1:-1, 1:-1], True
+    while gone:
+        gone = False
+        for table in LEAVING:
+            n = np.zeros((h, w), np.uint8)
+            for i, (dy, dx) in enumerate(AROUND):
+                n |= p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] << i
+            drop = (own == 1) & table[n]
+            own[drop] = 0
+            gone = gone or bool(drop.any())
+    return own == 1
+
+
+#: Further than any two pixels of an array are apart.
+FAR = 1 << 22
+
+
+def _squared_distances(m: np.ndarray) -> np.ndarray:
+    """Squares of ``distance_transform`` of one raster; ``FAR`` squared or more where there is no background."""
+    y = np.arange(m.shape[0])[:, None]
+    above = y - np.maximum.accumulate(np.where(m, -FAR, y), axis=0)
+    below = np.minimum.accumulate(np.where(m, FAR + m.shape[0], y)[::-1], axis=0)[::-1] - y
+    column = np.minimum(np.minimum(above, below), FAR).astype(np.int64) ** 2
+    d2, k = column.copy(), 1
+    while k < m.shape[1] and k * k < d2.max():
+        np.minimum(d2[:, k:], column[:, :-k] + k * k, out=d2[:, k:])
+        np.minimum(d2[:, :-k], column[:, k:] + k * k, out=d2[:, :-k])
+        k += 1
+    return d2
+
+
+def _strokes(y, x0, x1, h, w) -> dict:
+    m = _raster(y, x0, x1, h[0], w[0]) > 0
+    y, x = np.nonzero(_thinned(m))
+    d2 = _squared_distances(m)[y, x]
+    return {"y": y.astype(np.int32), "x": x.astype(np.int32), "d": pa.array(np.sqrt(d2.astype(float)), mask=d2 >= FAR * FAR)}
+
+
+def stroke_pixels(mask: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``image_id, y, x, d``: the skeleton of runs and its distances to the background, over rasters ``sizes(image_id, h, w)``.
+
+    ``sizes`` should be written, as it is read more than once.  A raster that one task
+    holds needs no rounds; larger ones go by ``skeleton`` and ``distance_transform``.
+    """
+    small, large = by_size(sizes.select("image_id", "h", "w"), "cast(h as bigint) * w")
+    mask = mask.select("image_id", F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+    out = _each_image(mask, small, _strokes, "y int, x int, d double")
+    if large.isEmpty():
+        return out
+    ink = materialize(I.run_pixels(mask.join(large.select("image_id"), "image_id", "left_semi")), "thin")
+    return out.unionByName(skeleton(ink).join(distance_transform(ink, large), ["image_id", "y", "x"]))
+
+
+def _outline(y, x0, x1, label, h, w) -> dict:
+    """``contours`` of one raster, with the number ``n`` of each contour's points."""
+    names, of = np.unique(label, return_inverse=True)
+    m = np.pad(_raster(y, x0, x1, h[0], w[0], of.astype(np.int32) + 1), 1)
+    own = m[1:-1, 1:-1]
+    free = np.stack([(own > 0) & (m[1 + dy : 1 + dy + own.shape[0], 1 + dx : 1 + dx + own.shape[1]] == 0) for dy, dx in ((-1, 0), (0, 1), (1, 0), (0, -1))], axis=2)
+    py, px, d = np.nonzero(free)  # sides in the order of pixels
+    fy, fx = py + (d >= 2), px + ((d == 1) | (d == 2))
+    ty, tx = fy + (d == 1) - (d == 3), fx + (d == 0) - (d == 2)
+    at = np.full((4, h[0] + 1, w[0] + 1), -1, np.int32)
+    at[d, fy, fx] = np.arange(len(d))
+    follow = np.full(len(d), -1)
+    for turn in (2, 1, 0, -1):  # a left turn counts most
+        side = at[(d + turn) % 4, ty, tx]
+        follow = np.where(side >= 0, side, follow)
+    group = own[py, px] - 1
+    head = np.unique(group, return_index=True)[1]
+    follow, n = np.where(np.isin(follow, head), -1, follow), np.ones(len(d), np.int64)
+    while True:
+        go = follow >= 0
+        n, before = n + np.where(go, n[follow], 0), go.sum()
+        follow = np.where(go, follow[follow], -1)
+        if (follow >= 0).sum() == before:
+            break
+    on = np.flatnonzero(follow < 0)
+    on = on[np.lexsort((-n[on], group[on]))]
+    group, py, px = group[on], py[on], px[on]
+    keep = np.append(True, (np.diff(group) != 0) | (np.diff(py) != 0) | (np.diff(px) != 0))
+    group, py, px = group[keep], py[keep], px[keep]
+    first = np.searchsorted(group, group, "left")
+    last = np.append(np.diff(group) != 0, True)
+    keep = ~(last & (np.arange(len(group)) > first) & (py == py[first]) & (px == px[first]))
+    group, py, px = group[keep], py[keep], px[keep]
+    first, n = np.searchsorted(group, group, "left"), np.bincount(group)[group]
+    k = (n - (np.arange(len(group)) - first)) % n
+    return {"label": names[group], "k": k.astype(np.int32), "y": py.astype(np.int32), "x": px.astype(np.int32), "n": n.astype(np.int64)}
+
+
+def outlines(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``contours`` of labelled runs, with the number ``n`` of points; ``sizes(image_id, h, w)`` should be written."""
+    small, large = by_size(sizes.select("image_id", "h", "w"), "cast(h as bigint) * w")
+    runs = labelled.select("image_id", *(F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")), "label")
+    out = _each_image(runs, small, _outline, "label bigint, k int, y int, x int, n bigint")
+    if large.isEmpty():
+        return out
+    far = contours(materialize(I.to_ink(runs.join(large.select("image_id"), "image_id", "left_semi")), "contour"))
+    far = far.withColumn("n", F.count("*").over(Window.partitionBy("image_id", "label")))
+    return out.unionByName(far.select("image_id", "label", F.col("k").cast("int").alias("k"), "y", "x", "n"))
+
+
+def _scaled(y, x0, x1, h, w, nh, nw) -> dict:
+    """Runs of one box scaled as ``R.resize`` does it linearly, where more than half is ink; 4 pixels are left around."""
+    v = _raster(y, x0, x1, h[0], w[0]) * 255.0
+    for n, m in ((h[0], nh[0]), (w[0], nw[0])):
+        s = (np.arange(m) + 0.5) * n / m - 0.5
+        k = (s - np.floor(s))[:, None]
+        low = np.floor(s).astype(int)
+        v = ((1 - k) * v[np.clip(low, 0, n - 1)] + k * v[np.clip(low + 1, 0, n - 1)]).T
+    step = np.diff(np.pad((np.rint(v) > 127).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (y, x0), x1 = np.nonzero(step == 1), np.nonzero(step == -1)[1]
+    return {"y": (y + 4).astype(np.int32), "x0": (x0 + 4).astype(np.int32), "x1": (x1 + 3).astype(np.int32)}
+
+
 # ---- features: one row per image, null where not computable ---------------
 
 
@@ -222,8 +393,9 @@ def variation(v):
     return F.when(F.avg(v) > 0, F.stddev_pop(v) / F.avg(v))
 
 
-def stroke_width_var(ink: DataFrame, sizes: DataFrame) -> DataFrame:
-    return skeleton(ink).join(distance_transform(ink, sizes), ["image_id", "y", "x"]).groupBy("image_id").agg(variation("d").alias("stroke_width_var"))
+def stroke_width_var(mask: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``mask`` are runs."""
+    return stroke_pixels(mask, sizes).groupBy("image_id").agg(variation("d").alias("stroke_width_var"))
 
 
 def spacing_dev(boxes: DataFrame) -> DataFrame:
@@ -270,7 +442,12 @@ def curvature_var(px: DataFrame, outer: DataFrame, step: int = 5) -> DataFrame:
     ``outer(image_id, label)`` are the components that count, not those inside another's hole.
     """
     c = contours(px.join(outer, ["image_id", "label"], "left_semi"))
-    long = c.withColumn("n", F.count("*").over(Window.partitionBy("image_id", "label"))).filter("n >= 15").filter(F.col("k") % step == 0)
+    return _turns(c.withColumn("n", F.count("*").over(Window.partitionBy("image_id", "label"))), step)
+
+
+def _turns(c: DataFrame, step: int = 5) -> DataFrame:
+    """``curvature_var`` of contours that have ``n`` points."""
+    long = c.filter("n >= 15").filter(F.col("k") % step == 0)
     w = Window.partitionBy("image_id", "label").orderBy("k")
     full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ring = lambda v: F.coalesce(F.lead(v).over(w), F.first(v).over(full))
@@ -285,15 +462,21 @@ def component_features(comp: DataFrame) -> DataFrame:
     return comp.groupBy("image_id").agg(F.when(n >= 2, variation("area")).otherwise(F.lit(0.0)).alias("cc_size_var"), (1 / n).alias("stroke_connectivity"))
 
 
-def contour_irregularity(px: DataFrame, outer: DataFrame) -> DataFrame:
-    """Hull areas of the components ``outer(image_id, label)`` over ink pixels."""
-    outer = hull_area(px).join(outer, ["image_id", "label"])
-    n = px.groupBy("image_id").agg(F.count("*").alias("n"))
+def contour_irregularity(labelled: DataFrame, outer: DataFrame) -> DataFrame:
+    """Hull areas of the components ``outer(image_id, label)`` over ink pixels; ``labelled`` are runs."""
+    hulls = _hulls(labelled.groupBy("image_id", "label", "y").agg(F.min("x0").alias("l"), F.max("x1").alias("r")))
+    outer = hulls.join(outer, ["image_id", "label"])
+    n = labelled.groupBy("image_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
     return outer.groupBy("image_id").agg(F.sum("hull").alias("s")).join(n, "image_id").select("image_id", (F.col("s") / F.col("n")).alias("contour_irregularity"))
 
 
 def ink_mask(px: DataFrame, height: int | None = None) -> DataFrame:
-    """Sparse ink by polarity, blur, Otsu and the 2 % area rule, moved to its bounding box plus 4.
+    """The pixels of ``ink_mask_runs``."""
+    return I.run_pixels(ink_mask_runs(px, height))
+
+
+def ink_mask_runs(px: DataFrame, height: int | None = None) -> DataFrame:
+    """Runs of ink by polarity, blur, Otsu and the 2 % area rule, moved to its bounding box plus 4.
 
     With ``height`` the bounding box is scaled to it (bilinear, above half stays).
     """
@@ -301,15 +484,20 @@ def ink_mask(px: DataFrame, height: int | None = None) -> DataFrame:
     blurred = R.gaussian_blur(bright, 3).withColumn("v", F.rint("v").cast("int"))
     lit = blurred.join(R.otsu(blurred), "image_id").filter("v > thr").select("image_id", "y", "x")
     lab = materialize(I.label_runs(lit), "mask")
-    kept = I.to_ink(lab.join(I.largest_share(I.components(lab)).select("image_id", "label"), ["image_id", "label"], "left_semi"))
-    box = kept.groupBy("image_id").agg(F.min("y").alias("y0"), F.min("x").alias("x0"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"))
-    moved = kept.join(box, "image_id").select("image_id", F.expr("y - y0").alias("y"), F.expr("x - x0").alias("x"))
+    kept = lab.join(I.largest_share(I.components(lab)).select("image_id", "label"), ["image_id", "label"], "left_semi")
+    box = kept.groupBy("image_id").agg(F.min("y").alias("y0"), F.min("x0").alias("left"), (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x1") - F.min("x0") + 1).alias("w"))
+    moved = kept.join(box, "image_id").select("image_id", F.expr("y - y0").alias("y"), F.expr("x0 - left").alias("x0"), F.expr("x1 - left").alias("x1"))
     if height is None:
-        return moved.select("image_id", F.expr("y + 4").alias("y"), F.expr("x + 4").alias("x"))
-    s = box.withColumns({"nh": F.lit(height), "nw": F.greatest(F.lit(1), F.bround(F.col("w") * height / F.col("h")).cast("int"))})
+        return moved.select("image_id", *((F.col(c) + 4).alias(c) for c in ("y", "x0", "x1")))
+    s = box.select("image_id", "h", "w").withColumns({"nh": F.lit(height), "nw": F.greatest(F.lit(1), F.bround(F.col("w") * height / F.col("h")).cast("int"))})
+    small, large = by_size(materialize(s, "mask"), "cast(h as bigint) * w", "cast(nh as bigint) * nw")
+    out = _each_image(moved, small, _scaled, "y int, x0 int, x1 int")
+    if large.isEmpty():
+        return out
     # pixels without ink add nothing to the sums, so the sparse table is enough
-    scaled = R.resize(moved.withColumn("v", F.lit(255)), s, "linear").filter(F.rint("v") > 127)
-    return scaled.select("image_id", F.expr("y + 4").alias("y"), F.expr("x + 4").alias("x"))
+    scaled = R.resize(I.run_pixels(moved).withColumn("v", F.lit(255)), large, "linear").filter(F.rint("v") > 127)
+    far = I.runs(scaled.select("image_id", F.expr("y + 4").alias("y"), F.expr("x + 4").alias("x")))
+    return out.unionByName(far)
 
 
 #: The eight features in the order of a model record.
@@ -320,16 +508,16 @@ def features(px: DataFrame, height: int | None = 100, least_ink: int = 30) -> Da
     """The eight shape features of each raster with ``least_ink`` ink pixels or more."""
     from rasterlake.operators.layout import merge_boxes
 
-    mask = materialize(ink_mask(px, height), "features")
-    enough = mask.groupBy("image_id").agg(F.count("*").alias("n"), (F.max("y") + 5).alias("h"), (F.max("x") + 5).alias("w")).filter(F.col("n") >= least_ink)
+    mask = materialize(ink_mask_runs(px, height), "features")
+    enough = mask.groupBy("image_id").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"), (F.max("y") + 5).alias("h"), (F.max("x1") + 5).alias("w")).filter(F.col("n") >= least_ink)
     enough = materialize(enough, "features")
-    ink = mask.join(enough.select("image_id"), "image_id", "left_semi")
     sizes = enough.select("image_id", "h", "w")
-    lab = materialize(I.label_runs(ink), "features")
-    comp, cells = materialize(I.components(lab), "features"), materialize(I.to_ink(lab), "features")
+    lab = materialize(I.labelled_runs(mask.join(enough.select("image_id"), "image_id", "left_semi")), "features")
+    comp = materialize(I.components(lab), "features")
     boxes = materialize(merge_boxes(comp), "features")
     outer = materialize(I.outer_labels(lab, I.outside(lab.select("image_id", "y", "x0", "x1"), sizes)), "features")
+    turns = _turns(outlines(lab.join(outer, ["image_id", "label"], "left_semi"), sizes))
     out = sizes.select("image_id")
-    for f in (stroke_width_var(ink, sizes), spacing_dev(boxes), slant_var_of_runs(lab), baseline_wobble(boxes), curvature_var(cells, outer), component_features(comp), contour_irregularity(cells, outer)):
+    for f in (stroke_width_var(lab, sizes), spacing_dev(boxes), slant_var_of_runs(lab), baseline_wobble(boxes), turns, component_features(comp), contour_irregularity(lab, outer)):
         out = out.join(f, "image_id", "left")
     return out

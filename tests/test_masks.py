@@ -5,7 +5,7 @@ from collections import deque
 
 import numpy as np
 import pytest
-from art import ink, sizes
+from art import ink, pixels, sizes
 from pyspark.sql import functions as F
 
 from rasterlake.operators import ink as I, layout, rasters as R, shapes as S
@@ -231,3 +231,37 @@ def test_texts_are_labelled_where_they_are_read(spark, tmp_path, monkeypatch):
     lab = V.labelled_texts(spark, str(tmp_path))
     assert "Exchange" not in lab._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in I.components(lab).collect()} == want and len(want) > 3
+
+
+def test_small_rasters_need_no_rounds_and_large_ones_get_the_same(spark, monkeypatch):
+    """Thinning, distances and contours of a raster in one task equal those by joins and rounds."""
+    rng = np.random.default_rng(12)
+    pics = []
+    for k in range(3):
+        m = rng.random((17, 23)) < 0.55 + 0.1 * k
+        m[3:12, 4:15] |= k > 0
+        m[[0, -1]], m[:, [0, -1]] = k == 2, False
+        pics.append(["".join("#" if v else "." for v in line) for line in m])
+    lab, size = I.label_runs(ink(spark, *pics)).cache(), sizes(spark, *pics).cache()
+    found = []
+    for most in (1 << 21, 0):
+        with monkeypatch.context() as m:
+            m.setattr(S, "IMAGE_PIXELS", most)
+            if most:
+                m.setattr(S, "skeleton", lambda ink: pytest.fail("rounds of thinning"))
+                m.setattr(S, "contours", lambda px: pytest.fail("rounds of contours"))
+            strokes = sorted(map(tuple, S.stroke_pixels(lab, size).collect()))
+            found.append((strokes, sorted(map(tuple, S.outlines(lab, size).collect()))))
+    assert found[0] == found[1] and len(found[0][0]) > 50 and len(found[0][1]) > 100
+
+
+@pytest.mark.parametrize("height", [None, 37])
+def test_masks_are_scaled_alike_in_a_task_and_by_joins(spark, monkeypatch, height):
+    g = np.full((2, 30, 34), 220)
+    g[0, 6:22, 5:27], g[1, 4:25, 9:12], g[0, 10:13, 8:20] = 40, 30, 215
+    px = pixels(spark, *g)
+    found = []
+    for most in (1 << 21, 0):
+        monkeypatch.setattr(S, "IMAGE_PIXELS", most)
+        found.append(sorted(map(tuple, S.ink_mask(px, height).collect())))
+    assert found[0] == found[1] and len(found[0]) > 300
