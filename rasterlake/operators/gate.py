@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from rasterlake.operators import ink as I, learn as M, rasters as R, shapes as S
@@ -20,6 +23,40 @@ def detect_markings(px: DataFrame, threshold: int = 200, min_area: float = 500,
     return I.components(lab).drop("area").join(area, ["image_id", "label"])
 
 
+def strengths(px: DataFrame, dark: bool = True, size: int = 15) -> DataFrame:
+    """``R.ink_strength`` of whole numbers; a raster that fits a task is one array there, so its windows are not sorted."""
+    small, large = S.by_size(materialize(R.shape(px), "soft"), "cast(h as bigint) * w")
+    whole = px.select("image_id", *(F.col(c).cast("int").alias(c) for c in ("y", "x", "v")))
+    out = S.each_image(whole, small, partial(_strengths, dark=dark, size=size), "y int, x int, v int")
+    if large.isEmpty():
+        return out
+    return out.unionByName(R.ink_strength(whole.join(large.select("image_id"), "image_id", "left_semi"), dark, size))
+
+
+def _strengths(y, x, v, h, w, dark: bool, size: int) -> dict:
+    """Ink strength of one raster; closing is an opening of the negative."""
+    sign, none = (1 if dark else -1), -(1 << 20)
+    m = np.full((h[0], w[0]), none)
+    m[y, x] = sign * v
+    there = m != none
+    for f in (1, -1):
+        m = np.where(there, f * _widest(np.where(there, f * m, none), size, none), none)
+    return {"y": y, "x": x, "v": np.clip(m[y, x] - sign * v, 0, 255).astype(np.int32)}
+
+
+def _widest(m: np.ndarray, size: int, none: int) -> np.ndarray:
+    """The maximum over an ellipse around each place; places outside hold ``none``."""
+    half, (h, w), r = R.half_widths(size), m.shape, size // 2
+    p, line, lines = np.pad(m, ((0, 0), (r, r)), constant_values=none), m, {0: m}
+    for k in range(1, r + 1):
+        lines[k] = line = np.maximum(line, np.maximum(p[:, r - k : r - k + w], p[:, r + k : r + k + w]))
+    out = lines[half[0]]
+    for dy, k in half.items():
+        q = np.pad(lines[k], ((r, r), (0, 0)), constant_values=none)
+        out = np.maximum(out, q[r + dy : r + dy + h])
+    return out
+
+
 def gate_rasters(px: DataFrame, dark: bool = True, height: int = 360, size: int = 15) -> tuple[DataFrame, DataFrame]:
     """Ink strength and gray paper of ``px(image_id, y, x, v)``, or of channels ``(image_id, ch, y, x, v)``.
 
@@ -29,7 +66,7 @@ def gate_rasters(px: DataFrame, dark: bool = True, height: int = 360, size: int
     colour = "ch" in px.columns
     keyed = px.select(F.struct("image_id", "ch").alias("image_id"), "y", "x", "v") if colour else px
     soft = materialize(R.gaussian_blur(R.shrink_to(keyed, height)).withColumn("v", F.rint("v").cast("int")), "soft")
-    strength = R.ink_strength(soft, dark, size)
+    strength = materialize(strengths(soft, dark, size), "strength")  # the gate and its crops read it many times
     if not colour:
         return strength, soft
     luma = F.sum(F.expr("v * case image_id.ch when 0 then 0.114D when 1 then 0.587D else 0.299D end"))

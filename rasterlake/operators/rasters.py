@@ -169,9 +169,14 @@ def open_2x2(px: DataFrame) -> DataFrame:
     return px
 
 
-def _ellipse(px: DataFrame, size: int, f) -> DataFrame:
+def half_widths(size: int) -> dict[int, int]:
+    """Half of an ellipse's width in each of its lines."""
     r = size // 2
-    half = {dy: round(r * math.sqrt((r * r - dy * dy) / (r * r))) for dy in range(-r, r + 1)}
+    return {dy: round(r * math.sqrt((r * r - dy * dy) / (r * r))) for dy in range(-r, r + 1)}
+
+
+def _ellipse(px: DataFrame, size: int, f) -> DataFrame:
+    r, half = size // 2, half_widths(size)
     for k in sorted(set(half.values())):
         px = px.withColumn(f"m{k}", f("v").over(rows_of().rowsBetween(-k, k)))
     pick = F.greatest if f is F.max else F.least
@@ -246,10 +251,12 @@ def otsu(px: DataFrame) -> DataFrame:
 
 def noise_threshold(px: DataFrame) -> DataFrame:
     """``image_id, noise, thr``: 1.4826 times the median absolute deviation, and five times it within 12..30."""
-    med = percentiles(px, [0.5]).withColumnRenamed("q0", "med")
-    mad = px.join(med, "image_id").withColumn("v", F.abs(F.col("v") - F.col("med")))
-    noise = 1.4826 * F.col("q0")
-    return percentiles(mad, [0.5]).select("image_id", noise.alias("noise"), F.greatest(F.lit(12.0), F.least(F.lit(30.0), 5 * noise)).alias("thr"))
+    # medians of whole numbers are exact in any order of operations, so both come from one count of values
+    hist = px.groupBy("image_id", "v").agg(F.count("*").alias("n"))
+    med = hist.groupBy("image_id").agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("med"))
+    off = F.percentile(F.abs(F.col("v") - F.col("med")), F.lit(0.5), F.col("n"))
+    mad = hist.join(med, "image_id").groupBy("image_id").agg((1.4826 * off).alias("noise"))
+    return mad.select("image_id", "noise", F.greatest(F.lit(12.0), F.least(F.lit(30.0), 5 * F.col("noise"))).alias("thr"))
 
 
 def has_ink(px: DataFrame) -> DataFrame:

@@ -230,7 +230,7 @@ def by_size(sizes: DataFrame, *areas: str) -> tuple[DataFrame, DataFrame]:
     return sizes.filter(fits), sizes.filter(~fits)
 
 
-def _each_image(runs: DataFrame, sizes: DataFrame, kernel, out: str) -> DataFrame:
+def each_image(runs: DataFrame, sizes: DataFrame, kernel, out: str) -> DataFrame:
     """``kernel`` over the runs, and what comes with them, of each image of ``sizes``, whose columns come last."""
     ship_code(runs.sparkSession)
     dealt = runs.join(sizes, "image_id").repartition("image_id").sortWithinPartitions("image_id")
@@ -315,7 +315,7 @@ def stroke_pixels(mask: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     small, large = by_size(sizes.select("image_id", "h", "w"), "cast(h as bigint) * w")
     mask = mask.select("image_id", F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
-    out = _each_image(mask, small, _strokes, "y int, x int, d double")
+    out = each_image(mask, small, _strokes, "y int, x int, d double")
     if large.isEmpty():
         return out
     ink = materialize(I.run_pixels(mask.join(large.select("image_id"), "image_id", "left_semi")), "thin")
@@ -364,7 +364,7 @@ def outlines(labelled: DataFrame, sizes: DataFrame) -> DataFrame:
     """``contours`` of labelled runs, with the number ``n`` of points; ``sizes(image_id, h, w)`` should be written."""
     small, large = by_size(sizes.select("image_id", "h", "w"), "cast(h as bigint) * w")
     runs = labelled.select("image_id", *(F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")), "label")
-    out = _each_image(runs, small, _outline, "label bigint, k int, y int, x int, n bigint")
+    out = each_image(runs, small, _outline, "label bigint, k int, y int, x int, n bigint")
     if large.isEmpty():
         return out
     far = contours(materialize(I.to_ink(runs.join(large.select("image_id"), "image_id", "left_semi")), "contour"))
@@ -491,7 +491,7 @@ def ink_mask_runs(px: DataFrame, height: int | None = None) -> DataFrame:
         return moved.select("image_id", *((F.col(c) + 4).alias(c) for c in ("y", "x0", "x1")))
     s = box.select("image_id", "h", "w").withColumns({"nh": F.lit(height), "nw": F.greatest(F.lit(1), F.bround(F.col("w") * height / F.col("h")).cast("int"))})
     small, large = by_size(materialize(s, "mask"), "cast(h as bigint) * w", "cast(nh as bigint) * nw")
-    out = _each_image(moved, small, _scaled, "y int, x0 int, x1 int")
+    out = each_image(moved, small, _scaled, "y int, x0 int, x1 int")
     if large.isEmpty():
         return out
     # pixels without ink add nothing to the sums, so the sparse table is enough

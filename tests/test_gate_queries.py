@@ -2,6 +2,11 @@
 
 import random
 
+import numpy as np
+import pytest
+from art import pixels
+
+from rasterlake.operators import gate, rasters as R, shapes as S
 from rasterlake.plans import catalog
 
 
@@ -90,3 +95,17 @@ def test_runs_of_texts_come_from_their_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(views, "PART_BYTES", 50)
     again = [b for batch in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text").toArrow().to_batches() for b in views._ink_runs(iter([batch]))]
     assert sorted(str((x["image_id"], x["y"], x["x0"], x["x1"])) for b in again for x in b.to_pylist()) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("dark", [True, False])
+def test_strengths_of_small_rasters_need_no_windows(spark, monkeypatch, dark):
+    """A raster in one task has the ink strength that windows give, which larger ones still use."""
+    g = np.random.default_rng(3).integers(0, 256, (2, 19, 23))
+    px, found = pixels(spark, *g), []
+    for most in (1 << 21, 0):
+        with monkeypatch.context() as m:
+            m.setattr(S, "IMAGE_PIXELS", most)
+            if most:
+                m.setattr(R, "ink_strength", lambda *a: pytest.fail("windows of pixels"))
+            found.append(sorted(map(tuple, gate.strengths(px, dark, 7).select("image_id", "y", "x", "v").collect())))
+    assert found[0] == found[1] and len(found[0]) == 2 * 19 * 23
